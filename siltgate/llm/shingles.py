@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Space and the bytes 0x09-0x0D separate words.
 SEPARATORS = np.zeros(256, bool)

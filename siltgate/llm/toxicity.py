@@ -37,6 +37,8 @@ REPORTS = "said says say called calls claimed claims wrote writes reported alleg
 PRIOR, THREAT = 4.0, 4.5
 #: Labelled rows that the lexicon is learned from, at most about: of label 1 and of label 0.
 SAMPLE = (2_000, 4_000)
+#: Lengths of the word beginnings that are learned.
+BEGINNINGS = (4, 5, 6)
 #: What a clause's weight is taken down by before it becomes a score.
 BIAS = 2.0
 
@@ -109,7 +111,7 @@ class Scorer:
     def insult(self, word: str) -> float:
         found = self.words.get(word, 0.0)
         for n in self.lengths:
-            if len(word) >= n and (w := self.begin.get(word[:n], 0.0)) > found:
+            if len(word) > n and (w := self.begin.get(word[:n], 0.0)) > found:
                 found = w
         return found
 
@@ -142,9 +144,18 @@ class Scorer:
         return 1 / (1 + math.exp(BIAS - top - 0.3 * math.log1p(max(0, hits - 1))))
 
 
-def _features(text: str) -> set[str]:
-    words = set(_WORD.findall(text.lower()))
-    return words | {f"{w[:n]}*" for w in words for n in (3, 4, 5, 6) if len(w) > n}
+def _features(text: str) -> dict[str, str]:
+    """Words and beginnings of longer words, each with the word before its first place."""
+    out: dict[str, str] = {}
+    last = ""
+    for w in _WORD.findall(text.lower()):
+        if w not in out:
+            out[w] = last
+            for n in BEGINNINGS:
+                if len(w) > n:
+                    out.setdefault(w[:n] + "*", last)
+        last = w
+    return out
 
 
 def held_out(doc_id) -> F.Column:
@@ -168,22 +179,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     def run(batches):
         for whole in batches:
             for b in text_slices(whole, "text", 1 << 20):
-                per = [sorted(_features(t or "")) for t in b.column("text").to_pylist()]
+                per = [sorted(_features(t or "").items()) for t in b.column("text").to_pylist()]
                 rep = pa.array(np.repeat(np.arange(len(per)), [len(p) for p in per]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rep), b.column("y").take(rep), pa.array([f for p in per for f in p], pa.string())], names=["doc_id", "y", "f"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rep), b.column("y").take(rep), pa.array([f for p in per for f, _ in p], pa.string()), pa.array([c for p in per for _, c in p], pa.string())], names=["doc_id", "y", "f", "c"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.table(texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f string"))
+    rows = scratch.table(texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f string, c string"))
     n_pos, n_neg = (rows.where(f"y = {y}").select("doc_id").distinct().count() for y in (1, 0))
     words: dict[str, float] = {w: PRIOR for w in INSULTS}
     if not n_pos or not n_neg:
         return words, {}
-    stats = rows.groupBy("f").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("p"), F.countDistinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("n"))
+    stats = rows.groupBy("f").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("p"), F.countDistinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("n"), F.countDistinct(F.when(F.col("y") == 1, F.col("c"))).alias("contexts"))
     odds = F.log((F.col("p") + 0.5) / (n_pos + 1)) - F.log((F.col("n") + 0.5) / (n_neg + 1))
     least = max(3, math.ceil(0.005 * n_pos))
     listed = F.col("f").isin(INSULTS)
+    # copies of a document show a word in one context only, insults turn up in many
     # at most n_pos * features of a document / least rows, from the bounded sample
-    good = scratch.table(stats.withColumn("w", odds).where(((F.col("p") >= least) & (F.col("w") >= 2.5)) | listed))
+    good = scratch.table(stats.withColumn("w", odds).where(((F.col("p") >= least) & (F.col("contexts") >= least) & (F.col("w") >= 2.5) & (F.col("p") >= 10 * F.col("n"))) | listed))
     weight = {r["f"]: (r["w"], r["p"], r["n"]) for r in good.collect()}
     for w in INSULTS:  # evidence against a listed word
         if w in weight and weight[w][2] >= 3 and weight[w][0] < 2.5:
@@ -204,6 +216,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
         elif weight[f][0] >= 2.5:
             words[f] = min(8.0, max(PRIOR, weight[f][0]))
         left -= cover.pop(f)
+    for f in cover:  # strong on its own, whatever else those documents have
+        if not f.endswith("*") and weight[f][0] >= 4 and len(cover[f]) >= max(5, 0.04 * n_pos):
+            words[f] = min(8.0, weight[f][0])
     return {w: v for w, v in words.items() if v > 0}, begin
 
 

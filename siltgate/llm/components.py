@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,35 @@ def _hang(near: DataFrame) -> DataFrame:
     return moved
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+#: Distinct edges up to which one task joins them (16 MB); more are contracted in rounds.
+ONE_TASK = 1_000_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Union-find over all edges: (u, v) with v the smallest id of u's component."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                p, q = find(u), find(v)
+                root[max(p, q)] = min(p, q)
+        ids = [x for x in list(root) if find(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], names=["u", "v"])
+
+    return edges.coalesce(1).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """``edges(u, v)`` to ``(id, component)``: the smallest id that each id reaches.
 
     Each round is a large-star step (every larger neighbour of u is hung on
@@ -29,6 +58,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     without edges are not returned; null ids and loops are ignored.
     """
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if now.count() <= one_task:
+        now, rounds = scratch.table(_in_one_task(now)), 0
     mark = None
     for _ in range(rounds):
         large = _hang(_symmetric(now)).where("a > u").select(F.col("a").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -10,12 +10,18 @@
    prefix), so only those are merged. The frequent lists behind the prefix are
    skipped: they are never merged, but probed when a candidate's collisions are
    counted on the two whole signatures.
+   A list that is long although it stands in a prefix holds frequent values;
+   its nodes are posted anew under joint values: of k - t + 1 groups of
+   coordinates, two signatures with t collisions agree on one whole group.
 3. A list is merged without emitting its pairs: first each node is paired with
-   a hub and its nearest neighbours in the list, pairs with ``t`` collisions
-   are confirmed on the full sets and contracted to components. What is still
-   split afterwards is then compared exhaustively, but only across components,
-   so no link between different components is lost and a list of one
-   near-copy group costs a multiple of its length.
+   the list's hub (the node with the most common values) and its neighbours,
+   pairs with ``t`` collisions are confirmed on the full sets and contracted to
+   components. What is still split is then compared across components only.
+   Nodes that collide with the same hub form its family; two of them share at most
+   what each shares with the hub, and what they share beyond it, so a stray of
+   a large family is compared only with those that these counts allow. No link
+   between different components is lost, and a list of one near-copy group
+   costs a multiple of its length.
 """
 
 from __future__ import annotations
@@ -36,6 +42,10 @@ from .shingles import shingle_hashes, text_slices, word_hashes
 RUN = 4096
 #: Neighbours in a list, besides the hub, that a node is first paired with.
 NEAR = 3
+#: Prefix lists beyond this length are replaced by those of joint values.
+LONG = 32
+#: Hubs with more nodes than this have a family.
+FAMILY = 16
 #: Sides of a join with at most so many rows of two or three integers (under 64 MB) are broadcast.
 SMALL = 2_000_000
 
@@ -104,16 +114,28 @@ class _Join:
         self.docs, self.nodes, self.scratch = docs, nodes, scratch
         self.width, self.percent, self.k, self.t = width, percent, k, t
 
-    def prefixes(self) -> DataFrame:
-        """(key, id, n): the nodes' prefix postings whose value some other node has."""
-        least = self.percent / (100 - self.percent) if self.percent < 100 else float("inf")
-        posted = self.nodes.where(F.col("n") >= least).select("id", "n", F.posexplode("sig").alias("pos", "value")).select(
-            (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").bitwiseAND(0xFFFFFFFF)).alias("key"), "id", "n"
-        )
+    def _shared(self, posted: DataFrame) -> DataFrame:
+        """Postings whose key some other node has, with the number of its nodes."""
         df = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-        shared = posted.join(df, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))
-        free = self.k - self.t + 1 - (self.k - F.size("p"))
-        return shared.where(free > 0).select("id", "n", F.explode(F.slice("p", F.lit(1), free)).alias("e")).select("e.key", "id", "n")
+        return posted.join(df, "key")
+
+    def lists(self) -> DataFrame:
+        """(key, id, n, mass): the lists to merge. mass tells how common a node's values are."""
+        least = self.percent / (100 - self.percent) if self.percent < 100 else float("inf")
+        able = self.nodes.where(F.col("n") >= least)
+        posted = able.select("id", "n", F.posexplode("sig").alias("pos", "value")).select((F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").bitwiseAND(0xFFFFFFFF)).alias("key"), "id", "n")
+        rows = self._shared(posted).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum("df").alias("mass"))
+        parts = self.k - self.t + 1
+        free = parts - (self.k - F.size("p"))
+        rows = rows.where(free > 0).select("id", "n", "mass", F.slice("p", F.lit(1), free).alias("p"))
+        prefix = self.scratch.table(rows.select("id", "n", "mass", F.explode("p").alias("e"), (F.element_at("p", -1)["df"] > LONG).alias("long")).select("e.key", "e.df", "id", "n", "mass", "long"))
+        again = prefix.where("long").groupBy("id").agg(F.first("mass").alias("mass"))
+        # k coordinates in parts groups: t collisions leave fewer misses than groups
+        cut = [(i * self.k // parts, (i + 1) * self.k // parts) for i in range(parts)]
+        joint = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", a + 1, b - a)) for i, (a, b) in enumerate(cut)])
+        wide = able.join(again, "id").select("id", "n", "mass", F.explode(joint).alias("key"))
+        short = prefix.where(F.col("df") <= LONG).select("key", "id", "n", "mass")
+        return short.unionByName(self._shared(wide).select("key", "id", "n", "mass"))
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Of distinct (a, b) those with t collisions of whole signatures."""
@@ -125,32 +147,88 @@ class _Join:
     def _fits(self, n: str, m: str):
         return (F.greatest(n, m) * self.percent <= F.least(n, m) * 100)
 
-    def first_pairs(self, prefix: DataFrame) -> DataFrame:
+    def first_pairs(self, lists: DataFrame) -> DataFrame:
         """Each node with its list's hub and neighbours; long lists in runs whose hubs are paired too."""
-        size = prefix.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-        dealt = prefix.join(size, "key").withColumn("run", F.when(F.col("g") > RUN, F.pmod(F.xxhash64("id"), F.ceil(F.col("g") / RUN))).otherwise(F.lit(0)))
+        size = lists.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
+        dealt = lists.join(size, "key").withColumn("run", F.when(F.col("g") > RUN, F.pmod(F.xxhash64("id"), F.ceil(F.col("g") / RUN))).otherwise(F.lit(0)))
         run = W.partitionBy("key", "run")
-        order = run.orderBy("n", "id")
-        hub = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")).over(run)
-        other = [F.lag(F.struct(F.lit(0).cast("long").alias("h"), "id", "n"), i).over(order) for i in range(1, NEAR + 1)]
+        order = run.orderBy("mass", "id")
+        hub = F.max(F.struct("mass", "id", "n")).over(run)
+        other = [F.lag(F.struct("mass", "id", "n"), i).over(order) for i in range(1, NEAR + 1)]
         near = dealt.select("key", "id", "n", hub.alias("hub"), F.array(*other).alias("o"))
         pairs = near.select("id", "n", F.explode(F.concat(F.array("hub"), F.col("o"))).alias("x")).where("x is not null")
-        hubs = dealt.where(F.col("g") > RUN).groupBy("key", "run").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")).alias("hub"))
-        top = hubs.groupBy("key").agg(F.min("hub").alias("x"))
+        hubs = dealt.where(F.col("g") > RUN).groupBy("key", "run").agg(F.max(F.struct("mass", "id", "n")).alias("hub"))
+        top = hubs.groupBy("key").agg(F.max("hub").alias("x"))
         among = hubs.join(top, "key").select(F.col("hub.id").alias("id"), F.col("hub.n").alias("n"), "x")
         both = pairs.unionByName(among).where(F.col("id") != F.col("x.id")).where(self._fits("n", "x.n"))
         return both.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
 
-    def rest_pairs(self, prefix: DataFrame, member: DataFrame) -> DataFrame:
-        """All pairs of a list that lie in different components."""
-        at = prefix.join(member, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).where((F.col("lo") != F.col("hi")) & (F.col("g") > NEAR + 1))
+    def families(self, lists: DataFrame, alike: DataFrame) -> DataFrame:
+        """(id, hub): the most massive node that an id collides with, if that has FAMILY others; hubs have themselves."""
+        mass = lists.groupBy("id").agg(F.max("mass").alias("mass"))
+        both = alike.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o")))).alias("e")).select("e.id", "e.o")
+        top = both.join(mass.withColumnRenamed("id", "o"), "o").groupBy("id").agg(F.max(F.struct("mass", F.col("o").alias("hub"))).alias("m"))
+        mine = top.join(mass.withColumnRenamed("mass", "own"), "id").select("id", F.when(F.struct("own", "id") > F.col("m"), F.col("id")).otherwise(F.col("m.hub")).alias("hub"))
+        large = mine.groupBy("hub").agg(F.count("*").alias("g")).where(F.col("g") > FAMILY).select("hub")
+        mine = mine.where("id <> hub").unionByName(mine.select(F.col("hub").alias("id"), "hub")).distinct()
+        # a hub may itself collide with a more massive one: it stays in its own family
+        one = mine.groupBy("id").agg(F.max(F.col("id") == F.col("hub")).alias("own"), F.max("hub").alias("hub")).select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("hub")).alias("hub"))
+        return one.join(large, "hub").select("id", "hub")
+
+    def rest_pairs(self, lists: DataFrame, member: DataFrame, family: DataFrame) -> DataFrame:
+        """All pairs of a list that lie in different components and not in one family."""
+        at = lists.join(member, "id", "left").join(family, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"), F.coalesce("hub", -F.col("id") - 1).alias("h"))
+        mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h").alias("h1"), F.max("h").alias("h2"), F.count("*").alias("g"))
+        mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("h1") != F.col("h2")) & (F.col("g") > NEAR + 1))
         at = self.scratch.table(at.join(mixed.select("key"), "key"))
-        # The list's largest component only meets the others; its nodes need not meet each other.
-        x, y = (at.withColumnsRenamed({c: f"{c}{i}" for c in ("id", "n", "c")}) for i in (1, 2))
-        pairs = x.join(y, "key").where("id1 < id2 and c1 <> c2").where(self._fits("n1", "n2"))
+        x, y = (at.withColumnsRenamed({c: f"{c}{i}" for c in ("id", "n", "c", "h")}) for i in (1, 2))
+        pairs = x.join(y, "key").where("id1 < id2 and c1 <> c2 and h1 <> h2").where(self._fits("n1", "n2"))
         return pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
+    def family_pairs(self, family: DataFrame, member: DataFrame) -> DataFrame:
+        """Pairs of one family in different components that the counts allow.
+
+        With a, b what x and y share with the hub and e what they share beyond
+        it, they share min(a, b) + e at most. Pairs that reach the similarity
+        with e = 0 are found from the counts' histogram, others meet under
+        what they have beyond the hub.
+        """
+        comp = family.join(member, "id", "left").select("id", "hub", F.coalesce("component", "id").alias("c"))
+        split = comp.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub")
+        comp = self.scratch.table(comp.join(split, "hub"))
+        known = self.scratch.table(self._against_hub(comp.select("id", "hub")).join(comp, ["id", "hub"]))
+        reach = lambda e: (F.least("s1", "s2") + e) * (100 + self.percent) >= self.percent * (F.col("n1") + F.col("n2"))
+        side = lambda d, i: d.withColumnsRenamed({c: f"{c}{i}" for c in d.columns if c != "hub"})
+        # the counts' histogram: a group is one (size, shared) of a component
+        hist = known.groupBy("hub", "c", "n", "s").count().drop("count")
+        able = side(hist, 1).join(side(hist, 2), "hub").where("c1 < c2").where(reach(F.lit(0)))
+        one = known.select("hub", "c", "n", "s", "id")
+        found = able.join(side(one, 1), ["hub", "c1", "n1", "s1"]).join(side(one, 2), ["hub", "c2", "n2", "s2"]).select("id1", "id2")
+        more = known.select("hub", "c", "n", "s", "id", F.explode("beyond").alias("x"))
+        many = more.groupBy("hub", "x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "x")
+        more = more.join(many, ["hub", "x"]).withColumnRenamed("x", "key")
+        met = side(more, 1).withColumnRenamed("key1", "key").join(side(more, 2).withColumnRenamed("key2", "key"), ["hub", "key"]).where("c1 < c2")
+        counted = met.groupBy("id1", "id2", "s1", "s2", "n1", "n2").agg(F.count("*").alias("e")).where(reach(F.col("e")))
+        pairs = found.unionByName(counted.select("id1", "id2"))
+        return pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+    def _against_hub(self, pairs: DataFrame) -> DataFrame:
+        """id, hub, n (set size), s (shared with the hub's set), beyond (the hashes that the hub lacks)."""
+
+        def run(batches):
+            for b in batches:
+                n, s, rest = [], [], []
+                for x, y in zip(b.column("set_id"), b.column("set_hub")):
+                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    own = np.setdiff1d(p, q, assume_unique=True)
+                    n.append(len(p))
+                    s.append(len(p) - len(own))
+                    rest.append(own.view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hub"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["id", "hub", "n", "s", "beyond"])
+
+        right, left = self._shipped(pairs, "id"), self._shipped(pairs.select("hub").distinct(), "hub")
+        return right.join(left, "hub").select("id", "hub", "set_id", "set_hub").mapInArrow(run, "id long, hub long, n long, s long, beyond array<bigint>")
+
     def _shipped(self, keyed: DataFrame, on: str) -> DataFrame:
         """The rows of ``keyed`` with the shingle set of the text of ``on``."""
         names = [c for c in keyed.columns]
@@ -206,20 +284,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     known = base.where("set_id is not null and doc_id is not null")
     nodes = scratch.table(known.groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).select("set_id", "id", F.col("n_shingles").alias("n"), "sig"))
     join = _Join(docs, nodes, scratch, width, percent, k, t)
-    prefix = scratch.table(join.prefixes())
-    alike = scratch.table(join._alike(join.first_pairs(prefix)))
+    lists = scratch.table(join.lists())
+    alike = scratch.table(join._alike(join.first_pairs(lists)))
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b")
     edges = scratch.table(join.confirmed(scratch.table(best)))
     member = components(edges, scratch)
-    left = alike.select("a", "b")
-    for source in ("first", "rest"):
-        pairs = left if source == "first" else join._alike(join.rest_pairs(prefix, member)).select("a", "b")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal edges, member
         of = lambda x: member.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-        split = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        more = scratch.table(join.confirmed(scratch.table(split)))
+        split = scratch.table(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+        if split.isEmpty():
+            return
+        more = scratch.table(join.confirmed(split))
         if not more.isEmpty():
             edges = scratch.table(edges.unionByName(more))
             member = components(edges, scratch)
+
+    link(alike.select("a", "b"))
+    family = scratch.table(join.families(lists, alike))
+    link(join._alike(join.rest_pairs(lists, member, family)).select("a", "b"))
+    if not family.isEmpty():
+        link(join.family_pairs(family, member))
     top = nodes.join(member, "id", "left").select("set_id", F.coalesce("component", "id").alias("top"))
     # rows of a doc_id with several texts reach each other
     out = base.join(top, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))

@@ -91,3 +91,17 @@ def test_one_large_group_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     out = near_duplicates(spark.createDataFrame(rows, DOCS), 2, 80)
     assert {r.doc_id: r.component_id for r in out.collect()} == brute(rows, 2, 80)
+
+
+def test_components_in_rounds_and_in_one_task(spark):
+    from siltgate.llm.components import components
+    from siltgate.llm.scratch import Scratch
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)]
+    want = {}
+    for one_task in (0, 10**6):
+        got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark, "t"), one_task=one_task).collect()}
+        want = want or got
+        assert got == want
+    assert want[440] == 400 and all(want[u] == want[v] for u, v in pairs if u != v)

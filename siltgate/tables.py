@@ -1,0 +1,22 @@
+"""Schemas of the library's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _struct(spec: str) -> T.StructType:
+    return T.StructType.fromDDL(spec)
+
+
+CORPUS = _struct("path string, content binary, text string")
+MESSAGES = _struct("msg_id string, content binary, text string")
+DIFF_FILES = _struct("path string, is_deleted boolean, is_new boolean, has_removed_lines boolean, is_submodule boolean, is_symlink boolean, added_lines array<bigint>")
+COMMENTS = _struct("path string, seq bigint, text string, line bigint, end_line bigint, is_block boolean, kind string")
+UNITS = _struct("path string, unit_id bigint, text string, line bigint, end_line bigint, lang string, kind string")
+VIOLATIONS = _struct("check string, path string, line bigint, col bigint, code string, params map<string,string>")
+FIXES = _struct("path string, original string, fixed string, changes array<struct<line:bigint,col:bigint,code:string,action:string>>")
+RULES = _struct("name string, pattern string, message string, required boolean, seq int")
+PATHS = _struct("path string, is_dir boolean, tracked boolean, size bigint")
+BLOBS = _struct("ref string, path string, content binary")
+ATTRIBUTES = _struct("path string, filter string")

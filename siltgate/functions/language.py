@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chars import SCRIPTS, char_class
 
@@ -117,7 +118,7 @@ def strip_allowed_words(text: Column, words: list[str]) -> Column:
             text = F.regexp_replace(text, f"(?i)(?<![A-Za-z]){w}(?![A-Za-z])", " " * len(w))
         return text
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def strip(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else _blanked(t, ordered))
 

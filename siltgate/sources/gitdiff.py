@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: The one-letter escapes of C-style quoted paths.
@@ -38,7 +39,7 @@ def unquote(path: str | None) -> str | None:
     return path if bad else out.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unquoted(s: pd.Series) -> pd.Series:
     return s.map(unquote)
 

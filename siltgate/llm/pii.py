@@ -94,14 +94,19 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, supp
     met = scratch.table(linked.select("e", "n_e", F.explode("terms").alias("term")).groupBy("e", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
     if met.isEmpty():
         return met.select("term")
-    terms = met.select("term").distinct()
     # distinct lines by hash: all lines of all documents count, copies once
     n_lines = lines.select(F.xxhash64("_text").alias("line")).distinct().count()
+    pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(n_lines)) / (F.col(n_t) * F.col("n_e")))
+    content = F.log(F.lit(float(n_lines)) / F.col("n_e"))
+    # n_t is at least the number of held lines with the term: common terms fail on that bound already
+    in_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    met = scratch.table(met.join(in_held, "term").where((content > 0) & (pmi("n_held") >= share * content)).drop("n_held"))
+    if met.isEmpty():
+        return met.select("term")
+    terms = met.select("term").distinct()
     of_line = lines.select(F.xxhash64("_text").alias("line"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(terms), "term")
     per_term = of_line.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log(F.col("n_et") * F.lit(float(n_lines)) / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.lit(float(n_lines)) / F.col("n_e"))
-    return scratch.table(met.join(per_term, "term").where((content > 0) & (pmi >= share * content)).select("term").distinct())
+    return scratch.table(met.join(per_term, "term").where(pmi("n_t") >= share * content).select("term").distinct())
 
 
 def annotated(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:

@@ -3,17 +3,19 @@
 A vector's two halves are quantised by separate codebooks (k-means over a
 bounded sample), so every row falls into one of codes * codes cells. A query
 walks the pairs of centroids in the order of their summed squared distance,
-with a heap that holds the frontier, until the visited cells hold enough rows;
-the entries of those cells are then reranked by the exact distance.
+with a heap that holds the frontier, until the visited cells hold enough rows.
+The sum at which it stops tells for any row whether its cell was visited, so the
+rows can lie in blocks of even size, however full single cells are; each block
+reranks the visited entries by the exact distance and passes on its best ones.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from .scratch import Scratch
 
 #: Rows that the codebooks are fitted on, at most (chosen by a hash of the id).
 SAMPLE = 20_000
-#: Rows or queries of one cell that one task takes at most; larger cells are dealt out.
-CELL_ROWS, CELL_QUERIES = 20_000, 2_000
+#: Rows and queries of a block, about.
+BLOCK_ROWS, BLOCK_QUERIES = 10_000, 1_000
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 7, rounds: int = 15) -> np.ndarray:
@@ -49,21 +51,23 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
 
 
-def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
-    """Cells in the order of left[i] + right[j] until they hold ``enough`` rows."""
-    a, b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
-    heap, seen, out, have = [(left[a[0]] + right[b[0]], 0, 0)], {(0, 0)}, [], 0
+def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[list[int], float]:
+    """Cells in the order of left[i] + right[j] until they hold ``enough`` rows, and the last sum."""
+    a, b = np.argsort(left, kind="stable").tolist(), np.argsort(right, kind="stable").tolist()
+    x, y, n = left[a].tolist(), right[b].tolist(), len(b)
+    heap, out, have, last = [(x[0] + y[0], 0, 0)], [], 0, 0.0
     while heap and have < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(b) + int(b[j])
+        last, i, j = heapq.heappop(heap)
+        cell = a[i] * n + b[j]
         if sizes[cell]:
             out.append(cell)
-            have += int(sizes[cell])
-        for u, v in ((i + 1, j), (i, j + 1)):
-            if u < len(a) and v < len(b) and (u, v) not in seen:
-                seen.add((u, v))
-                heapq.heappush(heap, (left[a[u]] + right[b[v]], u, v))
-    return out
+            have += sizes[cell]
+        # each pair enters once: along its row from the left, and a row's first pair from above
+        if j + 1 < n:
+            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(a):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+    return out, last
 
 
 def usable(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -73,7 +77,7 @@ def usable(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     return v.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, codes: int = 32, share: float = 0.2, least: int = 2_000, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, codes: int = 128, share: float = 0.35, least: int = 2_000, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
@@ -117,45 +121,48 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, codes: int = 3
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int64))], names=["vec_id", "v", "cell"])
 
     rows = scratch.table(good.mapInArrow(assign, "vec_id long, v array<double>, cell long"))
-    sizes = np.zeros(n_cells, np.int64)
+    sizes = [0] * n_cells
     for r in rows.groupBy("cell").count().collect():  # at most codes * codes rows
         sizes[r["cell"]] = r["count"]
     enough = max(least, math.ceil(total * share))
 
+    def sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return squared(m[:, :half], books[0]), squared(m[:, half:], books[1]) if n_right > 1 else np.zeros((len(m), 1))
+
     def visit(batches):
         for b in batches:
-            m = matrix(b.column("v"))
-            left = squared(m[:, :half], books[0])
-            right = squared(m[:, half:], books[1]) if n_right > 1 else np.zeros((len(m), 1))
-            cells = [walk(p, q, sizes, enough) for p, q in zip(left, right)]
-            rep = pa.array(np.repeat(np.arange(len(cells)), [len(c) for c in cells]))
-            flat = np.array([c for row in cells for c in row], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(rep), b.column("v").take(rep), pa.array(flat)], names=["query_id", "q", "cell"])
-
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
-    visits = asked.repartition("vec_id").mapInArrow(visit, "query_id long, q array<double>, cell long")
-    # large cells are dealt out: their rows over row slots, their queries over query slots
-    slots = [max(1, math.ceil(s / CELL_ROWS)) for s in sizes.tolist()]
-    q_slots = [max(1, math.ceil(s * total / max(1, every) / max(1, total) * 3 / CELL_QUERIES)) for s in sizes.tolist()]
-    of = lambda a: F.element_at(F.lit(a).cast("array<int>"), (F.col("cell") + 1).cast("int"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.withColumn("slot", F.pmod(F.xxhash64("vec_id"), of(slots)).cast("int")).withColumn("q_slot", upto(of(q_slots)))
-    right = visits.withColumn("q_slot", F.pmod(F.xxhash64("query_id"), of(q_slots)).cast("int")).withColumn("slot", upto(of(slots)))
-
-    def rerank(key, cand: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(cand) and len(ask):
-            c, ids = np.stack(cand["v"].to_numpy()), cand["vec_id"].to_numpy()
-            for qid, q in zip(ask["query_id"].to_numpy(), ask["q"].to_numpy()):
-                d = np.sqrt(((c - q) ** 2).sum(1))
-                d[ids == qid] = np.inf
+            stop = [walk(p, q, sizes, enough)[1] for p, q in zip(*sums(matrix(b.column("v"))))]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(stop, pa.float64())], names=["query_id", "q", "stop"])
+
+    asked = scratch.table(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().repartition("vec_id").mapInArrow(visit, "query_id long, q array<double>, stop double"))
+    blocks, parts = max(1, math.ceil(total / BLOCK_ROWS)), max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # the row's own number keeps a repeated id from filling one block
+    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("part", every_of(parts))
+    right = asked.withColumn("part", deal("query_id", parts)).withColumn("block", every_of(blocks))
+
+    def rerank(cand: pa.Table, ask: pa.Table) -> pa.Table:
+        found = []
+        if cand.num_rows and ask.num_rows:
+            c, ids = (cand.column(n).combine_chunks() for n in ("v", "vec_id"))
+            c, ids, cell = matrix(c), ids.to_numpy(), cand.column("cell").to_numpy()
+            i, j = cell // n_right, cell % n_right
+            q = matrix(ask.column("q").combine_chunks())
+            for qid, one, stop, p, r in zip(ask.column("query_id").to_pylist(), q, ask.column("stop").to_pylist(), *sums(q)):
+                # sums are computed anew: a rounding's width more keeps the last cells in
+                seen = np.flatnonzero(p[i] + r[j] <= stop * (1 + 1e-9) + 1e-12)
+                seen = seen[ids[seen] != qid]
+                d = np.sqrt(((c[seen] - one) ** 2).sum(1))
                 few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                few = few[np.lexsort((ids[few], d[few]))][:k]
-                few = few[np.isfinite(d[few])]
-                out.append(pd.DataFrame({"query_id": qid, "q": [q] * len(few), "vec_id": ids[few], "score": d[few]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
-
-    found = left.groupBy("cell", "slot", "q_slot").cogroup(right.groupBy("cell", "slot", "q_slot")).applyInPandas(rerank, "query_id long, q array<double>, vec_id long, score double")
+                few = few[np.lexsort((ids[seen[few]], d[few]))][:k]
+                found.append((qid, one, ids[seen[few]], d[few]))
+        rep = np.repeat(np.arange(len(found)), [len(f[2]) for f in found]) if found else np.zeros(0, np.int64)
+        flat = lambda n, t: np.concatenate([f[n] for f in found]).astype(t) if found else np.zeros(0, t)
+        key = [zlib.crc32(f[1].tobytes()) for f in found]
+        return pa.table({"query_id": pa.array([found[x][0] for x in rep], pa.int64()), "q": pa.array([key[x] for x in rep], pa.int64()), "vec_id": pa.array(flat(2, np.int64)), "score": pa.array(flat(3, np.float64))})
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(rerank, "query_id long, q long, vec_id long, score double")
     order = W.partitionBy("query_id", "q").orderBy("score", "vec_id")
-    best = found.withColumn("q", F.xxhash64("q")).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

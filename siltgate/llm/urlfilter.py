@@ -84,7 +84,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         met = wide.join(F.broadcast(keyed), "short", "left")
     else:
         wide = wide.withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)))
-        met = wide.join(keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["short", "salt"], "left")
+        met = wide.join(keyed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["short", "salt"], "left")
     fits = F.when(F.col("digest") == F.col("rule_digest"), F.col("fits"))
     best = met.groupBy("_row").agg(F.first("_page").alias("_page"), F.first("_host").alias("host"), F.first("_path").alias("path"), F.max(fits).alias("fits"))
     return best.select(*[F.col("_page")[c].alias(c) for c in kept], "host", "path", F.col("fits.text").alias("rule"), F.coalesce("fits.verdict", F.lit(default)).alias("verdict"))

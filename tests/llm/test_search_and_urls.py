@@ -14,10 +14,10 @@ def test_walk_visits_pairs_in_order():
     rng = np.random.default_rng(0)
     left, right = rng.random(6), rng.random(5)
     sizes = np.ones(30, np.int64)
-    order = ann.walk(left, right, sizes, 30)
+    order, last = ann.walk(left, right, sizes.tolist(), 30)
     sums = [left[c // 5] + right[c % 5] for c in order]
     assert sorted(order) == list(range(30)) and all(a <= b + 1e-12 for a, b in zip(sums, sums[1:]))
-    assert ann.walk(left, right, sizes, 7) == order[:7] and heapq.nsmallest(1, sums)[0] == sums[0]
+    assert ann.walk(left, right, sizes.tolist(), 7) == (order[:7], sums[6]) and last == sums[-1] and heapq.nsmallest(1, sums)[0] == sums[0]
 
 
 def test_against_brute_force(spark):

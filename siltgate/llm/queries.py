@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, minhash, mixing, packing, passages, pii, tokenfile, toxicity, urlfilter
+from . import ann, media, minhash, mixing, oracles, packing, passages, pii, tokenfile, toxicity, urlfilter
 from .scratch import read
 
 QUERIES: dict = {}
@@ -85,3 +85,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` packed by their words and one end token each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", packing.word_count(F.col("text")).alias("n_tokens"))
     return packing.best_fit(docs)
+
+
+ORACLES.update(
+    op1_minhash_near_dedup=oracles.MINHASH,
+    op2_url_filter=oracles.urls(URL_RULES),
+    op5_mix_sources=oracles.mix(),
+)

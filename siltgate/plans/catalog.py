@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import TYPES, PolicyConfig
 from ..functions import chars, encoding, globs, language
-from ..operators import changes, directives, editorconfig, findings, fixes, lint, messages, repo, report, unicode
+from ..operators import changes, directives, editorconfig, fixes, lint, messages, repo, report, unicode
 from ..operators.comments import hash_comments, html_comments, parse_comments
 from ..operators.lines import explode_lines
 from ..sources.gitdiff import parse_diff
@@ -354,5 +354,3 @@ def fixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "msgs").select(F.col("msg_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
     return fixes.fix_table(rows, fixes.fixed_message(F.col("content"), PolicyConfig())).select("path", "fixed")
 
-
-__all__ = ["QUERIES", "ORACLES", "findings"]

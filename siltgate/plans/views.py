@@ -37,8 +37,6 @@ VIEWS = {
         union all select distinct -1 as doc_id, concat(source, '/', lang, '/package.json') as path, 10 as size from documents where lang <> 'es'
         union all select distinct -2 as doc_id, concat(source, '/', lang, '/setup.py') as path, 20 as size from documents where lang = 'en'""",
     "scripts": """select doc_id, concat('src/', doc_id, '.sh') as path, concat('#!/bin/sh', chr(10), replace(text, '. ', concat('.', chr(10), '# '))) as text from documents""",
-    "comment_rows": """select doc_id, path, seq, case when length(body) % 11 = 0 then 'siltgate:ignore' when length(body) % 13 = 0 then 'siltgate:disable' when length(body) % 17 = 0 then 'siltgate:enable'
-        when length(body) % 19 = 0 then 'siltgate:lang=ja' else body end as text, seq + (case when seq % 4 = 0 then 1 else 0 end) as line from lines_of""",
 }
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,53 +80,60 @@ class Coder:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.index: dict[str, int] = {}
+        # chunks as they are, and those that start with a space under what follows it
+        self.full: dict[str, int] = {}
+        self.tail: dict[str, int] = {}
+        self.known = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            got = [e.ids for e in self.tok.encode_batch(part, add_special_tokens=False)]
+    def _learn(self, index: dict[str, int], new: list[str], before: str) -> None:
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            got = [e.ids for e in self.tok.encode_batch([before + p for p in part] if before else part, add_special_tokens=False)]
             n = sum(map(len, got))
             while self.used + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.index) + len(part) > len(self.at):
+            while self.known + len(part) > len(self.at):
                 self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            for c, ids in zip(part, got):
-                k = self.index[c] = len(self.index)
+            for p, ids in zip(part, got):
+                k = index[p] = self.known
+                self.known += 1
                 self.at[k], self.size[k] = self.used, len(ids)
                 self.flat[self.used : self.used + len(ids)] = ids
                 self.used += len(ids)
 
+    def _look(self, index: dict[str, int], keys: list[str], before: str) -> np.ndarray:
+        got = np.fromiter(map(index.get, keys, repeat(-1)), np.int64, len(keys))
+        miss = np.flatnonzero(got < 0)
+        if len(miss):
+            self._learn(index, list(dict.fromkeys(keys[i] for i in miss.tolist())), before)
+            got[miss] = [index[keys[i]] for i in miss.tolist()]
+        return got
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and each text's number of ids."""
-        if len(self.index) > KNOWN:
+        if self.known > KNOWN:
             self._fresh()
-        chunks: list[str] = []
-        counts = []
-        for t in texts:
-            before = len(chunks)
-            if t:
-                if _ODD.search(t):
-                    chunks += filter(None, _CHUNK.split(t))
-                else:
-                    pieces = t.split(" ")
-                    if pieces[0]:
-                        chunks.append(pieces[0])
-                    chunks += [" " + p for p in pieces[1:]]
-            counts.append(len(chunks) - before)
-        known = self.index
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            self._learn(new)
-        idx = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[idx].astype(np.int64)
+        odd = np.array([_ODD.search(t) is not None for t in texts], bool)
+        plain = [t for t, o in zip(texts, odd.tolist()) if not o]
+        pieces = " ".join(plain).split(" ") if plain else []
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = [t.count(" ") + 1 for t in plain]
+        heads = (np.cumsum(counts[~odd]) - counts[~odd]).tolist()
+        chunk = self._look(self.tail, pieces, " ")
+        chunk[heads] = self._look(self.full, [pieces[i] for i in heads], "")
+        if odd.any():
+            parts = {i: self._look(self.full, list(filter(None, _CHUNK.split(texts[i]))), "") for i in np.flatnonzero(odd).tolist()}
+            rest = np.split(chunk, heads[1:]) if heads else []
+            for i, x in zip(np.flatnonzero(~odd).tolist(), rest):
+                parts[i] = x
+            counts = np.array([len(parts[i]) for i in range(len(texts))], np.int64)
+            chunk = np.concatenate([parts[i] for i in range(len(texts))])
+        size = self.size[chunk]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[idx] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        to = np.cumsum(np.array(counts, np.int64))
-        full = np.concatenate([[0], ends])[np.concatenate([[0], to])]
-        return ids, np.diff(full)
+        ids = self.flat[np.repeat(self.at[chunk] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 #: A space before other white space: the plain split at spaces doesn't hold there.

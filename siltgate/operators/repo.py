@@ -102,7 +102,8 @@ def committed_cache_dirs(paths: DataFrame, cfg: PolicyConfig) -> DataFrame:
 def format_bytes(n: Column) -> Column:
     out = F.when(n < 1024, F.format_string("%d B", n.cast("long")))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        scaled = F.format_string(f"%.1f {unit}", n / float(1024**i))
+        # exact halves go to the even digit
+        scaled = F.concat(F.call_function("format_number", n / float(1024**i), F.lit("0.0")), F.lit(f" {unit}"))
         out = out.when(n < 1024 ** (i + 1), scaled) if i < 4 else out.otherwise(scaled)
     return out
 

@@ -135,17 +135,12 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     if not len(words):
         return np.zeros(0, np.uint64), to
     acc = np.zeros(len(words), np.uint64)
-    factor = np.uint64(1)
-    for j in range(width):
-        acc[: len(words) - j] += words[j:] * factor
-        factor = factor * STEP
+    factors = np.multiply.accumulate(np.array([1] + [STEP] * max(0, width - 1), np.uint64))
+    for j in range(min(width, len(words))):
+        acc[: len(words) - j] += words[j:] * factors[j]
     full = np.repeat(bounds[:-1] - to[:-1], count) + np.arange(to[-1])
     out = acc[full]
     for i in np.flatnonzero((n > 0) & (n < width)):
-        factor, value = np.uint64(1), np.uint64(int(n[i]))
-        with np.errstate(over="ignore"):
-            for x in words[bounds[i] : bounds[i + 1]]:
-                value = value + x * factor
-                factor = factor * STEP
-        out[to[i]] = value
+        few = words[bounds[i] : bounds[i + 1]]
+        out[to[i]] = (few * factors[: len(few)]).sum(dtype=np.uint64) + np.uint64(len(few))
     return mix(out), to

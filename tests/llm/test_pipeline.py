@@ -19,7 +19,7 @@ NEEDLE = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 def corpus():
     rng = random.Random(11)
-    syl = "ka le mi no pu ra se ti vo zu".split()
+    syl = "ka le mi na pu ra se ti vo zu".split()
     word = lambda: "".join(rng.choice(syl) for _ in range(rng.randint(1, 4)))
     rows, labels = [], []
     for i in range(420):

@@ -44,6 +44,8 @@ RUN = 4096
 NEAR = 3
 #: Prefix lists beyond this length are replaced by those of joint values.
 LONG = 32
+#: Nodes of a long list that one task compares with as many others.
+BLOCK = 2048
 #: Hubs with more nodes than this have a family.
 FAMILY = 16
 #: Sides of a join with at most so many rows of two or three integers (under 64 MB) are broadcast.
@@ -176,40 +178,71 @@ class _Join:
         return one.join(large, "hub").select("id", "hub")
 
     def rest_pairs(self, lists: DataFrame, member: DataFrame, family: DataFrame) -> DataFrame:
-        """All pairs of a list that lie in different components and not in one family."""
+        """Pairs of a list with t collisions that lie in different components and not in one family."""
         at = lists.join(member, "id", "left").join(family, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"), F.coalesce("hub", -F.col("id") - 1).alias("h"))
         mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h").alias("h1"), F.max("h").alias("h2"), F.count("*").alias("g"))
         mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("h1") != F.col("h2")) & (F.col("g") > NEAR + 1))
-        at = self.scratch.table(at.join(mixed.select("key"), "key"))
-        x, y = (at.withColumnsRenamed({c: f"{c}{i}" for c in ("id", "n", "c", "h")}) for i in (1, 2))
+        at = self.scratch.table(at.join(mixed.select("key", "g"), "key"))
+        short = at.where(F.col("g") <= LONG)
+        x, y = (short.withColumnsRenamed({c: f"{c}{i}" for c in ("id", "n", "c", "h")}) for i in (1, 2))
         pairs = x.join(y, "key").where("id1 < id2 and c1 <> c2 and h1 <> h2").where(self._fits("n1", "n2"))
-        return pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+        few = self._alike(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+        return few.select("a", "b").unionByName(self._in_blocks(at.where(F.col("g") > LONG))).distinct()
+
+    def _in_blocks(self, at: DataFrame) -> DataFrame:
+        """The same for long lists: signatures are compared block by block, only colliding pairs come out."""
+        t, percent = self.t, self.percent
+        rows = at.join(self.nodes.select("id", "sig"), "id").withColumn("parts", F.ceil(F.col("g") / BLOCK))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "c", "h", "sig")
+
+        def run(table: pa.Table) -> pa.Table:
+            part, ids, n, c, h = (table.column(x).to_numpy() for x in ("part", "id", "n", "c", "h"))
+            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            whole = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            u, v = [], []
+            for r in range(len(ids)):
+                apart = (c != c[r]) & (h != h[r]) & (np.maximum(n, n[r]) * percent <= np.minimum(n, n[r]) * 100)
+                apart[: r + 1] = False
+                if not whole:
+                    apart &= part != part[r]
+                rest = np.flatnonzero(apart)
+                if len(rest):
+                    hit = ids[rest[(sig[rest] == sig[r]).sum(1) >= t]]
+                    u.append(np.minimum(hit, ids[r]))
+                    v.append(np.maximum(hit, ids[r]))
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            return pa.table({"a": flat(u), "b": flat(v)})
+
+        return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
 
     def family_pairs(self, family: DataFrame, member: DataFrame) -> DataFrame:
         """Pairs of one family in different components that the counts allow.
 
         With a, b what x and y share with the hub and e what they share beyond
         it, they share min(a, b) + e at most. Pairs that reach the similarity
-        with e = 0 are found from the counts' histogram, others meet under
-        what they have beyond the hub.
+        with e = 0 are found from the counts' histogram. Others need an e of
+        similarity * n - a at least, so they meet within the first hashes that
+        x has beyond the hub, but for so many.
         """
         comp = family.join(member, "id", "left").select("id", "hub", F.coalesce("component", "id").alias("c"))
         split = comp.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub")
         comp = self.scratch.table(comp.join(split, "hub"))
         known = self.scratch.table(self._against_hub(comp.select("id", "hub")).join(comp, ["id", "hub"]))
-        reach = lambda e: (F.least("s1", "s2") + e) * (100 + self.percent) >= self.percent * (F.col("n1") + F.col("n2"))
-        side = lambda d, i: d.withColumnsRenamed({c: f"{c}{i}" for c in d.columns if c != "hub"})
+        side = lambda d, i: d.withColumnsRenamed({c: f"{c}{i}" for c in d.columns if c not in ("hub", "key")})
         # the counts' histogram: a group is one (size, shared) of a component
         hist = known.groupBy("hub", "c", "n", "s").count().drop("count")
-        able = side(hist, 1).join(side(hist, 2), "hub").where("c1 < c2").where(reach(F.lit(0)))
+        reach = F.least("s1", "s2") * (100 + self.percent) >= self.percent * (F.col("n1") + F.col("n2"))
+        able = side(hist, 1).join(side(hist, 2), "hub").where("c1 < c2").where(reach)
         one = known.select("hub", "c", "n", "s", "id")
         found = able.join(side(one, 1), ["hub", "c1", "n1", "s1"]).join(side(one, 2), ["hub", "c2", "n2", "s2"]).select("id1", "id2")
-        more = known.select("hub", "c", "n", "s", "id", F.explode("beyond").alias("x"))
-        many = more.groupBy("hub", "x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "x")
-        more = more.join(many, ["hub", "x"]).withColumnRenamed("x", "key")
-        met = side(more, 1).withColumnRenamed("key1", "key").join(side(more, 2).withColumnRenamed("key2", "key"), ["hub", "key"]).where("c1 < c2")
-        counted = met.groupBy("id1", "id2", "s1", "s2", "n1", "n2").agg(F.count("*").alias("e")).where(reach(F.col("e")))
-        pairs = found.unionByName(counted.select("id1", "id2"))
+        need = F.greatest(F.ceil(F.col("n") * self.percent / 100 - F.col("s")), F.lit(1)).cast("int")
+        first = F.size("beyond") - need + 1
+        more = known.where(first > 0).select("hub", "c", "n", "id", F.explode(F.slice("beyond", F.lit(1), first)).alias("key"))
+        many = more.groupBy("hub", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "key")
+        more = more.join(many, ["hub", "key"])
+        met = side(more, 1).join(side(more, 2), ["hub", "key"]).where("c1 < c2").where(self._fits("n1", "n2")).select("id1", "id2")
+        pairs = found.unionByName(met)
         return pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
     def _against_hub(self, pairs: DataFrame) -> DataFrame:
@@ -303,9 +336,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     link(alike.select("a", "b"))
     family = scratch.table(join.families(lists, alike))
-    link(join._alike(join.rest_pairs(lists, member, family)).select("a", "b"))
+    link(join.rest_pairs(lists, member, family))
     if not family.isEmpty():
-        link(join.family_pairs(family, member))
+        link(join._alike(join.family_pairs(family, member)).select("a", "b"))
     top = nodes.join(member, "id", "left").select("set_id", F.coalesce("component", "id").alias("top"))
     # rows of a doc_id with several texts reach each other
     out = base.join(top, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))

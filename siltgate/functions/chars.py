@@ -144,13 +144,14 @@ def char_class(ranges) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" if a != b else f"\\x{{{a:X}}}" for a, b in ranges) + "]"
 
 
-INVISIBLE = char_class(_runs(invisible_codes()))
-EMOJI = char_class(EMOJI_RANGES)
-EMOJI_REPORTED = char_class([r for r in EMOJI_RANGES if r[0] not in EMOJI_SILENT])
+# A class is tested range by range, so a lookahead first passes over the characters that most texts are made of.
+INVISIBLE = r"(?![\x20-\x7E])" + char_class(_runs(invisible_codes()))
+EMOJI = r"(?![\x{0}-\x{1FFF}])" + char_class(EMOJI_RANGES)
+EMOJI_REPORTED = r"(?![\x{0}-\x{1FFF}])" + char_class([r for r in EMOJI_RANGES if r[0] not in EMOJI_SILENT])
 
 
 def lookalike_class(locale: str = "", extra: dict[int, str] | None = None) -> str:
-    return char_class(_runs(lookalikes(locale, extra)))
+    return r"(?![\x00-\x7F])" + char_class(_runs(lookalikes(locale, extra)))
 
 
 def code_point(c: Column) -> Column:
@@ -191,7 +192,7 @@ def lookalike_of(c: Column, locale: str = "", extra: dict[int, str] | None = Non
     """The ASCII character that a one-character string looks like, else null."""
     table = lookalikes(locale, extra)
     plain = F.translate(c, "".join(map(chr, table)), "".join(table.values()))
-    return F.when(c.rlike(f"^{char_class(_runs(table))}$"), plain)
+    return F.when(c.rlike(f"^{lookalike_class(locale, extra)}$"), plain)
 
 
 def without_invisible(text: Column) -> Column:

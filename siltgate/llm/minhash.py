@@ -220,30 +220,47 @@ class _Join:
         """Pairs of one family in different components that the counts allow.
 
         With a, b what x and y share with the hub and e what they share beyond
-        it, they share min(a, b) + e at most. Pairs that reach the similarity
-        with e = 0 are found from the counts' histogram. Others need an e of
-        similarity * n - a at least, so they meet within the first hashes that
-        x has beyond the hub, but for so many.
+        it, they share min(a, b) + e at most. Families are compared block by
+        block; e is counted for nodes of different components only, and only
+        pairs that can reach the similarity come out.
         """
         comp = family.join(member, "id", "left").select("id", "hub", F.coalesce("component", "id").alias("c"))
-        split = comp.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub")
+        split = comp.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("parts")).where("lo <> hi").select("hub", "parts")
         comp = self.scratch.table(comp.join(split, "hub"))
-        known = self.scratch.table(self._against_hub(comp.select("id", "hub")).join(comp, ["id", "hub"]))
-        side = lambda d, i: d.withColumnsRenamed({c: f"{c}{i}" for c in d.columns if c not in ("hub", "key")})
-        # the counts' histogram: a group is one (size, shared) of a component
-        hist = known.groupBy("hub", "c", "n", "s").count().drop("count")
-        reach = F.least("s1", "s2") * (100 + self.percent) >= self.percent * (F.col("n1") + F.col("n2"))
-        able = side(hist, 1).join(side(hist, 2), "hub").where("c1 < c2").where(reach)
-        one = known.select("hub", "c", "n", "s", "id")
-        found = able.join(side(one, 1), ["hub", "c1", "n1", "s1"]).join(side(one, 2), ["hub", "c2", "n2", "s2"]).select("id1", "id2")
-        need = F.greatest(F.ceil(F.col("n") * self.percent / 100 - F.col("s")), F.lit(1)).cast("int")
-        first = F.size("beyond") - need + 1
-        more = known.where(first > 0).select("hub", "c", "n", "id", F.explode(F.slice("beyond", F.lit(1), first)).alias("key"))
-        many = more.groupBy("hub", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "key")
-        more = more.join(many, ["hub", "key"])
-        met = side(more, 1).join(side(more, 2), ["hub", "key"]).where("c1 < c2").where(self._fits("n1", "n2")).select("id1", "id2")
-        pairs = found.unionByName(met)
-        return pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+        known = self._against_hub(comp.select("id", "hub")).join(comp, ["id", "hub"])
+        rows = known.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = rows.select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "c", "s", "beyond")
+        percent = self.percent
+
+        def run(table: pa.Table) -> pa.Table:
+            part, ids, n, c, s = (table.column(x).to_numpy() for x in ("part", "id", "n", "c", "s"))
+            lists = table.column("beyond").combine_chunks()
+            flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            to = np.concatenate([[0], np.cumsum(size)])
+            owner = np.repeat(np.arange(len(ids)), size)
+            whole = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            u, v = [], []
+            for r in range(len(ids)):
+                apart = c != c[r]
+                apart[: r + 1] = False
+                if not whole:
+                    apart &= part != part[r]
+                # what the pair could share if all beyond the hub were alike
+                most = np.minimum(s, s[r]) + np.minimum(size, size[r])
+                apart &= most * (100 + percent) >= percent * (n + n[r])
+                if apart.any():
+                    mine = np.sort(flat[to[r] : to[r + 1]])
+                    e = np.zeros(len(ids), np.int64)
+                    if len(mine):
+                        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                        e = np.bincount(owner[mine[at] == flat], minlength=len(ids))
+                    hit = ids[apart & ((np.minimum(s, s[r]) + e) * (100 + percent) >= percent * (n + n[r]))]
+                    u.append(np.minimum(hit, ids[r]))
+                    v.append(np.maximum(hit, ids[r]))
+            out = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            return pa.table({"a": out(u), "b": out(v)})
+
+        return rows.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").where("a <> b").distinct()
 
     def _against_hub(self, pairs: DataFrame) -> DataFrame:
         """id, hub, n (set size), s (shared with the hub's set), beyond (the hashes that the hub lacks)."""
@@ -338,7 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     family = scratch.table(join.families(lists, alike))
     link(join.rest_pairs(lists, member, family))
     if not family.isEmpty():
-        link(join._alike(join.family_pairs(family, member)).select("a", "b"))
+        link(join.family_pairs(family, member))
     top = nodes.join(member, "id", "left").select("set_id", F.coalesce("component", "id").alias("top"))
     # rows of a doc_id with several texts reach each other
     out = base.join(top, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))

@@ -7,6 +7,11 @@ c, for all of which c is the min-hash. Only windows of at least ``least``
 tokens are kept, about two a ``least`` tokens. Windows with equal min-hash
 share their subsequences' signature; the intervals that collide in enough hash
 functions are the candidates, which are confirmed on the token sequences.
+
+A document first meets the smallest document of each signature. Where that one
+is not confirmed, say because it holds a part of the passage only, the document
+meets the other holders of the joint signatures: the first few times the next
+smallest that is itself unconfirmed, then every earlier one.
 """
 
 from __future__ import annotations
@@ -129,8 +134,91 @@ def _left(anchors: DataFrame, tried: DataFrame, found: DataFrame, words: int) ->
                     per.append((c[keep], s[keep]))
             yield _arrow_anchors(docs, per)
 
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", (F.col("begin") + F.col("n_words") - (words - 1)).alias("stop"))).alias("spans"))
-    return anchors.join(tried, "doc_id").join(spans, "doc_id", "left").select("doc_id", "source_id", "anchors", "spans").mapInArrow(run, _ANCHORS)
+    return anchors.join(tried, "doc_id").join(_spans(found, words), "doc_id", "left").select("doc_id", "source_id", "anchors", "spans").mapInArrow(run, _ANCHORS)
+
+
+_JOINTS = "doc_id long, joints array<struct<joint:bigint,a:int,b:int>>"
+
+
+def joint_keys(key: np.ndarray, fn: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, need: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
+    """(joint, a, b): signatures of ``need`` functions whose windows hold each other's tokens and share ``width`` of them.
+
+    A passage lies in the windows of all functions that it collides in, so two documents that
+    share it share a joint signature. a and b are the outermost of the tokens that are the min-hashes.
+    """
+    per = {}
+    for f in np.unique(fn).tolist():
+        i = np.flatnonzero(fn == f)
+        per[f] = i[np.argsort(c[i], kind="stable")]
+    # joint, last function, left, right, first and last token
+    now = (mix(key), fn.astype(np.int64), l, r, c, c)
+    for _ in range(need - 1):
+        parts = []
+        for f, i in per.items():
+            m = now[1] < f
+            joint, _, lo, hi, a, b = (x[m] for x in now)
+            start, stop = np.searchsorted(c[i], lo), np.searchsorted(c[i], hi, "right")
+            n = np.maximum(stop - start, 0)
+            x = np.repeat(np.arange(len(n)), n)
+            y = i[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[x]]
+            left, right = np.maximum(lo[x], l[y]), np.minimum(hi[x], r[y])
+            first, last = np.minimum(a[x], c[y]), np.maximum(b[x], c[y])
+            good = (left <= first) & (last <= right) & (right - left + 1 >= width)
+            x, y = x[good], y[good]
+            parts.append((mix(joint[x] + key[y]), np.full(len(x), f), left[good], right[good], first[good], last[good]))
+        now = tuple(np.concatenate(z) for z in zip(*parts)) if parts else tuple(x[:0] for x in now)
+    return now[0].view(np.int64), now[4], now[5]
+
+
+def _joints(shared: DataFrame, need: int, width: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            docs, ends, flat = [], [0], []
+            for doc, rows in zip(b.column("doc_id").to_pylist(), b.column("m")):
+                key, fn, l, c, r = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())  # noqa: E741
+                got = joint_keys(key.view(np.uint64), fn, l, c, r, need, width)
+                if len(got[0]):
+                    docs.append(doc)
+                    flat.append(got)
+                    ends.append(ends[-1] + len(got[0]))
+            cols = [pa.array(np.concatenate([x[k] for x in flat] or [np.zeros(0)]).astype(t)) for k, t in enumerate((np.int64, np.int32, np.int32))]
+            both = pa.StructArray.from_arrays(cols, names=["joint", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)], names=["doc_id", "joints"])
+
+    rows = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.col("fn").cast("int"), "l", "c", "r")).alias("m"))
+    return rows.mapInArrow(run, _JOINTS)
+
+
+def _spans(found: DataFrame, words: int) -> DataFrame:
+    """(doc_id, spans): the tokens of the passages found."""
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", (F.col("begin") + F.col("n_words") - (words - 1)).alias("stop"))).alias("spans"))
+
+
+def _outside(spans: str, *tokens: str) -> F.Column:
+    """Whether one of the tokens lies in none of the spans."""
+    return F.expr(" or ".join(f"not exists(coalesce({spans}, array()), s -> s.begin <= {t} and {t} < s.stop)" for t in tokens))
+
+
+_FOUND = "doc_id long, begin long, n_words long, source_id long, source_begin long, source_words long, similarity double"
+
+
+def _uppermost(found: DataFrame) -> DataFrame:
+    """Without the passages that lie in one of a smaller source: of m holders a document names one."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, rows in zip(b.column("doc_id").to_pylist(), b.column("m").to_pylist()):
+                kept: list[dict] = []
+                for x in sorted(rows, key=lambda x: (x["source_id"], x["begin"], -x["n_words"])):
+                    if not any(k["source_id"] < x["source_id"] and k["begin"] <= x["begin"] and x["begin"] + x["n_words"] <= k["begin"] + k["n_words"] for k in kept):
+                        kept.append(x)
+                out += [{"doc_id": doc, **x} for x in kept]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    names = ["begin", "n_words", "source_id", "source_begin", "source_words", "similarity"]
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names[:-1]), ("similarity", pa.float64())])
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("m")).mapInArrow(run, _FOUND)
 
 
 def _places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -215,9 +303,10 @@ def repeated_passages(docs: DataFrame, words: int = 5, passage: int = 50, percen
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     post = scratch.table(_postings(rows, words, least, hashes))
     first = post.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("hi")).where("source_id < hi").select("key", "source_id")
-    matches = post.join(first, "key").where("doc_id <> source_id").select("doc_id", "fn", "l", "c", "r", "source_id")
-    anchors = scratch.table(_enough(matches, need))
+    shared = scratch.table(post.join(first, "key"))
     scratch.drop(post)
+    matches = shared.where("doc_id <> source_id").select("doc_id", "fn", "l", "c", "r", "source_id")
+    anchors = scratch.table(_enough(matches, need))
 
     def ship(keyed: DataFrame, on: str) -> DataFrame:
         names = keyed.columns
@@ -246,11 +335,11 @@ def repeated_passages(docs: DataFrame, words: int = 5, passage: int = 50, percen
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = ship(pairs, "doc_id"), ship(pairs.select("source_id").distinct(), "source_id")
         both = left.join(right, "source_id").select("doc_id", "source_id", "t_doc_id", "t_source_id")
-        return both.mapInArrow(confirm, "doc_id long, begin long, n_words long, source_id long, source_begin long, source_words long, similarity double")
+        return both.mapInArrow(confirm, _FOUND)
 
     # A document first meets the source of most of its anchors; what that source's passages
     # cover needs no other one, so a document is rarely sent twice.
-    out, n = None, 0
+    out, met, n = None, None, 0
     while not anchors.isEmpty():
         each = anchors.select("doc_id", F.explode("anchors").alias("a")).groupBy("doc_id", "a.source_id").agg(F.count("*").alias("n"))
         if n < ROUNDS:
@@ -259,9 +348,45 @@ def repeated_passages(docs: DataFrame, words: int = 5, passage: int = 50, percen
             tried = scratch.table(each.select("doc_id", "source_id"))
         found = scratch.table(confirmed(tried))
         out = found if out is None else out.unionByName(found)
+        met = tried if met is None else met.unionByName(tried)
         if n == ROUNDS:
             break
         anchors, n = scratch.table(_left(anchors, tried, found, words)), n + 1
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, begin long, n_words long, source_id long, source_begin long, source_words long, similarity double")
-    return out
+        return docs.sparkSession.createDataFrame([], _FOUND)
+
+    # What no passage covers meets the other holders. Only signatures that somebody is left with matter.
+    left = shared.where("doc_id <> source_id").join(_spans(out, words), "doc_id", "left").where(_outside("spans", "c"))
+    narrow = shared.join(left.select("key").distinct(), "key", "left_semi")
+    joints = scratch.table(_joints(narrow, need, least * percent // 100))
+    scratch.drop(shared)
+    flat = joints.select("doc_id", F.explode("joints").alias("j")).select("doc_id", "j.joint", "j.a", "j.b")
+    lows = flat.groupBy("joint").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("hi")).where("low < hi").select("joint", "low")
+    held = scratch.table(flat.join(lows, "joint"))
+
+    def still() -> DataFrame:
+        covered = _spans(out if later is None else out.unionByName(later), words)
+        open_ = held.where("doc_id <> low").join(covered, "doc_id", "left").where(_outside("spans", "a", "b"))
+        return open_.select("doc_id", "joint", "low").distinct()
+
+    led, later = None, None
+    for n in range(ROUNDS + 1):
+        rest = scratch.table(still())
+        if n == 0:
+            pairs = rest.select("doc_id", F.col("low").alias("source_id"))
+        elif n < ROUNDS:
+            free = rest if led is None else rest.join(led, ["joint", "doc_id"], "left_anti")
+            heads = scratch.table(free.groupBy("joint").agg(F.min("doc_id").alias("source_id")))
+            pairs = free.join(heads, "joint").where("source_id < doc_id").select("doc_id", "source_id")
+            mine = heads.select("joint", F.col("source_id").alias("doc_id"))
+            led = mine if led is None else led.unionByName(mine)
+        else:
+            earlier = held.select("joint", F.col("doc_id").alias("source_id")).distinct()
+            pairs = rest.select("doc_id", "joint").join(earlier, "joint").where("source_id < doc_id").select("doc_id", "source_id")
+        tried = scratch.table(pairs.distinct().join(met, ["doc_id", "source_id"], "left_anti"))
+        if tried.isEmpty():
+            continue
+        found = scratch.table(confirmed(tried))
+        later = found if later is None else later.unionByName(found)
+        met = met.unionByName(tried)
+    return out if later is None else out.unionByName(_uppermost(later))

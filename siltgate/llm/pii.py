@@ -10,11 +10,17 @@ it estimates how much of an entity's information content a term discloses,
 
 with n counted in distinct lines, so that copies of a line count once. Terms
 that disclose at least ``share`` of an entity that they meet in ``support`` lines or more are
-marked wherever they occur, and are generalised or removed in ``sanitised``.
+marked wherever they occur, and are generalised or removed in ``sanitised``. Every entity
+takes part by default, also one that stands in a single line; a larger ``support`` is a floor
+that leaves the rarer ones out. Small counts are met by a bound instead: a term that stands in
+n(t) of N lines meets the entity in all n(t,e) lines by chance with about (n(t) n(e) / (n(t,e) N)) ** n(t,e),
+and it is marked only if that is at most ``CHANCE``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +49,8 @@ VALID = {
 TERM = r"\p{L}{3,}"
 #: Tables of marked terms with at most so many rows are broadcast (under 64 MB at 640 bytes a row).
 SMALL = 100_000
+#: Probability up to which a term's meetings with an entity aren't put down to chance.
+CHANCE = 0.005
 _EMPTY = "cast(array() as array<struct<kind:string,s:int,e:int,v:string>>)"
 
 
@@ -83,7 +91,7 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, support: int = 3) -> DataFrame:
+def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, support: int = 1) -> DataFrame:
     """``docs(_text)`` to (term): the terms that disclose an entity, from all lines of the corpus."""
     lines = docs.select(F.explode(F.split("_text", "\n")).alias("_text")).where("_text <> ''")
     hinted = lines.where(" or ".join(f"({h.format(t='_text')})" for h in HINTS.values()))
@@ -98,18 +106,19 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, supp
     n_lines = lines.select(F.xxhash64("_text").alias("line")).distinct().count()
     pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(n_lines)) / (F.col(n_t) * F.col("n_e")))
     content = F.log(F.lit(float(n_lines)) / F.col("n_e"))
+    discloses = lambda n_t: (pmi(n_t) >= share * content) & (F.col("n_et") * pmi(n_t) >= -math.log(CHANCE))
     # n_t is at least the number of held lines with the term: common terms fail on that bound already
     in_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
-    met = scratch.table(met.join(in_held, "term").where((content > 0) & (pmi("n_held") >= share * content)).drop("n_held"))
+    met = scratch.table(met.join(in_held, "term").where((content > 0) & discloses("n_held")).drop("n_held"))
     if met.isEmpty():
         return met.select("term")
     terms = met.select("term").distinct()
     of_line = lines.select(F.xxhash64("_text").alias("line"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(terms), "term")
     per_term = of_line.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return scratch.table(met.join(per_term, "term").where(pmi("n_t") >= share * content).select("term").distinct())
+    return scratch.table(met.join(per_term, "term").where(discloses("n_t")).select("term").distinct())
 
 
-def annotated(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
+def annotated(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
     """``docs`` with _text (null as empty), _email, _ip, _card, _phone and _term.
 
     Each is an array of (kind, s, e, v) in the order of s: code points, e
@@ -130,7 +139,7 @@ def annotated(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFram
     return found.withColumn("_key", F.xxhash64("_text")).join(_maybe_broadcast(marked), "_key", "left").withColumn("_term", spans).drop("_key", "_marked")
 
 
-def span_table(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
+def span_table(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term.
 
     base_sha256 is the SHA-256 of ``kind:start:end`` of the base spans, by kind,
@@ -146,7 +155,7 @@ def span_table(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFra
     return out.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(told(KINDS), 256).alias("base_sha256"), told((*KINDS, "term")).alias("spans"), F.size("_term").cast("long").alias("n_term"))
 
 
-def sanitised(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
+def sanitised(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
     """``docs`` with the base spans of text generalised to their kind and disclosing terms removed.
 
     Where spans overlap, the one that starts first covers the others; the

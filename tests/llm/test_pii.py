@@ -60,3 +60,16 @@ def test_sanitised(spark):
     assert out.columns == ["doc_id", "text", "n"]
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[300] == "call [PHONE] or [EMAIL], card [CARD]." and got[301] == "plain" and got[201] is None and got[200] == "a memo names  only"
+
+
+def test_entities_of_one_line_take_part(spark):
+    rows = [(i, f"filler line number {i} with common words wrote about case") for i in range(1500)]
+    rows += [(2000, "case: Vandermeer wrote from once@q.org about common words"), (2001, "a memo names Vandermeer with common words")]
+    rows += [(2100 + i, "case copy: Quux wrote from copy@q.org common") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = {(r.doc_id, rows_text[int(a) : int(b)]) for r in pii.span_table(df).collect() for rows_text in [dict(rows)[r.doc_id]] for k, a, b in [x.split(":") for x in r.spans.split(",") if x] if k == "term"}
+    # the name in two lines, one with the address; the copies of a line count once but count
+    assert {(2000, "Vandermeer"), (2001, "Vandermeer"), (2100, "Quux"), (2104, "Quux")} <= marked
+    assert not {w for _, w in marked} & {"common", "words", "wrote", "about", "filler", "case"}
+    got = {r.doc_id: r.text for r in pii.sanitised(df).where("doc_id = 2001").collect()}
+    assert got == {2001: "a memo names  with common words"}

@@ -20,12 +20,12 @@ VIEWS = {
         when doc_id % 11 = 0 then concat(replace(text, '.', ' {GRIN}.'), '{HEART}')
         else text end as text from documents""",
     "docs_scripts": f"""select doc_id, source, case doc_id % 4
-        when 0 then concat('{HANGUL} ', substr(text, 1, 3)) when 1 then concat('{KANA}', chr(10), substr(text, 1, 12))
-        when 2 then '{HAN}' else substr(text, 1, 40) end as text from documents""",
+        when 0 then concat('{HANGUL} ', text) when 1 then concat('{KANA}', chr(10), text)
+        when 2 then concat('{HAN}', text) else text end as text from documents""",
     "docs_blanks": """select doc_id, case doc_id % 6
         when 0 then replace(text, chr(10), concat(chr(13), chr(10))) when 1 then replace(text, '.', concat('. ', chr(10)))
         when 2 then concat(chr(9), replace(text, chr(10), concat(chr(10), '  ', chr(9)))) when 3 then concat(text, chr(10))
-        when 4 then concat('x', chr(10), '  y', chr(10), chr(9), 'z', chr(10)) else text end as text from documents""",
+        when 4 then concat('x', chr(10), '  y', chr(10), chr(9), 'z', chr(10), text) else text end as text from documents""",
     "msgs": f"""select conv_id * 1000 + turn as msg_id, concat(case conv_id % 6
         when 0 then 'feat: ' when 1 then 'fix(x)!: ' when 2 then 'Merge ' when 3 then 'wip: ' when 4 then 'docs(): ' else '' end,
         substr(replace(text, chr(10), ' '), 1, 50 + cast(turn % 5 as int) * 10), chr(10), chr(10), substr(text, 1, 150), case turn % 3

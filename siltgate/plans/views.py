@@ -28,7 +28,7 @@ VIEWS = {
         when 4 then concat('x', chr(10), '  y', chr(10), chr(9), 'z', chr(10), text) else text end as text from documents""",
     "msgs": f"""select conv_id * 1000 + turn as msg_id, concat(case conv_id % 6
         when 0 then 'feat: ' when 1 then 'fix(x)!: ' when 2 then 'Merge ' when 3 then 'wip: ' when 4 then 'docs(): ' else '' end,
-        substr(replace(text, chr(10), ' '), 1, 50 + cast(turn % 5 as int) * 10), chr(10), chr(10), substr(text, 1, 150), case turn % 3
+        substr(replace(text, chr(10), ' '), 1, 50 + cast(turn % 5 as int) * 10), chr(10), chr(10), text, case turn % 3
         when 0 then concat(chr(10), 'Co-authored-by: Helper <bot@cursor.sh>') when 1 then concat(chr(10), 'Co-Authored-By: A. Person <a@example.org>')
         else '{ZWSP}' end) as text from conversations""",
     "repo_paths": """select doc_id, concat(source, '/', lang, '/', case when doc_id % 9 = 0 then 'node_modules/' when doc_id % 10 = 0 then '__pycache__/' else '' end,

@@ -48,7 +48,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) -> DataFrame:
     """``edges(u, v)`` to ``(id, component)``: the smallest id that each id reaches.
 
     Each round is a large-star step (every larger neighbour of u is hung on
@@ -59,9 +59,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, one_task: i
     """
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     if now.count() <= one_task:
-        now, rounds = scratch.table(_in_one_task(now)), 0
+        return scratch.table(_in_one_task(now)).select(F.col("u").alias("id"), F.col("v").alias("component"))
     mark = None
-    for _ in range(rounds):
+    while True:
         large = _hang(_symmetric(now)).where("a > u").select(F.col("a").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

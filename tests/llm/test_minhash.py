@@ -105,3 +105,69 @@ def test_components_in_rounds_and_in_one_task(spark):
         want = want or got
         assert got == want
     assert want[440] == 400 and all(want.get(u, u) == want.get(v, v) for u, v in pairs)
+
+
+def family(seed, n=500, size=120):
+    """Near copies at distances about the threshold, strays that collide with all and join few."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 8, 9, 10, 11])):
+            words[rng.randrange(size)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block,shingles", [(2048, 2_000_000), (64, 2_000_000), (2048, 9_000)])
+def test_near_copies_with_strays_in_blocks(spark, monkeypatch, block, shingles):
+    from siltgate.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    rows = family(11)
+    out = near_duplicates(spark.createDataFrame(rows, DOCS), 2, 80, collisions=28)
+    assert {r.doc_id: r.component_id for r in out.collect()} == brute(rows, 2, 80)
+
+
+def test_spanning_forest_is_exact_and_bounded():
+    import numpy as np
+
+    from siltgate.llm.minhash import spanning
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 90, dtype=np.uint64)
+    sets = []
+    for _ in range(120):
+        own = base.copy()
+        at = rng.choice(90, rng.integers(0, 16), replace=False)
+        own[at] = rng.integers(0, 1 << 60, len(at), dtype=np.uint64)
+        sets.append(np.unique(own))
+    sets += [np.unique(rng.integers(0, 50, 20).astype(np.uint64)) for _ in range(30)]
+    ids = np.arange(150) * 3
+    c = np.where(rng.random(150) < 0.3, 0, ids)
+    for part in (None, rng.integers(0, 2, 150)):
+        root = {x: x for x in set(c.tolist())}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        def join(x, y):
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+
+        for x in range(150):
+            for y in range(x):
+                same = len(np.intersect1d(sets[x], sets[y]))
+                if (part is None or part[x] != part[y]) and 100 * same >= 80 * (len(sets[x]) + len(sets[y]) - same):
+                    join(int(c[x]), int(c[y]))
+        want = {x: find(x) for x in root}
+        links = spanning(ids, c, part, sets, 80)
+        root = {x: x for x in root}
+        for u, v in links:
+            join(int(c[u // 3]), int(c[v // 3]))
+        assert {x: find(x) for x in root} == want
+        assert len(links) == len(set(c.tolist())) - len(set(want.values()))

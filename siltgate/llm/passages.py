@@ -5,188 +5,315 @@ functions a Cartesian tree over the tokens' hashes gives the compact windows:
 node c with subtree [l, r] stands for all subsequences of [l, r] that contain
 c, for all of which c is the min-hash. Only windows of at least ``least``
 tokens are kept, about two a ``least`` tokens. Windows with equal min-hash
-share their subsequences' signature; the intervals that collide in enough hash
-functions are the candidates, which are confirmed on the token sequences.
-
-A document first meets the smallest document of each signature. Where that one
-is not confirmed, say because it holds a part of the passage only, the document
-meets the other holders of the joint signatures: the first few times the next
-smallest that is itself unconfirmed, then every earlier one.
+share their subsequences' signature.
+
+1. Equal texts are one; the copies name the smallest doc_id.
+2. A first pass over the windows counts, per min-hash, its smallest and largest document:
+   no window is written. A second pass keeps the windows whose min-hash two documents have.
+3. Each document meets the smallest holder of its min-hashes, its source, where
+   windows of ``need`` functions overlap (an interval join within the pair), and the pairs
+   are confirmed on the token sequences.
+4. What no confirmed passage covers meets the other holders of the same min-hash.
+   The tokens about it, a byte each, are compared in blocks, so that only the pairs
+   come out that agree about it as a passage must (see ``partners``), one for each place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .shingles import mix, shingle_hashes, text_slices, word_hashes
 
-#: Rounds in which each document meets one more of its sources; after them it meets all that are left.
-ROUNDS = 4
-#: Sides of a join with at most so many rows of two or three integers (under 64 MB) are broadcast.
-SMALL = 2_000_000
+#: Sides of a join with at most so many rows of two to four integers (under 64 MB) are broadcast.
+SMALL = 1_500_000
+#: Holders of a min-hash that one task compares with as many others.
+BLOCK = 16_384
+#: Pieces of a stretch, two neighbouring ones of which hold what differs.
+PIECES = 6
+#: Tokens of the runs that rule out rows before that.
+RUN = 9
+#: Neighbourhoods that are cut out at a time (about 1 KB each).
+AT_ONCE = 20_000
+
+
+def _windows(h: np.ndarray, to: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, l, c, r) of the nodes that span ``least`` or more, for the sequences h[to[i]:to[i+1]].
+
+    A node spans ``least`` exactly if it is the leftmost minimum of some
+    stretch of ``least``; the nearest smaller ones on both sides span as much, so
+    the subtrees' ends follow from the kept nodes alone.
+    """
+    n = len(h)
+    none = np.zeros(0, np.int64)
+    starts = np.concatenate([np.arange(a, b - least + 1) for a, b in zip(to[:-1].tolist(), to[1:].tolist()) if b - a >= least] or [none])
+    if not len(starts):
+        return none, none, none, none
+    # the place in the low bits: equal hashes are ordered, and a minimum tells where it is
+    bits = np.uint64((1 << n.bit_length()) - 1)
+    low, w = (h.astype(np.uint64) & ~bits) | np.arange(n, dtype=np.uint64), 1
+    while 2 * w <= least:
+        low, w = np.minimum(low[w:], low[:-w]), 2 * w
+    if w < least:
+        low = np.minimum(low[least - w :], low[: w - least])
+    mark = np.zeros(n, bool)
+    mark[(low[starts] & bits).astype(np.int64)] = True
+    c = np.flatnonzero(mark)
+    row = np.searchsorted(to, c, "right") - 1
+    # the hash ranks first, as above
+    first, value = np.searchsorted(row, row), h[c].astype(np.uint64) & ~bits
+    last = np.searchsorted(row, row, "right") - 1
+    # equal hashes go to the leftmost: an equal one ends a subtree on the left only
+    left = np.arange(len(c)) - 1
+    while len(odd := np.flatnonzero((left >= first) & (value[left] > value))):
+        left[odd] = left[left[odd]]
+    right = np.arange(len(c)) + 1
+    while len(odd := np.flatnonzero((right <= last) & (value[np.minimum(right, len(c) - 1)] >= value))):
+        right[odd] = right[right[odd]]
+    lo = np.where(left >= first, c[left] + 1, to[row])
+    hi = np.where(right <= last, c[np.minimum(right, len(c) - 1)] - 1, to[row + 1] - 1)
+    return row, lo - to[row], c - to[row], hi - to[row]
 
 
 def windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r), both ends inside: the nodes of the Cartesian tree that span ``least`` or more.
+    """(l, c, r), both ends inside: the nodes of one sequence's Cartesian tree that span ``least`` or more.
 
-    Equal hashes go to the leftmost. The tree is walked with a stack, so its
-    depth doesn't matter.
+    Equal hashes go to the leftmost.
     """
-    out, todo = [], [(0, len(h))]
-    while todo:
-        a, b = todo.pop()
-        if b - a >= least:
-            c = a + int(h[a:b].argmin())
-            out.append((a, c, b - 1))
-            todo += [(a, c), (c + 1, b)]
-    return out
+    rank = np.unique(h, return_inverse=True)[1].astype(np.uint64)
+    _, l, c, r = _windows(rank << np.uint64(32), np.array([0, len(h)]), least)  # noqa: E741
+    return list(zip(l.tolist(), c.tolist(), r.tolist()))
 
 
-def _tokens(col: pa.Array, words: int) -> list[np.ndarray]:
+def _flat_tokens(col: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens and where each row's start; texts under ``words`` words have none."""
     hashes, bounds = word_hashes(col)
     flat, to = shingle_hashes(hashes, bounds, words)
-    n = np.diff(bounds)
-    return [flat[to[i] : to[i + 1]] if n[i] >= words else flat[:0] for i in range(len(n))]
+    short = (np.diff(bounds) < words) & (np.diff(to) > 0)
+    if short.any():
+        keep = np.ones(len(flat), bool)
+        keep[to[:-1][short]] = False
+        flat, to = flat[keep], np.concatenate([[0], np.cumsum(np.diff(to) - short)])
+    return flat, to
 
 
-def _postings(docs: DataFrame, words: int, least: int, hashes: int) -> DataFrame:
-    seeds = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 63, hashes)]
+def _tokens(col: pa.Array, words: int) -> list[np.ndarray]:
+    flat, to = _flat_tokens(col, words)
+    return [flat[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
 
-    def run(batches):
-        for whole in batches:
-            for b in text_slices(whole, "text", 2 << 20):
-                key, doc, fn, left, mid, right = [], [], [], [], [], []
-                for i, tokens in enumerate(_tokens(b.column("text"), words)):
-                    if len(tokens) < least:
-                        continue
-                    for f, seed in enumerate(seeds):
-                        h = mix(tokens + seed)
-                        w = np.array(windows(h, least), np.int64)
-                        key.append(h[w[:, 1]])
-                        doc.append(np.full(len(w), i))
-                        fn.append(np.full(len(w), f, np.int8))
-                        left.append(w[:, 0])
-                        mid.append(w[:, 1])
-                        right.append(w[:, 2])
-                if key:
-                    ids = b.column("doc_id").take(pa.array(np.concatenate(doc)))
-                    ints = [pa.array(np.concatenate(x).astype(np.int32)) for x in (left, mid, right)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), ids, pa.array(np.concatenate(fn)), *ints], names=["key", "doc_id", "fn", "l", "c", "r"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, fn byte, l int, c int, r int")
+def _seeds(hashes: int) -> list[np.uint64]:
+    return [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 63, hashes)]
 
 
-_ANCHORS = "doc_id long, anchors array<struct<c:int,source_id:bigint>>"
+def _postings(docs: DataFrame, words: int, least: int, hashes: int, whole: bool) -> DataFrame:
+    """The windows of all texts: (key, doc_id), with ``whole`` also fn, l, c, r."""
+    seeds = _seeds(hashes)
 
+    def run(batches):
+        for every in batches:
+            for b in text_slices(every, "text", 2 << 20):
+                flat, to = _flat_tokens(b.column("text"), words)
+                ids = b.column("doc_id")
+                for f, seed in enumerate(seeds):
+                    h = mix(flat + seed)
+                    row, l, c, r = _windows(h, to, least)  # noqa: E741
+                    if not len(row):
+                        continue
+                    # a repeated word or phrase repeats its token: the first window holds those of the overlapping ones
+                    value = h[to[row] + c]
+                    again = np.zeros(len(row), bool)
+                    again[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1]) & (np.diff(c) < words)
+                    row, l, c, r, value = (x[~again] for x in (row, l, c, r, value))  # noqa: E741
+                    cols = [pa.array(value.view(np.int64)), ids.take(pa.array(row))]
+                    if whole:
+                        cols += [pa.array(np.full(len(row), f, np.int8)), *(pa.array(x.astype(np.int32)) for x in (l, c, r))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "fn", "l", "c", "r"][: len(cols)])
+
+    return docs.mapInArrow(run, "key long, doc_id long, fn byte, l int, c int, r int" if whole else "key long, doc_id long")
 
-def _arrow_anchors(docs: list, per: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    ends = np.concatenate([[0], np.cumsum([len(c) for c, _ in per])]).astype(np.int32)
-    flat = lambda i, t: np.concatenate([p[i] for p in per]).astype(t) if per else np.zeros(0, t)
-    both = pa.StructArray.from_arrays([pa.array(flat(0, np.int32)), pa.array(flat(1, np.int64))], names=["c", "source_id"])
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), both)], names=["doc_id", "anchors"])
 
+def _neighbourhoods(docs: DataFrame, words: int, least: int, hashes: int) -> DataFrame:
+    """``docs(doc_id, text, asked: array of key, fn, c, parts, open)`` to (key, doc_id, parts, open, near): near has the
+    ``least`` - 1 tokens on either side of c, a byte each (0 outside the text)."""
+    seeds = np.array(_seeds(hashes))
+    side = np.arange(1 - least, least)
 
-def _enough(matches: DataFrame, need: int) -> DataFrame:
-    """(doc_id, anchors): the matches whose token lies in colliding windows of ``need`` functions."""
+    def run(batches):
+        for every in batches:
+            for b in text_slices(every, "text", 2 << 20):
+                flat, to = _flat_tokens(b.column("text"), words)
+                asked = b.column("asked")
+                key, fn, c, parts, open_ = (x.to_numpy(zero_copy_only=False) for x in asked.flatten().flatten())
+                row = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
+                size = np.diff(to)[row]
+                # another text of the same doc_id has another token there
+                ok = np.flatnonzero(c < size)
+                ok = ok[mix(flat[to[row[ok]] + c[ok]] + seeds[fn[ok]]).view(np.int64) == key[ok]]
+                for a in range(0, len(ok), AT_ONCE):
+                    x = ok[a : a + AT_ONCE]
+                    place = c[x, None] + side
+                    held = (place >= 0) & (place < size[x, None])
+                    near = flat[np.where(held, to[row[x], None] + place, 0)]
+                    byte = np.where(held, (near >> np.uint64(40)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+                    wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(byte.shape[1]), len(byte), [None, pa.py_buffer(byte.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key[x]), b.column("doc_id").take(pa.array(row[x])), pa.array(parts[x]), pa.array(open_[x].astype(bool)), wide], names=["key", "doc_id", "parts", "open", "near"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, parts long, open boolean, near binary")
+
+
+def _collide(matches: DataFrame, need: int) -> DataFrame:
+    """(doc_id, source_id) with windows of ``need`` functions over one token of the document."""
 
     def run(batches):
         for b in batches:
-            docs, per = [], []
-            for doc, rows in zip(b.column("doc_id").to_pylist(), b.column("m")):
-                fn, l, c, r, src = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())
-                size = int(r.max()) + 2
-                cover = np.zeros(size, np.int32)
+            keep = []
+            for rows in b.column("m"):
+                fn, l, r = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())  # noqa: E741
+                cover = np.zeros(int(r.max()) + 2, np.int32)
                 for f in np.unique(fn):
                     mine = fn == f
-                    step = np.zeros(size + 1, np.int32)
+                    step = np.zeros(len(cover), np.int32)
                     np.add.at(step, l[mine], 1)
                     np.add.at(step, r[mine] + 1, -1)
-                    cover += np.cumsum(step)[:size] > 0
-                good = cover[c] >= need
-                if good.any():
-                    docs.append(doc)
-                    per.append((c[good], src[good]))
-            yield _arrow_anchors(docs, per)
+                    cover += np.cumsum(step) > 0
+                keep.append(bool(cover.max() >= need))
+            yield b.select(["doc_id", "source_id"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = matches.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("fn").cast("int"), "l", "c", "r", "source_id")).alias("m"))
-    return rows.mapInArrow(run, _ANCHORS)
+    rows = matches.groupBy("doc_id", "source_id").agg(F.collect_list(F.struct(F.col("fn").cast("int"), "l", "r")).alias("m"), F.count_distinct("fn").alias("n"))
+    return rows.where(F.col("n") >= need).select("doc_id", "source_id", "m").mapInArrow(run, "doc_id long, source_id long")
 
 
-def _left(anchors: DataFrame, tried: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """Anchors of other sources than the one tried, outside the passages found."""
+def partners(key: np.ndarray, doc: np.ndarray, open_: np.ndarray, near: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """For each open row the place of the smallest document's row of its key that has a near-equal
+    stretch of ``least`` tokens about the middle, if that document is smaller than its own; or -1.
 
-    def run(batches):
-        for b in batches:
-            docs, per = [], []
-            spans = b.column("spans")
-            for i, (doc, src) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("source_id").to_pylist())):
-                c, s = (x.to_numpy(zero_copy_only=False) for x in b.column("anchors")[i].values.flatten())
-                keep = s != src
-                if spans[i].is_valid:
-                    for lo, hi in zip(*(x.to_numpy(zero_copy_only=False) for x in spans[i].values.flatten())):
-                        keep &= (c < lo) | (c >= hi)
-                if keep.any():
-                    docs.append(doc)
-                    per.append((c[keep], s[keep]))
-            yield _arrow_anchors(docs, per)
-
-    return anchors.join(tried, "doc_id").join(_spans(found, words), "doc_id", "left").select("doc_id", "source_id", "anchors", "spans").mapInArrow(run, _ANCHORS)
+    Stretches of ``least`` with ``percent`` similarity differ in one gap of ``hole``
+    tokens at most (a changed word changes all tokens that hold it). For each start the rows are
+    grouped by all pieces but two neighbouring ones, which must hold the gap, and the rows of a
+    group by all that stands about each place of the gap in them: the members of such a group agree as a
+    passage must, so the smallest one will do, and no pair is compared or written.
+    """
+    if (np.diff(doc) < 0).any():
+        by = np.argsort(doc, kind="stable")
+        out = np.full(len(doc), -1)
+        to = partners(key[by], doc[by], open_[by], near[by], least, percent)
+        out[by[to >= 0]] = by[to[to >= 0]]
+        return out
+    out = np.full(len(doc), -1)
+    left = open_.copy()
+    hole = least - -(-2 * least * percent // (100 + percent))
+    pieces = max(3, min(PIECES, least // max(1, hole)))
+    cuts = [i * least // pieces for i in range(pieces + 1)]
+    held = np.zeros((len(doc), near.shape[1] + 1), np.int16)
+    np.cumsum(near > 0, axis=1, out=held[:, 1:])
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(least, 0x9E3779B97F4A7C15 | 1, np.uint64)]))
+
+    def groups(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places in ``rows`` (ascending, so in the order of doc) by hash, and for each the place of its group's first and one after its last."""
+        bits = np.uint64((1 << len(rows).bit_length()) - 1)
+        by = np.sort((h & ~bits) | np.arange(len(rows), dtype=np.uint64))
+        new = np.flatnonzero((by[1:] ^ by[:-1]) > bits) + 1
+        number = np.zeros(len(rows), np.int64)
+        number[new] = 1
+        number = np.cumsum(number)
+        start = np.concatenate([[0], new])
+        return (by & bits).astype(np.int64), start[number], np.append(new, len(rows))[number]
+
+    def asked(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the group of each holds several documents and an open row besides its first document's."""
+        some = np.concatenate([[0], np.cumsum(left[at])])
+        return (doc[at[lo]] < doc[at[hi - 1]]) & (some[hi] - some[lo] > 0)
+
+    # most rows share a few words only: a stretch holds whole runs of RUN tokens at fixed places, all but
+    # two of which must agree with some other document's
+    run = max(1, min(RUN, (least - 2) // 5))
+    full = (least - run + 1) // run - (2 if hole else 0)
+    if full > 0:
+        shared = np.zeros(len(doc), np.int64)
+        for a in range(0, near.shape[1] - run + 1, run):
+            rows = np.flatnonzero(held[:, a + run] - held[:, a] == run)
+            if len(rows) > 1:
+                h = mix((near[rows, a : a + run].astype(np.uint64) * powers[:run]).sum(1, dtype=np.uint64)) + mix(key[rows].view(np.uint64))
+                order, lo, hi = groups(rows, h)
+                at = rows[order]
+                shared[at] += asked(at, lo, hi)
+        keep = np.flatnonzero(shared >= full)
+        if len(keep) < 0.9 * len(doc):
+            if len(keep) > 1:
+                to = partners(key[keep], doc[keep], open_[keep], near[keep], least, percent)
+                out[keep[to >= 0]] = keep[to[to >= 0]]
+            return out
+
+    for start in range(least):
+        rows = np.flatnonzero(held[:, start + least] - held[:, start] == least)
+        rows = rows[np.isin(key[rows], key[rows[left[rows]]])]
+        if len(rows) < 2:
+            continue
+        part = np.zeros((len(rows), least + 1), np.uint64)
+        np.cumsum(near[rows, start : start + least].astype(np.uint64) * powers[:least], axis=1, out=part[:, 1:])
+        own = mix(key[rows].view(np.uint64))
+        for gap in range(pieces - 1):
+            a, b = cuts[gap], cuts[gap + 2]
+            about = part[:, -1] - part[:, b] + part[:, a]
+            order, lo, hi = groups(rows, mix(about + np.uint64(gap)) + own)
+            at = rows[order]
+            some = asked(at, lo, hi)
+            if not some.any():
+                continue
+            few = np.sort(order[some])
+            # the gap's places; both ends of the stretch agree
+            for g in range(max(1, a), min(least - 1, b) - hole + 1):
+                h = mix(about[few] + (part[few, b] - part[few, g + hole]) + (part[few, g] - part[few, a])) + own[few]
+                sub, first, _ = groups(rows[few], h)
+                x = rows[few[sub]]
+                y = x[first]
+                good = left[x] & (doc[y] < doc[x])
+                out[x[good]] = y[good]
+                left[x[good]] = False
+    return out
 
 
-_JOINTS = "doc_id long, joints array<struct<joint:bigint,a:int,b:int>>"
+def _partners(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """(doc_id, source_id): each open holder with an earlier holder of its key whose neighbourhood agrees; at most one a block.
 
+    Keys with many holders are compared block by block.
+    """
 
-def joint_keys(key: np.ndarray, fn: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, need: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
-    """(joint, a, b): signatures of ``need`` functions whose windows hold each other's tokens and share ``width`` of them.
+    def pairs(t: pa.Table):
+        key, doc, i, j = (t.column(n).to_numpy() for n in ("key", "doc_id", "i", "j"))
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint8).reshape(len(doc), 2 * least - 1)
+        block = mix(key.view(np.uint64) + i.astype(np.uint64) * np.uint64(0x10001) + j.astype(np.uint64)).view(np.int64)
+        to = partners(block, doc, t.column("open").to_numpy(), near, least, percent)
+        x = np.flatnonzero(to >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[to[x]])], names=["doc_id", "source_id"])
 
-    A passage lies in the windows of all functions that it collides in, so two documents that
-    share it share a joint signature. a and b are the outermost of the tokens that are the min-hashes.
-    """
-    per = {}
-    for f in np.unique(fn).tolist():
-        i = np.flatnonzero(fn == f)
-        per[f] = i[np.argsort(c[i], kind="stable")]
-    # joint, last function, left, right, first and last token
-    now = (mix(key), fn.astype(np.int64), l, r, c, c)
-    for _ in range(need - 1):
-        parts = []
-        for f, i in per.items():
-            m = now[1] < f
-            joint, _, lo, hi, a, b = (x[m] for x in now)
-            start, stop = np.searchsorted(c[i], lo), np.searchsorted(c[i], hi, "right")
-            n = np.maximum(stop - start, 0)
-            x = np.repeat(np.arange(len(n)), n)
-            y = i[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[x]]
-            left, right = np.maximum(lo[x], l[y]), np.minimum(hi[x], r[y])
-            first, last = np.minimum(a[x], c[y]), np.maximum(b[x], c[y])
-            good = (left <= first) & (last <= right) & (right - left + 1 >= width)
-            x, y = x[good], y[good]
-            parts.append((mix(joint[x] + key[y]), np.full(len(x), f), left[good], right[good], first[good], last[good]))
-        now = tuple(np.concatenate(z) for z in zip(*parts)) if parts else tuple(x[:0] for x in now)
-    return now[0].view(np.int64), now[4], now[5]
-
-
-def _joints(shared: DataFrame, need: int, width: int) -> DataFrame:
     def run(batches):
+        held: list = []
         for b in batches:
-            docs, ends, flat = [], [0], []
-            for doc, rows in zip(b.column("doc_id").to_pylist(), b.column("m")):
-                key, fn, l, c, r = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())  # noqa: E741
-                got = joint_keys(key.view(np.uint64), fn, l, c, r, need, width)
-                if len(got[0]):
-                    docs.append(doc)
-                    flat.append(got)
-                    ends.append(ends[-1] + len(got[0]))
-            cols = [pa.array(np.concatenate([x[k] for x in flat] or [np.zeros(0)]).astype(t)) for k, t in enumerate((np.int64, np.int32, np.int32))]
-            both = pa.StructArray.from_arrays(cols, names=["joint", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)], names=["doc_id", "joints"])
-
-    rows = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.col("fn").cast("int"), "l", "c", "r")).alias("m"))
-    return rows.mapInArrow(run, _JOINTS)
+            if not b.num_rows:
+                continue
+            keys = [b.column(n).to_numpy() for n in ("key", "i", "j")]
+            # up to where the last key of the batch begins, all keys are whole
+            last = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            before = tuple(held[-1].column(n)[-1].as_py() for n in ("key", "i", "j")) if held else None
+            if before is not None and (cut or before != tuple(int(k[0]) for k in keys)):
+                yield from pairs(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from pairs(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "open", "near")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "doc_id long, source_id long").distinct()
 
 
 def _spans(found: DataFrame, words: int) -> DataFrame:
@@ -194,11 +321,6 @@ def _spans(found: DataFrame, words: int) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", (F.col("begin") + F.col("n_words") - (words - 1)).alias("stop"))).alias("spans"))
 
 
-def _outside(spans: str, *tokens: str) -> F.Column:
-    """Whether one of the tokens lies in none of the spans."""
-    return F.expr(" or ".join(f"not exists(coalesce({spans}, array()), s -> s.begin <= {t} and {t} < s.stop)" for t in tokens))
-
-
 _FOUND = "doc_id long, begin long, n_words long, source_id long, source_begin long, source_words long, similarity double"
 
 
@@ -295,31 +417,42 @@ def repeated_passages(docs: DataFrame, words: int = 5, passage: int = 50, percen
     Defined cases: null, empty and shorter texts have no passages; rows with a
     null doc_id take no part; rows that share a doc_id are texts of one
     document and aren't compared with each other; equal texts give whole-text
-    passages; an empty table gives an empty result; other columns are ignored.
+    passages; of equally good sources the smaller doc_id is named; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
     Words are those of ``near_duplicates``. Texts are read whole.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "passages")
     least = passage - words + 1
+    small = lambda df: F.broadcast(df) if df.count() <= SMALL else df
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    post = scratch.table(_postings(rows, words, least, hashes))
-    first = post.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("hi")).where("source_id < hi").select("key", "source_id")
-    shared = scratch.table(post.join(first, "key"))
-    scratch.drop(post)
-    matches = shared.where("doc_id <> source_id").select("doc_id", "fn", "l", "c", "r", "source_id")
-    anchors = scratch.table(_enough(matches, need))
+
+    # Equal texts: two 64-bit hashes stand for a text.
+    hashed = rows.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("again"), "text").alias("h2"))
+    several = scratch.table(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("hi")).where("first_id < hi").select("h1", "h2", "first_id"))
+    copies = scratch.table(hashed.join(small(several), ["h1", "h2"]).where("doc_id <> first_id").select("h1", "h2", "doc_id", "first_id").distinct())
+    alone = hashed.join(small(copies.select("h1", "h2", "doc_id")), ["h1", "h2", "doc_id"], "left_anti").select("doc_id", "text")
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sized = hashed.join(small(several), ["h1", "h2"]).where("doc_id = first_id").dropDuplicates(["h1", "h2"]).select("h1", "h2", size.alias("n_words")).where(F.col("n_words") >= passage)
+    zero = F.lit(0).cast("long")
+    whole = copies.join(small(scratch.table(sized)), ["h1", "h2"]).select("doc_id", zero.alias("begin"), "n_words", F.col("first_id").alias("source_id"), zero.alias("source_begin"), F.col("n_words").alias("source_words"), F.lit(1.0).alias("similarity")).distinct()
+
+    held_by = _postings(alone, words, least, hashes, False).groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("hi"))
+    first = scratch.table(held_by.where("source_id < hi").select("key", "source_id"))
+    shared = scratch.table(_postings(alone, words, least, hashes, True).join(small(first), "key"))
+    scratch.drop(first)
 
     def ship(keyed: DataFrame, on: str) -> DataFrame:
         names = keyed.columns
-        hint = F.broadcast if keyed.count() <= SMALL else (lambda x: x)
 
         def run(batches):
-            for whole in batches:
-                for b in text_slices(whole, "text"):
+            for part in batches:
+                for b in text_slices(part, "text"):
                     # 32 bits of a token will do where runs of many must agree
                     seqs = [t.astype(np.uint32).tobytes() for t in _tokens(b.column("text"), words)]
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seqs, pa.binary())], names=[*names, f"t_{on}"])
 
-        return rows.withColumnRenamed("doc_id", on).join(hint(keyed), on).select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + f", t_{on} binary")
+        return rows.withColumnRenamed("doc_id", on).join(small(keyed), on).select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + f", t_{on} binary")
 
     def confirm(batches):
         names = ["doc_id", "begin", "n_words", "source_id", "source_begin", "source_words", "similarity"]
@@ -335,58 +468,25 @@ def repeated_passages(docs: DataFrame, words: int = 5, passage: int = 50, percen
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = ship(pairs, "doc_id"), ship(pairs.select("source_id").distinct(), "source_id")
         both = left.join(right, "source_id").select("doc_id", "source_id", "t_doc_id", "t_source_id")
-        return both.mapInArrow(confirm, _FOUND)
-
-    # A document first meets the source of most of its anchors; what that source's passages
-    # cover needs no other one, so a document is rarely sent twice.
-    out, met, n = None, None, 0
-    while not anchors.isEmpty():
-        each = anchors.select("doc_id", F.explode("anchors").alias("a")).groupBy("doc_id", "a.source_id").agg(F.count("*").alias("n"))
-        if n < ROUNDS:
-            tried = scratch.table(each.groupBy("doc_id").agg(F.max_by("source_id", F.struct("n", -F.col("source_id"))).alias("source_id")))
-        else:
-            tried = scratch.table(each.select("doc_id", "source_id"))
-        found = scratch.table(confirmed(tried))
-        out = found if out is None else out.unionByName(found)
-        met = tried if met is None else met.unionByName(tried)
-        if n == ROUNDS:
-            break
-        anchors, n = scratch.table(_left(anchors, tried, found, words)), n + 1
-    if out is None:
-        return docs.sparkSession.createDataFrame([], _FOUND)
-
-    # What no passage covers meets the other holders. Only signatures that somebody is left with matter.
-    left = shared.where("doc_id <> source_id").join(_spans(out, words), "doc_id", "left").where(_outside("spans", "c"))
-    narrow = shared.join(left.select("key").distinct(), "key", "left_semi")
-    joints = scratch.table(_joints(narrow, need, least * percent // 100))
+        return scratch.table(both.mapInArrow(confirm, _FOUND).distinct())
+
+    met = scratch.table(_collide(shared.where("doc_id <> source_id"), need))
+    found = confirmed(met)
+
+    # The tokens that no passage covers meet the other holders of their min-hash.
+    spans = _spans(found, words)
+    covered = F.expr("exists(coalesce(spans, array()), s -> s.begin <= c and c < s.stop)")
+    state = shared.join(F.broadcast(spans) if found.count() <= SMALL else spans, "doc_id", "left").select("key", "doc_id", "source_id", "fn", "c", (~covered).alias("open"))
+    # a key's smallest holder has no earlier one, so its own state doesn't matter; two holders have met already
+    holders = state.groupBy("key").agg(F.max(F.col("open") & (F.col("doc_id") != F.col("source_id"))).alias("any"), F.count("*").alias("g"))
+    keys = scratch.table(holders.where("any and g > 2").select("key", F.ceil(F.col("g") / BLOCK).alias("parts")))
+    if not keys.isEmpty():
+        asked = scratch.table(state.join(small(keys), "key").select("doc_id", F.struct("key", F.col("fn").cast("int").alias("fn"), "c", "parts", "open").alias("a")))
+        by_doc = asked.groupBy("doc_id").agg(F.collect_list("a").alias("asked"))
+        # all lists together are as long as the table
+        near = _neighbourhoods(alone.join(F.broadcast(by_doc) if asked.count() <= SMALL else by_doc, "doc_id").select("doc_id", "text", "asked"), words, least, hashes)
+        more = scratch.table(_partners(near, least, percent).join(met, ["doc_id", "source_id"], "left_anti"))
+        if not more.isEmpty():
+            found = scratch.table(found.unionByName(confirmed(more)))
     scratch.drop(shared)
-    flat = joints.select("doc_id", F.explode("joints").alias("j")).select("doc_id", "j.joint", "j.a", "j.b")
-    lows = flat.groupBy("joint").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("hi")).where("low < hi").select("joint", "low")
-    held = scratch.table(flat.join(lows, "joint"))
-
-    def still() -> DataFrame:
-        covered = _spans(out if later is None else out.unionByName(later), words)
-        open_ = held.where("doc_id <> low").join(covered, "doc_id", "left").where(_outside("spans", "a", "b"))
-        return open_.select("doc_id", "joint", "low").distinct()
-
-    led, later = None, None
-    for n in range(ROUNDS + 1):
-        rest = scratch.table(still())
-        if n == 0:
-            pairs = rest.select("doc_id", F.col("low").alias("source_id"))
-        elif n < ROUNDS:
-            free = rest if led is None else rest.join(led, ["joint", "doc_id"], "left_anti")
-            heads = scratch.table(free.groupBy("joint").agg(F.min("doc_id").alias("source_id")))
-            pairs = free.join(heads, "joint").where("source_id < doc_id").select("doc_id", "source_id")
-            mine = heads.select("joint", F.col("source_id").alias("doc_id"))
-            led = mine if led is None else led.unionByName(mine)
-        else:
-            earlier = held.select("joint", F.col("doc_id").alias("source_id")).distinct()
-            pairs = rest.select("doc_id", "joint").join(earlier, "joint").where("source_id < doc_id").select("doc_id", "source_id")
-        tried = scratch.table(pairs.distinct().join(met, ["doc_id", "source_id"], "left_anti"))
-        if tried.isEmpty():
-            continue
-        found = scratch.table(confirmed(tried))
-        later = found if later is None else later.unionByName(found)
-        met = met.unionByName(tried)
-    return out if later is None else out.unionByName(_uppermost(later))
+    return whole.unionByName(_uppermost(found))

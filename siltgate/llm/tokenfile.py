@@ -68,14 +68,16 @@ class Coder:
 
     The byte-level pre-tokenizer always starts a token at a space that is
     followed by something other than white space, so a text's ids are those of
-    its chunks between such spaces, and a chunk's ids can be kept.
+    its chunks between such spaces, and a chunk's ids can be kept. Texts that hold
+    one of the vocabulary's added tokens are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.vocab = self.tok.get_vocab_size()
         self._fresh()
 
@@ -113,6 +115,17 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and each text's number of ids."""
+        apart = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not apart:
+            return self._plain(texts)
+        out = {i: np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in apart}
+        rest = [i for i in range(len(texts)) if i not in out]
+        if rest:
+            ids, n = self._plain([texts[i] for i in rest])
+            out |= zip(rest, np.split(ids, np.cumsum(n)[:-1]))
+        return np.concatenate([out[i] for i in range(len(texts))]), np.array([len(out[i]) for i in range(len(texts))], np.int64)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.known > KNOWN:
             self._fresh()
         odd = np.array([_ODD.search(t) is not None for t in texts], bool)

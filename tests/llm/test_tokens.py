@@ -29,12 +29,11 @@ def test_elias_fano(steps):
         assert len(data) <= 64 + len(values) * (3 + max(0, np.log2(max(1, top / len(values))))) / 8 + len(values) / eliasfano.EVERY * 4
 
 
-TEXTS = ["", " ", "a", " a", "a  b", "a   b ", "x\n y", "x \n  y\t z ", "It's  don't 'll", "é\U0001f600 ñ  中文 text", "  lead", "trail  ", "<|endoftext|> x", "\n\n", "a b c d e f", "1234 5,678.90"]
+TEXTS = ["", " ", "a", " a", "a  b", "a   b ", "x\n y", "x \n  y\t z ", "It's  don't 'll", "é\U0001f600 ñ  中文 text", "  lead", "trail  ", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> b", "\n\n", "a b c d e f", "1234 5,678.90"]
 
 
 def test_chunks_give_the_ids_of_whole_texts():
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choice([" ", "  ", "\n", "\t", "a", "the", "'s", "é", "9", ".", " \n "]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     c = tokenfile.Coder(PATH)
@@ -48,8 +47,7 @@ def test_chunks_give_the_ids_of_whole_texts():
 
 def test_files_and_documents(spark, monkeypatch):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    rows = [(i * 3 % 47, f"document {i} " * (i % 9)) for i in range(47)] + [(50, None), (51, ""), (60, "long text " * 60_000), (61, "same"), (61, "same")]
+    rows = [(i * 3 % 47, f"document {i} " * (i % 9)) for i in range(47)] + [(50, None), (51, ""), (60, "long text " * 60_000), (61, "same"), (61, "same"), (62, "x <|endoftext|> y")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as start", "1 as part").repartition(3)
     out = tokenfile.token_table(df, PATH).orderBy("start").collect()
     at = 0

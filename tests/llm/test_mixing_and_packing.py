@@ -107,3 +107,50 @@ def test_opens_the_least_cost_size_and_downsizes():
     assert caps.tolist() == [1024] * 3
     bins, _, caps = packing.pack(np.array([512, 512, 300]), (512, 1024), 64)
     assert sorted(set(zip(bins.tolist(), caps.tolist()))) == [(0, 1024), (1, 512)]
+
+
+def spent(bins, caps, **k):
+    return sum(packing.cost(c, **k) for c in dict(zip(bins.tolist(), caps.tolist())).values())
+
+
+def test_sizes_are_weighed_jointly():
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(8192, rng.lognormal(5.6, 1.1, 20_000).astype(int) + 1)
+    bins, _, caps = packing.pack(lengths)
+    assert len(set(caps.tolist())) >= 4
+    for alone in (4096, 8192):
+        some = np.minimum(lengths, alone)
+        b, _, c = packing.pack(some, (alone,))
+        all_sizes = spent(*packing.pack(some)[::2])
+        used = np.bincount(b, weights=some)
+        downsized = sum(packing.cost(next(k for k in packing.CAPACITIES if k >= u)) for u in used)
+        assert all_sizes < 0.95 * downsized
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+def test_against_every_packing():
+    rng = np.random.default_rng(8)
+    caps, k = (8, 16, 32), {"overhead": 1, "attention": 32}
+    ratios = []
+    for _ in range(60):
+        lengths = rng.integers(1, 33, rng.integers(1, 8))
+        bins, _, final = packing.pack(lengths, caps, **k)
+        best = min(sum(packing.cost(next(c for c in caps if c >= sum(b)), **k) for b in p) for p in partitions(lengths.tolist()) if all(sum(b) <= 32 for b in p))
+        ratios.append(spent(bins, final, **k) / best)
+    assert min(ratios) >= 1 and max(ratios) <= 1.35 and sum(ratios) / len(ratios) <= 1.06, (max(ratios), sum(ratios) / len(ratios))
+
+
+def test_zero_lengths_share_a_bin():
+    bins, offsets, caps = packing.pack(np.zeros(1000, int))
+    assert set(bins.tolist()) == {0} and set(caps.tolist()) == {512}
+    bins, offsets, caps = packing.pack(np.array([0, 512, 0]))
+    assert bins.tolist() == [0, 0, 0] and offsets.tolist() == [512, 0, 512]

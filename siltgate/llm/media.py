@@ -21,13 +21,16 @@ PAGE_ROWS = 16_384
 
 def pages(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per page of the TIFF in ``content``: the other columns, then page
-    (int, from 0), width, height, samples (int), bits (int), pixels (binary,
-    big-endian samples in row order) and error (string).
-
-    Defined cases: a null, empty or unreadable file gives one row with page
-    null and the reason in error; a file without directories gives none.
-    Columns named as those above are replaced. Every row stands for itself, so
-    repeated rows repeat and an empty table gives an empty one.
+    (int, from 0), width, height, samples (int), bits (int, of a returned sample: 8 at least), pixels (binary,
+    big-endian samples in row order; samples of 1, 2 and 4 bits take a byte each) and error (string).
+
+    Defined cases: a null, empty or foreign file gives one row with page null and
+    the reason in error; a page that can't be read (unknown scheme, blocks outside the file or ending early, more
+    than ``tiff.MOST`` bytes of samples) gives a row with its number and
+    the reason, and the other pages stay; a directory that can't be read ends the file with such a row;
+    a file without directories gives none. Columns named as those above are replaced.
+    Every row stands for itself, so repeated rows repeat and an empty table gives an
+    empty one. Pages leave the worker one by one.
     """
     own = ("page", "width", "height", "samples", "bits", "pixels", "error")
     keep = [c for c in files.columns if c != content and c not in own]
@@ -35,25 +38,44 @@ def pages(files: DataFrame, content: str = "content") -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                data, rows = b.column(content)[i].as_py(), []
-                try:
-                    if not data:
-                        raise ValueError("no content")
-                    for p in tiff.decode(data):
+                data = b.column(content)[i].as_py()
+                for index, p in tiff.pages(data) if data else [(None, ValueError("no content"))]:
+                    if isinstance(p, Exception):
+                        whole = index == 0 and str(p) == tiff.FOREIGN
+                        row = (None if whole else index, *[None] * 5, f"{type(p).__name__}: {p}"[:200])
+                    else:
                         h, w = p.pixels.shape[:2]
                         raw = p.pixels.astype(p.pixels.dtype.newbyteorder(">")).tobytes()
-                        rows.append((p.index, w, h, 1 if p.pixels.ndim == 2 else p.pixels.shape[2], 8 * p.pixels.dtype.itemsize, raw, None))
-                except Exception as e:  # noqa: BLE001  a broken file is a row of its own
-                    rows = [(*[None] * 6, f"{type(e).__name__}: {e}"[:200])]
-                same = [b.column(c).take(pa.array([i] * len(rows), pa.int32())) for c in keep]
-                kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds))], names=[*keep, *own])
+                        row = (index, w, h, 1 if p.pixels.ndim == 2 else p.pixels.shape[2], 8 * p.pixels.dtype.itemsize, raw, None)
+                    same = [b.column(c).slice(i, 1) for c in keep]
+                    kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array([x], k) for x, k in zip(row, kinds))], names=[*keep, *own])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in keep]
     schema = ", ".join([*fields, "page int, width int, height int, samples int, bits int, pixels binary, error string"])
     return files.select(*keep, F.col(content).cast("binary").alias(content)).mapInArrow(run, schema)
 
 
+#: Ways to write a page: compression, predictor, rows and columns of a tile (none: strips), byte order.
+CODECS = [(tiff.PLAIN, 1, None, "<"), (tiff.PACKBITS, 1, None, ">"), (tiff.LZW, 1, None, "<"), (tiff.LZW, 2, (16, 32), ">"), (tiff.DEFLATE, 2, (32, 16), "<"), (tiff.OLD_DEFLATE, 1, None, ">"), (tiff.PACKBITS, 2, (16, 16), "<")]
+
+
+def written(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` as (doc_id, content): whole texts as TIFF pages, in each of CODECS by doc_id in turn."""
+
+    def run(batches):
+        for whole in batches:
+            for b in text_slices(whole, "text", 1 << 20):
+                out = []
+                for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                    grid = np.frombuffer(payload(t.as_buffer().to_pybytes() if t.is_valid else b""), np.uint8).reshape(-1, ROW)
+                    scheme, predictor, tile, order = CODECS[(i or 0) % len(CODECS)]
+                    out.append(tiff.encode_pages([grid[a : a + PAGE_ROWS] for a in range(0, len(grid), PAGE_ROWS)], scheme, predictor, 256, tile, order))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, content binary")
+
+
 def payload(text: bytes) -> bytes:
     """The bytes with zeros up to a positive multiple of ROW."""
     return text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b"\0")

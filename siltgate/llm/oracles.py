@@ -45,3 +45,15 @@ def mix(rounds: int = 10) -> str:
     return f"""with {', '.join(steps)} select doc_id, r.source, r.lang, r.topic, n_tokens, round(weight, 6) as weight, round(p, 6) as probability,
     ('0x' || substr(md5('mix:' || doc_id), 1, 8))::bigint / 4294967296.0 < p as kept
     from r join g on g.source is not distinct from r.source and g.lang is not distinct from r.lang and g.topic = r.topic"""
+
+
+#: Pages of 64 samples a row and 16,384 rows at most hold a text's bytes and zeros up to a multiple of 64.
+PAGES = """
+with raw as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+padded as (select doc_id, rpad(h, greatest(128, (128 * ceil(length(h) / 128.0))::int), '0') as h from raw),
+paged as (select doc_id, h, unnest(range(((length(h) - 1) // 2097152)::bigint + 1)) as page from padded),
+cut as (select doc_id, page, substr(h, 2097152 * page + 1, 2097152) as h from paged)
+select doc_id, page::int as page, 64 as width, (length(h) // 128)::int as height, 1 as samples, 8 as bits,
+  sha256(unhex(h)) as pixels_sha256, cast(null as varchar) as error
+from cut
+"""

@@ -60,6 +60,13 @@ def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trips(read(spark, sf_dir, "documents"))
 
 
+@query
+def media_pages_by_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` written by seven ways of the format in turn, then read page by page."""
+    out = media.pages(media.written(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "page", "width", "height", "samples", "bits", F.sha2("pixels", 256).alias("pixels_sha256"), "error")
+
+
 @query
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-repeated passages of 50 words or more in whole ``documents``."""
@@ -91,4 +98,5 @@ ORACLES.update(
     op1_minhash_near_dedup=oracles.MINHASH,
     op2_url_filter=oracles.urls(URL_RULES),
     op5_mix_sources=oracles.mix(),
+    media_pages_by_codec=oracles.PAGES,
 )

@@ -22,6 +22,10 @@ FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i"
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 
+#: What is said of a file without the format's first bytes.
+FOREIGN = "not a TIFF file"
+
+
 @dataclass
 class Page:
     index: int
@@ -190,7 +194,7 @@ def encode_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 def _directories(data: bytes):
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
-        raise ValueError("not a TIFF file")
+        raise ValueError(FOREIGN)
     magic = struct.unpack_from(order + "H", data, 2)[0]
     if magic == 42:
         size, count, entry, place = 4, "H", 12, "I"
@@ -199,11 +203,13 @@ def _directories(data: bytes):
         size, count, entry, place = 8, "Q", 20, "Q"
         at = struct.unpack_from(order + "Q", data, 8)[0]
     else:
-        raise ValueError("not a TIFF file")
+        raise ValueError(FOREIGN)
     seen = set()
     while at and at not in seen:
         seen.add(at)
         n = struct.unpack_from(order + count, data, at)[0]
+        if n * entry > len(data):
+            raise ValueError(f"a directory of {n} entries in {len(data)} bytes")
         at += struct.calcsize(count)
         tags = {}
         for i in range(n):
@@ -212,6 +218,8 @@ def _directories(data: bytes):
             code = FIELD.get(kind)
             if code is None:
                 continue
+            if values > len(data):
+                raise ValueError(f"tag {tag} with {values} values in {len(data)} bytes")
             full = f"{order}{values * len(code)}{code[0]}"
             where = at + i * entry + 4 + struct.calcsize(place)
             if struct.calcsize(full) > size:
@@ -233,38 +241,102 @@ def _block(raw: bytes, scheme: int, size: int) -> bytes:
     raise ValueError(f"compression {scheme} is not supported")
 
 
+def _samples(raw: bytes, rows: int, width: int, bits: int, flip: bool) -> np.ndarray:
+    """Rows of ``width`` samples of 1, 2 or 4 bits, each row padded to whole bytes, as bytes."""
+    wide = -(-width * bits // 8)
+    flat = np.frombuffer(raw, np.uint8, rows * wide).reshape(rows, wide)
+    each = np.unpackbits(flat, axis=1, bitorder="little" if flip else "big").reshape(rows, -1, bits)
+    order = np.arange(bits) if flip else np.arange(bits)[::-1]
+    return (each << order.astype(np.uint8)).sum(2, dtype=np.uint8)[:, :width]
+
+
+def _page(data: bytes, order: str, tags: dict[int, tuple], most: int) -> np.ndarray:
+    one = lambda t, d=None: tags[t][0] if tags.get(t) else d
+    w, h, spp = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    if not w or not h or not spp:
+        raise ValueError("a page without size")
+    depths = set(tags.get(BITS, (1,)))
+    bits, kind, scheme, predictor = one(BITS, 1), one(SAMPLE_FORMAT, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if len(depths) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64) or kind not in (1, 2, 3) or kind == 3 and bits < 32:
+        raise ValueError(f"samples of {bits} bits and format {kind} are not supported")
+    if bits < 8 and predictor != 1:
+        raise ValueError("a predictor needs samples of whole bytes")
+    dtype = np.dtype({1: "u", 2: "i", 3: "f"}[kind] + str(max(1, bits // 8)))
+    if h * w * spp * dtype.itemsize > most:
+        raise ValueError(f"a page of {w} x {h} x {spp} samples is larger than {most} bytes")
+    planes = spp if one(PLANAR, 1) == 2 and spp > 1 else 1
+    deep = 1 if planes > 1 else spp
+    tiled = TILE_WIDTH in tags
+    bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(h, one(STRIP_ROWS, h)))
+    if not bw or not bh or bw * bh * deep * dtype.itemsize > most:
+        raise ValueError(f"blocks of {bw} x {bh} samples")
+    places, sizes = (tags[TILE_AT], tags[TILE_SIZE]) if tiled else (tags[STRIP_AT], tags[STRIP_SIZE])
+    across, down = -(-w // bw), -(-h // bh)
+    if len(places) != len(sizes) or len(places) < across * down * planes:
+        raise ValueError(f"{len(places)} blocks where {across * down * planes} are needed")
+    flip = one(FILL_ORDER, 1) == 2
+    image = np.zeros((planes, h, w, deep), dtype)
+    for n, (at, length) in enumerate(zip(places[: across * down * planes], sizes)):
+        if at + length > len(data):
+            raise ValueError("a block lies outside the file")
+        plane, n = divmod(n, across * down)
+        y, x = n // across * bh, n % across * bw
+        rows = bh if tiled else min(bh, h - y)
+        row_bytes = -(-bw * deep * bits // 8)
+        packed = data[at : at + length]
+        if flip and scheme != PLAIN:
+            # the fill order holds for the compressed bytes
+            packed = _FLIPPED[np.frombuffer(packed, np.uint8)].tobytes()
+        raw = _block(packed, scheme, rows * row_bytes)
+        if len(raw) < rows * row_bytes:
+            raise ValueError("a block ends early")
+        if bits < 8:
+            block = _samples(raw, rows, bw * deep, bits, flip and scheme == PLAIN).reshape(rows, bw, deep)
+        elif predictor == 3:
+            flat = np.frombuffer(raw, np.uint8, rows * row_bytes).reshape(rows, -1, deep).transpose(0, 2, 1)
+            summed = np.cumsum(flat, axis=2, dtype=np.uint8).transpose(0, 2, 1).reshape(rows, dtype.itemsize, bw * deep)
+            block = np.ascontiguousarray(summed.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, bw, deep).astype(dtype)
+        else:
+            block = np.frombuffer(raw, dtype.newbyteorder(order), rows * bw * deep).reshape(rows, bw, deep)
+            if predictor == 2:
+                block = np.cumsum(block.astype(dtype), axis=1, dtype=dtype)
+        got = block[: h - y, : w - x]
+        image[plane, y : y + got.shape[0], x : x + got.shape[1]] = got
+    pixels = image.transpose(1, 2, 0, 3).reshape(h, w, spp)
+    return pixels[:, :, 0] if spp == 1 else pixels
+
+
+#: Bytes of one page's samples, and of one of its blocks, at most: more is an error of that page.
+MOST = 1 << 30
+_FLIPPED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)[:, ::-1], axis=1).ravel()
+
+
+def pages(data: bytes, most: int = MOST):
+    """(index, page or the error that kept it from being read) in the order of the directories.
+
+    A page that can't be read doesn't keep the others from it; where a directory itself is broken, the walk ends with its error.
+    """
+    walk, index = _directories(data), 0
+    while True:
+        try:
+            order, tags = next(walk)
+        except StopIteration:
+            return
+        except Exception as e:  # noqa: BLE001
+            yield index, e
+            return
+        try:
+            yield index, Page(index, tags, _page(data, order, tags, most))
+        except Exception as e:  # noqa: BLE001
+            yield index, e
+        index += 1
+
+
 def decode(data: bytes) -> list[Page]:
-    """All pages of a file, in the order of its directories."""
+    """All pages of a file, in the order of its directories; raises at the first that can't be read."""
     out = []
-    for index, (order, tags) in enumerate(_directories(data)):
-        one = lambda t, d=None: tags[t][0] if t in tags else d  # noqa: B023, E731
-        w, h, spp = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        bits, kind = one(BITS, 1), one(SAMPLE_FORMAT, 1)
-        if bits not in (8, 16, 32, 64):
-            raise ValueError(f"samples of {bits} bits are not supported")
-        dtype = np.dtype({1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8))
-        planes = spp if one(PLANAR, 1) == 2 and spp > 1 else 1
-        deep = 1 if planes > 1 else spp
-        image = np.zeros((planes, h, w, deep), dtype)
-        tiled = TILE_WIDTH in tags
-        bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(h, one(STRIP_ROWS, h)))
-        places, sizes = (tags[TILE_AT], tags[TILE_SIZE]) if tiled else (tags[STRIP_AT], tags[STRIP_SIZE])
-        across, down = -(-w // bw), -(-h // bh)
-        for n, (at, length) in enumerate(zip(places, sizes)):
-            plane, n = divmod(n, across * down)
-            y, x = n // across * bh, n % across * bw
-            rows = bh if tiled else min(bh, h - y)
-            raw = _block(data[at : at + length], one(COMPRESSION, 1), rows * bw * deep * dtype.itemsize)
-            if one(PREDICTOR, 1) == 3:
-                flat = np.frombuffer(raw, np.uint8).reshape(rows, deep, -1) if deep == 1 else np.frombuffer(raw, np.uint8).reshape(rows, -1, deep).transpose(0, 2, 1)
-                summed = np.cumsum(flat, axis=2, dtype=np.uint8).transpose(0, 2, 1).reshape(rows, dtype.itemsize, bw * deep)
-                block = np.ascontiguousarray(summed.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, bw, deep).astype(dtype)
-            else:
-                block = np.frombuffer(raw, dtype.newbyteorder(order), rows * bw * deep).reshape(rows, bw, deep)
-                if one(PREDICTOR, 1) == 2:
-                    block = np.cumsum(block.astype(dtype), axis=1, dtype=dtype)
-            got = block[: h - y, : w - x]
-            image[plane, y : y + got.shape[0], x : x + got.shape[1]] = got
-        pixels = image.transpose(1, 2, 0, 3).reshape(h, w, spp)
-        out.append(Page(index, tags, pixels[:, :, 0] if spp == 1 else pixels))
+    for _, page in pages(data):
+        if isinstance(page, Exception):
+            raise page
+        out.append(page)
     return out

@@ -1,12 +1,13 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 A vector's two halves are quantised by separate codebooks (k-means over a
-bounded sample), so every row falls into one of codes * codes cells. A query
-walks the pairs of centroids in the order of their summed squared distance,
-with a heap that holds the frontier, until the visited cells hold enough rows.
-The sum at which it stops tells for any row whether its cell was visited, so the
-rows can lie in blocks of even size, however full single cells are; each block
-reranks the visited entries by the exact distance and passes on its best ones.
+bounded sample), so every row falls into one of codes * codes cells, whose inverted
+lists hold the rows. A query walks the pairs of centroids in the order of their summed
+squared distance, with a heap that holds the frontier, until the visited cells
+hold enough rows. Neighbouring cells lie in blocks of even size (a cell larger than a
+block in several). Each row goes to its block and each query to the blocks of the
+cells that it visits, once; there it opens those lists alone, reranks their entries by
+the exact distance and passes on its best ones.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .scratch import Scratch
 
 #: Rows that the codebooks are fitted on, at most (chosen by a hash of the id).
 SAMPLE = 20_000
-#: Rows and queries of a block, about.
-BLOCK_ROWS, BLOCK_QUERIES = 10_000, 1_000
+#: Rows of a block, about.
+BLOCK_ROWS = 10_000
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 7, rounds: int = 15) -> np.ndarray:
@@ -51,13 +52,13 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
 
 
-def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[list[int], float]:
-    """Cells in the order of left[i] + right[j] until they hold ``enough`` rows, and the last sum."""
+def walk(left: np.ndarray, right: np.ndarray, sizes: list[int], enough: int) -> list[int]:
+    """Non-empty cells in the order of left[i] + right[j] until they hold ``enough`` rows."""
     a, b = np.argsort(left, kind="stable").tolist(), np.argsort(right, kind="stable").tolist()
     x, y, n = left[a].tolist(), right[b].tolist(), len(b)
-    heap, out, have, last = [(x[0] + y[0], 0, 0)], [], 0, 0.0
+    heap, out, have = [(x[0] + y[0], 0, 0)], [], 0
     while heap and have < enough:
-        last, i, j = heapq.heappop(heap)
+        _, i, j = heapq.heappop(heap)
         cell = a[i] * n + b[j]
         if sizes[cell]:
             out.append(cell)
@@ -67,7 +68,7 @@ def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, enough: int) ->
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(a):
             heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
-    return out, last
+    return out
 
 
 def usable(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -77,13 +78,13 @@ def usable(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     return v.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, codes: int = 128, share: float = 0.35, least: int = 2_000, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, codes: int = 256, share: float = 0.32, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     other rows. score is the Euclidean distance in double precision on the
     original vectors; equal distances go to the smaller id. A query's walk ends
-    when its cells hold ``share`` of all rows, and ``least`` rows at least.
+    when its cells hold ``share`` of all rows, whatever their number, and ``k`` besides its own at least.
 
     Defined cases: vectors that are null, empty, zero or have null or
     non-finite components take no part, neither do rows with a null id or with
@@ -124,45 +125,86 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, codes: int = 1
     sizes = [0] * n_cells
     for r in rows.groupBy("cell").count().collect():  # at most codes * codes rows
         sizes[r["cell"]] = r["count"]
-    enough = max(least, math.ceil(total * share))
+    enough = max(math.ceil(total * share), k + 1)
+    # cells in runs of about BLOCK_ROWS rows; a larger cell is dealt to blocks of its own
+    first, parts, at, have = [0] * n_cells, [1] * n_cells, 0, 0
+    for cell, n in enumerate(sizes):
+        if n > BLOCK_ROWS:
+            at += have > 0
+            first[cell], parts[cell], have = at, math.ceil(n / BLOCK_ROWS), 0
+            at += parts[cell]
+        else:
+            if have + n > BLOCK_ROWS:
+                at, have = at + 1, 0
+            first[cell], have = at, have + n
 
     def sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(m[:, :half], books[0]), squared(m[:, half:], books[1]) if n_right > 1 else np.zeros((len(m), 1))
 
-    def visit(batches):
+    _ENTRY = "block int, kind byte, id long, v array<double>, cells array<int>"
+    names = ["block", "kind", "id", "v", "cells"]
+    one_list = lambda lists: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32)))
+
+    def entries(batches):
+        """Rows with their block: the parts of a large cell in turn."""
+        turn = 0
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            block = np.array(first, np.int64)[cell] + (np.arange(turn, turn + len(cell)) % np.array(parts)[cell])
+            turn += len(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.zeros(len(cell), np.int8)), b.column("vec_id"), b.column("v"), one_list(cell[:, None])], names=names)
+
+    def visits(batches):
+        """A row for each block that holds cells of a query's walk, with those cells."""
+        for b in batches:
+            for r, (p, q) in enumerate(zip(*sums(matrix(b.column("v"))))):
+                cells = np.array(walk(p, q, sizes, enough), np.int64)
+                times = np.array(parts)[cells]
+                held = np.repeat(cells, times)
+                block = np.array(first)[held] + np.arange(len(held)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.argsort(block, kind="stable")
+                block, held = block[order], held[order]
+                cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                same = pa.array(np.full(len(cut), r))
+                yield pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int32)), pa.array(np.ones(len(cut), np.int8)), b.column("vec_id").take(same), b.column("v").take(same), one_list(np.split(held, cut[1:]))], names=names)
+
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().repartition("vec_id")
+    dealt = rows.select("vec_id", "v", "cell").mapInArrow(entries, _ENTRY).unionByName(asked.mapInArrow(visits, _ENTRY))
+
+    def rerank(batches):
+        """Entries of a block come first and are held, by cell; then its queries, one by one."""
+        now, held, lists = None, [], None
         for b in batches:
-            stop = [walk(p, q, sizes, enough)[1] for p, q in zip(*sums(matrix(b.column("v"))))]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(stop, pa.float64())], names=["query_id", "q", "stop"])
-
-    asked = scratch.table(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().repartition("vec_id").mapInArrow(visit, "query_id long, q array<double>, stop double"))
-    blocks, parts = max(1, math.ceil(total / BLOCK_ROWS)), max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # the row's own number keeps a repeated id from filling one block
-    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("part", every_of(parts))
-    right = asked.withColumn("part", deal("query_id", parts)).withColumn("block", every_of(blocks))
-
-    def rerank(cand: pa.Table, ask: pa.Table) -> pa.Table:
-        found = []
-        if cand.num_rows and ask.num_rows:
-            c, ids = (cand.column(n).combine_chunks() for n in ("v", "vec_id"))
-            c, ids, cell = matrix(c), ids.to_numpy(), cand.column("cell").to_numpy()
-            i, j = cell // n_right, cell % n_right
-            q = matrix(ask.column("q").combine_chunks())
-            for qid, one, stop, p, r in zip(ask.column("query_id").to_pylist(), q, ask.column("stop").to_pylist(), *sums(q)):
-                # sums are computed anew: a rounding's width more keeps the last cells in
-                seen = np.flatnonzero(p[i] + r[j] <= stop * (1 + 1e-9) + 1e-12)
-                seen = seen[ids[seen] != qid]
-                d = np.sqrt(((c[seen] - one) ** 2).sum(1))
-                few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                few = few[np.lexsort((ids[seen[few]], d[few]))][:k]
-                found.append((qid, one, ids[seen[few]], d[few]))
-        rep = np.repeat(np.arange(len(found)), [len(f[2]) for f in found]) if found else np.zeros(0, np.int64)
-        flat = lambda n, t: np.concatenate([f[n] for f in found]).astype(t) if found else np.zeros(0, t)
-        key = [zlib.crc32(f[1].tobytes()) for f in found]
-        return pa.table({"query_id": pa.array([found[x][0] for x in rep], pa.int64()), "q": pa.array([key[x] for x in rep], pa.int64()), "vec_id": pa.array(flat(2, np.int64)), "score": pa.array(flat(3, np.float64))})
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(rerank, "query_id long, q long, vec_id long, score double")
+            block, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])])).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(block)]):
+                piece = b.slice(i, j - i)
+                if block[i] != now:
+                    now, held, lists = block[i], [], None
+                if kind[i] == 0:
+                    held.append((matrix(piece.column("v")), piece.column("id").to_numpy(), piece.column("cells").flatten().to_numpy()))
+                    continue
+                if lists is None and held:
+                    c, ids, cell = (np.concatenate([h[x] for h in held]) for x in range(3))
+                    order = np.argsort(cell, kind="stable")
+                    kinds, starts = np.unique(cell[order], return_index=True)
+                    lists = (c[order], ids[order], kinds, np.append(starts, len(cell)))
+                if lists is None:
+                    continue
+                c, ids, kinds, starts = lists
+                out = []
+                for qid, one, cells in zip(piece.column("id").to_pylist(), matrix(piece.column("v")), piece.column("cells")):
+                    open_ = np.flatnonzero(np.isin(kinds, cells.values.to_numpy(), assume_unique=True))
+                    seen = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in open_.tolist()] or [np.zeros(0, np.int64)])
+                    seen = seen[ids[seen] != qid]
+                    d = np.sqrt(((c[seen] - one) ** 2).sum(1))
+                    few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    few = few[np.lexsort((ids[seen[few]], d[few]))][:k]
+                    out.append((np.full(len(few), qid), np.full(len(few), zlib.crc32(one.tobytes())), ids[seen[few]], d[few]))
+                cols = [np.concatenate(x) for x in zip(*out)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cols[:3]), pa.array(cols[3])], names=["query_id", "q", "vec_id", "score"])
+
+    found = dealt.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(rerank, "query_id long, q long, vec_id long, score double")
     order = W.partitionBy("query_id", "q").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import types as T
 
 from siltgate.llm import ann, urlfilter
@@ -14,20 +16,24 @@ def test_walk_visits_pairs_in_order():
     rng = np.random.default_rng(0)
     left, right = rng.random(6), rng.random(5)
     sizes = np.ones(30, np.int64)
-    order, last = ann.walk(left, right, sizes.tolist(), 30)
+    order = ann.walk(left, right, sizes.tolist(), 30)
     sums = [left[c // 5] + right[c % 5] for c in order]
     assert sorted(order) == list(range(30)) and all(a <= b + 1e-12 for a, b in zip(sums, sums[1:]))
-    assert ann.walk(left, right, sizes.tolist(), 7) == (order[:7], sums[6]) and last == sums[-1] and heapq.nsmallest(1, sums)[0] == sums[0]
+    assert ann.walk(left, right, sizes.tolist(), 7) == order[:7] and heapq.nsmallest(1, sums)[0] == sums[0]
+    sizes[order[:3]] = 0
+    assert ann.walk(left, right, sizes.tolist(), 4) == order[3:7]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("block", [10_000, 100])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 16))
     x = (centres[rng.integers(0, 8, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
     x[50:400] = x[0]  # a hot vector
     rows = [(i, v.tolist(), "r") for i, v in enumerate(x)]
     rows += [(5000, None, "r"), (5100, [0.0] * 16, "r"), (5200, [float("nan")] + [1.0] * 15, "r"), (5300, [1.0, 2.0], "r"), (None, x[3].tolist(), "r"), (5400, [None] + [1.0] * 15, "r")]
-    out = ann.neighbours(spark.createDataFrame(rows, VECS), k=10, every=100, least=400).collect()
+    out = ann.neighbours(spark.createDataFrame(rows, VECS), k=10, every=100).collect()
     got = {}
     for r in out:
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -45,6 +51,23 @@ def test_against_brute_force(spark):
     assert [v for _, v, _ in got[0]] == list(range(50, 60)) and [v for _, v, _ in got[100]] == [0, *range(50, 59)]
 
 
+def test_recall_without_structure(spark):
+    # independent normal components: the hardest case for any index, at the default settings
+    x = np.random.default_rng(6).normal(size=(20_000, 64))
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    out = ann.neighbours(rows)
+    assert "CoGroup" not in (plan := out._jdf.queryExecution().toString()) and "CartesianProduct" not in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(np.argpartition(d, 10)[:10].tolist()))
+    assert len(got) == 200 and hits >= 0.9 * 2000, hits
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b")]
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.neighbours(spark.createDataFrame(rows, VECS)).collect()] == [(0, 1, 1)]

@@ -1,9 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions, hash-prefix join, digest confirmation.
 
-Each URL is expanded into the expressions that a rule could name: every suffix
-of its host at a label boundary, with every prefix of its path that ends at a
-slash, the whole path, and the prefixes of the lengths of those rule paths that
-do not end at a slash. Expressions meet the rules in an equi-join on the first
+Each URL is expanded into the expressions that a rule could name: the suffixes
+of its host at a label boundary, with the prefixes of its path, both of the
+lengths that rules have, so a long URL has no more of them than a short one. Expressions meet the rules in an equi-join on the first
 four bytes of their SHA-256; the full digests then confirm the pairs, and the
 longest confirmed rule decides.
 """
@@ -35,21 +34,16 @@ def parts(url) -> tuple:
     return F.when(has, _lower(host)).otherwise(F.lit("")), F.when(has, path).otherwise(F.lit(""))
 
 
-def _hosts(host):
+def _hosts(host, most: int):
+    """The host's suffixes at a label boundary, with at most as many labels as a rule has."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    return F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
 
 
 def _paths(path, lengths: list[int]):
-    """Every prefix of the path that a rule could name."""
-    pieces = F.split(path, "/", -1)
-    slashed = F.when(
-        F.size(pieces) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.array_join(F.slice(pieces, 1, i), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
+    """The path's prefixes of the lengths that rules have."""
     listed = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    cut = F.transform(F.filter(listed, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
-    return F.array_distinct(F.concat(slashed, F.array(path), cut))
+    return F.transform(F.filter(listed, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -67,7 +61,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     """
     rules = rules.select(_lower(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> '' and verdict is not null").distinct()
     # The distinct lengths of rule paths: at most as many as a URL has characters.
-    lengths = sorted(r[0] for r in rules.where("path <> '' and not endswith(path, '/')").select(F.length("path")).distinct().collect())
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    most = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1
     rules = rules.withColumn("text", F.concat("host", "path"))
     digest = lambda c: F.unhex(F.sha2(c, 256))
     keyed = rules.select(
@@ -78,7 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = parts(F.col(url))
     rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*kept).alias("_page"), host.alias("_host"), path.alias("_path"))
-    wide = rows.select("_row", "_page", "_host", "_path", F.explode(_hosts(F.col("_host"))).alias("h")).select("*", F.explode(_paths(F.col("_path"), [0, *lengths])).alias("p"))
+    wide = rows.select("_row", "_page", "_host", "_path", F.explode(_hosts(F.col("_host"), most)).alias("h")).select("*", F.explode_outer(_paths(F.col("_path"), lengths)).alias("p"))
     wide = wide.withColumn("digest", digest(F.concat_ws("\0", "h", "p"))).withColumn("short", F.substring("digest", 1, 4))
     if keyed.count() <= BROADCAST_RULES:
         met = wide.join(F.broadcast(keyed), "short", "left")

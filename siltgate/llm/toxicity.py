@@ -14,6 +14,7 @@ documents that the earlier ones leave unexplained.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 from .shingles import text_slices
@@ -44,7 +46,7 @@ BIAS = 2.0
 
 OTHER, INSULT, DENIED, QUOTED, THREATEN, TARGET, NEGATE, REPORT = range(8)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-_CLAUSE = re.compile(r"[.!?;\n]+")
+_CUT = re.compile(r"[.!?;\n]")
 
 
 @dataclass
@@ -131,13 +133,14 @@ class Scorer:
 
     def score(self, text: str) -> float:
         low = text.lower()
-        top, hits, seen = 0.0, 0, -1
+        top, hits, seen, cuts = 0.0, 0, -1, None
         for end, _ in self.find.iter(low):
             if end <= seen:
                 continue
-            a = max(low.rfind(c, 0, end) for c in ".!?;\n") + 1
-            m = _CLAUSE.search(low, end + 1)
-            seen = m.start() if m else len(low)
+            if cuts is None:
+                cuts = [m.start() for m in _CUT.finditer(low)]
+            at = bisect.bisect_left(cuts, end)
+            a, seen = cuts[at - 1] + 1 if at else 0, cuts[at] if at < len(cuts) else len(low)
             w = self.clause(low[a:seen])
             hits += w > BIAS
             top = max(top, w)
@@ -223,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
 
 def score(docs: DataFrame, words: dict[str, float], beginnings: dict[str, float], threshold: float = 0.7) -> DataFrame:
-    """``docs`` with score (double, 0 to 1) and predicted (int), from the text alone."""
+    """``docs`` with score (double, 0 to 1) and predicted (int), from the text alone; own columns of those names are replaced."""
     made = {"score", "predicted"}
     keep = [f for f in docs.schema if f.name not in made]
     names = [f.name for f in keep]
@@ -235,7 +238,7 @@ def score(docs: DataFrame, words: dict[str, float], beginnings: dict[str, float]
                 got = np.array([s.score(t or "") for t in b.column("text").to_pylist()], np.float64)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "score double, predicted int"])
+    schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(*names).mapInArrow(run, schema)
 
 

@@ -49,6 +49,10 @@ VALID = {
 TERM = r"\p{L}{3,}"
 #: Tables of marked terms with at most so many rows are broadcast (under 64 MB at 640 bytes a row).
 SMALL = 100_000
+#: Pairs of a text with at most so many rows are broadcast as lists (under 64 MB at 64 bytes a pair).
+PAIRS = 1_000_000
+#: Matches of a text whose lengths are summed in one run.
+RUN = 128
 #: Probability up to which a term's meetings with an entity aren't put down to chance.
 CHANCE = 0.005
 _EMPTY = "cast(array() as array<struct<kind:string,s:int,e:int,v:string>>)"
@@ -62,13 +66,18 @@ def _found(kind: str, text: str, pattern: str, valid: str, hint: str) -> str:
     """SQL for the array of (kind, s, e, v): matches with their places in code points.
 
     The parts between matches and the matches alternate; summing their lengths
-    gives the places, and only valid matches are appended.
+    gives the places, and only valid matches are appended. The sums run over
+    runs of RUN pairs, and then inside each run, so that no long array is copied for each match.
     """
     step = f"""named_struct('p', a.p + length(coalesce(x.g, '')) + length(coalesce(x.m, '')), 'o',
         case when x.m is not null and exists(array(x.m), m -> {valid})
         then concat(a.o, array(named_struct('kind', '{kind}', 's', a.p + length(x.g), 'e', a.p + length(x.g) + length(x.m), 'v', x.m))) else a.o end)"""
     pairs = f"transform(arrays_zip(split({text}, {_quoted(pattern)}, -1), regexp_extract_all({text}, {_quoted(pattern)}, 0)), z -> named_struct('g', z.`0`, 'm', z.`1`))"
-    return f"case when {hint.format(t=text)} then aggregate({pairs}, named_struct('p', 0, 'o', {_EMPTY}), (a, x) -> {step}, a -> a.o) else {_EMPTY} end"
+    runs = f"transform(array({pairs}), y -> transform(sequence(0, (size(y) - 1) div {RUN}), i -> slice(y, i * {RUN} + 1, {RUN})))[0]"
+    size = "aggregate(r, 0, (n, x) -> n + length(coalesce(x.g, '')) + length(coalesce(x.m, '')))"
+    starts = f"aggregate({runs}, named_struct('p', 0, 'o', cast(array() as array<struct<p:int,r:array<struct<g:string,m:string>>>>)), (t, r) -> named_struct('p', t.p + {size}, 'o', concat(t.o, array(named_struct('p', t.p, 'r', r)))), t -> t.o)"
+    found = f"flatten(transform({starts}, w -> aggregate(w.r, named_struct('p', w.p, 'o', {_EMPTY}), (a, x) -> {step}, a -> a.o)))"
+    return f"case when {hint.format(t=text)} then {found} else {_EMPTY} end"
 
 
 def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
@@ -91,52 +100,68 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _alike(of: str, rows: DataFrame) -> DataFrame:
+    """``rows(line, <of>)`` to (<of>, n, class): equal classes stand in the same lines."""
+    mark = F.xxhash64(F.count("*"), F.bit_xor("line"), F.bit_xor(F.xxhash64(F.lit(of), "line")))
+    return rows.groupBy(of).agg(F.count("*").alias("n"), mark.alias("class"))
+
+
 def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, support: int = 1) -> DataFrame:
-    """``docs(_text)`` to (term): the terms that disclose an entity, from all lines of the corpus."""
+    """``docs(_text)`` to (term): the terms that disclose an entity, from all lines of the corpus.
+
+    Entities that stand in the same lines are counted as one class, and so are
+    terms, so a line gives a pair for each two classes and not for each address and word in it.
+    """
     lines = docs.select(F.explode(F.split("_text", "\n")).alias("_text")).where("_text <> ''")
     hinted = lines.where(" or ".join(f"({h.format(t='_text')})" for h in HINTS.values()))
     held = base_spans(hinted).select("_text", F.concat(*[f"_{k}" for k in KINDS]).alias("x")).where("size(x) > 0")
     held = scratch.table(held.distinct().select(F.xxhash64("_text").alias("line"), F.expr(f"array_distinct(transform(transform(x, s -> struct(s.kind as kind, s.v as v)), s -> {_entity().replace('kind', 's.kind').replace('(v', '(s.v').replace('then v ', 'then s.v ')}))").alias("entities"), F.expr(_words("_text")).alias("terms")))
-    per_entity = held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    linked = held.select("line", "terms", F.explode("entities").alias("e")).join(_maybe_broadcast(per_entity), "e")
-    met = scratch.table(linked.select("e", "n_e", F.explode("terms").alias("term")).groupBy("e", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
+    entities = held.select("line", F.explode("entities").alias("e"))
+    terms = held.select("line", F.explode("terms").alias("term"))
+    of_e = scratch.table(_alike("e", entities).where(F.col("n") >= support))
+    of_t = scratch.table(_alike("term", terms))
+    met_e = entities.join(_maybe_broadcast(of_e), "e").select("line", F.col("class").alias("ce"), F.col("n").alias("n_e")).distinct()
+    met_t = terms.join(_maybe_broadcast(of_t), "term").select("line", F.col("class").alias("ct"), F.col("n").alias("n_held")).distinct()
+    met = scratch.table(met_e.join(met_t, "line").groupBy("ce", "ct", "n_e", "n_held").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
     if met.isEmpty():
-        return met.select("term")
+        return terms.select("term").limit(0)
     # distinct lines by hash: all lines of all documents count, copies once
     n_lines = lines.select(F.xxhash64("_text").alias("line")).distinct().count()
     pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(n_lines)) / (F.col(n_t) * F.col("n_e")))
     content = F.log(F.lit(float(n_lines)) / F.col("n_e"))
     discloses = lambda n_t: (pmi(n_t) >= share * content) & (F.col("n_et") * pmi(n_t) >= -math.log(CHANCE))
     # n_t is at least the number of held lines with the term: common terms fail on that bound already
-    in_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
-    met = scratch.table(met.join(in_held, "term").where((content > 0) & discloses("n_held")).drop("n_held"))
+    some = met.where((content > 0) & discloses("n_held")).select(F.col("ct").alias("class"), "n_e", "n_et").distinct()
+    met = scratch.table(of_t.select("term", "class").join(_maybe_broadcast(scratch.table(some)), "class").drop("class"))
     if met.isEmpty():
         return met.select("term")
-    terms = met.select("term").distinct()
-    of_line = lines.select(F.xxhash64("_text").alias("line"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(terms), "term")
+    known = scratch.table(met.select("term").distinct())
+    of_line = lines.select(F.xxhash64("_text").alias("line"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(known), "term")
     per_term = of_line.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     return scratch.table(met.join(per_term, "term").where(discloses("n_t")).select("term").distinct())
 
 
 def annotated(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
-    """``docs`` with _text (null as empty), _email, _ip, _card, _phone and _term.
+    """``docs`` as _row (a struct of its columns), _text (null as empty), _email, _ip, _card, _phone and _term.
 
-    Each is an array of (kind, s, e, v) in the order of s: code points, e
+    Each of the last five is an array of (kind, s, e, v) in the order of s: code points, e
     exclusive. _term has the occurrences of disclosing terms that don't touch a base span.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     terms = disclosing_terms(rows.select("_text"), scratch, share, support)
     found = base_spans(rows)
     if terms.isEmpty():
         return found.withColumn("_term", F.expr(_EMPTY))
     # which marked terms a text has, by the text's hash: copies are looked up once
     texts = rows.select(F.xxhash64("_text").alias("_key"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(terms), "term")
-    marked = scratch.table(texts.distinct().groupBy("_key").agg(F.collect_list("term").alias("_marked")))
-    word = _found("term", "_text", TERM, "true", "true")
+    pairs = scratch.table(texts.distinct())
+    marked = pairs.groupBy("_key").agg(F.collect_list("term").alias("_marked"))
+    word = _found("term", "_text", TERM, "array_contains(_marked, lower(m))", "true")
     touches = " or ".join(f"exists(_{k}, b -> b.s < w.e and w.s < b.e)" for k in KINDS)
-    spans = F.expr(f"case when _marked is null then {_EMPTY} else filter({word}, w -> array_contains(_marked, lower(w.v)) and not ({touches})) end")
-    return found.withColumn("_key", F.xxhash64("_text")).join(_maybe_broadcast(marked), "_key", "left").withColumn("_term", spans).drop("_key", "_marked")
+    spans = F.expr(f"case when _marked is null then {_EMPTY} else filter({word}, w -> not ({touches})) end")
+    side = F.broadcast(marked) if pairs.count() <= PAIRS else marked
+    return found.withColumn("_key", F.xxhash64("_text")).join(side, "_key", "left").withColumn("_term", spans).drop("_key", "_marked")
 
 
 def span_table(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
@@ -152,7 +177,7 @@ def span_table(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFra
     """
     told = lambda ks: F.expr(f"array_join(transform(concat({', '.join('_' + k for k in ks)}), x -> concat(x.kind, ':', x.s, ':', x.e)), ',')")
     out = annotated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), share, support)
-    return out.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(told(KINDS), 256).alias("base_sha256"), told((*KINDS, "term")).alias("spans"), F.size("_term").cast("long").alias("n_term"))
+    return out.select(F.col("_row.doc_id").alias("doc_id"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(told(KINDS), 256).alias("base_sha256"), told((*KINDS, "term")).alias("spans"), F.size("_term").cast("long").alias("n_term"))
 
 
 def sanitised(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
@@ -160,13 +185,21 @@ def sanitised(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFram
 
     Where spans overlap, the one that starts first covers the others; the
     stretch that they cover together is replaced once. Texts without spans stay
-    as they are, null included.
+    as they are, null and empty included. All other columns, whatever their names, are returned
+    untouched; repeated rows are changed alike, a row each; a null doc_id or no doc_id at all
+    makes no difference; an empty table gives an empty result. Texts are searched whole; equal counts leave no tie to break.
     """
-    names = docs.columns
     out = annotated(docs, share, support)
     joined = f"array_sort(concat({', '.join('_' + k for k in (*KINDS, 'term'))}), (l, r) -> case when l.s <> r.s then l.s - r.s else r.e - l.e end)"
     put = "case when x.kind = 'term' then '' else concat('[', upper(x.kind), ']') end"
-    text = f"""aggregate({joined}, named_struct('p', 0, 'o', ''), (a, x) -> case when x.s < a.p then named_struct('p', greatest(a.p, x.e), 'o', a.o)
-        else named_struct('p', x.e, 'o', concat(a.o, substring(_text, a.p + 1, x.s - a.p), {put})) end, a -> concat(a.o, substring(_text, a.p + 1)))"""
+    # pieces are joined once at the end, and gathered in runs, so a text is copied a few times only
+    step = f"""case when x.s < a.p then named_struct('p', greatest(a.p, x.e), 'o', a.o)
+        else named_struct('p', x.e, 'o', concat(a.o, array(substring(_text, a.p + 1, x.s - a.p), {put}))) end"""
+    run = f"aggregate(slice(y, i * {RUN} + 1, {RUN}), named_struct('p', b.p, 'o', cast(array() as array<string>)), (a, x) -> {step}, a -> named_struct('p', a.p, 'o', concat(b.o, array(array_join(a.o, '')))))"
+    text = f"""transform(array({joined}), y -> aggregate(sequence(0, (size(y) - 1) div {RUN}), named_struct('p', 0, 'o', cast(array() as array<string>)), (b, i) -> {run},
+        b -> concat(array_join(b.o, ''), substring(_text, b.p + 1))))[0]"""
     some = " + ".join(f"size(_{k})" for k in (*KINDS, "term"))
-    return out.withColumn("text", F.expr(f"case when {some} = 0 then text else {text} end")).select(*names)
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c != "text"]
+    new = F.expr(f"case when {some} = 0 then cast(_row.text as string) else {text} end").alias("text")
+    at = docs.columns.index("text")
+    return out.select(*kept[:at], new, *kept[at:])

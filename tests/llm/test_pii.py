@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from siltgate.llm import pii
@@ -73,3 +75,64 @@ def test_entities_of_one_line_take_part(spark):
     assert not {w for _, w in marked} & {"common", "words", "wrote", "about", "filler", "case"}
     got = {r.doc_id: r.text for r in pii.sanitised(df).where("doc_id = 2001").collect()}
     assert got == {2001: "a memo names  with common words"}
+
+
+def entities_of(line):
+    out = set()
+    for k, a, b in (x.split(":") for x in brute(line).split(",") if x):
+        v = line[int(a) : int(b)]
+        out.add((k, v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)))
+    return out
+
+
+def brute_terms(texts, share=0.9):
+    """The disclosing terms by counting every term with every value over the distinct lines."""
+    lines = {x for t in texts for x in (t or "").split("\n") if x}
+    n, ents, terms, both = len(lines), {}, {}, {}
+    for x in lines:
+        found, words = entities_of(x), set(re.findall(r"[^\W\d_]{3,}", re.sub(KINDS[0][1], " ", x).lower()))
+        for e in found:
+            ents[e] = ents.get(e, 0) + 1
+        for w in words:
+            terms[w] = terms.get(w, 0) + 1
+            for e in found:
+                both[w, e] = both.get((w, e), 0) + 1
+    out = set()
+    for (w, e), m in both.items():
+        pmi, ic = math.log(m * n / (terms[w] * ents[e])), math.log(n / ents[e])
+        if ic > 0 and pmi >= share * ic and m * pmi >= -math.log(pii.CHANCE):
+            out.add(w)
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(12)
+    names = ["Alba", "Boro", "Cele", "Duna", "Etta", "Faro"]
+    rows = []
+    for i in range(900):
+        line = [rng.choice(["some", "text", "about", "nothing", "much", "today", "green", "water"]) for _ in range(6)]
+        if i % 5 == 0:
+            k = rng.randrange(len(names))
+            line += [names[k], f"p{k}@mail.org" if rng.random() < 0.9 else f"p{(k + 1) % 6}@mail.org"]
+        elif i % 37 == 0:
+            line.append(rng.choice(names))
+        if i % 90 == 0:
+            line += [f"only{'abcdefghij'[i // 90]}", f"u{i}@x.org", f"v{i}@x.org"]
+        rows.append((i, " ".join(line) + f"\nline {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} of its own"))
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]
+    want = brute_terms([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term for r in pii.disclosing_terms(df.select(df.text.alias("_text")), pii.Scratch(spark, "t")).collect()}
+    assert got == want and len(want) >= 5 and "water" not in want
+
+
+def test_long_texts_and_lines_take_linear_time(spark):
+    import time
+
+    many = " ".join(f"w{'abcdefghij'[i % 10] * (1 + i // 10 % 7)} a{i}@b.co" for i in range(4000))
+    df = spark.createDataFrame([(1, many), (2, many + "\n" + many + " x"), (3, "word " * 60_000 + " z@z.org Zorro"), (4, "Zorro came z@z.org")], "doc_id long, text string")
+    pii.sanitised(df.limit(1)).collect()
+    began = time.time()
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert time.time() - began < 30
+    assert out[1].count("[EMAIL]") == 4000 and "@" not in out[2] and out[3].count("word") == 60_000

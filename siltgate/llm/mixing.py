@@ -72,14 +72,16 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 1
 
     Defined cases: a null source or language is a value of its own; a null or
     empty text has no tokens and topic snippet; documents of cells without
-    tokens have weight 0 and are not kept; a null doc_id hashes as an empty
-    one; repeated rows are decided alike; an empty table gives an empty result.
-    Columns named as the new ones are replaced, all others returned.
+    tokens have weight 0 and are not kept; a null doc_id is decided by its
+    text; repeated rows are decided alike; an empty table gives an empty result.
+    Columns named as the new ones are replaced, all others returned untouched, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     powers = powers or POWERS
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.drop("weight", "probability", "kept").withColumn("n_tokens", n_tokens(text)).withColumn("topic", topic(text, F.col("n_tokens")))
+    made = ("topic", "n_tokens", "weight", "probability", "kept")
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "source", "lang", text.alias("text"))
+    rows = own.withColumn("n_tokens", n_tokens(F.col("text"))).withColumn("topic", topic(F.col("text"), F.col("n_tokens")))
     counted = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     raked = rake(counted, scratch, powers, rounds).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.when(F.col("share") > 0, F.col("weight") / F.col("share")).otherwise(0.0).alias("weight"))
     raked = scratch.table(raked)
@@ -87,6 +89,7 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = 1
     side = F.broadcast(raked) if raked.count() <= SMALL else raked
     same = [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in MARGINS]
     out = rows.join(side, same[0] & same[1] & same[2], "left").drop(*[f"_{m}" for m in MARGINS])
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce("doc_id", F.concat(F.lit("text:"), F.md5("text"))))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     out = out.withColumn("probability", F.when(F.lit(top) > 0, F.col("weight") / F.lit(top or 1.0)).otherwise(0.0))
-    return out.withColumn("kept", chance < F.col("probability"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in made]
+    return out.withColumn("kept", chance < F.col("probability")).select(*kept, *made)

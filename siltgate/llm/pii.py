@@ -49,6 +49,8 @@ VALID = {
 TERM = r"\p{L}{3,}"
 #: Tables of marked terms with at most so many rows are broadcast (under 64 MB at 640 bytes a row).
 SMALL = 100_000
+#: Lists of terms alone with at most so many rows are broadcast (about 64 MB).
+TERMS = 1_000_000
 #: Pairs of a text with at most so many rows are broadcast as lists (under 64 MB at 64 bytes a pair).
 PAIRS = 1_000_000
 #: Matches of a text whose lengths are summed in one run.
@@ -125,8 +127,11 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, supp
     met = scratch.table(met_e.join(met_t, "line").groupBy("ce", "ct", "n_e", "n_held").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
     if met.isEmpty():
         return terms.select("term").limit(0)
-    # distinct lines by hash: all lines of all documents count, copies once
-    n_lines = lines.select(F.xxhash64("_text").alias("line")).distinct().count()
+    # all lines of all documents count, copies once. Only the distinct lines are shuffled, not their words: those are
+    # counted where they stand. The empty term stands in every line.
+    words = F.explode(F.expr(f"concat(array(''), {_words('_text')})"))
+    vocabulary = scratch.table(lines.distinct().select(words.alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    n_lines = vocabulary.where("term = ''").first()["n_t"]
     pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(n_lines)) / (F.col(n_t) * F.col("n_e")))
     content = F.log(F.lit(float(n_lines)) / F.col("n_e"))
     discloses = lambda n_t: (pmi(n_t) >= share * content) & (F.col("n_et") * pmi(n_t) >= -math.log(CHANCE))
@@ -135,10 +140,7 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, share: float = 0.9, supp
     met = scratch.table(of_t.select("term", "class").join(_maybe_broadcast(scratch.table(some)), "class").drop("class"))
     if met.isEmpty():
         return met.select("term")
-    known = scratch.table(met.select("term").distinct())
-    of_line = lines.select(F.xxhash64("_text").alias("line"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(known), "term")
-    per_term = of_line.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return scratch.table(met.join(per_term, "term").where(discloses("n_t")).select("term").distinct())
+    return scratch.table(met.join(vocabulary, "term").where(discloses("n_t")).select("term").distinct())
 
 
 def annotated(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFrame:
@@ -154,7 +156,7 @@ def annotated(docs: DataFrame, share: float = 0.9, support: int = 1) -> DataFram
     if terms.isEmpty():
         return found.withColumn("_term", F.expr(_EMPTY))
     # which marked terms a text has, by the text's hash: copies are looked up once
-    texts = rows.select(F.xxhash64("_text").alias("_key"), F.explode(F.expr(_words("_text"))).alias("term")).join(_maybe_broadcast(terms), "term")
+    texts = rows.select(F.xxhash64("_text").alias("_key"), F.explode(F.expr(_words("_text"))).alias("term")).join(F.broadcast(terms) if terms.count() <= TERMS else terms, "term")
     pairs = scratch.table(texts.distinct())
     marked = pairs.groupBy("_key").agg(F.collect_list("term").alias("_marked"))
     word = _found("term", "_text", TERM, "array_contains(_marked, lower(m))", "true")

@@ -32,7 +32,7 @@ ALIASES = {
     "zh": {"功能": "feat", "修复": "fix", "文档": "docs", "样式": "style", "重构": "refactor", "性能": "perf", "测试": "test", "构建": "build", "部署": "ci", "杂务": "chore", "回退": "revert"},
 }
 #: Lock files that strict JSON checks leave out by default.
-LOCK_FILES = ["package-lock.json", "composer.lock", "Pipfile.lock", "packages.lock.json", "npm-shrinkwrap.json"]
+LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Pipfile.lock", "Gemfile.lock", "Cargo.lock", "go.sum"]
 
 
 @dataclass

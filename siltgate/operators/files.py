@@ -37,7 +37,7 @@ def binary_findings(paths: DataFrame, cfg: PolicyConfig, attributes: DataFrame |
         tracked = attributes.where(F.col("filter") == "lfs").select("path").distinct()
         lfs, block = rows.where("policy = 'lfs'").join(tracked, "path", "left_anti"), rows.where("policy = 'block'")
         rows = lfs.unionByName(block)
-    return finding(rows, "binary_file", F.concat(F.lit("binary_"), F.col("policy")))
+    return finding(rows, "binary", F.concat(F.lit("binary_"), F.col("policy")))
 
 
 def binary_files(corpus: DataFrame, cfg: PolicyConfig, attributes: DataFrame | None = None) -> DataFrame:

@@ -9,29 +9,63 @@ from ..config import PolicyConfig
 from ..functions import globs
 from .findings import finding
 
-#: Cache and build folders by name, and what proves one: a file beside it (p), inside it (f),
-#: a folder inside it (d), Python sources beside it (y), or its name alone (n).
-CACHE_DIRS = {
-    "node_modules": ["p:package.json"], ".next": ["p:package.json"], ".nuxt": ["p:package.json"], ".turbo": ["p:package.json"], ".parcel-cache": ["p:package.json"], ".svelte-kit": ["p:package.json"],
-    "dist": ["p:package.json", "p:setup.py", "p:pyproject.toml"], "build": ["p:package.json", "p:build.gradle", "p:build.gradle.kts", "p:setup.py", "p:pyproject.toml", "p:CMakeLists.txt"], "out": ["p:package.json"],
-    "coverage": ["p:package.json"], "target": ["p:Cargo.toml", "p:pom.xml"], ".gradle": ["p:build.gradle", "p:build.gradle.kts", "p:settings.gradle"], "__pycache__": ["y:", "p:pyproject.toml", "p:setup.py"],
-    ".pytest_cache": ["n:"], ".mypy_cache": ["n:"], ".ruff_cache": ["n:"], ".tox": ["p:tox.ini", "p:pyproject.toml"], "venv": ["f:pyvenv.cfg"], ".venv": ["f:pyvenv.cfg"], "env": ["f:pyvenv.cfg"],
-    ".terraform": ["n:"], "vendor": ["p:go.mod", "p:composer.json", "p:Gemfile"], "bin": ["p:*.csproj"], "obj": ["p:*.csproj"],
-}
+#: Files that prove a folder of a kind.
+_JS = ["package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock"]
+_GRADLE = ["build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "gradlew", "gradlew.bat"]
+_NUXT = ["nuxt.config.js", "nuxt.config.ts", "nuxt.config.mjs"]
+_NEXT = ["next.config.js", "next.config.ts", "next.config.mjs", "next.config.cjs"]
+#: Cache and build folders by name. A folder is one if any of the files stands beside it.
+BESIDE = {
+    "node_modules": _JS,
+    "dist": [*_JS, "go.mod", "Cargo.toml"],
+    "out": [*_NEXT, "package.json"],
+    "build": ["package.json", "Cargo.toml", *_GRADLE, "pubspec.yaml", "wails.json", "CMakeLists.txt"],
+    "target": ["Cargo.toml", "pom.xml", "build.sbt"],
+    "vendor": ["go.mod", "Cargo.toml", "composer.json", "Gemfile", "package.json"],
+    ".gradle": _GRADLE,
+    ".next": [*_NEXT, "package.json"],
+    ".nuxt": _NUXT,
+    ".output": _NUXT,
+    ".svelte-kit": ["svelte.config.js", "svelte.config.ts", "svelte.config.cjs"],
+    ".yarn": ["yarn.lock", "package.json"],
+    ".bun": ["bun.lockb", "bun.lock", "package.json"],
+    "__pycache__": ["*.py", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt"],
+    ".pytest_cache": ["pytest.ini", "pyproject.toml", "setup.cfg", "tox.ini", "requirements.txt", "conftest.py"],
+    ".mypy_cache": ["mypy.ini", ".mypy.ini", "pyproject.toml", "setup.cfg"],
+    ".ruff_cache": ["ruff.toml", "pyproject.toml"],
+    ".turbo": ["turbo.json", "package.json"],
+    ".parcel-cache": ["package.json"],
+    ".tox": ["tox.ini", "setup.cfg", "pyproject.toml"],
+    ".nox": ["noxfile.py"],
+    ".embuild": ["sdkconfig.defaults", "sdkconfig", "idf_component.yml"],
+    ".dart_tool": ["pubspec.yaml"],
+}
+#: Or if any of these stands in it (a folder with a slash).
+INSIDE = {"build": ["CMakeCache.txt", "build.ninja"], ".venv": ["pyvenv.cfg"], ".embuild": ["espressif/"], ".dart_tool": ["package_config.json"]}
+CACHE_DIRS = sorted({*BESIDE, *INSIDE})
 #: Folders of version control, never entered.
-VCS_DIRS = [".git", ".hg", ".svn"]
+VCS_DIRS = [".git", ".svn", ".hg", ".bzr"]
 #: Languages by extension, for counts.
 LANGUAGE_BY_EXT = {
-    ".go": "Go", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".java": "Java", ".kt": "Kotlin", ".py": "Python", ".c": "C", ".h": "C", ".cpp": "C++",
-    ".cc": "C++", ".cs": "C#", ".swift": "Swift", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".sh": "Shell", ".html": "HTML", ".css": "CSS", ".md": "Markdown", ".tf": "Terraform", ".sql": "SQL", ".yml": "YAML",
-    ".yaml": "YAML", ".json": "JSON", ".toml": "TOML", ".xml": "XML",
+    ".go": "Go",
+    ".ts": "TypeScript/JavaScript", ".tsx": "TypeScript/JavaScript", ".js": "TypeScript/JavaScript", ".jsx": "TypeScript/JavaScript", ".mjs": "TypeScript/JavaScript", ".cjs": "TypeScript/JavaScript",
+    ".py": "Python", ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin", ".rs": "Rust",
+    ".c": "C/C++", ".cpp": "C/C++", ".cc": "C/C++", ".h": "C/C++", ".hpp": "C/C++",
+    ".swift": "Swift", ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".yaml": "YAML", ".yml": "YAML", ".json": "JSON", ".xml": "XML", ".html": "HTML",
+    ".css": "CSS", ".scss": "CSS", ".sh": "Shell", ".bash": "Shell", ".md": "Markdown",
 }
-#: Linter configurations by tool, in order of priority.
+#: Linter configurations by language, in order of priority.
 LINT_CONFIGS = {
-    "ESLint": ["eslint.config.js", "eslint.config.mjs", ".eslintrc.js", ".eslintrc.json", ".eslintrc.yml", ".eslintrc"], "Prettier": [".prettierrc", ".prettierrc.json", "prettier.config.js"],
-    "golangci-lint": [".golangci.yml", ".golangci.yaml", ".golangci.toml"], "Ruff": ["ruff.toml", ".ruff.toml"], "Flake8": [".flake8"], "RuboCop": [".rubocop.yml"], "Clippy": ["clippy.toml", ".clippy.toml"],
-    "rustfmt": ["rustfmt.toml", ".rustfmt.toml"], "EditorConfig": [".editorconfig"], "markdownlint": [".markdownlint.json", ".markdownlint.yml"], "yamllint": [".yamllint", ".yamllint.yml"],
-}
+    "Go": [".golangci.yml", ".golangci.yaml", ".golangci.toml", ".golangci.json"],
+    "TypeScript/JavaScript": [".eslintrc", ".eslintrc.json", ".eslintrc.yml", ".eslintrc.yaml", ".eslintrc.js", ".eslintrc.cjs", "eslint.config.js", "eslint.config.mjs", "eslint.config.cjs", "eslint.config.ts", "biome.json", "biome.jsonc", ".prettierrc", ".prettierrc.json", ".prettierrc.yml"],
+    "Python": [".pylintrc", ".flake8", ".ruff.toml", "ruff.toml", "pyproject.toml", "setup.cfg", ".pyre_configuration"],
+    "Java": ["checkstyle.xml", "pmd.xml", ".checkstyle", "spotbugs.xml"],
+    "Kotlin": ["detekt.yml", "detekt.yaml", ".detekt.yml"],
+    "Rust": ["rustfmt.toml", ".rustfmt.toml", "clippy.toml"],
+    "C/C++": [".clang-format", ".clang-tidy"],
+    "Swift": [".swiftlint.yml", ".swiftformat"],
+    "C#": [".editorconfig", "omnisharp.json", "Directory.Build.props"],
+}
 PROJECT_FILES = ["package.json", "go.mod", "Cargo.toml", "pyproject.toml", "setup.py", "pom.xml", "build.gradle", "Gemfile", "composer.json", "Dockerfile", "Makefile"]
 
 
@@ -48,23 +82,18 @@ def _parent(c: Column) -> Column:
 
 def cache_dirs(paths: DataFrame) -> DataFrame:
     """(dir, name, depth): folders that a rule proves to be caches, judged by the known paths."""
-    known = ancestors(paths).select("dir", "depth", "name").distinct().where(F.col("name").isin(list(CACHE_DIRS)))
-    named = lambda kind: [(n, r[2:]) for n, rs in CACHE_DIRS.items() for r in rs if r[0] == kind]
-    spark = paths.sparkSession
-    # the rule tables have one row a rule
-    table = lambda kind: F.broadcast(spark.createDataFrame(named(kind) or [("", "")], "name string, file string"))
-    files = paths.select(_parent(F.col("path")).alias("folder"), globs.base(F.col("path")).alias("file")).distinct()
-    place = known.withColumn("folder", _parent(F.col("dir")))
-    plain = place.join(table("p").where("file not like '*%'"), "name").join(files, ["folder", "file"], "left_semi")
-    starred = place.where(F.col("name").isin([n for n, f in named("p") if f.startswith("*")])).join(files.where(F.col("file").endswith(".csproj")).select("folder").distinct(), "folder", "left_semi")
-    python = place.where(F.col("name") == "__pycache__").join(files.where(F.col("file").endswith(".py")).select("folder").distinct(), "folder", "left_semi")
-    inside = known.join(table("f"), "name").withColumn("folder", F.col("dir")).join(files, ["folder", "file"], "left_semi")
-    alone = known.where(F.col("name").isin([n for n, _ in named("n")]))
-    cols = ["dir", "name", "depth"]
-    out = alone.select(*cols)
-    for d in (plain, starred, python, inside):
-        out = out.unionByName(d.select(*cols))
-    return out.distinct()
+    above = ancestors(paths).select("dir", "depth", "name").distinct()
+    # one row a rule: the entry that must stand beside (or inside) a folder of the name
+    rules = [(n, x, False) for n, xs in BESIDE.items() for x in xs] + [(n, x, True) for n, xs in INSIDE.items() for x in xs]
+    asked = sorted({x for _, x, _ in rules})
+    table = F.broadcast(paths.sparkSession.createDataFrame(rules, "name string, entry string, inside boolean"))
+    base = globs.base(F.col("path"))
+    kinds = F.array(base, F.when(base.endswith(".py"), F.lit("*.py")))
+    files = paths.select(_parent(F.col("path")).alias("at"), F.explode(kinds).alias("entry"))
+    folders = above.select(_parent(F.col("dir")).alias("at"), F.concat("name", F.lit("/")).alias("entry"))
+    there = files.unionByName(folders).where(F.col("entry").isin(asked)).distinct()
+    place = above.join(table, "name").withColumn("at", F.when(F.col("inside"), F.col("dir")).otherwise(_parent(F.col("dir"))))
+    return place.join(there, ["at", "entry"], "left_semi").select("dir", "name", "depth").distinct()
 
 
 def nearest_cache_dir(paths: DataFrame, caches: DataFrame, ignore: list[str] | None = None) -> DataFrame:
@@ -123,10 +152,10 @@ def language_counts(paths: DataFrame) -> DataFrame:
 
 
 def lint_configs(paths: DataFrame) -> DataFrame:
-    """tool, config: each tool's first configuration file in the root."""
+    """language, config: each language's first linter configuration in the root."""
     rows = [(tool, name, i) for tool, names in LINT_CONFIGS.items() for i, name in enumerate(names)]
-    table = F.broadcast(paths.sparkSession.createDataFrame(rows, "tool string, path string, priority int"))
-    return paths.select("path").distinct().join(table, "path").groupBy("tool").agg(F.min_by("path", "priority").alias("config"))
+    table = F.broadcast(paths.sparkSession.createDataFrame(rows, "language string, path string, priority int"))
+    return paths.select("path").distinct().join(table, "path").groupBy("language").agg(F.min_by("path", "priority").alias("config"))
 
 
 def project_files(paths: DataFrame) -> DataFrame:

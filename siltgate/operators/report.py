@@ -45,16 +45,16 @@ def _lint(corpus: DataFrame, cfg: PolicyConfig) -> DataFrame:
 
 #: In the order of reports.
 CHECKS = [
-    Check("comment_language", lambda i, c: files.comment_language(i.corpus, c), lambda i, c: changes.comment_language(i.diff, _changed(i), c)),
-    Check("binary_file", lambda i, c: files.binary_files(i.corpus, c, i.attributes), lambda i, c: files.binary_files(_changed(i), c, i.attributes)),
+    Check("binary", lambda i, c: files.binary_files(i.corpus, c, i.attributes), lambda i, c: files.binary_files(_changed(i), c, i.attributes)),
     Check("encoding", lambda i, c: files.encoding_findings(i.corpus, c, list(i.sections)), lambda i, c: files.encoding_findings(_changed(i), c, list(i.sections))),
     Check("unicode", lambda i, c: files.unicode_findings(i.corpus, c), lambda i, c: files.unicode_findings(_changed(i), c)),
     Check("lint", lambda i, c: _lint(i.corpus, c), lambda i, c: _lint(_changed(i), c)),
     Check("editorconfig", lambda i, c: editorconfig.check(i.corpus, list(i.sections)), lambda i, c: editorconfig.check(_changed(i), list(i.sections))),
-    Check("cache_dir", lambda i, c: repo.committed_cache_dirs(i.paths, c), lambda i, c: repo.staged_cache_dirs(i.diff, i.paths, c)),
+    Check("comment_language", lambda i, c: files.comment_language(i.corpus, c), lambda i, c: changes.comment_language(i.diff, _changed(i), c)),
     Check("custom_rules", None, lambda i, c: changes.custom_rules(i.diff, _changed(i), c)),
     Check("protected_paths", None, lambda i, c: changes.protected_paths(i.diff, c)),
     Check("append_only", None, lambda i, c: changes.append_only(i.diff, i.old, i.corpus, c)),
+    Check("cache_dir", lambda i, c: repo.committed_cache_dirs(i.paths, c), lambda i, c: repo.staged_cache_dirs(i.diff, i.paths, c)),
 ]
 ORDINAL = {c.name: n for n, c in enumerate(CHECKS)}
 
@@ -74,7 +74,7 @@ def with_only(cfg: PolicyConfig, names: list[str]) -> PolicyConfig:
     return replace(
         cfg,
         comment_language=replace(cfg.comment_language, enabled=cfg.comment_language.enabled or "comment_language" in on),
-        binary_file=replace(cfg.binary_file, enabled=cfg.binary_file.enabled or "binary_file" in on),
+        binary_file=replace(cfg.binary_file, enabled=cfg.binary_file.enabled or "binary" in on),
         encoding=replace(cfg.encoding, enabled=cfg.encoding.enabled or bool(on & {"encoding", "unicode"})),
         lint_enabled=cfg.lint_enabled or "lint" in on,
         editorconfig_enabled=cfg.editorconfig_enabled or "editorconfig" in on,
@@ -87,7 +87,7 @@ def with_only(cfg: PolicyConfig, names: list[str]) -> PolicyConfig:
 def _enabled(name: str, cfg: PolicyConfig, i: Inputs) -> bool:
     return {
         "comment_language": cfg.comment_language.enabled,
-        "binary_file": cfg.binary_file.enabled,
+        "binary": cfg.binary_file.enabled,
         "encoding": cfg.encoding.enabled and cfg.encoding.require_utf8,
         "unicode": cfg.encoding.enabled,
         "lint": cfg.lint_enabled,
@@ -168,13 +168,11 @@ def message(code: Column, params: Column, catalogue: dict[str, str] | None = Non
 
 
 def detect_locale(env: dict[str, str] | None = None) -> str:
-    """The first of LC_ALL, LC_MESSAGES, LANG with a language; English otherwise."""
+    """The language of the first of SILTGATE_LANG, LC_ALL, LC_MESSAGES, LANG that is set; English for any but the catalogues' own."""
     env = os.environ if env is None else env
-    for k in ("LC_ALL", "LC_MESSAGES", "LANG"):
-        tag = re.split(r"[._@-]", env.get(k, ""))[0].lower()
-        if tag and tag not in ("c", "posix"):
-            return tag if tag in ("en", "ko", "ja", "zh") else "en"
-    return "en"
+    value = next((v for k in ("SILTGATE_LANG", "LC_ALL", "LC_MESSAGES", "LANG") if (v := env.get(k, ""))), "")
+    tag = re.split(r"(?<=.)[._]", value.lower())[0]
+    return tag if tag in ("ko", "ja", "zh") else "en"
 
 
 def message_hint(cfg: PolicyConfig, source: str = "", existing: str = "") -> str:

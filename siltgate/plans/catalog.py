@@ -170,9 +170,12 @@ def binary_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "repo_paths").select("path", policy_for(F.col("path"), cfg).alias("policy"))
 
 
-@query("select case e when '.go' then 'Go' when '.py' then 'Python' when '.md' then 'Markdown' else 'JSON' end as language, count(*)::bigint as n_files from (select lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) as e from repo_paths) where e in ('.go', '.py', '.md', '.json') group by all")
+_LANGUAGES = " ".join(f"when '{e}' then '{n}'" for e, n in repo.LANGUAGE_BY_EXT.items())
+
+
+@query(f"select * from (select case e {_LANGUAGES} end as language, count(*)::bigint as n_files from (select lower(regexp_extract(path, '[^/]([.][^./]*)$', 1)) as e from tree_paths) group by all) where language is not null")
 def ext_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repo.language_counts(view(spark, sf_dir, "repo_paths"))
+    return repo.language_counts(view(spark, sf_dir, "tree_paths"))
 
 
 _HTML = "with c as (select page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) as raw from pages)"
@@ -272,12 +275,18 @@ def append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.append_only(files, old, new, cfg).select(F.col("path").cast("long").alias("doc_id"))
 
 
-_CACHES = "with a as (select path, regexp_extract(path, '^(.*/(node_modules|__pycache__))/', 1) as dir, regexp_extract(path, '^(.*)/(node_modules|__pycache__)/', 1) as up, regexp_extract(path, '/(node_modules|__pycache__)/', 1) as name from repo_paths)"
+_RULES = ", ".join(f"('{n}', '{x}', {inside})" for t, inside in ((repo.BESIDE, "false"), (repo.INSIDE, "true")) for n, xs in t.items() for x in xs)
+_CACHES = f"""with rules(name, entry, inside) as (values {_RULES}),
+    parts as (select path, string_split(path, '/') as p from tree_paths),
+    above as (select distinct array_to_string(p[1:i], '/') as dir, array_to_string(p[1:i - 1], '/') as up, p[i] as name from (select p, unnest(range(1, len(p))) as i from parts)),
+    entries as (select array_to_string(p[1:len(p) - 1], '/') as at, p[len(p)] as entry from parts union select array_to_string(p[1:len(p) - 1], '/'), '*.py' from parts where path like '%.py' union select up, concat(name, '/') from above),
+    caches as (select distinct dir from above join rules using (name) join entries on entries.entry = rules.entry and entries.at = case when inside then dir else up end),
+    outer_ones as (select dir from caches c where not exists (select 1 from caches o where starts_with(c.dir, concat(o.dir, '/'))))"""
 
 
-@query(f"{_CACHES} select dir as path, count(*)::bigint as files from a where dir <> '' and ((name = 'node_modules' and exists (select 1 from repo_paths p where p.path = concat(a.up, '/package.json'))) or (name = '__pycache__' and exists (select 1 from repo_paths p where regexp_extract(p.path, '^(.*)/[^/]+$', 1) = a.up and ends_with(p.path, '.py')))) group by dir")
+@query(f"{_CACHES} select dir as path, count(*)::bigint as files from outer_ones join tree_paths on starts_with(path, concat(dir, '/')) group by dir")
 def cache_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repo.committed_cache_dirs(view(spark, sf_dir, "repo_paths").select("path"), PolicyConfig())
+    found = repo.committed_cache_dirs(view(spark, sf_dir, "tree_paths").select("path"), PolicyConfig())
     return found.select("path", F.col("params")["files"].cast("long").alias("files"))
 
 

@@ -8,11 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.repo import BESIDE, CACHE_DIRS, INSIDE, LANGUAGE_BY_EXT
 from ..session import ship
 
 NBSP, ZWSP, CYRILLIC_A, GRIN, HEART = " ", "​", "а", "\U0001f600", "❤"
 HANGUL, KANA, HAN = "한국어 설명입니다", "これは説明です", "这是一个说明"
 
+#: Entries that prove a cache folder from beside it and from inside.
+_OUTER = sorted({x.replace("*", "m") for xs in BESIDE.values() for x in xs})
+_INNER = sorted({x + "x.c" if x.endswith("/") else x for xs in INSIDE.values() for x in xs})
+
+
+def _nth(values: list[str], number: str) -> str:
+    """SQL for the value that a number falls on."""
+    return f"split_part('{','.join(values)}', ',', cast({number} % {len(values)} + 1 as int))"
+
+
 VIEWS = {
     "docs_marked": f"""select doc_id, source, lang, case
         when doc_id % 5 = 0 then replace(text, ' the ', '{NBSP}the{ZWSP} ')
@@ -36,6 +47,9 @@ VIEWS = {
         n_chars as size from documents
         union all select distinct -1 as doc_id, concat(source, '/', lang, '/package.json') as path, 10 as size from documents where lang <> 'es'
         union all select distinct -2 as doc_id, concat(source, '/', lang, '/setup.py') as path, 20 as size from documents where lang = 'en'""",
+    "tree_paths": f"""select doc_id, concat(source, '/p', doc_id % 97, '/', case when doc_id % 2 = 0 then concat({_nth(CACHE_DIRS + ['src'], 'doc_id')}, '/') else '' end,
+        case when doc_id % 5 = 0 then {_nth(_INNER, 'doc_id')} else concat('f', doc_id, {_nth(sorted(LANGUAGE_BY_EXT) + ['.bin'], 'doc_id')}) end) as path, n_chars as size from documents
+        union all select distinct -1 as doc_id, concat(source, '/p', doc_id % 97, '/', {_nth(_OUTER, 'doc_id % 97')}) as path, 10 as size from documents""",
     "scripts": """select doc_id, concat('src/', doc_id, '.sh') as path, concat('#!/bin/sh', chr(10), replace(text, '. ', concat('.', chr(10), '# '))) as text from documents""",
 }
 

@@ -70,10 +70,10 @@ def parse_diff(diffs: DataFrame, diff: str = "diff", key: str = "diff_id") -> Da
     kind = (
         F.when(F.col("l").startswith("diff --git "), "file")
         .when(F.col("l").startswith("+++ b/") | F.col("l").startswith('+++ "b/'), "name")
+        .when(F.col("l") == "+++ /dev/null", "deleted")
         .when(F.col("l").startswith("+++ ") | F.col("l").startswith("--- "), "other")
-        .when(F.col("l").startswith("deleted file mode"), "deleted")
-        .when(F.col("l").startswith("new file mode"), "new")
-        .when(F.col("l").rlike(r"^(old mode|new mode|index .* )"), "mode")
+        .when(F.col("l").startswith("new file mode "), "new")
+        .when(F.col("l").rlike(r"^(old mode|new mode) "), "mode")
         .when(F.col("l").startswith("@@"), "hunk")
         .when(F.col("l").startswith("+"), "add")
         .when(F.col("l").startswith("-"), "remove")
@@ -88,7 +88,7 @@ def parse_diff(diffs: DataFrame, diff: str = "diff", key: str = "diff_id") -> Da
     rows = rows.withColumn("line", F.when((F.col("k") == "add") & (F.col("hunk") > 0), F.col("base") + moved - 1))
     name = F.when(F.col("k") == "name", F.when(F.col("l").startswith('+++ "'), F.concat(F.lit('"'), F.substring("l", 8, F.length("l")))).otherwise(F.substring("l", 7, F.length("l"))))
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    mode = lambda m: has(F.col("k").isin("deleted", "new", "mode") & F.col("l").rlike(rf"\b{m}\b"))
+    mode = lambda m: has(F.col("k").isin("new", "mode") & (F.element_at(F.split(F.trim("l"), " "), -1) == m))
     out = rows.groupBy(key, "file").agg(
         F.coalesce(F.last(name, ignorenulls=True), F.max(F.when(F.col("k") == "file", header_path(F.col("l"))))).alias("path"),
         has(F.col("k") == "deleted").alias("is_deleted"),

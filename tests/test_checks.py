@@ -273,12 +273,12 @@ def test_file_checks_and_report(spark):
     df = table(spark, [(p, bytearray(b), b.decode("utf-8", "replace")) for p, b in rows], "path string, content binary, text string")
     found = report.findings(report.Inputs(corpus=df), cfg)
     got = sorted((r.path, r.check) for r in found.collect())
-    assert ("a.py", "comment_language") in got and ("b.bin", "binary_file") in got and ("d.exe", "binary_file") in got and ("c.png", "binary_file") not in got
+    assert ("a.py", "comment_language") in got and ("b.bin", "binary") in got and ("d.exe", "binary") in got and ("c.png", "binary") not in got
     assert ("e.txt", "encoding") in got and ("f.txt", "unicode") in got and ("g.json", "lint") in got
     guides = table(spark, [("lint", "see the lint guide")], "check string, text string")
     doc = json.loads(report.report_json(found, guides).collect()[0].report)
     assert doc["status"] == "fail" and doc["summary"]["total"] == len(got) and doc["guides"] == ["see the lint guide"]
-    assert [r.check for r in report.summary(found).collect()][0] == "comment_language"
+    assert [r.check for r in report.summary(found).collect()][0] == "binary"
     empty = json.loads(report.report_json(found.where("false")).collect()[0].report)
     assert empty["status"] == "pass" and empty["summary"]["total"] == 0
     lfs = table(spark, [("b.bin", "lfs")], "path string, filter string")
@@ -290,15 +290,15 @@ def test_file_checks_and_report(spark):
 
 
 def test_layout(spark):
-    paths = [("a/package.json", 1), ("a/node_modules/x/i.js", 100), ("a/node_modules/x/node_modules/y.js", 2000), ("b/node_modules/x.js", 5), ("c/m.py", 1), ("c/__pycache__/m.pyc", 7), ("v/pyvenv.cfg", 1), ("venv/pyvenv.cfg", 3), ("README.md", 2), (".eslintrc.json", 1)]
+    paths = [("a/package.json", 1), ("a/node_modules/x/i.js", 100), ("a/node_modules/x/node_modules/y.js", 2000), ("b/node_modules/x.js", 5), ("c/m.py", 1), ("c/__pycache__/m.pyc", 7), ("v/pyvenv.cfg", 1), (".venv/pyvenv.cfg", 3), ("README.md", 2), (".eslintrc.json", 1)]
     df = table(spark, [(p, s, True) for p, s in paths], "path string, size long, tracked boolean")
-    assert {r.dir for r in repo.outermost(repo.cache_dirs(df)).collect()} == {"a/node_modules", "c/__pycache__", "venv"}
+    assert {r.dir for r in repo.outermost(repo.cache_dirs(df)).collect()} == {"a/node_modules", "c/__pycache__", ".venv"}
     got = [(r.cache_dir, r.size, r.shown) for r in repo.cache_sizes(df).collect()]
-    assert got == [("a/node_modules", 2100, "2.1 KB"), ("c/__pycache__", 7, "7 B"), ("venv", 3, "3 B")]
+    assert got == [("a/node_modules", 2100, "2.1 KB"), ("c/__pycache__", 7, "7 B"), (".venv", 3, "3 B")]
     changed = table(spark, [("a/node_modules/x/i.js", False), ("a/node_modules/x/node_modules/y.js", False), ("c/m.py", False)], "path string, is_deleted boolean")
     assert len(repo.staged_cache_dirs(changed, df, PolicyConfig()).collect()) == 1
-    assert [(r.language, r.n_files) for r in repo.language_counts(df).collect()][0] == ("JavaScript", 3)
-    assert [(r.tool, r.config) for r in repo.lint_configs(df).collect()] == [("ESLint", ".eslintrc.json")]
+    assert [(r.language, r.n_files) for r in repo.language_counts(df).collect()][0] == ("TypeScript/JavaScript", 3)
+    assert [(r.language, r.config) for r in repo.lint_configs(df).collect()] == [("TypeScript/JavaScript", ".eslintrc.json")]
 
 
 def test_config():
@@ -315,6 +315,28 @@ def test_config():
     assert config.parse_ttl("7d") == 604800 and config.parse_ttl("x") is None and config.word_lines("# c\n a \n\nb") == ["a", "b"]
     assert any("malformed" in w for w in config.validate({"exceptions": {"global_ignore": ["a["]}}))
     assert config.parse("") == {} and report.detect_locale({"LANG": "ko_KR.UTF-8"}) == "ko" and report.detect_locale({}) == "en"
+    assert report.detect_locale({"LC_ALL": "C", "LANG": "ko_KR.UTF-8"}) == "en" and report.detect_locale({"LC_ALL": "", "LANG": "ja.UTF-8"}) == "ja" and report.detect_locale({"LC_ALL": "fr_FR", "LANG": "ko"}) == "en"
     m = PolicyConfig()
     m.commit_message.subject_limit_enabled = True
     assert "72" in report.message_hint(m) and report.message_hint(m, "merge") == "" and config.normalize_policy("X") == "block"
+
+
+def test_cache_folders_need_their_proof(spark):
+    yes = [("a/node_modules/x", "a/yarn.lock"), ("b/dist/x", "b/Cargo.toml"), ("c/.dart_tool/package_config.json", None), ("d/.output/x", "d/nuxt.config.ts"), ("e/.yarn/x", "e/package.json"), ("f/.bun/x", "f/bun.lock"), ("g/.nox/x", "g/noxfile.py"), ("h/.embuild/espressif/x", None), ("i/build/build.ninja", None), ("j/vendor/x", "j/Gemfile"), ("k/__pycache__/x", "k/m.py"), ("l/target/x", "l/build.sbt"), ("m/.gradle/x", "m/gradlew")]
+    no = [("n/.pytest_cache/x", None), ("o/coverage/x", "o/package.json"), ("p/venv/pyvenv.cfg", None), ("q/.embuild/espressif", None), ("r/dist/x", "r/setup.py"), ("s/node_modules/x", "s/sub/package.json"), ("t/bin/x", "t/a.csproj")]
+    paths = [x for pair in yes + no for x in pair if x]
+    got = {r.dir for r in repo.cache_dirs(table(spark, [(x,) for x in paths], "path string")).collect()}
+    assert got == {"/".join(x.split("/")[:2]) for x, _ in yes}
+
+
+def test_diff_flags(spark):
+    head = "diff --git a/f b/f\n"
+    cases = {
+        "gone": head + "index 1..0\n--- a/f\n+++ /dev/null\n@@ -1 +0,0 @@\n-x",
+        "index": head + "index 1..2 120000\n--- a/f\n+++ b/f\n@@ -1 +1 @@\n-x\n+y",
+        "link": head + "new file mode 120000\n--- /dev/null\n+++ b/f\n@@ -0,0 +1 @@\n+y",
+        "module": head + "old mode 100644\nnew mode 160000\n",
+        "empty": head + "deleted file mode 100644\nindex 1..0\n",
+    }
+    out = {r.diff_id: (r.is_deleted, r.is_new, r.is_submodule, r.is_symlink) for r in gitdiff.parse_diff(table(spark, list(cases.items()), "diff_id string, diff string")).collect()}
+    assert out == {"gone": (True, False, False, False), "index": (False,) * 4, "link": (False, True, False, True), "module": (False, False, True, False), "empty": (False,) * 4}

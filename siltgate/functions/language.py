@@ -123,3 +123,8 @@ def strip_allowed_words(text: Column, words: list[str]) -> Column:
         return s.map(lambda t: None if t is None else _blanked(t, ordered))
 
     return strip(text)
+
+
+def is_technical(text: Column) -> Column:
+    """Whether a string is a path or media type (it has a slash) or a constant's name (ASCII without small letters)."""
+    return text.contains("/") | text.rlike(r"\A[\x00-\x60\x7B-\x7F]*\z")

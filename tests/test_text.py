@@ -113,3 +113,13 @@ def test_content_and_words(spark):
     assert [r.x for r in one(spark, rows, "t string", x=language.strip_allowed_words(F.col("t"), ["Java", "JavaScript"]))] == ["use      and           ", "C++C++ x", "aJava     1"]
     assert [r.x for r in one(spark, rows[1:2], "t string", x=language.strip_allowed_words(F.col("t"), ["C++"]))] == ["C++    x"]
     assert language.normalize_locale(" EN ") == "english" and language.normalize_locale("xx") == "" and language.normalize_locale("any") == "any"
+
+
+def test_technical_strings(spark):
+    from pyspark.sql import functions as F
+
+    from siltgate.functions import language
+
+    rows = [("a/b", True), ("MAX_SIZE", True), ("", True), ("{|}~ 9", True), ("Max", False), ("É", False), ("x", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", language.is_technical(F.col("t")).alias("got")).collect())

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +77,14 @@ class Coder:
 
         self.tok = Tokenizer.from_file(path)
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # a normalizer may change letters before added tokens are looked for
+        self.added = [] if self.tok.normalizer else added
+        self.any = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added and self.tok.normalizer else None
         self.vocab = self.tok.get_vocab_size()
+        known = self.tok.get_vocab()
+        self.opens = np.zeros(max(known.values()) + 1, bool)
+        # the byte-level alphabet writes a space as this letter
+        self.opens[[i for t, i in known.items() if t.startswith("\u0120")]] = True
         self._fresh()
 
     def _fresh(self) -> None:
@@ -88,22 +94,34 @@ class Coder:
         self.known = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.blank = np.zeros(1 << 16, bool)
+
+    def _ids(self, part: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks one after the other, and each chunk's number of ids."""
+        if before and not any(not p or p[0].isspace() for p in part):
+            # one text of all chunks: a token that starts with a space starts a chunk
+            ids = np.array(self.tok.encode(before + before.join(part), add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(part) and at[0] == 0:
+                return ids, np.diff(np.append(at, len(ids)))
+        got = [e.ids for e in self.tok.encode_batch([before + p for p in part] if before else part, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
     def _learn(self, index: dict[str, int], new: list[str], before: str) -> None:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            got = [e.ids for e in self.tok.encode_batch([before + p for p in part] if before else part, add_special_tokens=False)]
-            n = sum(map(len, got))
+            ids, sizes = self._ids(part, before)
+            n, k, m = len(ids), self.known, len(part)
             while self.used + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.known + len(part) > len(self.at):
-                self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            for p, ids in zip(part, got):
-                k = index[p] = self.known
-                self.known += 1
-                self.at[k], self.size[k] = self.used, len(ids)
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+            while k + m > len(self.at):
+                self.at, self.size, self.blank = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.blank))
+            index.update(zip(part, range(k, k + m)))
+            self.at[k : k + m], self.size[k : k + m] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.blank[k : k + m] = [not p or p[0].isspace() for p in part]
+            self.flat[self.used : self.used + n] = ids
+            self.known, self.used = k + m, self.used + n
 
     def _look(self, index: dict[str, int], keys: list[str], before: str) -> np.ndarray:
         got = np.fromiter(map(index.get, keys, repeat(-1)), np.int64, len(keys))
@@ -115,7 +133,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and each text's number of ids."""
-        apart = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        apart = [i for i, t in enumerate(texts) if any(a in t for a in self.added) or self.any and self.any.search(t)]
         if not apart:
             return self._plain(texts)
         out = {i: np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in apart}
@@ -128,29 +146,28 @@ class Coder:
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.known > KNOWN:
             self._fresh()
-        odd = np.array([_ODD.search(t) is not None for t in texts], bool)
-        plain = [t for t, o in zip(texts, odd.tolist()) if not o]
-        pieces = " ".join(plain).split(" ") if plain else []
-        counts = np.zeros(len(texts), np.int64)
-        counts[~odd] = [t.count(" ") + 1 for t in plain]
-        heads = (np.cumsum(counts[~odd]) - counts[~odd]).tolist()
+        pieces = " ".join(texts).split(" ") if texts else []
+        counts = np.array([t.count(" ") + 1 for t in texts], np.int64)
+        heads = np.cumsum(counts) - counts
         chunk = self._look(self.tail, pieces, " ")
-        chunk[heads] = self._look(self.full, [pieces[i] for i in heads], "")
+        first = heads.tolist()
+        # a space before other white space or at the end: the plain split at spaces doesn't hold there
+        blank = self.blank[chunk]
+        blank[first] = False
+        odd = np.logical_or.reduceat(blank, heads) if len(heads) else np.zeros(0, bool)
+        chunk[first] = self._look(self.full, [pieces[i] for i in first], "")
         if odd.any():
-            parts = {i: self._look(self.full, list(filter(None, _CHUNK.split(texts[i]))), "") for i in np.flatnonzero(odd).tolist()}
-            rest = np.split(chunk, heads[1:]) if heads else []
-            for i, x in zip(np.flatnonzero(~odd).tolist(), rest):
-                parts[i] = x
-            counts = np.array([len(parts[i]) for i in range(len(texts))], np.int64)
-            chunk = np.concatenate([parts[i] for i in range(len(texts))])
+            parts = np.split(chunk, heads[1:])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = self._look(self.full, list(filter(None, _CHUNK.split(texts[i]))), "")
+            counts = np.array([len(p) for p in parts], np.int64)
+            chunk = np.concatenate(parts)
         size = self.size[chunk]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[chunk] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
-#: A space before other white space: the plain split at spaces doesn't hold there.
-_ODD = re.compile(r" \s")
 _CHUNK = re.compile(r"(?= [^\s])")
 _coders: dict[str, Coder] = {}
 

@@ -275,8 +275,8 @@ def append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.append_only(files, old, new, cfg).select(F.col("path").cast("long").alias("doc_id"))
 
 
-_RULES = ", ".join(f"('{n}', '{x}', {inside})" for t, inside in ((repo.BESIDE, "false"), (repo.INSIDE, "true")) for n, xs in t.items() for x in xs)
-_CACHES = f"""with rules(name, entry, inside) as (values {_RULES}),
+_CACHE_RULES = ", ".join(f"('{n}', '{x}', {inside})" for t, inside in ((repo.BESIDE, "false"), (repo.INSIDE, "true")) for n, xs in t.items() for x in xs)
+_CACHES = f"""with rules(name, entry, inside) as (values {_CACHE_RULES}),
     parts as (select path, string_split(path, '/') as p from tree_paths),
     above as (select distinct array_to_string(p[1:i], '/') as dir, array_to_string(p[1:i - 1], '/') as up, p[i] as name from (select p, unnest(range(1, len(p))) as i from parts)),
     entries as (select array_to_string(p[1:len(p) - 1], '/') as at, p[len(p)] as entry from parts union select array_to_string(p[1:len(p) - 1], '/'), '*.py' from parts where path like '%.py' union select up, concat(name, '/') from above),

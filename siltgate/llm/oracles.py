@@ -57,3 +57,42 @@ select doc_id, page::int as page, 64 as width, (length(h) // 128)::int as height
   sha256(unhex(h)) as pixels_sha256, cast(null as varchar) as error
 from cut
 """
+
+
+def _field(c: str) -> str:
+    return f"coalesce(concat(octet_length(encode({c}::varchar)), ':', {c}), '-')"
+
+
+_LEAF = "sha256(concat(" + ", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
+_AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: One step of the checksum a bit; a byte is mixed in before eight of them (-1).
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), x -> list_prepend(ascii(x)::bigint, [-1::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))), (c, o) -> case when o >= 0 then xor(c, o) else xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) end), 4294967295)"
+
+
+def _climb(name: str, start: str) -> str:
+    """All levels of the trees over ``start(g, pos, d)``: g, lvl, pos, d and n, how many nodes the level has."""
+    return f"""{name} as (select g, 0 as lvl, pos, d, count(*) over (partition by g) as n from {start} union all
+    select g, lvl + 1, pos // 16, sha256(string_agg(d, '' order by pos)), any_value((n + 15) // 16) from {name} where n > 1 group by g, lvl, pos // 16)"""
+
+
+def _beside(name: str, tree: str) -> str:
+    """Each start node's siblings by level: what stands left and right of it in its run."""
+    return f"""{name} as (select a.g, a.pos, l.lvl, coalesce(string_agg(s.d, '' order by s.pos) filter (s.pos < a.pos // pow(16, l.lvl)::bigint), '') as l, coalesce(string_agg(s.d, '' order by s.pos) filter (s.pos > a.pos // pow(16, l.lvl)::bigint), '') as r
+    from {tree} a join (select distinct g, lvl from {tree} where n > 1) l on l.g = a.g join {tree} s on s.g = a.g and s.lvl = l.lvl and s.pos // 16 = a.pos // pow(16, l.lvl + 1)::bigint where a.lvl = 0 group by all)"""
+
+
+#: Trees by source and one over the sources, climbed level by level. Ids are taken to be unique.
+MERKLE = f"""with recursive base as (select *, case when source is null then '-' else concat('=', source) end as g, {_LEAF.format(text="text")} as d, case when {_CRC} % 5 = 0 and text is not null then {_LEAF.format(text=_AZ)} end as t from documents),
+low0 as (select *, row_number() over (partition by g order by doc_id) - 1 as pos from base),
+{_climb("low", "low0")},
+top0 as (select '' as g, row_number() over (order by encode(g)) - 1 as pos, d, g as src from low where n = 1),
+{_climb("top", "top0")},
+{_beside("lowb", "low")},
+{_beside("topb", "top")},
+steps as (select g, pos, lvl, l, r from lowb union all select z.g, z.pos, 1000 + b.lvl, b.l, b.r from low0 z join top0 q on q.src = z.g join topb b on b.pos = q.pos),
+path as (select g, pos, list(concat(l, '|', r) order by lvl) as p from steps group by all)
+select doc_id, z.d as leaf, q.d as subroot, (select d from top where n = 1) as root,
+  sha256(replace(array_to_string(coalesce(p, []), ''), '|', '')) as proof_sha256,
+  list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), (d, x) -> sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) as folded_root,
+  list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), (d, x) -> sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) = (select d from top where n = 1) as verified
+from low0 z join top0 q on q.src = z.g left join path on path.g = z.g and path.pos = z.pos"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, minhash, mixing, oracles, packing, passages, pii, tokenfile, toxicity, urlfilter
+from . import ann, media, merkle, minhash, mixing, oracles, packing, passages, pii, tokenfile, toxicity, urlfilter
 from .scratch import read
 
 QUERIES: dict = {}
@@ -94,9 +94,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(docs)
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of ``documents``, checked after tampering."""
+    return merkle.checked(read(spark, sf_dir, "documents"))
+
+
 ORACLES.update(
     op1_minhash_near_dedup=oracles.MINHASH,
     op2_url_filter=oracles.urls(URL_RULES),
     op5_mix_sources=oracles.mix(),
+    op11_merkle_manifest=oracles.MERKLE,
     media_pages_by_codec=oracles.PAGES,
 )

@@ -66,7 +66,7 @@ def _field(c: str) -> str:
 _LEAF = "sha256(concat(" + ", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: One step of the checksum a bit; a byte is mixed in before eight of them (-1).
-_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), x -> list_prepend(ascii(x)::bigint, [-1::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))), (c, o) -> case when o >= 0 then xor(c, o) else xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) end), 4294967295)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: list_prepend(ascii(x)::bigint, [-1::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, o: case when o >= 0 then xor(c, o) else xor(c >> 1, case when (c & 1) = 1 then 3988292384 else 0 end) end), 4294967295)"
 
 
 def _climb(name: str, start: str) -> str:
@@ -93,6 +93,6 @@ steps as (select g, pos, lvl, l, r from lowb union all select z.g, z.pos, 1000 +
 path as (select g, pos, list(concat(l, '|', r) order by lvl) as p from steps group by all)
 select doc_id, z.d as leaf, q.d as subroot, (select d from top where n = 1) as root,
   sha256(replace(array_to_string(coalesce(p, []), ''), '|', '')) as proof_sha256,
-  list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), (d, x) -> sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) as folded_root,
-  list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), (d, x) -> sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) = (select d from top where n = 1) as verified
+  list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), lambda d, x: sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) as folded_root,
+  list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), lambda d, x: sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) = (select d from top where n = 1) as verified
 from low0 z join top0 q on q.src = z.g left join path on path.g = z.g and path.pos = z.pos"""

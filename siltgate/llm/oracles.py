@@ -66,7 +66,7 @@ def _field(c: str) -> str:
 _LEAF = "sha256(concat(" + ", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: One step of the checksum a bit; a byte is mixed in before eight of them (-1).
-_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: list_prepend(ascii(x)::bigint, [-1::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, o: case when o >= 0 then xor(c, o) else xor(c >> 1, case when (c & 1) = 1 then 3988292384 else 0 end) end), 4294967295)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: list_prepend(ascii(x)::bigint, [-1::bigint, -1, -1, -1, -1, -1, -1, -1])))), lambda c, o: case when o >= 0 then xor(c, o) else xor(c >> 1, case when (c & 1) = 1 then 3988292384 else 0 end) end), 4294967295)"
 
 
 def _climb(name: str, start: str) -> str:
@@ -96,3 +96,11 @@ select doc_id, z.d as leaf, q.d as subroot, (select d from top where n = 1) as r
   list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), lambda d, x: sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) as folded_root,
   list_reduce(list_prepend(coalesce(t, z.d), coalesce(p, [])), lambda d, x: sha256(concat(split_part(x, '|', 1), d, split_part(x, '|', 2)))) = (select d from top where n = 1) as verified
 from low0 z join top0 q on q.src = z.g left join path on path.g = z.g and path.pos = z.pos"""
+
+#: Every anchor against every row.
+HARD_NEGATIVES = """with base as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as al, b.vec_id, b.label, list_dot_product(a.v, b.v)::bigint as score from base a join base b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, al, vec_id as positive_id, score as ps from s where label = al qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id as negative_id, ps as positive_score, score as negative_score
+from p join s using (anchor_id) where s.label <> p.al and 50 * ps <= 100 * score and 100 * score <= 95 * ps qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, merkle, minhash, mixing, oracles, packing, passages, pii, tokenfile, toxicity, urlfilter
+from . import ann, media, merkle, minhash, mixing, oracles, packing, passages, pii, pivots, tokenfile, toxicity, urlfilter
 from .scratch import read
 
 QUERIES: dict = {}
@@ -100,10 +100,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(read(spark, sf_dir, "documents"))
 
 
+@query
+def op13_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of ``embeddings`` for every vec_id divisible by 50."""
+    return pivots.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 ORACLES.update(
     op1_minhash_near_dedup=oracles.MINHASH,
     op2_url_filter=oracles.urls(URL_RULES),
     op5_mix_sources=oracles.mix(),
     op11_merkle_manifest=oracles.MERKLE,
+    op13_pivot_hard_negatives=oracles.HARD_NEGATIVES,
     media_pages_by_codec=oracles.PAGES,
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, merkle, minhash, mixing, oracles, packing, passages, pii, pivots, tokenfile, toxicity, urlfilter
+from . import ann, media, merkle, minhash, mixing, oracles, packing, passages, pii, pivots, secretscan, tokenfile, toxicity, urlfilter
 from .scratch import read
 
 QUERIES: dict = {}
@@ -100,6 +100,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern matches and the network's findings in whole ``documents``."""
+    return secretscan.span_table(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of ``embeddings`` for every vec_id divisible by 50."""

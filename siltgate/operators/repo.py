@@ -43,6 +43,8 @@ BESIDE = {
 #: Or if any of these stands in it (a folder with a slash).
 INSIDE = {"build": ["CMakeCache.txt", "build.ninja"], ".venv": ["pyvenv.cfg"], ".embuild": ["espressif/"], ".dart_tool": ["package_config.json"]}
 CACHE_DIRS = sorted({*BESIDE, *INSIDE})
+#: Fixed value: the entry that makes a folder of any name a Python environment.
+MARKER = "pyvenv.cfg"
 #: Folders of version control, never entered.
 VCS_DIRS = [".git", ".svn", ".hg", ".bzr"]
 #: Languages by extension, for counts.
@@ -80,51 +82,103 @@ def _parent(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"^(.*)/[^/]+$", 1), F.lit("")), F.lit("."))
 
 
+def _above(paths: DataFrame, wanted: list[str]) -> DataFrame:
+    """(dir, depth, name) of the folders of these names above the paths: no other folder is made a row."""
+    p = F.split("path", "/")
+    rows = paths.where(F.arrays_overlap(p, F.array(*[F.lit(w) for w in wanted]))).select(p.alias("p"))
+    at = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: (i < F.size("p")) & F.element_at("p", i).isin(wanted))
+    rows = rows.select("p", F.explode(at).alias("depth"))
+    return rows.select(F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("dir"), "depth", F.element_at("p", F.col("depth")).alias("name")).distinct()
+
+
 def cache_dirs(paths: DataFrame) -> DataFrame:
     """(dir, name, depth): folders that a rule proves to be caches, judged by the known paths."""
-    above = ancestors(paths).select("dir", "depth", "name").distinct()
     # one row a rule: the entry that must stand beside (or inside) a folder of the name
     rules = [(n, x, False) for n, xs in BESIDE.items() for x in xs] + [(n, x, True) for n, xs in INSIDE.items() for x in xs]
     asked = sorted({x for _, x, _ in rules})
     table = F.broadcast(paths.sparkSession.createDataFrame(rules, "name string, entry string, inside boolean"))
     base = globs.base(F.col("path"))
-    kinds = F.array(base, F.when(base.endswith(".py"), F.lit("*.py")))
-    files = paths.select(_parent(F.col("path")).alias("at"), F.explode(kinds).alias("entry"))
-    folders = above.select(_parent(F.col("dir")).alias("at"), F.concat("name", F.lit("/")).alias("entry"))
-    there = files.unionByName(folders).where(F.col("entry").isin(asked)).distinct()
-    place = above.join(table, "name").withColumn("at", F.when(F.col("inside"), F.col("dir")).otherwise(_parent(F.col("dir"))))
+    kinds = F.array_compact(F.array(F.when(base.isin(asked), base), F.when(base.endswith(".py"), F.lit("*.py"))))
+    files = paths.where(base.isin(asked) | base.endswith(".py")).select(_parent(F.col("path")).alias("at"), F.explode(kinds).alias("entry"))
+    folders = _above(paths, [x[:-1] for x in asked if x.endswith("/")]).select(_parent(F.col("dir")).alias("at"), F.concat("name", F.lit("/")).alias("entry"))
+    there = files.unionByName(folders).distinct()
+    place = _above(paths, CACHE_DIRS).join(table, "name").withColumn("at", F.when(F.col("inside"), F.col("dir")).otherwise(_parent(F.col("dir"))))
     return place.join(there, ["at", "entry"], "left_semi").select("dir", "name", "depth").distinct()
 
 
-def nearest_cache_dir(paths: DataFrame, caches: DataFrame, ignore: list[str] | None = None) -> DataFrame:
-    """(path, cache_dir): the deepest cache folder above a path."""
-    kept = caches.where(~F.col("name").isin(ignore)) if ignore else caches
-    met = ancestors(paths).join(kept.select("dir"), "dir")
+def environments(paths: DataFrame) -> DataFrame:
+    """(dir, name, depth): folders of any name with an entry ``pyvenv.cfg``."""
+    p = F.split("path", "/")
+    rows = paths.where(F.array_contains(p, MARKER)).select(p.alias("p"))
+    at = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i > 0) & (F.element_at("p", i + 1) == MARKER))
+    rows = rows.select("p", F.explode(at).alias("depth"))
+    return rows.select(F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("dir"), F.element_at("p", F.col("depth")).alias("name"), "depth").distinct()
+
+
+def verified(paths: DataFrame) -> DataFrame:
+    """(dir, name, depth): proven cache folders and environments, wherever they lie."""
+    return cache_dirs(paths).unionByName(environments(paths)).distinct()
+
+
+def nearest_cache_dir(paths: DataFrame, caches: DataFrame) -> DataFrame:
+    """(path, cache_dir): the deepest of ``caches(dir, name, depth)`` above a path."""
+    met = ancestors(paths).join(caches.select("dir"), "dir")
     return met.groupBy("path").agg(F.max_by("dir", "depth").alias("cache_dir"))
 
 
-def outermost(caches: DataFrame) -> DataFrame:
-    """Cache folders that lie in no other one and in no version-control folder (known caches are not entered)."""
-    above = ancestors(caches.select(F.col("dir").alias("path"))).select(F.col("path").alias("dir"), F.col("dir").alias("up"), "name")
-    nested = above.join(caches.select(F.col("dir").alias("up")), "up", "left_semi").select("dir")
-    vcs = above.where(F.col("name").isin(VCS_DIRS)).select("dir")
-    return caches.join(nested.unionByName(vcs).distinct(), "dir", "left_anti")
+def _closed(c: Column) -> Column:
+    """A folder of this name is not entered."""
+    return c.startswith(".") | c.isin([*CACHE_DIRS, *VCS_DIRS])
+
+
+def walked(paths: DataFrame) -> DataFrame:
+    """(dir, name, depth): cache folders and environments that a walk from the root comes to.
+
+    The walk never enters version control, hidden folders, folders of a known cache name (proven or not) and
+    environments; of those it reports the proven ones and environments. Names close a path by
+    themselves, without a join; what the names leave open meets the environments above it.
+    """
+    p = F.split("dir", "/")
+    marked = environments(paths)
+    open_ = ~F.exists(F.slice(p, F.lit(1), F.size(p) - 1), _closed) & ~F.col("name").isin(VCS_DIRS)
+    found = cache_dirs(paths).unionByName(marked).distinct().where(open_)
+    above = ancestors(found.select(F.col("dir").alias("path"))).select(F.col("path").alias("dir"), F.col("dir").alias("up"))
+    within = above.join(marked.select(F.col("dir").alias("up")), "up", "left_semi").select("dir")
+    return found.join(within.distinct(), "dir", "left_anti")
+
+
+def _under(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """``paths`` with the one folder of a walk that they lie in, if any: down to the first name that closes, no further."""
+    p = F.split("path", "/")
+    folders = F.slice(p, F.lit(1), F.size(p) - 1)
+    # the walk reports no folder below the first one that its name closes
+    first = F.aggregate(folders, F.struct(F.lit(0).alias("n"), F.lit(False).alias("shut")), lambda a, x: F.when(a["shut"], a).otherwise(F.struct((a["n"] + 1).alias("n"), _closed(x).alias("shut"))), lambda a: a["n"])
+    rows = paths.where(F.size(p) > 1).select("*", p.alias("_p"), first.alias("_n"))
+    rows = rows.withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    rows = rows.withColumn("cache_dir", F.array_join(F.slice("_p", F.lit(1), F.col("_d")), "/"))
+    return rows.join(found.select(F.col("dir").alias("cache_dir"), "name"), "cache_dir").drop("_p", "_n", "_d")
 
 
 def staged_cache_dirs(files: DataFrame, paths: DataFrame, cfg: PolicyConfig) -> DataFrame:
-    """One finding for each cache folder with a changed file: the file that comes first (``seq``, else the path)."""
-    rows = files.where("not is_deleted")
+    """One finding for each cache folder or environment with a changed file: the file that comes first (``seq``, else the path).
+
+    A file counts for the nearest such folder above it; where that one's name is ignored, it counts for none.
+    """
+    rows = files.where("not is_deleted").where(~globs.matches_any(F.col("path"), cfg.global_ignore))
     seq = F.col("seq") if "seq" in files.columns else F.col("path")
     rows = rows.select("path", seq.alias("seq"))
-    found = nearest_cache_dir(rows.select("path").distinct(), cache_dirs(paths), cfg.cache_dir_ignore).join(rows, "path")
+    found = nearest_cache_dir(rows.select("path").distinct(), verified(paths))
+    found = found.where(~globs.base(F.col("cache_dir")).isin(cfg.cache_dir_ignore)).join(rows, "path")
     one = found.groupBy("cache_dir").agg(F.min_by("path", "seq").alias("path"))
     return finding(one, "cache_dir", "cache_dir_staged", dir=F.col("cache_dir"))
 
 
 def committed_cache_dirs(paths: DataFrame, cfg: PolicyConfig) -> DataFrame:
-    """Cache folders that hold tracked files, with how many."""
+    """Cache folders and environments of the walk that hold tracked files, with how many."""
     tracked = paths.where("tracked") if "tracked" in paths.columns else paths
-    counts = nearest_cache_dir(tracked.select("path"), outermost(cache_dirs(paths)), cfg.cache_dir_ignore).groupBy("cache_dir").agg(F.count("*").alias("n"))
+    found = walked(paths)
+    found = found.where(~F.col("name").isin(cfg.cache_dir_ignore)).where(~globs.matches_any(F.col("dir"), cfg.global_ignore))
+    counts = _under(tracked.select("path"), found).groupBy("cache_dir").agg(F.count("*").alias("n"))
     return finding(counts, "cache_dir", "cache_dir_committed", path="cache_dir", files=F.col("n"))
 
 
@@ -138,8 +192,8 @@ def format_bytes(n: Column) -> Column:
 
 
 def cache_sizes(paths: DataFrame) -> DataFrame:
-    """``paths(path, size, tracked)``: cache folders with size, tracked and untracked files, largest first."""
-    in_dir = nearest_cache_dir(paths.select("path"), outermost(cache_dirs(paths))).join(paths, "path")
+    """``paths(path, size, tracked)``: the walk's cache folders and environments with size, tracked and untracked files, largest first."""
+    in_dir = _under(paths.select("path", "size", "tracked"), walked(paths))
     out = in_dir.groupBy("cache_dir").agg(F.sum("size").alias("size"), F.sum(F.col("tracked").cast("long")).alias("tracked_files"), F.sum((~F.col("tracked")).cast("long")).alias("untracked_files"))
     return out.withColumn("shown", format_bytes(F.col("size"))).orderBy(F.desc("size"), "cache_dir")
 

@@ -16,6 +16,7 @@ from ..functions import chars, encoding, globs, language
 from ..operators import changes, directives, editorconfig, fixes, lint, messages, repo, report, unicode
 from ..operators.comments import hash_comments, html_comments, parse_comments
 from ..operators.lines import explode_lines
+from ..sources import commits
 from ..sources.gitdiff import parse_diff
 from .views import CYRILLIC_A, GRIN, HEART, NBSP, ZWSP, load, oracle, view
 
@@ -275,21 +276,87 @@ def append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.append_only(files, old, new, cfg).select(F.col("path").cast("long").alias("doc_id"))
 
 
-_CACHE_RULES = ", ".join(f"('{n}', '{x}', {inside})" for t, inside in ((repo.BESIDE, "false"), (repo.INSIDE, "true")) for n, xs in t.items() for x in xs)
-_CACHES = f"""with rules(name, entry, inside) as (values {_CACHE_RULES}),
+#: Fixed values, written here once more so that the SQL doesn't rest on the operator's own tables: name, then what must stand beside it or (after >) inside.
+_CACHE_RULES = """node_modules package.json package-lock.json yarn.lock pnpm-lock.yaml bun.lockb bun.lock
+dist package.json package-lock.json yarn.lock pnpm-lock.yaml bun.lockb bun.lock go.mod Cargo.toml
+out next.config.js next.config.ts next.config.mjs next.config.cjs package.json
+build package.json Cargo.toml build.gradle build.gradle.kts settings.gradle settings.gradle.kts gradlew gradlew.bat pubspec.yaml wails.json CMakeLists.txt >CMakeCache.txt >build.ninja
+target Cargo.toml pom.xml build.sbt
+vendor go.mod Cargo.toml composer.json Gemfile package.json
+.gradle build.gradle build.gradle.kts settings.gradle settings.gradle.kts gradlew gradlew.bat
+.next next.config.js next.config.ts next.config.mjs next.config.cjs package.json
+.nuxt nuxt.config.js nuxt.config.ts nuxt.config.mjs
+.output nuxt.config.js nuxt.config.ts nuxt.config.mjs
+.svelte-kit svelte.config.js svelte.config.ts svelte.config.cjs
+.yarn yarn.lock package.json
+.bun bun.lockb bun.lock package.json
+__pycache__ *.py pyproject.toml setup.py setup.cfg requirements.txt
+.pytest_cache pytest.ini pyproject.toml setup.cfg tox.ini requirements.txt conftest.py
+.mypy_cache mypy.ini .mypy.ini pyproject.toml setup.cfg
+.ruff_cache ruff.toml pyproject.toml
+.turbo turbo.json package.json
+.parcel-cache package.json
+.tox tox.ini setup.cfg pyproject.toml
+.nox noxfile.py
+.venv >pyvenv.cfg
+.embuild sdkconfig.defaults sdkconfig idf_component.yml >espressif/
+.dart_tool pubspec.yaml >package_config.json"""
+_RULE_ROWS = ", ".join(f"('{name}', '{x.lstrip('>')}', {str(x.startswith('>')).lower()})" for name, *xs in map(str.split, _CACHE_RULES.split("\n")) for x in xs)
+#: A walk from the root, one level of folders a step.
+_CACHES = f"""with recursive rules(name, entry, inside) as (values {_RULE_ROWS}),
     parts as (select path, string_split(path, '/') as p from tree_paths),
-    above as (select distinct array_to_string(p[1:i], '/') as dir, array_to_string(p[1:i - 1], '/') as up, p[i] as name from (select p, unnest(range(1, len(p))) as i from parts)),
-    entries as (select array_to_string(p[1:len(p) - 1], '/') as at, p[len(p)] as entry from parts union select array_to_string(p[1:len(p) - 1], '/'), '*.py' from parts where path like '%.py' union select up, concat(name, '/') from above),
-    caches as (select distinct dir from above join rules using (name) join entries on entries.entry = rules.entry and entries.at = case when inside then dir else up end),
-    outer_ones as (select dir from caches c where not exists (select 1 from caches o where starts_with(c.dir, concat(o.dir, '/'))))"""
+    folders as (select distinct array_to_string(p[1:i], '/') as dir, array_to_string(p[1:i - 1], '/') as up, p[i] as name from (select p, unnest(range(1, len(p))) as i from parts)),
+    entries as (select array_to_string(p[1:len(p) - 1], '/') as place, p[len(p)] as entry from parts union select array_to_string(p[1:len(p) - 1], '/'), '*.py' from parts where path like '%.py' union select up, concat(name, '/') from folders),
+    proven as (select distinct dir from folders join rules using (name) join entries on entries.entry = rules.entry and entries.place = case when inside then dir else up end),
+    kinds as (select dir, up, case when name in ('.git', '.svn', '.hg', '.bzr') then 'closed' when dir in (select place from entries where entry in ('pyvenv.cfg', 'pyvenv.cfg/')) then 'found'
+        when name in (select name from rules) then case when dir in (select dir from proven) then 'found' else 'closed' end when name like '.%' then 'closed' else 'entered' end as kind from folders),
+    walk as (select dir, kind from kinds where up = '' union all select k.dir, k.kind from walk w join kinds k on k.up = w.dir where w.kind = 'entered')"""
 
 
-@query(f"{_CACHES} select dir as path, count(*)::bigint as files from outer_ones join tree_paths on starts_with(path, concat(dir, '/')) group by dir")
+@query(f"{_CACHES} select dir as path, count(*)::bigint as files from walk join tree_paths on starts_with(path, concat(dir, '/')) where kind = 'found' group by dir")
 def cache_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache folders and environments that a walk over the paths finds."""
     found = repo.committed_cache_dirs(view(spark, sf_dir, "tree_paths").select("path"), PolicyConfig())
     return found.select("path", F.col("params")["files"].cast("long").alias("files"))
 
 
+@query(f"""{_CACHES}, up as (select t.path, k.dir, row_number() over (partition by t.path order by length(k.dir) desc) as r from (select distinct path from tree_paths where doc_id % 2 = 0) t
+    join (select dir from proven union select place from entries where entry in ('pyvenv.cfg', 'pyvenv.cfg/')) k on starts_with(t.path, concat(k.dir, '/')) where k.dir <> '')
+    select dir as cache_dir, min(path) as path from up where r = 1 and not regexp_matches(dir, '(^|/)dist$') group by dir""")
+def staged_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first changed path in each nearest cache folder or environment; ``dist`` is ignored."""
+    rows = view(spark, sf_dir, "tree_paths")
+    changed = rows.where("doc_id % 2 = 0").select("path", F.lit(False).alias("is_deleted"))
+    found = repo.staged_cache_dirs(changed, rows.select("path"), PolicyConfig(cache_dir_ignore=["dist"]))
+    return found.select("path", F.col("params")["dir"].alias("cache_dir"))
+
+
+#: Everything that each end of a range reaches, itself included.
+_REACH = """with recursive edge as (select hash, p1 as parent from commit_graph where p1 is not null union select hash, p2 from commit_graph where p2 is not null),
+    ends as (select range_id, 'start' as side, start_hash as hash from commit_ranges union select range_id, 'stop', stop_hash from commit_ranges union select range_id, 'left', left_hash from commit_ranges union select range_id, 'right', right_hash from commit_ranges),
+    reach as (select range_id, side, hash from ends where hash is not null union select r.range_id, r.side, e.parent from reach r join edge e on e.hash = r.hash)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "commit_graph").select("hash", F.array("p1", "p2").alias("parents")), view(spark, sf_dir, "commit_ranges")
+
+
+@query(f"{_REACH} select range_id::bigint as range_id, hash from reach where side = 'stop' except select range_id::bigint, hash from reach where side = 'start'")
+def push_range_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits: parents are the customer's order before, and in a third of them one of other customers."""
+    graph, ranges = _graph(spark, sf_dir)
+    return commits.in_ranges(graph, ranges.select(F.col("range_id").cast("long").alias("range_id"), F.col("start_hash").alias("start"), F.col("stop_hash").alias("stop")))
+
+
+@query(f"""{_REACH}, common as (select range_id, hash from reach where side = 'left' intersect select range_id, hash from reach where side = 'right')
+    select range_id::bigint as range_id, hash from common c where not exists (select 1 from edge e join common d on d.hash = e.hash and d.range_id = c.range_id where e.parent = c.hash)""")
+def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest common ancestors of two ends of each part of that graph."""
+    graph, ranges = _graph(spark, sf_dir)
+    pairs = ranges.select(F.col("range_id").cast("long").alias("pair_id"), F.col("left_hash").alias("left"), F.col("right_hash").alias("right"))
+    return commits.merge_bases(graph, pairs).withColumnRenamed("pair_id", "range_id")
+
+
 @query(f"select 'conventional' as check_name, count(*)::bigint as n from msgs where not ({_SUBJECT} = '' or {_SUBJECT} like 'Merge %' or {_SUBJECT} like 'Revert %' or {_SUBJECT} like 'fixup! %' or {_SUBJECT} like 'squash! %') and ({_TYPE} not in ({', '.join(repr(t) for t in TYPES)})) union all select 'coauthor', count(*) from (with {_LINES.format(view='msgs')} select 1 from ls where lower(trim(line_text)) like 'co-authored-by:%cursor.sh>') union all select 'invisible', sum(length(text) - length(replace(text, '{ZWSP}', '')))::bigint from msgs union all select 'subject_limit', count(*) from msgs where length({_SUBJECT}) > 60")
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All message checks in one plan, counted."""

@@ -47,9 +47,16 @@ VIEWS = {
         n_chars as size from documents
         union all select distinct -1 as doc_id, concat(source, '/', lang, '/package.json') as path, 10 as size from documents where lang <> 'es'
         union all select distinct -2 as doc_id, concat(source, '/', lang, '/setup.py') as path, 20 as size from documents where lang = 'en'""",
-    "tree_paths": f"""select doc_id, concat(source, '/p', doc_id % 97, '/', case when doc_id % 2 = 0 then concat({_nth(CACHE_DIRS + ['src'], 'doc_id')}, '/') else '' end,
+    "tree_paths": f"""select doc_id, concat(source, '/p', doc_id % 97, '/', case doc_id % 13 when 3 then concat('env', doc_id % 4, '/lib/') when 5 then '.hid/' when 7 then 'build/sub/' when 9 then '.git/' else '' end,
+        case when doc_id % 2 = 0 then concat({_nth(CACHE_DIRS + ['src'], 'doc_id')}, '/') else '' end,
         case when doc_id % 5 = 0 then {_nth(_INNER, 'doc_id')} else concat('f', doc_id, {_nth(sorted(LANGUAGE_BY_EXT) + ['.bin'], 'doc_id')}) end) as path, n_chars as size from documents
-        union all select distinct -1 as doc_id, concat(source, '/p', doc_id % 97, '/', {_nth(_OUTER, 'doc_id % 97')}) as path, 10 as size from documents""",
+        union all select distinct -1 as doc_id, concat(source, '/p', doc_id % 97, case when doc_id % 3 = 0 then '/.hid' else '' end, '/', {_nth(_OUTER, 'doc_id % 97')}) as path, 10 as size from documents
+        union all select distinct -2 as doc_id, concat(source, '/p', doc_id % 97, '/env', doc_id % 3, '/pyvenv.cfg') as path, 10 as size from documents where doc_id % 4 = 1
+        union all select distinct -3 as doc_id, concat(source, '/p', doc_id % 97, '/env', doc_id % 4, '/lib/package.json') as path, 10 as size from documents""",
+    "commit_graph": """select o_orderkey as hash, floor(o_custkey / 20) as cluster, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as p1,
+        case when o_orderkey % 3 = 0 then lag(o_orderkey, 3) over (partition by floor(o_custkey / 20) order by o_orderkey) end as p2 from orders""",
+    "commit_ranges": """select floor(o_custkey / 20) as range_id, max(case when o_custkey % 3 = 0 then o_orderkey end) as start_hash, max(o_orderkey) as stop_hash,
+        max(case when o_custkey % 3 = 1 then o_orderkey end) as left_hash, max(case when o_custkey % 3 = 2 then o_orderkey end) as right_hash from orders group by 1""",
     "scripts": """select doc_id, concat('src/', doc_id, '.sh') as path, concat('#!/bin/sh', chr(10), replace(text, '. ', concat('.', chr(10), '# '))) as text from documents""",
 }
 
@@ -62,7 +69,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables it names."""
     sql = VIEWS[name]
-    tables = load(spark, sf_dir, *[t for t in ("documents", "conversations", "pages") if f"from {t}" in sql])
+    tables = load(spark, sf_dir, *[t for t in ("documents", "conversations", "pages", "orders") if f"from {t}" in sql])
     for t in tables:
         sql = sql.replace(f"from {t}", f"from {{{t}}}")
     return spark.sql(sql, **tables)
@@ -71,4 +78,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(sql: str) -> str:
     """DuckDB SQL with the views that it names as common tables."""
     used = [v for v in VIEWS if v in sql]
-    return f"with {', '.join(f'{v} as ({VIEWS[v]})' for v in used)}{', ' if used and sql.lstrip().startswith('with ') else ' '}{sql.lstrip().removeprefix('with ') if used else sql}" if used else sql
+    if not used:
+        return sql
+    body = sql.lstrip()
+    head = next((h for h in ("with recursive ", "with ") if body.startswith(h)), "")
+    return f"{head or 'with '}{', '.join(f'{v} as ({VIEWS[v]})' for v in used)}{', ' if head else ' '}{body.removeprefix(head)}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,12 +140,12 @@ def tree_files(blobs: DataFrame, ref: str) -> DataFrame:
     return blobs.where(F.col("ref") == ref).select("path").distinct()
 
 
-def push_ranges(lines: DataFrame, line: str = "line") -> DataFrame:
-    """``local-ref local-sha remote-ref remote-sha`` lines to (start, stop); deleted refs are left out, start is null for new ones."""
+def push_ranges(lines: DataFrame, line: str = "line", base: str | None = None) -> DataFrame:
+    """``local-ref local-sha remote-ref remote-sha`` lines to (start, stop); deleted refs are left out, new ones start at ``base`` (None: null)."""
     f = F.split(F.trim(F.col(line)), r"\s+")
     zero = lambda c: c.rlike("^0+$")
     rows = lines.select(f.alias("f")).where((F.size("f") == 4) & ~zero(F.col("f")[1]))
-    return rows.select(F.when(zero(F.col("f")[3]), F.lit(None)).otherwise(F.col("f")[3]).alias("start"), F.col("f")[1].alias("stop"))
+    return rows.select(F.when(zero(F.col("f")[3]), F.lit(base)).otherwise(F.col("f")[3]).alias("start"), F.col("f")[1].alias("stop"))
 
 
 def commit_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -159,8 +160,11 @@ def corpus_from_files(spark: SparkSession, path: str, glob: str = "*") -> DataFr
     return files.select("path", "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def comparison(args: list[str], staged_only: bool = False) -> tuple[str, str]:
-    """(from, to) of zero, one or two arguments; empty strings: the last commit against the index."""
+def comparison(args: list[str], staged_only: bool = False, merge_base: Callable[[str, str], str | None] | None = None) -> tuple[str, str]:
+    """(from, to) of zero, one or two arguments; empty strings: the last commit against the index.
+
+    ``A...B`` starts at the merge base (see ``commits.resolver``), or at A where there is none.
+    """
     if len(args) > 2:
         raise ValueError("at most two references")
     if staged_only or not args:
@@ -170,7 +174,8 @@ def comparison(args: list[str], staged_only: bool = False) -> tuple[str, str]:
     for dots in ("...", ".."):
         if dots in args[0]:
             a, _, b = args[0].partition(dots)
-            return a or "HEAD", b or "HEAD"
+            a, b = a or "HEAD", b or "HEAD"
+            return (merge_base(a, b) or a if merge_base and dots == "..." else a), b
     return args[0], ""
 
 

@@ -292,9 +292,10 @@ def test_file_checks_and_report(spark):
 def test_layout(spark):
     paths = [("a/package.json", 1), ("a/node_modules/x/i.js", 100), ("a/node_modules/x/node_modules/y.js", 2000), ("b/node_modules/x.js", 5), ("c/m.py", 1), ("c/__pycache__/m.pyc", 7), ("v/pyvenv.cfg", 1), (".venv/pyvenv.cfg", 3), ("README.md", 2), (".eslintrc.json", 1)]
     df = table(spark, [(p, s, True) for p, s in paths], "path string, size long, tracked boolean")
-    assert {r.dir for r in repo.outermost(repo.cache_dirs(df)).collect()} == {"a/node_modules", "c/__pycache__", ".venv"}
+    # an environment is found by its marker, whatever its name
+    assert {r.dir for r in repo.walked(df).collect()} == {"a/node_modules", "c/__pycache__", ".venv", "v"}
     got = [(r.cache_dir, r.size, r.shown) for r in repo.cache_sizes(df).collect()]
-    assert got == [("a/node_modules", 2100, "2.1 KB"), ("c/__pycache__", 7, "7 B"), (".venv", 3, "3 B")]
+    assert got == [("a/node_modules", 2100, "2.1 KB"), ("c/__pycache__", 7, "7 B"), (".venv", 3, "3 B"), ("v", 1, "1 B")]
     changed = table(spark, [("a/node_modules/x/i.js", False), ("a/node_modules/x/node_modules/y.js", False), ("c/m.py", False)], "path string, is_deleted boolean")
     assert len(repo.staged_cache_dirs(changed, df, PolicyConfig()).collect()) == 1
     assert [(r.language, r.n_files) for r in repo.language_counts(df).collect()][0] == ("TypeScript/JavaScript", 3)

@@ -100,18 +100,20 @@ def best_fit(docs: DataFrame, length: str = "n_tokens", capacities: tuple[int, .
 
     Defined cases: a null, zero or negative length gives one piece of length 0 in
     some bin; a null doc_id and repeated rows are packed like others, each row for
-    itself; pieces of one length come in the order of doc_id, piece and row, and of equally
+    itself; pieces of one length come in the order of doc_id, piece and number among equal rows, and of equally
     tight bins the latest opened is taken; an empty table gives an empty result; other columns,
     whatever their names, are ignored. Lengths of any size are cut, none is shortened.
     """
     top = max(capacities)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("_n"))
-    cut = rows.select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / top) - 1, F.lit(0)).cast("long"))).alias("piece"))
-    pieces = cut.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).alias("n_tokens"), F.monotonically_increasing_id().alias("_row"))
+    # equal rows are numbered by their count, so that nothing depends on how the table is dealt
+    rows = rows.groupBy("doc_id", "_n").agg(F.count("*").alias("_c")).select("doc_id", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))).alias("_row"))
+    cut = rows.select("doc_id", "_n", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / top) - 1, F.lit(0)).cast("long"))).alias("piece"))
+    pieces = cut.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).alias("n_tokens"), "_row")
     total = rows.agg(F.sum(F.greatest(F.ceil(F.col("_n") / top), F.lit(1)))).first()[0] or 0
     shards = max(1, math.ceil(int(total) / shard))
-    # the row's own number keeps repeated rows from filling one shard
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(shards)))
+    # the number keeps repeated rows from filling one shard
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "_row", "n_tokens"), F.lit(shards)))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("_row", "ascending")])

@@ -154,3 +154,10 @@ def test_zero_lengths_share_a_bin():
     assert set(bins.tolist()) == {0} and set(caps.tolist()) == {512}
     bins, offsets, caps = packing.pack(np.array([0, 512, 0]))
     assert bins.tolist() == [0, 0, 0] and offsets.tolist() == [512, 0, 512]
+
+
+def test_bins_do_not_depend_on_the_partitions(spark):
+    rows = [(i % 400 if i % 9 else None, (i * 37) % 900) for i in range(1200)] + [(7, 50)] * 30 + [(8, 20_000)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    bins = [sorted((str(r.doc_id), r.piece, r.n_tokens, r.bin_id, r.bin_start, r.capacity) for r in packing.best_fit(d, shard=100).collect()) for d in (df.coalesce(1), df.repartition(3), df.repartition(5, "n_tokens"))]
+    assert bins[0] == bins[1] == bins[2] and len(bins[0]) == 1230 + 9

@@ -72,17 +72,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = parts(F.col(url))
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*kept).alias("_page"), host.alias("_host"), path.alias("_path"))
-    wide = rows.select("_row", "_page", "_host", "_path", F.explode(_hosts(F.col("_host"), most)).alias("h")).select("*", F.explode_outer(_paths(F.col("_path"), lengths)).alias("p"))
+    # a host and path are judged once, however many pages have them; the pages themselves are not carried along
+    rows = pages.select(host.alias("_host"), path.alias("_path")).where("_host <> ''").distinct()
+    wide = rows.select("_host", "_path", F.explode(_hosts(F.col("_host"), most)).alias("h")).select("*", F.explode(_paths(F.col("_path"), lengths)).alias("p"))
     wide = wide.withColumn("digest", digest(F.concat_ws("\0", "h", "p"))).withColumn("short", F.substring("digest", 1, 4))
     if keyed.count() <= BROADCAST_RULES:
-        met = wide.join(F.broadcast(keyed), "short", "left")
+        met = wide.join(F.broadcast(keyed), "short")
     else:
-        wide = wide.withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)))
-        met = wide.join(keyed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["short", "salt"], "left")
-    fits = F.when(F.col("digest") == F.col("rule_digest"), F.col("fits"))
-    best = met.groupBy("_row").agg(F.first("_page").alias("_page"), F.first("_host").alias("host"), F.first("_path").alias("path"), F.max(fits).alias("fits"))
-    return best.select(*[F.col("_page")[c].alias(c) for c in kept], "host", "path", F.col("fits.text").alias("rule"), F.coalesce("fits.verdict", F.lit(default)).alias("verdict"))
+        wide = wide.withColumn("salt", F.pmod(F.xxhash64("_host", "_path"), F.lit(SALTS)))
+        met = wide.join(keyed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["short", "salt"])
+    best = met.where("digest = rule_digest").groupBy("_host", "_path").agg(F.max("fits").alias("fits"))
+    page = pages.select(F.struct(*kept).alias("_page"), host.alias("_host"), path.alias("_path"))
+    out = page.join(best, ["_host", "_path"], "left")
+    return out.select(*[F.col("_page")[c].alias(c) for c in kept], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("fits.text").alias("rule"), F.coalesce("fits.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:

@@ -35,10 +35,17 @@ THREATS = "kill hurt destroy beat shoot stab burn punish attack strangle crush".
 TARGETS = "you your you're youre u he she they him her them his their we everyone people all these those that this".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't neither nor without hardly".split()
 REPORTS = "said says say called calls claimed claims wrote writes reported alleged quoted accused according heard".split()
+#: The same classes in Spanish, French and German; insults of those languages are learned.
+THREATS += "matar golpear destruir apuñalar quemar tuer frapper détruire poignarder brûler töten schlagen zerstören erschießen verbrennen".split()
+TARGETS += "tú ti usted ustedes vosotros ellos ellas toi vous ils elles dich euch ihnen".split()
+NEGATIONS += "nunca jamás tampoco sin pas jamais ni nicht kein keine keinen nie niemals ohne".split()
+REPORTS += "dijo dice dicen llamó escribió afirmó acusó según dit disait disent appelle écrit affirme accusé selon sagte sagt sagen nannte schrieb behauptet angeblich laut".split()
 #: Weight of a listed insult without evidence, and of a threat aimed at a target.
 PRIOR, THREAT = 4.0, 4.5
 #: Labelled rows that the lexicon is learned from, at most about: of label 1 and of label 0.
 SAMPLE = (2_000, 4_000)
+#: Hashes of a text by which its near copies are known.
+SKETCH = 48
 #: Lengths of the word beginnings that are learned.
 BEGINNINGS = (4, 5, 6)
 #: What a clause's weight is taken down by before it becomes a score.
@@ -147,18 +154,42 @@ class Scorer:
         return 1 / (1 + math.exp(BIAS - top - 0.3 * math.log1p(max(0, hits - 1))))
 
 
-def _features(text: str) -> dict[str, str]:
-    """Words and beginnings of longer words, each with the word before its first place."""
-    out: dict[str, str] = {}
-    last = ""
-    for w in _WORD.findall(text.lower()):
-        if w not in out:
-            out[w] = last
-            for n in BEGINNINGS:
-                if len(w) > n:
-                    out.setdefault(w[:n] + "*", last)
-        last = w
-    return out
+def _features(text: str) -> set[str]:
+    """Words and beginnings of longer words."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
+
+
+def _sketch(text: str) -> list[int]:
+    """The smallest hashes of a text's runs of five words: about as many of them agree as the texts' runs do."""
+    words = text.lower().split()
+    runs = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
+    return sorted(runs)[:SKETCH]
+
+
+def text_classes(sketches: dict[int, list[int]]) -> dict[int, int]:
+    """Each document's class: copies and near copies of one text, linked where half of a sketch agrees, are one."""
+    up = {d: d for d in sketches}
+
+    def top(d: int) -> int:
+        while up[d] != d:
+            up[d] = up[up[d]]
+            d = up[d]
+        return d
+
+    first: dict[int, list[int]] = {}
+    for d in sorted(sketches):
+        mine, met = sketches[d], {}
+        for h in mine:
+            for e in first.get(h, ()):
+                met[e] = met.get(e, 0) + 1
+        near = [e for e, n in met.items() if 2 * n >= min(len(mine), len(sketches[e]))]
+        for e in near:
+            up[max(top(d), top(e))] = min(top(d), top(e))
+        if not near:  # one of a class stands for it
+            for h in mine:
+                first.setdefault(h, []).append(d)
+    return {d: top(d) for d in sketches}
 
 
 def held_out(doc_id) -> F.Column:
@@ -182,23 +213,34 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     def run(batches):
         for whole in batches:
             for b in text_slices(whole, "text", 1 << 20):
-                per = [sorted(_features(t or "").items()) for t in b.column("text").to_pylist()]
+                per = [sorted(_features(t or "")) for t in b.column("text").to_pylist()]
                 rep = pa.array(np.repeat(np.arange(len(per)), [len(p) for p in per]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rep), b.column("y").take(rep), pa.array([f for p in per for f, _ in p], pa.string()), pa.array([c for p in per for _, c in p], pa.string())], names=["doc_id", "y", "f", "c"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rep), b.column("y").take(rep), pa.array([f for p in per for f in p], pa.string())], names=["doc_id", "y", "f"])
+
+    def sketch(batches):
+        for whole in batches:
+            for b in text_slices(whole, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_sketch(t or "") for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.table(texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f string, c string"))
+    chosen = scratch.table(texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text"))
+    rows = scratch.table(chosen.mapInArrow(run, "doc_id long, y int, f string"))
     n_pos, n_neg = (rows.where(f"y = {y}").select("doc_id").distinct().count() for y in (1, 0))
     words: dict[str, float] = {w: PRIOR for w in INSULTS}
     if not n_pos or not n_neg:
         return words, {}
-    stats = rows.groupBy("f").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("p"), F.countDistinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("n"), F.countDistinct(F.when(F.col("y") == 1, F.col("c"))).alias("contexts"))
+    # at most SKETCH numbers for each document of label 1 in the bounded sample
+    sketches: dict[int, list[int]] = {}
+    for r in chosen.where("y = 1").select("doc_id", "text").mapInArrow(sketch, "doc_id long, s array<long>").collect():
+        sketches[r["doc_id"]] = sorted({*sketches.get(r["doc_id"], []), *r["s"]})[:SKETCH]
+    classes = docs.sparkSession.createDataFrame(list(text_classes(sketches).items()), "doc_id long, c long")
+    stats = rows.join(F.broadcast(classes), "doc_id", "left").groupBy("f").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("p"), F.countDistinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("n"), F.countDistinct(F.when(F.col("y") == 1, F.col("c"))).alias("texts"))
     odds = F.log((F.col("p") + 0.5) / (n_pos + 1)) - F.log((F.col("n") + 0.5) / (n_neg + 1))
     least = max(3, math.ceil(0.005 * n_pos))
     listed = F.col("f").isin(INSULTS)
-    # copies of a document show a word in one context only, insults turn up in many
+    # copies of a document are one text, insults turn up in many
     # at most n_pos * features of a document / least rows, from the bounded sample
-    good = scratch.table(stats.withColumn("w", odds).where(((F.col("p") >= least) & (F.col("contexts") >= least) & (F.col("w") >= 2.5) & (F.col("p") >= 10 * F.col("n"))) | listed))
+    good = scratch.table(stats.withColumn("w", odds).where(((F.col("p") >= least) & (F.col("texts") >= least) & (F.col("w") >= 2.5) & (F.col("p") >= 10 * F.col("n"))) | listed))
     weight = {r["f"]: (r["w"], r["p"], r["n"]) for r in good.collect()}
     for w in INSULTS:  # evidence against a listed word
         if w in weight and weight[w][2] >= 3 and weight[w][0] < 2.5:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -56,3 +57,33 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in toxicity.toxic_scores(docs, none).orderBy("doc_id").collect()] == [1, 0]
     assert toxicity.toxic_scores(docs.limit(0), none).collect() == []
+
+
+def test_insults_in_stock_phrases_are_learned(spark):
+    """A word that always follows the same one, in many different texts; and one that stands in copies of one text alone."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice("aeioutrnsl") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    docs = [(i, f"{say(20)}. {say(3)} you zorblat {say(4)}. {say(15)}", 1) for i in range(500)]
+    docs += [(500 + i, f"{say(20)}. {say(3)} you {say(5)}. {say(15)}", 0) for i in range(1000)]
+    copied = f"{say(60)} quixlorp {say(60)}"
+    docs += [(1500 + i, f"{copied} {say(2)}", 1) for i in range(60)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, toxic int")
+    words, begin = toxicity.learn(df, labels)
+    assert "zorblat" in words and "quixlorp" not in words and not any("quixlorp".startswith(b) for b in begin)
+    out = toxicity.toxic_scores(df, labels).where("held_out and doc_id < 1500").collect()
+    assert sum(r.predicted for r in out if r.doc_id < 500) >= 0.99 * sum(r.doc_id < 500 for r in out)
+    assert sum(r.predicted for r in out if r.doc_id >= 500) == 0
+
+
+def test_classes_of_texts():
+    base = [f"w{i}" for i in range(100)]
+    texts = {1: " ".join(base), 2: " ".join(base[:50] + ["x"] + base[51:]), 3: " ".join(base[::-1]), 4: "", 5: "", 6: "a b"}
+    got = toxicity.text_classes({d: toxicity._sketch(t) for d, t in texts.items()})
+    assert got[1] == got[2] == 1 and got[3] == 3 and got[4] == got[5] == 4 and got[6] == 6
+
+
+def test_other_languages():
+    s = toxicity.Scorer({"zorblat": 5.0}, {})
+    plain, quoted, denied = s.clause("du bist ein zorblat"), s.clause("er sagte zorblat"), s.clause("nicht zorblat")
+    assert plain > quoted > denied and s.clause("voy a matar ti") > toxicity.BIAS and s.clause("no voy a matar ti") < plain

@@ -1,4 +1,4 @@
-"""In-comment directives and comment units: an ordered fold and gaps-and-islands."""
+"""In-comment directives and comment units: running values and gaps-and-islands, in blocks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.language import LANGUAGES, trimmed
+from . import scan
 
 PREFIX = "siltgate:"
 
@@ -42,31 +43,47 @@ def states(comments: DataFrame, default_language: str | Column, prefix: str = PR
     Directives act from their place on. disable outranks ignore, which skips
     one comment, then lang, then file-lang, then the default. Without
     file-lang a comment in a disabled stretch uses up a pending ignore; with
-    it, it does not. One fold over a path's comments in the order of seq.
+    it, it does not.
+
+    A directive sets a part of the state and leaves the rest, so the state before a comment is the last value of each
+    part; an ignore is pending if no comment that uses it up has come since. What a block of comments does to
+    the state is a map on it: its last values, and the last comment that uses up an ignore for each of the four ways
+    in which the block can be entered (disabled or not, with file-lang or not). The maps are composed from block to
+    block, so one long file is read by many tasks. Rows are in the order of seq, an integer unique within a path.
     """
     default = F.lit(default_language) if isinstance(default_language, str) else default_language
-    rest = [c for c in comments.columns if c not in ("path", "seq")]
-    one = F.struct("seq", *rest, parsed(F.col("text"), prefix).alias("said"), default.alias("fallback"))
-    state = "named_struct('off', {off}, 'off_lang', {off_lang}, 'next', {next}, 'lang', {lang}, 'file', {file}, 'out', concat(a.out, array(named_struct('skip', {skip}, 'lang', {says}))))"
-
-    def after(skip: str = "true", says: str = "''", **change: str) -> str:
-        same = {k: f"a.{k}" for k in ("off", "off_lang", "next", "lang", "file")}
-        return state.format(**(same | change), skip=skip, says=says)
-
-    fold = f"""aggregate(cs, named_struct('off', false, 'off_lang', '', 'next', false, 'lang', '', 'file', '', 'out', cast(array() as array<struct<skip:boolean,lang:string>>)), (a, c) -> case
-        when c.said.action = 'none' and a.off then {after("a.off_lang = ''", "a.off_lang", next="a.next and a.file <> ''")}
-        when c.said.action = 'none' and a.next then {after("true", "''", next="false")}
-        when c.said.action = 'none' then {after("false", "case when a.lang <> '' then a.lang else a.file end")}
-        when c.said.action = 'file' then {after(file="c.said.lang")}
-        when c.said.action = 'disable' then {after(off="true", off_lang="c.said.lang")}
-        when c.said.action = 'enable' then {after(off="false", off_lang="''")}
-        when c.said.action = 'ignore' then {after(next="true")}
-        when c.said.action = 'lang' then {after(lang="c.said.lang")}
-        else {after()} end, a -> a.out)"""
-    grouped = comments.groupBy("path").agg(F.sort_array(F.collect_list(one)).alias("cs")).withColumn("st", F.expr(fold))
-    out = grouped.select("path", F.explode(F.arrays_zip("cs", "st")).alias("z"))
-    lang = F.when(~F.col("z.st.skip") & (F.col("z.st.lang") == ""), F.col("z.cs.fallback")).otherwise(F.col("z.st.lang"))
-    return out.select("path", "z.cs.seq", *[F.col(f"z.cs.{c}").alias(c) for c in rest], F.col("z.st.skip").alias("skip"), lang.alias("lang"))
+    names = list(comments.columns)
+    by = ["_path"]
+    rows = comments.select(F.struct(*[comments[f"`{c}`"] for c in names]).alias("_row"), F.col("path").alias("_path"), F.col("seq").alias("_seq"), parsed(F.col("text"), prefix).alias("_said"), default.alias("_fallback"))
+    rows = scan.cut(rows, "_seq")
+    action, lang = F.col("_said.action"), F.col("_said.lang")
+    plain = action == "none"
+    sets = {
+        "off": F.when(action == "disable", F.struct(F.lit(True).alias("on"), lang.alias("lang"))).when(action == "enable", F.struct(F.lit(False).alias("on"), F.lit("").alias("lang"))),
+        "lang": F.when(action == "lang", lang),
+        "file": F.when(action == "file", lang),
+        "ignore": F.when(action == "ignore", F.col("_seq")),
+    }
+    before = scan.here(by, "_seq")
+    rows = rows.withColumns({f"_{n}": F.last(c, ignorenulls=True).over(before) for n, c in sets.items()})
+    entries = [(off, file) for off in (False, True) for file in (False, True)]
+    uses = {f"_used{int(off)}{int(file)}": F.when(plain & ~(F.coalesce("_off.on", F.lit(off)) & F.coalesce(F.col("_file") != "", F.lit(file))), F.col("_seq")) for off, file in entries}
+    blocks = rows.groupBy("_path", "_b").agg(*[scan.latest(c, "_seq").alias(f"_{n}") for n, c in sets.items()], *[F.max(c).alias(n) for n, c in uses.items()])
+    over = scan.earlier(by)
+    blocks = blocks.select("_path", "_b", *uses, *[F.last(f"_{n}", ignorenulls=True).over(over).alias(f"_g_{n}") for n in sets])
+    entered = lambda off, file: (F.coalesce("_g_off.on", F.lit(False)) == off) & (F.coalesce(F.col("_g_file") != "", F.lit(False)) == file)
+    chosen = F.coalesce(*[F.when(entered(off, file), F.col(f"_used{int(off)}{int(file)}")) for off, file in entries])
+    blocks = blocks.withColumn("_g_used", F.max(chosen).over(over))
+    rows = rows.withColumns({n: F.max(c).over(before) for n, c in uses.items()})
+    rows = scan.given(rows, blocks, by, {f"_g_{n}": F.col(f"_g_{n}") for n in (*sets, "used")})
+    used = F.greatest(F.coalesce(*[F.when(entered(off, file), F.col(f"_used{int(off)}{int(file)}")) for off, file in entries]), F.col("_g_used"))
+    off, ignore = F.coalesce("_off", "_g_off"), F.coalesce("_ignore", "_g_ignore")
+    disabled, off_lang = F.coalesce(off["on"], F.lit(False)), F.coalesce(off["lang"], F.lit(""))
+    pending = F.coalesce(ignore > F.coalesce(used, ignore - 1), F.lit(False))
+    skip = F.when(~plain, True).when(disabled, off_lang == "").otherwise(pending)
+    chosen_lang = F.coalesce(F.nullif(F.coalesce("_lang", "_g_lang"), F.lit("")), F.col("_file"), F.col("_g_file"), F.lit(""))
+    said = F.when(~plain, "").when(disabled, off_lang).when(pending, "").otherwise(chosen_lang)
+    return rows.select(*[F.col("_row")[c].alias(c) for c in names if c not in ("skip", "lang")], skip.alias("skip"), F.when(~skip & (said == ""), F.col("_fallback")).otherwise(said).alias("lang"))
 
 
 def units(stated: DataFrame, check_strings: bool = False) -> DataFrame:

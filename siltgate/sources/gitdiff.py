@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..operators import scan
+
 #: The one-letter escapes of C-style quoted paths.
 ESCAPES = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, '"': 34, "'": 39}
 _ESCAPE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([0-7]{1,3})|(.))|\\\Z", re.S)
@@ -57,17 +59,15 @@ def header_path(line: Column) -> Column:
     return F.when(quoted != "", F.concat(F.lit('"'), F.substring(quoted, 4, F.length(quoted)))).otherwise(plain)
 
 
-def parse_diff(diffs: DataFrame, diff: str = "diff", key: str = "diff_id") -> DataFrame:
-    """Unified diffs to a row per file.
+def diff_rows(diffs: DataFrame, diff: str = "diff", key: str = "diff_id") -> DataFrame:
+    """Unified diffs to a row for each of their lines: key, pos, l, k (its kind), file (its number from 1), hunk (whether one of the
+    file has begun) and line (of the new side, for added lines).
 
-    key, path, is_deleted, is_new, has_removed_lines, is_submodule, is_symlink,
-    added_lines (sorted). A running count of headers gives the file, the last
-    hunk header its first line, and a running count of added and context lines
-    since then the line number. Added text that looks like a header is read as
-    one, as ``git diff`` consumers do.
+    A running count of headers gives the file; a hunk header tells the number of its first line, and
+    the count of added and context lines since then the rest. Both counts run in two levels over blocks of lines, and
+    what a block hands on is its counts and its last hunk header: one diff of any length is read by many tasks.
     """
-    rows = diffs.select(key, F.posexplode(F.split(diff, "\n", -1)).alias("pos", "l"))
-    order = W.partitionBy(key).orderBy("pos")
+    rows = diffs.select(F.col(key).alias("_key"), F.posexplode(F.split(diff, "\n", -1)).alias("pos", "l"))
     kind = (
         F.when(F.col("l").startswith("diff --git "), "file")
         .when(F.col("l").startswith("+++ b/") | F.col("l").startswith('+++ "b/'), "name")
@@ -81,20 +81,45 @@ def parse_diff(diffs: DataFrame, diff: str = "diff", key: str = "diff_id") -> Da
         .when(F.col("l").startswith(" "), "keep")
         .otherwise("other")
     )
-    rows = rows.withColumn("k", kind).withColumn("file", F.sum((F.col("k") == "file").cast("int")).over(order)).where("file > 0")
-    within = W.partitionBy(key, "file").orderBy("pos")
-    first = F.when(F.col("k") == "hunk", F.coalesce(F.regexp_extract("l", r"\+(\d+)", 1).try_cast("long"), F.lit(0)))
-    rows = rows.withColumn("base", F.coalesce(F.last(first, ignorenulls=True).over(within), F.lit(0))).withColumn("hunk", F.sum((F.col("k") == "hunk").cast("int")).over(within))
-    moved = F.sum(F.col("k").isin("add", "keep").cast("int")).over(W.partitionBy(key, "file", "hunk").orderBy("pos"))
-    rows = rows.withColumn("line", F.when((F.col("k") == "add") & (F.col("hunk") > 0), F.col("base") + moved - 1))
+    by = ["_key"]
+    rows = scan.cut(rows.withColumn("k", kind), "pos")
+    upto = scan.here(by, "pos", inclusive=True)
+    counts = {"_files": (F.col("k") == "file").cast("long"), "_moves": F.col("k").isin("add", "keep").cast("long")}
+    rows = rows.withColumns({n: F.sum(c).over(upto) for n, c in counts.items()})
+    first = F.coalesce(F.regexp_extract("l", r"\+(\d+)", 1).try_cast("long"), F.lit(0))
+    header = F.when(F.col("k") == "hunk", F.struct("_files", "_moves", first.alias("first")))
+    blocks = rows.groupBy("_key", "_b").agg(*[F.max(n).alias(n) for n in counts], scan.latest(header, "pos").alias("_hunk"))
+    over = scan.earlier(by)
+    blocks = blocks.withColumns({f"_g{n}": F.sum(n).over(over) for n in counts})
+    # a header's counts from the beginning of the diff
+    whole = F.struct(*[(F.col("_hunk")[n] + F.coalesce(f"_g{n}", F.lit(0))).alias(n) for n in counts], F.col("_hunk.first").alias("first"))
+    blocks = blocks.withColumn("_g_hunk", F.last(F.when(F.col("_hunk").isNotNull(), whole), ignorenulls=True).over(over))
+    rows = rows.withColumn("_hunk", F.last(header, ignorenulls=True).over(upto))
+    rows = scan.given(rows, blocks, by, {n: F.col(n) for n in ("_g_files", "_g_moves", "_g_hunk")})
+    total = {n: F.col(n) + F.coalesce(f"_g{n}", F.lit(0)) for n in counts}
+    own = F.struct(*[(F.col("_hunk")[n] + F.coalesce(f"_g{n}", F.lit(0))).alias(n) for n in counts], F.col("_hunk.first").alias("first"))
+    rows = rows.withColumn("_last", F.coalesce(F.when(F.col("_hunk").isNotNull(), own), F.col("_g_hunk"))).withColumn("file", total["_files"])
+    hunk = F.coalesce(F.col("_last._files") == F.col("file"), F.lit(False))
+    line = F.when((F.col("k") == "add") & hunk, F.col("_last.first") + total["_moves"] - F.col("_last._moves") - 1)
+    return rows.select(F.col("_key").alias(key), "pos", "l", "k", "file", hunk.alias("hunk"), line.alias("line")).where("file > 0")
+
+
+def parse_diff(diffs: DataFrame, diff: str = "diff", key: str = "diff_id") -> DataFrame:
+    """Unified diffs to a row per file.
+
+    key, path, is_deleted, is_new, has_removed_lines, is_submodule, is_symlink,
+    added_lines (sorted). Added text that looks like a header is read as
+    one, as ``git diff`` consumers do. ``diff_rows`` has the lines themselves, where a file's are too many for one row.
+    """
+    rows = diff_rows(diffs, diff, key)
     name = F.when(F.col("k") == "name", F.when(F.col("l").startswith('+++ "'), F.concat(F.lit('"'), F.substring("l", 8, F.length("l")))).otherwise(F.substring("l", 7, F.length("l"))))
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     mode = lambda m: has(F.col("k").isin("new", "mode") & (F.element_at(F.split(F.trim("l"), " "), -1) == m))
     out = rows.groupBy(key, "file").agg(
-        F.coalesce(F.last(name, ignorenulls=True), F.max(F.when(F.col("k") == "file", header_path(F.col("l"))))).alias("path"),
+        F.coalesce(scan.latest(name, "pos"), F.max(F.when(F.col("k") == "file", header_path(F.col("l"))))).alias("path"),
         has(F.col("k") == "deleted").alias("is_deleted"),
         has(F.col("k") == "new").alias("is_new"),
-        has((F.col("k") == "remove") & (F.col("hunk") > 0)).alias("has_removed_lines"),
+        has((F.col("k") == "remove") & F.col("hunk")).alias("has_removed_lines"),
         mode("160000").alias("is_submodule"),
         mode("120000").alias("is_symlink"),
         F.sort_array(F.collect_set("line")).alias("added_lines"),

@@ -30,6 +30,16 @@ def bad_byte_count(content: Column) -> Column:
     return F.length(F.regexp_replace(_bytes(content), STRICT, ""))
 
 
+def bad_places(line: Column) -> Column:
+    """array<struct<col, byte>> for a line in the ISO-8859-1 view: one match reads it as characters and single bad bytes,
+    whose places are their columns."""
+    one = "[\\x00-\\x7F]|" + STRICT.split("|", 1)[1]
+    units = F.regexp_extract_all(line, F.lit(f"(?s){one}|."), F.lit(0))
+    bad = F.transform(units, lambda c, i: F.when((F.length(c) == 1) & (c >= "\x80"), F.struct((i + 1).alias("col"), F.hex(F.encode(c, "ISO-8859-1")).alias("byte"))))
+    # lines without a bad byte are not taken apart
+    return F.when(F.length(F.regexp_replace(line, STRICT, "")) > 0, F.filter(bad, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<col:int,byte:string>>"))
+
+
 def without_bad_bytes(content: Column) -> Column:
     good = F.array_join(F.regexp_extract_all(_bytes(content), F.lit(f"({STRICT})"), F.lit(1)), "")
     return F.decode(F.encode(good, "ISO-8859-1"), "UTF-8")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +21,8 @@ TECHNICAL_PREFIXES = (
     "todo fixme hack note: xxx bug nolint noqa nosec noinspection go:generate go:build go:embed go:linkname +build eslint- tslint: prettier-ignore "
     "http:// https:// ftp:// @param @return @throws @type @deprecated @ts-ignore @ts-nocheck @ts-expect-error"
 ).split() + ["suppress warnings"]
+#: Allowed words that are replaced by chained expressions, at most.
+CHAINED = 20
 #: Order in which equal counts are resolved.
 ORDER = ("korean", "japanese", "chinese", "english")
 CLASS = {k: char_class(v) for k, v in SCRIPTS.items()}
@@ -71,13 +75,40 @@ def required(text: Column, language: str, least: int, extra: list[str] | None =
     return F.when(content, judged).otherwise(pair(True, False))
 
 
+def is_foreign(text: Column, language: str, least: int, extra: list[str] | None = None) -> Column:
+    """Whether a text has content and fails the required language; what a class of characters settles is asked first."""
+    if language in ("", "any"):
+        return F.lit(False)
+    if language == "english":
+        wrong = text.rlike("|".join(CLASS[k] for k in ("korean", "japanese", "chinese")))
+    else:
+        wrong = ~has_script(text, language) & text.rlike("|".join(CLASS.values()))
+    return (F.char_length(text) >= least) & wrong & has_content(text, least, extra)
+
+
+def traits(text: Column, least: int, extra: list[str] | None = None) -> Column:
+    """struct(content, korean, japanese, chinese, english): all that ``judged`` asks of a text, found once."""
+    return F.struct(has_content(text, least, extra).alias("content"), *[has_script(text, k).alias(k) for k in ORDER])
+
+
+def judged(t: Column, language: str) -> Column:
+    """struct(ok, has_content) by ``traits``, as ``required`` gives it."""
+    foreign, some = t["korean"] | t["japanese"] | t["chinese"], t["korean"] | t["japanese"] | t["chinese"] | t["english"]
+    if language in ("", "any"):
+        ok, has = F.lit(True), t["content"]
+    elif language == "english":
+        ok, has = ~t["content"] | ~foreign, t["content"] & some
+    else:
+        ok, has = ~t["content"] | (t[language] if language in CLASS else F.lit(False)) | ~some, t["content"] & some
+    return F.struct(ok.alias("ok"), has.alias("has_content"))
+
+
 def script_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(text, F.lit(CLASS[k])) for k in ORDER}
 
 
-def dominant(text: Column) -> Column:
-    """The script with most characters; at a tie the first of ORDER; ``unknown`` without any."""
-    n = script_counts(text)
+def most_frequent(n: dict[str, Column]) -> Column:
+    """The script with the largest count; at a tie the first of ORDER; ``unknown`` without any."""
     most = F.greatest(*n.values())
     out = F.when(most == 0, "unknown")
     for k in ORDER:
@@ -85,42 +116,89 @@ def dominant(text: Column) -> Column:
     return out
 
 
+def dominant(text: Column) -> Column:
+    """The script with most characters, see ``most_frequent``."""
+    return most_frequent(script_counts(text))
+
+
 def truncate(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
-def _blanked(text: str, words: list[str]) -> str:
-    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+class Words:
+    """Finds all words of a list in one pass over a text: a trie over code points whose nodes know where to go on when a text leaves it."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for i, w in enumerate(words):
+            at = 0
+            for c in w:
+                at = self.next[at].setdefault(c, len(self.next))
+                if at == len(self.next):
+                    self.next.append({})
+                    self.ends.append(-1)
+            self.ends[at] = i
+        # breadth first: a node's fallback is the longest word beginning that ends its path, ``shorter`` the next word among those
+        self.back, self.shorter = [0] * len(self.next), [-1] * len(self.next)
+        queue = deque(self.next[0].values())
+        while queue:
+            at = queue.popleft()
+            for c, to in self.next[at].items():
+                back = self.back[at]
+                while back and c not in self.next[back]:
+                    back = self.back[back]
+                self.back[to] = self.next[back].get(c, 0) if at else 0
+                queue.append(to)
+            self.shorter[at] = self.back[at] if self.ends[self.back[at]] >= 0 else self.shorter[self.back[at]]
+
+    def find(self, text: str) -> Iterator[tuple[int, int]]:
+        """(word, start) of every occurrence, overlapping ones included."""
+        at, follow, back, ends, shorter = 0, self.next, self.back, self.ends, self.shorter
+        for i, c in enumerate(text):
+            while at and c not in follow[at]:
+                at = back[at]
+            at = follow[at].get(c, 0)
+            hit = at if ends[at] >= 0 else shorter[at]
+            while hit > 0:
+                w = ends[hit]
+                yield w, i + 1 - len(self.words[w])
+                hit = shorter[hit]
+
+
+def _blanked(text: str, words: Words) -> str:
+    """``words`` are in their order: a word starts nowhere that an earlier one or its own last place covers."""
+    whole = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     latin = lambda c: c.isascii() and c.isalpha()
     gone = bytearray(len(text))
-    whole = "".join(low)
-    for w in words:
-        at = whole.find(w)
-        while at >= 0:
-            end = at + len(w)
-            if not gone[at] and not (at and latin(text[at - 1])) and not (end < len(text) and latin(text[end])):
-                gone[at:end] = b"\1" * len(w)
-            at = whole.find(w, at + 1)
-    return "".join(" " if g else c for g, c in zip(gone, text))
+    for w, at in sorted(words.find(whole)):
+        end = at + len(words.words[w])
+        if not gone[at] and not (at and latin(text[at - 1])) and not (end < len(text) and latin(text[end])):
+            gone[at:end] = b"\1" * (end - at)
+    return "".join(" " if g else c for g, c in zip(gone, text)) if any(gone) else text
 
 
 def strip_allowed_words(text: Column, words: list[str]) -> Column:
     """Allowed words replaced by spaces, longest first, where no ASCII letter touches them.
 
-    Words of ASCII letters only are exact as chained regular expressions; other
-    words can adjoin each other, which needs the original text at each step.
+    A few words of ASCII letters only are exact as chained regular expressions; other
+    words can adjoin each other, which needs the original text at each step. Those, and long lists, are
+    found in one pass over a text, whatever their number.
     """
     ordered = sorted({w.lower() for w in words if w}, key=lambda w: (-len(w), w))
     if not ordered:
         return text
-    if all(w.isascii() and w.isalpha() for w in ordered):
+    if len(ordered) <= CHAINED and all(w.isascii() and w.isalpha() for w in ordered):
         for w in ordered:
             text = F.regexp_replace(text, f"(?i)(?<![A-Za-z]){w}(?![A-Za-z])", " " * len(w))
         return text
 
     @F.pandas_udf(T.StringType())
-    def strip(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else _blanked(t, ordered))
+    def strip(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = Words(ordered)  # once a task
+        for s in parts:
+            yield s.map(lambda t: None if t is None else _blanked(t, found))
 
     return strip(text)
 

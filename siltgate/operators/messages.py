@@ -1,11 +1,13 @@
 """Checks of commit and chat messages: ``messages(path, text[, content])`` to findings.
 
-Each check is row-local: lines come from one explode and are filtered before
+Everything is row-local: lines come from one explode and are filtered before
 anything else, so the same functions run on streams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from ..config import PolicyConfig
 from ..functions import chars, encoding, globs, language
 from .findings import finding, union
 from .lines import explode_lines
-from .unicode import emoji_occurrences, invisible_occurrences, lookalike_occurrences
 
 ORDER = ("coauthor", "invisible", "lookalike", "bad_bytes", "emoji", "language", "conventional", "subject_limit", "body_limit", "custom")
 #: type[(scope)][!]: text, with Unicode white space and only the newline as a line end.
@@ -105,71 +106,101 @@ def custom_rule_hits(df: DataFrame, rules: list[dict], text: str = "text") -> Da
     return union(parts).select(*keep, "line", "hit.seq", "hit.rule", "hit.message")
 
 
+def _marked(chars_: Column, cls: str, told: Callable[[Column, Column], Column]) -> Column:
+    """Findings for the characters of a line that are of a class, by their place."""
+    return F.filter(F.transform(chars_, lambda c, i: F.when(c.rlike(cls), told(c, (i + 1).cast("long")))), lambda x: x.isNotNull())
+
+
+#: A finding before its path is known.
+_FOUND = "array<struct<check:string,line:bigint,col:bigint,code:string,params:map<string,string>>>"
+
+
 def check_messages(messages: DataFrame, cfg: PolicyConfig) -> DataFrame:
-    """All enabled message checks over ``messages(path, text, content)``."""
-    m, parts = cfg.commit_message, []
-    base = messages.select("path", "text")
+    """All enabled message checks over ``messages(path, text[, content])``, in one pass.
+
+    A text is split into lines once. What is judged by message stands on its first line; a line's findings are one array, empty for a clean
+    one without looking at its characters. Every byte that is not UTF-8 is a finding with its line, column and
+    hexadecimal value; only messages with such bytes are read as bytes.
+    """
+    m = cfg.commit_message
+    none = F.array().cast(_FOUND)
+    zero = F.lit(0).cast("long")
+
+    def told(check: str, code: str | Column, at: Column, col: Column = zero, **params: Column) -> Column:
+        pairs = [x for k, v in sorted(params.items()) for x in (F.lit(k), v.cast("string"))]
+        table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        return F.struct(F.lit(check).alias("check"), at.alias("line"), col.alias("col"), (F.lit(code) if isinstance(code, str) else code).alias("code"), table.alias("params"))
+
+    def when(condition: Column, *found: Column) -> Column:
+        return F.when(condition, F.array(*found).cast(_FOUND)).otherwise(none)
+
+    bytes_too = m.no_bad_runes and "content" in messages.columns
+    text = F.col("text")
+    lines = F.split(text, "\n", -1)
+    plain = F.transform(lines, lambda x: F.struct(x.alias("t"), F.lit(None).cast("string").alias("b")))
+    if bytes_too:
+        view = F.split(F.decode(F.col("content"), "ISO-8859-1"), "\n", -1)
+        both = F.transform(F.arrays_zip(lines.alias("t"), view.alias("b")), lambda x: F.struct(F.coalesce(x["t"], F.lit("")).alias("t"), x["b"].alias("b")))
+        plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), plain).otherwise(both)
+    head = {"_subject": subject(text), "_n": F.size(F.split(F.regexp_replace(text, r"\n+\z", ""), "\n", -1))}
+    if m.body_limit_enabled:
+        head["_from"] = F.when(language.trimmed(F.try_element_at(lines, F.lit(2))) == "", 3).otherwise(2)
+    required = [(i, r) for i, r in enumerate(cfg.custom_message_rules or []) if r.get("pattern") and r.get("required")]
+    banned = [(i, r) for i, r in enumerate(cfg.custom_message_rules or []) if r.get("pattern") and not r.get("required")]
+    whole = [when(~text.rlike("(?dU)" + r["pattern"]), told("custom", "custom_rule", zero, rule=F.lit(r.get("name", "")), message=F.lit(r.get("message", "")))) for _, r in required]
+    head["_missing"] = F.concat(*whole) if whole else none
+    rows = messages.where("text is not null").select(F.col("path").cast("string").alias("path"), F.posexplode(plain).alias("_p", "_l"), *[c.alias(n) for n, c in head.items()])
+
+    t, at = F.col("_l.t"), (F.col("_p") + 1).cast("long")
+    first, inner = F.col("_p") == 0, F.col("_p") < F.col("_n")
+    units = F.when(F.length(t) > 0, F.filter(F.split(t, ""), lambda c: c != "")).otherwise(F.array().cast("array<string>"))
+    found: list[Column] = []
     if m.no_ai_coauthor:
-        parts.append(finding(coauthor_lines(base, m.coauthor_patterns), "coauthor", "ai_coauthor", "line", trailer=F.col("trailer")))
+        trailer = language.trimmed(t)
+        email = F.lower(language.trimmed(trailer_email(trailer)))
+        globbed = [r for p in m.coauthor_patterns if (r := globs.fnmatch_regex(p.lower())) is not None]
+        hit = F.lower(t).contains("co-authored-by:") & F.lower(trailer).startswith("co-authored-by:")
+        hit = hit & email.rlike("|".join(f"(?:^(?s:{r})\\z)" for r in globbed)) if globbed else F.lit(False)
+        found.append(when(hit, told("coauthor", "ai_coauthor", at, trailer=trailer)))
+
+    def by_class(check: str, code: str, cls: str, **params: Callable[[Column], Column]) -> Column:
+        return F.when(t.rlike(cls), _marked(units, cls, lambda c, col: told(check, code, at, col, char=chars.u_plus(chars.code_point(c)), **{k: f(c) for k, f in params.items()})).cast(_FOUND)).otherwise(none)
+
     if m.no_unicode_spaces:
-        parts.append(finding(invisible_occurrences(base), "invisible", "invisible_char", "line", "col", char=chars.u_plus(F.col("code_point")), name=F.col("name")))
+        found.append(by_class("invisible", "invisible_char", chars.INVISIBLE, name=lambda c: chars.name_of_invisible(chars.code_point(c))))
     if m.no_ambiguous_chars:
-        parts.append(finding(lookalike_occurrences(base, locale=m.locale), "lookalike", "ambiguous_char", "line", "col", char=chars.u_plus(F.col("code_point")), looks_like=F.col("looks_like")))
-    if m.no_bad_runes and "content" in messages.columns:
-        bad = messages.withColumn("n", encoding.bad_byte_count(F.col("content"))).where("n > 0")
-        parts.append(finding(bad, "bad_bytes", "bad_bytes", count=F.col("n")))
+        found.append(by_class("lookalike", "ambiguous_char", chars.lookalike_class(m.locale), looks_like=lambda c: chars.lookalike_of(c, m.locale)))
+    if bytes_too:
+        found.append(F.when(F.col("_l.b").isNotNull(), F.transform(encoding.bad_places(F.col("_l.b")), lambda x: told("bad_bytes", "bad_byte", at, x["col"].cast("long"), byte=x["byte"])).cast(_FOUND)).otherwise(none))
     if m.no_emoji:
-        parts.append(finding(emoji_occurrences(base), "emoji", "emoji", "line", "col", char=chars.u_plus(F.col("code_point"))))
+        found.append(by_class("emoji", "emoji", chars.EMOJI_REPORTED))
     if m.language_enabled:
-        rows = language_lines(base, m.required_language, m.min_length, m.skip_prefixes)
-        parts.append(finding(rows, "language", "language", "line", detected=F.col("detected")))
+        free = F.lit(False)
+        for p in m.skip_prefixes:
+            free = free | F.col("_subject").startswith(p)
+        said = F.when(first, F.regexp_replace("_subject", PREFIX, "")).otherwise(language.trimmed(t))
+        found.append(when(inner & ~free & language.is_foreign(said, m.required_language, m.min_length), told("language", "language", at, detected=language.dominant(said))))
     if m.conventional_enabled:
-        fault = conventional(F.col("text"), m.all_types(), m.require_scope, m.allow_merge, m.allow_revert)
-        rows = base.withColumn("fault", fault).where("fault is not null")
-        parts.append(finding(rows, "conventional", F.concat(F.lit("conventional_"), F.col("fault")), 1))
+        fault = conventional(F.col("_subject"), m.all_types(), m.require_scope, m.allow_merge, m.allow_revert)
+        found.append(when(first & fault.isNotNull(), told("conventional", F.concat(F.lit("conventional_"), fault), F.lit(1).cast("long"))))
     if m.subject_limit_enabled:
-        rows = base.withColumn("n", subject_length(F.col("text"))).where(F.col("n") > m.subject_limit)
-        parts.append(finding(rows, "subject_limit", "subject_too_long", 1, length=F.col("n")))
+        found.append(when(first & (F.char_length("_subject") > m.subject_limit), told("subject_limit", "subject_too_long", F.lit(1).cast("long"), length=F.char_length("_subject"))))
     if m.body_limit_enabled:
-        parts.append(finding(long_body_lines(base, m.body_limit), "body_limit", "body_line_too_long", "line", length=F.col("length")))
-    if cfg.custom_message_rules:
-        parts.append(finding(custom_rule_hits(base, cfg.custom_message_rules), "custom", "custom_rule", "line", rule=F.col("rule"), message=F.col("message")))
-    if not parts:
-        return finding(base.where("false"), "none", "none")
-    return union(parts)
+        found.append(when(inner & (at >= F.col("_from")) & (F.char_length(t) > m.body_limit), told("body_limit", "body_line_too_long", at, length=F.char_length(t))))
+    if required:
+        found.append(F.when(first, F.col("_missing")).otherwise(none))
+    for _, r in banned:
+        found.append(when(t.rlike("(?dU)" + r["pattern"]), told("custom", "custom_rule", at, rule=F.lit(r.get("name", "")), message=F.lit(r.get("message", "")))))
+    if not found:
+        return finding(messages.where("false"), "none", "none")
+    out = rows.select("path", F.concat(*found).alias("f")).where(F.size("f") > 0).select("path", F.explode("f").alias("f"))
+    return out.select("f.check", "path", "f.line", "f.col", "f.code", "f.params")
 
 
 def bad_bytes(df: DataFrame, content: str = "content") -> DataFrame:
-    """Each byte that strict UTF-8 decoding cannot use: line, col (from 1, in decoded units), hex.
-
-    Positions need a decoder that restarts after one byte; only rows with a bad byte reach it.
-    """
+    """Each byte that strict UTF-8 decoding cannot use: line, col (from 1; such a byte is a column), byte (hexadecimal)."""
     keep = [c for c in df.columns if c != content]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows, line, col, text = [], [], [], []
-            for i, v in enumerate(b.column(content).to_pylist()):
-                y, x, at = 1, 1, 0
-                while at < len(v):
-                    try:
-                        rest = v[at:].decode("utf-8")
-                        bad = len(v)
-                    except UnicodeDecodeError as e:
-                        bad = at + e.start
-                        rest = v[at:bad].decode("utf-8")
-                    y, x = (y + rest.count("\n"), len(rest) - rest.rfind("\n")) if "\n" in rest else (y, x + len(rest))
-                    if bad < len(v):
-                        rows.append(i)
-                        line.append(y)
-                        col.append(x)
-                        text.append(f"{v[bad]:02X}")
-                        x += 1
-                    at = bad + 1
-            take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keep), pa.array(line, pa.int64()), pa.array(col, pa.int64()), pa.array(text, pa.string())], names=[*keep, "line", "col", "byte"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep), "line long, col long, byte string"])
-    return df.where(encoding.bad_byte_count(F.col(content)) > 0).select(*keep, content).mapInArrow(run, schema)
+    rows = df.where(~F.is_valid_utf8(F.col(content).cast("string"))).withColumn("_b", F.decode(F.col(content), "ISO-8859-1")).select(*keep, "_b")
+    # no byte of a longer character is a newline, so lines can be read one by one
+    lines = explode_lines(rows, "_b")
+    return lines.select(*keep, "line", F.explode(encoding.bad_places(F.col("line_text"))).alias("x")).select(*keep, "line", F.col("x.col").cast("long").alias("col"), F.col("x.byte").alias("byte"))

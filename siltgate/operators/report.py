@@ -144,7 +144,7 @@ def failed_guides(found: DataFrame, guides: DataFrame) -> DataFrame:
 
 #: English texts by code; ``%{name}`` is filled from the finding's parameters.
 TEMPLATES = {
-    "ai_coauthor": "an assistant is named as co-author: %{trailer}", "invisible_char": "invisible character %{char} %{name}", "ambiguous_char": "%{char} looks like '%{looks_like}'", "bad_bytes": "%{count} bytes are not UTF-8",
+    "ai_coauthor": "an assistant is named as co-author: %{trailer}", "invisible_char": "invisible character %{char} %{name}", "ambiguous_char": "%{char} looks like '%{looks_like}'", "bad_byte": "byte 0x%{byte} is not UTF-8",
     "emoji": "emoji %{char}", "language": "written in %{detected}", "conventional_format": "the subject is not of the form type(scope): text", "conventional_type": "unknown commit type", "conventional_scope": "a scope is required",
     "subject_too_long": "the subject has %{length} characters", "body_line_too_long": "the line has %{length} characters", "custom_rule": "%{rule}: %{message}", "binary_block": "binary files of this kind are blocked", "binary_lfs": "the file belongs into large-file storage",
     "not_utf8": "the file is not UTF-8", "charset_bom": "the file starts with a byte-order mark", "end_of_line": "wrong line end", "final_newline": "no newline at the end", "trailing_whitespace": "blanks at the end of the line", "indent_style": "wrong indentation",

@@ -6,6 +6,7 @@ syntax have no fair SQL form; those queries are checked by pytest instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,8 +75,9 @@ _COUNTS = "select doc_id, text, " + ", ".join(f"len(regexp_extract_all(text, '{r
 @query(f"with n as ({_COUNTS}) select doc_id, korean::bigint as korean, japanese::bigint as japanese, chinese::bigint as chinese, english::bigint as english, case greatest(korean, japanese, chinese, english) when 0 then 'unknown' when korean then 'korean' when japanese then 'japanese' when chinese then 'chinese' else 'english' end as dominant from n")
 def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of each script and the dominant one."""
-    n = {k: v.cast("long").alias(k) for k, v in language.script_counts(F.col("text")).items()}
-    return view(spark, sf_dir, "docs_scripts").select("doc_id", *n.values(), language.dominant(F.col("text")).alias("dominant"))
+    counted = F.struct(*[v.cast("long").alias(k) for k, v in language.script_counts(F.col("text")).items()])
+    rows = view(spark, sf_dir, "docs_scripts").select("doc_id", F.explode(F.array(counted)).alias("n"))  # each count once, below
+    return rows.select("doc_id", "n.*", language.most_frequent({k: F.col("n")[k] for k in language.ORDER}).alias("dominant"))
 
 
 _LETTERS = "len(regexp_extract_all(text, '[\\p{L}]'))"
@@ -85,7 +87,8 @@ _LETTERS = "len(regexp_extract_all(text, '[\\p{L}]'))"
 def required_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text against each of the four languages."""
     rows = view(spark, sf_dir, "docs_scripts")
-    told = [F.struct(F.lit(k).alias("lang"), language.required(F.col("text"), k, 5).alias("j")) for k in ("korean", "japanese", "chinese", "english")]
+    rows = rows.select("doc_id", language.traits(F.col("text"), 5).alias("t"))
+    told = [F.struct(F.lit(k).alias("lang"), language.judged(F.col("t"), k).alias("j")) for k in ("korean", "japanese", "chinese", "english")]
     return rows.select("doc_id", F.explode(F.array(*told)).alias("x")).select("doc_id", "x.lang", "x.j.ok", "x.j.has_content")
 
 
@@ -415,7 +418,24 @@ def linted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.lint(events.select(F.concat(F.col("event_id").cast("string"), ext).alias("path"), F.col("props").alias("text")))
 
 
-@query()
+_TECHNICAL = "|".join(re.escape(p) for p in language.TECHNICAL_PREFIXES)
+_CONTENT = "length(said) >= 5 and len(regexp_extract_all(said, '[\\p{L}]')) >= 5 and not regexp_matches(said, '^(<[^>]*>\\s*)+$') and not regexp_matches(lower(trim(said)), '^(" + _TECHNICAL + ")')"
+_SAID = ", ".join(f"len(regexp_extract_all(said, '{r}')) as {k}" for k, r in _N.items())
+_FINDINGS = f"""with {_LINES.format(view="msgs")}, body as (select msg_id, rtrim(text, chr(10)) as t from msgs), size as (select msg_id, len(string_split(t, chr(10))) as n, {_SUBJECT.replace("text", "t")} as subject from body),
+    {_CHARS},
+    told as (select ls.msg_id, line, case when line = 1 then regexp_replace(subject, '^[\\p{{L}}\\p{{N}}_-]+(\\([^)]*\\))?!?:[ ]*', '') else trim(line_text, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) end as said from ls join size using (msg_id)
+        where line <= n and not (starts_with(subject, 'Merge ') or starts_with(subject, 'Revert ') or starts_with(subject, 'fixup! ') or starts_with(subject, 'squash! '))),
+    judged as (select *, {_SAID} from told)
+    select 'coauthor' as "check", msg_id::varchar as path, line::bigint as line, 0::bigint as col, 'ai_coauthor' as code, concat('{{"trailer":"', trim(line_text), '"}}') as params from ls where lower(trim(line_text)) like 'co-authored-by:%cursor.sh>'
+    union all select 'invisible', msg_id::varchar, line, col, 'invisible_char', case unicode(c) when 160 then '{{"char":"U+00A0","name":"NO-BREAK SPACE"}}' else '{{"char":"U+200B","name":"ZERO WIDTH SPACE"}}' end from cs where regexp_matches(c, '{_INVISIBLE}')
+    union all select 'language', msg_id::varchar, line, 0, 'language', concat('{{"detected":"', case greatest(korean, japanese, chinese, english) when japanese then 'japanese' when chinese then 'chinese' else 'english' end, '"}}') from judged where korean = 0 and japanese + chinese + english > 0 and {_CONTENT}
+    union all select 'conventional', msg_id::varchar, 1, 0, case when not regexp_matches(subject, '^([^\\s(:!]+)(\\([^)]*\\))?(!)?: .+') then 'conventional_format' else 'conventional_type' end, '{{}}' from size
+        where not (subject = '' or subject like 'Merge %' or subject like 'Revert %' or subject like 'fixup! %' or subject like 'squash! %') and lower(regexp_extract(subject, '^([^\\s(:!]+)(\\([^)]*\\))?(!)?: .+', 1)) not in ({", ".join(repr(t) for t in TYPES)})
+    union all select 'subject_limit', msg_id::varchar, 1, 0, 'subject_too_long', concat('{{"length":"', length(subject), '"}}') from size where length(subject) > 72
+    union all select 'body_limit', msg_id::varchar, line, 0, 'body_line_too_long', concat('{{"length":"', length(line_text), '"}}') from ls join size using (msg_id) where line between 3 and n and length(line_text) > 100"""
+
+
+@query(_FINDINGS)
 def message_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All message checks as one findings table."""
     cfg = PolicyConfig()

@@ -46,7 +46,7 @@ def test_messages(spark):
     assert sorted(c for c, _ in got["chars"]) == ["invisible", "lookalike"]  # a no-break space is no look-alike in the default locale
     assert got["type"] == [("conventional", 1)] and got["form"] == [("conventional", 1)]
     assert sorted(got["long"]) == [("body_limit", 3), ("subject_limit", 1)]
-    assert got["emoji"] == [("emoji", 1)] and got["lang"] == [("language", 3)] and got["bytes"] == [("bad_bytes", 0)] and got["merge"] == [("subject_limit", 1)]
+    assert got["emoji"] == [("emoji", 1)] and got["lang"] == [("language", 3)] and got["bytes"] == [("bad_bytes", 1)] * 2 and got["merge"] == [("subject_limit", 1)]
 
 
 def test_bad_byte_places(spark):
@@ -54,6 +54,42 @@ def test_bad_byte_places(spark):
     assert [(r.line, r.col, r.byte) for r in messages.bad_bytes(df).collect()] == [(1, 2, "FF"), (2, 2, "FE")]
 
 
+def places(b):
+    """Byte by byte: what no character can begin or hold is bad, and decoding goes on after it."""
+    out, line, col, i = [], 1, 1, 0
+    while i < len(b):
+        for n in (1, 2, 3, 4):
+            try:
+                c = b[i : i + n].decode()
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1:
+                break
+        else:
+            out.append((line, col, f"{b[i]:02X}"))
+            col, i = col + 1, i + 1
+            continue
+        line, col, i = (line + 1, 1, i + n) if c == "\n" else (line, col + 1, i + n)
+    return out
+
+
+def test_bad_bytes_against_a_decoder(spark):
+    rng = random.Random(4)
+    parts = [b"a", b"\n", b"\r", "é".encode(), "語".encode(), "😀".encode(), b"\xff", b"\xc3", b"\xe8\xaa", b"\xf0\x9f", b"\xed\xa0\x80", b"\xc0\xaf", b"\x80", b"\xf4\x90\x80\x80", b"\x00", b"\xc2\x85"]
+    rows = [(str(i), bytearray(b"".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))))) for i in range(400)] + [("long", bytearray(b"x" * 50_000 + b"\xff"))]
+    got, checked = {}, {}
+    df = table(spark, rows, "path string, content binary")
+    for r in messages.bad_bytes(df).collect():
+        got.setdefault(r.path, []).append((r.line, r.col, r.byte))
+    cfg = PolicyConfig()
+    for f in ("no_ai_coauthor", "no_unicode_spaces", "no_ambiguous_chars"):
+        setattr(cfg.commit_message, f, False)
+    for r in messages.check_messages(df.selectExpr("path", "make_valid_utf8(cast(content as string)) as text", "content"), cfg).collect():
+        checked.setdefault(r.path, []).append((r.line, r.col, r.params["byte"]))
+    want = {p: places(bytes(b)) for p, b in rows if places(bytes(b))}
+    assert {p: sorted(v) for p, v in got.items()} == want and {p: sorted(v) for p, v in checked.items()} == want
+
+
 def test_fixes_are_idempotent(spark):
     cfg = PolicyConfig()
     text = "fix: pаss​ x\n\nCo-authored-by: C <a@codeium.com>\n\n\n"

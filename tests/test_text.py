@@ -123,3 +123,44 @@ def test_technical_strings(spark):
     rows = [("a/b", True), ("MAX_SIZE", True), ("", True), ("{|}~ 9", True), ("Max", False), ("É", False), ("x", False)]
     df = spark.createDataFrame(rows, "t string, want boolean")
     assert all(r.got == r.want for r in df.select("want", language.is_technical(F.col("t")).alias("got")).collect())
+
+
+def plain_strip(text, words):
+    """Word by word over the whole text."""
+    low, gone = "".join(c.lower() if len(c.lower()) == 1 else c for c in text), [False] * len(text)
+    latin = lambda c: c.isascii() and c.isalpha()
+    for w in sorted({w.lower() for w in words if w}, key=lambda w: (-len(w), w)):
+        for at in range(len(text) - len(w) + 1):
+            end = at + len(w)
+            if low[at:end] == w and not gone[at] and not (at and latin(text[at - 1])) and not (end < len(text) and latin(text[end])):
+                gone[at:end] = [True] * len(w)
+    return "".join(" " if g else c for g, c in zip(gone, text))
+
+
+def test_allowed_words_in_one_pass(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abC+é語 ") for _ in range(n))
+    for size in (1, 3, 12, 60):
+        words = [word(rng.randrange(1, 6)) for _ in range(size)] + ["", "aB"]
+        texts = [None, "", *(word(rng.randrange(0, 60)) for _ in range(60))]
+        got = one(spark, [(t,) for t in texts], "t string", s=language.strip_allowed_words(F.col("t"), words))
+        assert [r["s"] for r in got] == [None if t is None else plain_strip(t, words) for t in texts], words
+    # letters only: few words are chained expressions, many are not
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(50)]
+    texts = ["".join(rng.choice("abcABC .") for _ in range(50)) for _ in range(50)]
+    for some in (words[:5], words):
+        got = one(spark, [(t,) for t in texts], "t string", s=language.strip_allowed_words(F.col("t"), some))
+        assert [r["s"] for r in got] == [plain_strip(t, some) for t in texts]
+
+
+def test_many_allowed_words_take_one_pass():
+    found = language.Words(sorted({f"word{i}x" for i in range(10_000)}, key=lambda w: (-len(w), w)))
+    text = " ".join(f"word{i}x and" for i in range(0, 20_000, 7))
+    assert sum(1 for _ in found.find(text)) == sum(i < 10_000 for i in range(0, 20_000, 7))
+
+
+def test_traits_give_what_required_gives(spark):
+    texts = ["", "abc", "hello there", "한국어 설명입니다", "これは説明です", "这是一个说明", "mixed 한국어 text", "12345 67890", "<b> <i>", "TODO: something", "éàüöß ñandú", "hello 漢字 there"]
+    for lang in ("korean", "japanese", "chinese", "english", "any", "other"):
+        got = one(spark, [(t,) for t in texts], "t string", a=language.required(F.col("t"), lang, 5), b=language.judged(language.traits(F.col("t"), 5), lang), c=language.is_foreign(F.col("t"), lang, 5))
+        assert all(r["a"] == r["b"] and r["c"] == (r["a"].has_content and not r["a"].ok) for r in got), lang

@@ -139,9 +139,9 @@ def _postings(docs: DataFrame, words: int, least: int, hashes: int, whole: bool)
 
 def _neighbourhoods(docs: DataFrame, words: int, least: int, hashes: int) -> DataFrame:
     """``docs(doc_id, text, asked: array of key, fn, c, parts, open)`` to (key, doc_id, parts, open, near): near has the
-    ``least`` - 1 tokens on either side of c, a byte each (0 outside the text)."""
+    ``least`` tokens on either side of c, a byte each (0 outside the text)."""
     seeds = np.array(_seeds(hashes))
-    side = np.arange(1 - least, least)
+    side = np.arange(-least, least + 1)
 
     def run(batches):
         for every in batches:
@@ -192,11 +192,9 @@ def partners(key: np.ndarray, doc: np.ndarray, open_: np.ndarray, near: np.ndarr
     """For each open row the place of the smallest document's row of its key that has a near-equal
     stretch of ``least`` tokens about the middle, if that document is smaller than its own; or -1.
 
-    Stretches of ``least`` with ``percent`` similarity differ in one gap of ``hole``
-    tokens at most (a changed word changes all tokens that hold it). For each start the rows are
-    grouped by all pieces but two neighbouring ones, which must hold the gap, and the rows of a
-    group by all that stands about each place of the gap in them: the members of such a group agree as a
-    passage must, so the smallest one will do, and no pair is compared or written.
+    Stretches with ``percent`` similarity differ in one gap of ``hole`` tokens at most. A changed word changes all tokens that hold it
+    and moves none; an inserted or dropped one moves all that stands beyond it by one. So rows are first
+    compared as they stand, then those that are left over with the tokens beyond the gap moved (``_moved``).
     """
     if (np.diff(doc) < 0).any():
         by = np.argsort(doc, kind="stable")
@@ -204,77 +202,130 @@ def partners(key: np.ndarray, doc: np.ndarray, open_: np.ndarray, near: np.ndarr
         to = partners(key[by], doc[by], open_[by], near[by], least, percent)
         out[by[to >= 0]] = by[to[to >= 0]]
         return out
+    out = _agreeing(key, doc, open_, near, least, percent, False)
+    rest = open_ & (out < 0)
+    rows = np.flatnonzero(np.isin(key, key[rest])) if rest.any() else np.zeros(0, np.int64)
+    if len(rows) > 1:
+        to = _agreeing(key[rows], doc[rows], rest[rows], near[rows], least, percent, True)
+        out[rows[to >= 0]] = rows[to[to >= 0]]
+    return out
+
+
+def _agreeing(key: np.ndarray, doc: np.ndarray, open_: np.ndarray, near: np.ndarray, least: int, percent: int, moved: bool) -> np.ndarray:
+    """One round of ``partners``, rows in the order of doc.
+
+    For each start the rows are grouped by all pieces but two neighbouring ones, which must hold the gap, and the rows of a
+    group by all that stands about each place of the gap in them: the members of such a group agree as a
+    passage must, so the smallest one will do, and no pair is compared or written. With ``moved`` a row
+    stands for two more: with a gap one token wider behind the middle, or before it. They
+    meet rows whose gap is narrower, since a gap's own tokens and width don't count.
+    """
     out = np.full(len(doc), -1)
     left = open_.copy()
     hole = least - -(-2 * least * percent // (100 + percent))
+    if moved and not hole:
+        return out
     pieces = max(3, min(PIECES, least // max(1, hole)))
     cuts = [i * least // pieces for i in range(pieces + 1)]
     held = np.zeros((len(doc), near.shape[1] + 1), np.int16)
     np.cumsum(near > 0, axis=1, out=held[:, 1:])
     powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(least, 0x9E3779B97F4A7C15 | 1, np.uint64)]))
 
-    def groups(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places in ``rows`` (ascending, so in the order of doc) by hash, and for each the place of its group's first and one after its last."""
-        bits = np.uint64((1 << len(rows).bit_length()) - 1)
-        by = np.sort((h & ~bits) | np.arange(len(rows), dtype=np.uint64))
+    def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places (ascending, so in the order of doc) by hash, and for each the place of its group's first and one after its last."""
+        bits = np.uint64((1 << len(h).bit_length()) - 1)
+        by = np.sort((h & ~bits) | np.arange(len(h), dtype=np.uint64))
         new = np.flatnonzero((by[1:] ^ by[:-1]) > bits) + 1
-        number = np.zeros(len(rows), np.int64)
+        number = np.zeros(len(h), np.int64)
         number[new] = 1
         number = np.cumsum(number)
         start = np.concatenate([[0], new])
-        return (by & bits).astype(np.int64), start[number], np.append(new, len(rows))[number]
+        return (by & bits).astype(np.int64), start[number], np.append(new, len(h))[number]
 
     def asked(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether the group of each holds several documents and an open row besides its first document's."""
+        """Whether the group of each holds several documents and an open row."""
         some = np.concatenate([[0], np.cumsum(left[at])])
         return (doc[at[lo]] < doc[at[hi - 1]]) & (some[hi] - some[lo] > 0)
 
+    def inside(rows: np.ndarray, a: int, n: int) -> np.ndarray:
+        """Of the rows those that have text at all of the n places from a."""
+        if a < 0 or a + n > near.shape[1]:
+            return rows[:0]
+        return rows[held[rows, a + n] - held[rows, a] == n]
+
+    every = np.arange(len(doc))
     # most rows share a few words only: a stretch holds whole runs of RUN tokens at fixed places, all but
     # two of which must agree with some other document's
     run = max(1, min(RUN, (least - 2) // 5))
     full = (least - run + 1) // run - (2 if hole else 0)
     if full > 0:
         shared = np.zeros(len(doc), np.int64)
-        for a in range(0, near.shape[1] - run + 1, run):
-            rows = np.flatnonzero(held[:, a + run] - held[:, a] == run)
+        for a in range(1, near.shape[1] - run, run):
+            # beyond a wider gap a run stands one place further from the middle
+            shifts = [0, *([1] if a > least else [-1] if a + run <= least else [])] if moved else [0]
+            rows = [inside(every, a + d, run) for d in shifts]
+            h = [(near[r, a + d : a + d + run].astype(np.uint64) * powers[:run]).sum(1, dtype=np.uint64) for r, d in zip(rows, shifts)]
+            rows, h = np.concatenate(rows), np.concatenate(h)
             if len(rows) > 1:
-                h = mix((near[rows, a : a + run].astype(np.uint64) * powers[:run]).sum(1, dtype=np.uint64)) + mix(key[rows].view(np.uint64))
-                order, lo, hi = groups(rows, h)
+                by = np.argsort(rows, kind="stable")
+                rows, h = rows[by], h[by]
+                order, lo, hi = groups(mix(h) + mix(key[rows].view(np.uint64)))
                 at = rows[order]
-                shared[at] += asked(at, lo, hi)
+                hit = np.zeros(len(doc), bool)
+                hit[at[asked(at, lo, hi)]] = True
+                shared += hit
         keep = np.flatnonzero(shared >= full)
         if len(keep) < 0.9 * len(doc):
             if len(keep) > 1:
-                to = partners(key[keep], doc[keep], open_[keep], near[keep], least, percent)
+                to = _agreeing(key[keep], doc[keep], open_[keep], near[keep], least, percent, moved)
                 out[keep[to >= 0]] = keep[to[to >= 0]]
             return out
 
-    for start in range(least):
-        rows = np.flatnonzero(held[:, start + least] - held[:, start] == least)
-        rows = rows[np.isin(key[rows], key[rows[left[rows]]])]
-        if len(rows) < 2:
-            continue
+    def sums(rows: np.ndarray, a: int) -> np.ndarray:
+        """Hashes of the first tokens from place a, by how many."""
         part = np.zeros((len(rows), least + 1), np.uint64)
-        np.cumsum(near[rows, start : start + least].astype(np.uint64) * powers[:least], axis=1, out=part[:, 1:])
-        own = mix(key[rows].view(np.uint64))
+        np.cumsum(near[rows, a : a + least].astype(np.uint64) * powers[:least], axis=1, out=part[:, 1:])
+        return part
+
+    for start in range(1, least + 1):
+        rows = every[np.isin(key, key[left])] if left.any() else every[:0]
+        # a row as it stands; with what is behind its gap moved; with what is before it moved. Where its first part begins, where its last one does
+        forms = [(inside(rows, start, least), start, start)]
+        middle = least - start  # the middle's place in the stretch
+        if moved:
+            forms += [(inside(rows, start, least + 1), start, start + 1), (inside(rows, start - 1, least + 1), start - 1, start)]
+        row = np.concatenate([f[0] for f in forms])
+        if len(row) < 2:
+            continue
+        form = np.repeat(np.arange(len(forms)), [len(f[0]) for f in forms])
+        head, tail = (np.concatenate([sums(f[0], f[k]) for f in forms]) for k in (1, 2))
+        by = np.argsort(row, kind="stable")
+        row, form, head, tail = row[by], form[by], head[by], tail[by]
+        own = mix(key[row].view(np.uint64))
         for gap in range(pieces - 1):
             a, b = cuts[gap], cuts[gap + 2]
-            about = part[:, -1] - part[:, b] + part[:, a]
-            order, lo, hi = groups(rows, mix(about + np.uint64(gap)) + own)
-            at = rows[order]
-            some = asked(at, lo, hi)
+            # the gap's places; both ends of the stretch agree
+            places = range(max(1, a), min(least - 1, b) - hole + 1)
+            use = np.flatnonzero((form == 0) | ((form == 1) & (places[-1] > middle if len(places) else False)) | ((form == 2) & (places[0] + hole <= middle if len(places) else False)))
+            about = tail[use, -1] - tail[use, b] + head[use, a]
+            order, lo, hi = groups(mix(about + np.uint64(gap)) + own[use])
+            some = asked(row[use[order]], lo, hi)
             if not some.any():
                 continue
             few = np.sort(order[some])
-            # the gap's places; both ends of the stretch agree
-            for g in range(max(1, a), min(least - 1, b) - hole + 1):
-                h = mix(about[few] + (part[few, b] - part[few, g + hole]) + (part[few, g] - part[few, a])) + own[few]
-                sub, first, _ = groups(rows[few], h)
-                x = rows[few[sub]]
-                y = x[first]
-                good = left[x] & (doc[y] < doc[x])
-                out[x[good]] = y[good]
-                left[x[good]] = False
+            about, few = about[few], use[few]
+            for g in places:
+                ok = np.flatnonzero((form[few] == 0) | ((form[few] == 1) & (g > middle)) | ((form[few] == 2) & (g + hole <= middle)))
+                x = few[ok]
+                if len(x) < 2:
+                    continue
+                h = mix(about[ok] + (tail[x, b] - tail[x, g + hole]) + (head[x, g] - head[x, a])) + own[x]
+                sub, first, _ = groups(h)
+                here = row[x[sub]]
+                y = here[first]
+                good = left[here] & (doc[y] < doc[here])
+                out[here[good]] = y[good]
+                left[here[good]] = False
     return out
 
 
@@ -286,7 +337,7 @@ def _partners(rows: DataFrame, least: int, percent: int) -> DataFrame:
 
     def pairs(t: pa.Table):
         key, doc, i, j = (t.column(n).to_numpy() for n in ("key", "doc_id", "i", "j"))
-        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint8).reshape(len(doc), 2 * least - 1)
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint8).reshape(len(doc), 2 * least + 1)
         block = mix(key.view(np.uint64) + i.astype(np.uint64) * np.uint64(0x10001) + j.astype(np.uint64)).view(np.int64)
         to = partners(block, doc, t.column("open").to_numpy(), near, least, percent)
         x = np.flatnonzero(to >= 0)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from siltgate.llm import passages
 
@@ -155,3 +156,18 @@ def test_every_exact_passage_is_covered(spark):
     # what a passage found already covers is not looked up again, so another source's may stick out of it a little
     assert total > 5000 and sum(missed.values()) <= 0.02 * total, (missed, total)
     assert max(missed.values(), default=0) < 50
+
+
+@pytest.mark.parametrize("kind", ["changed", "inserted", "dropped"])
+def test_near_passages_whose_halves_came_first(spark, kind):
+    """Two documents hold a passage's halves, a third all of it, a fourth all of it but for a word: the halves come first by signature."""
+    rng, texts, fourth = random.Random(31), [], []
+    for case in range(200):
+        p = [f"c{case}w{i}" for i in range(60)]
+        at = rng.randrange(8, 52)
+        q = {"changed": p[:at] + ["other"] + p[at + 1 :], "inserted": p[:at] + ["other"] + p[at:], "dropped": p[:at] + p[at + 1 :]}[kind]
+        texts += [inside(rng, x) for x in (p[:30], p[30:], p, q)]
+        fourth.append(len(texts) - 1)
+    got = found_pairs(spark, texts)
+    found = sum((d, d - 1) in got for d in fourth)
+    assert found >= 0.95 * len(fourth), (kind, found)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import encoding
+from ..functions import encoding, globs
 from .findings import finding, union
 from .lines import explode_lines
 
@@ -39,6 +40,18 @@ def parse(text: str) -> list[Section]:
     return out
 
 
+def is_root(text: str) -> bool:
+    """Whether ``root = true`` stands before the first section."""
+    for raw in text.split("\n"):
+        line = raw.strip()
+        if line.startswith("[") and line.endswith("]"):
+            return False
+        k, eq, v = line.partition("=")
+        if eq and line[0] not in "#;" and k.strip().lower() == "root":
+            return v.strip().lower() == "true"
+    return False
+
+
 def section_regex(pattern: str) -> str:
     """A section's glob over root-relative paths: a glob without a slash applies in every folder."""
     body, i, depth = "", 0, 0
@@ -86,7 +99,81 @@ def property_of(path: Column, sections: list[Section], name: str) -> Column:
     return F.nullif(out, F.lit("unset"))
 
 
-def definitions(files: DataFrame, sections: list[Section]) -> DataFrame:
+def parsed_configs(configs: DataFrame) -> DataFrame:
+    """``configs(path, text)``, a row an ``.editorconfig`` file, to (dir, root, sections): its folder (empty for the top one), and
+    its sections in order as array<struct<regex, the properties>>. Unreadable globs match nothing."""
+
+    def run(batches):
+        for b in batches:
+            dirs, roots, cells = [], [], []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
+                found = []
+                for sec in parse(text):
+                    regex = section_regex(sec.pattern)
+                    try:
+                        re.compile(regex.replace(r"\z", r"\Z"))
+                    except re.error:
+                        continue
+                    found.append({"regex": regex, **{k: sec.properties.get(k) for k in PROPERTIES}})
+                dirs.append(path.rpartition("/")[0])
+                roots.append(is_root(text))
+                cells.append(found)
+            kind = pa.list_(pa.struct([(n, pa.string()) for n in ("regex", *PROPERTIES)]))
+            yield pa.RecordBatch.from_arrays([pa.array(dirs, pa.string()), pa.array(roots, pa.bool_()), pa.array(cells, kind)], names=["dir", "root", "sections"])
+
+    rows = configs.where("path is not null and text is not null").select("path", "text").where(globs.base(F.col("path")) == ".editorconfig")
+    return rows.mapInArrow(run, f"dir string, root boolean, {_SECTIONS}")
+
+
+#: Folders with sections of at most so many rows are broadcast.
+SMALL = 100_000
+_SECTIONS = f"sections array<struct<regex:string,{','.join(f'{p}:string' for p in PROPERTIES)}>>"
+
+
+def _chains(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """(dir, chain): for each folder of ``files`` with a section file in or above it those files' sections, the outermost
+    first, from the nearest file that is a root on."""
+    dirs = files.select(_folder(F.col("path")).alias("dir")).distinct()
+    parts = F.split("dir", "/")
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(parts))
+    above = dirs.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("depth")).withColumn("up", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
+    told = parsed_configs(configs).withColumnRenamed("dir", "up")
+    met = above.join(told, "up").groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("depth", "root", "up", "sections"))).alias("all"))
+    last_root = F.aggregate(F.col("all"), F.lit(0), lambda a, x: F.when(x["root"], x["depth"]).otherwise(a))
+    return met.withColumn("from", last_root).select("dir", F.filter("all", lambda x: x["depth"] >= F.col("from")).alias("chain"))
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def nested_definitions(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """``files`` with a column a property, resolved from all ``.editorconfig`` files above each (``configs(path, text)``).
+
+    A file's sections apply to paths under its folder and match relative to it. Of nested files the nearer one decides, in a file the last
+    matching section that sets the property; a file with ``root = true`` hides all above it. Folders meet the
+    section files above them once, files then take their folder's chain: sections are folded natively, per property.
+
+    Defined cases: ``unset`` and no section give null; files in folders without any section file keep all nulls; a null path too; own columns of
+    the properties' names are replaced.
+    """
+    keep = [c for c in files.columns if c not in PROPERTIES]
+    chains = _chains(files, configs)
+    # a chain has a few hundred bytes a section; beyond the bound the join shuffles
+    chains = F.broadcast(chains) if chains.count() <= SMALL else chains
+    rows = files.select(*keep, _folder(F.col("path")).alias("_dir")).join(chains.withColumnRenamed("dir", "_dir"), "_dir", "left")
+    relative = lambda x: F.when(x["up"] == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length(x["up"]) + 2, F.length("path")))
+    empty = F.struct(*[F.lit(None).cast("string").alias(p) for p in PROPERTIES])
+    matching = F.flatten(F.transform("chain", lambda x: F.filter(x["sections"], lambda s: F.rlike(relative(x), s["regex"]))))
+    folded = F.aggregate(matching, empty, lambda a, s: F.struct(*[F.coalesce(s[p], a[p]).alias(p) for p in PROPERTIES]))
+    rows = rows.withColumn("_props", F.coalesce(folded, empty))
+    return rows.select(*keep, *[F.nullif(F.col("_props")[p], F.lit("unset")).alias(p) for p in PROPERTIES])
+
+
+def definitions(files: DataFrame, sections: list[Section] | DataFrame) -> DataFrame:
+    """The properties of each file, by one section list or by a table of nested section files."""
+    if isinstance(sections, DataFrame):
+        return nested_definitions(files, sections)
     return files.withColumns({p: property_of(F.col("path"), sections, p) for p in PROPERTIES})
 
 
@@ -95,8 +182,8 @@ def trailing_blank(line: Column) -> Column:
     return bare.rlike(r"[ \t]\z")
 
 
-def check(files: DataFrame, sections: list[Section]) -> DataFrame:
-    """``files(path, content, text)`` to findings, one a rule and file at most."""
+def check(files: DataFrame, sections: list[Section] | DataFrame) -> DataFrame:
+    """``files(path, content, text)`` to findings, one a rule and file at most; ``sections`` as in ``definitions``."""
     d = definitions(files, sections)
     marked = d.where((F.col("charset") == "utf-8") & encoding.has_bom(F.col("content")))
     final = d.where((F.col("insert_final_newline") == "true") & (F.col("text") != "") & ~F.endswith("text", F.lit("\n")))

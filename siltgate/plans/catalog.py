@@ -160,6 +160,21 @@ def final_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ec(spark, sf_dir, "final_newline")
 
 
+#: What the section files of the view say, by rule; k is the number of a file's second folder.
+_NESTED = """with t as (select path, split_part(path, '/', 1) as src, try_cast(substr(split_part(path, '/', 2), 2) as int) as k, regexp_extract(path, '([^/]+)$', 1) as name, regexp_extract(path, '^[^/]+/[^/]+/(.*)$', 1) as rest from tree_paths),
+    s as (select *, k % 3 = 0 as own, k % 3 = 0 and k % 5 = 0 as own_root, length(src) % 2 = 1 as src_root from t)
+    select path, case when own and regexp_matches(name, '[.](js|ts)$') then 'utf-8' when not own_root and not src_root and regexp_matches(name, '[.](py|rs)$') then 'latin1' end as charset,
+    case when own and regexp_matches(rest, '^build/.*[.]py$') then 'crlf' when not own_root and not src_root then 'lf' end as end_of_line,
+    case when own and regexp_matches(name, '^f.[0-9]') then null when not own_root and name like '%.py' then 'tab' when not own_root and not src_root then 'space' end as indent_style,
+    case when not own_root and k::varchar like '1%' then 'true' end as insert_final_newline, cast(null as varchar) as trim_trailing_whitespace from s"""
+
+
+@query(_NESTED)
+def nested_editorconfig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of every path from the section files above it."""
+    return editorconfig.definitions(view(spark, sf_dir, "tree_paths").select("path"), view(spark, sf_dir, "ec_files"))
+
+
 @query("select path, regexp_matches(path, '^([^/]+/)*en/[^/]*[.]py$') or regexp_matches(regexp_extract(path, '([^/]+)$', 1), '^f[0-9][13579][.][^/]*$') as ignored from repo_paths")
 def glob_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "repo_paths").select("path", globs.matches_any(F.col("path"), ["**/en/*.py", "f[0-9][13579].*"]).alias("ignored"))

@@ -53,6 +53,11 @@ VIEWS = {
         union all select distinct -1 as doc_id, concat(source, '/p', doc_id % 97, case when doc_id % 3 = 0 then '/.hid' else '' end, '/', {_nth(_OUTER, 'doc_id % 97')}) as path, 10 as size from documents
         union all select distinct -2 as doc_id, concat(source, '/p', doc_id % 97, '/env', doc_id % 3, '/pyvenv.cfg') as path, 10 as size from documents where doc_id % 4 = 1
         union all select distinct -3 as doc_id, concat(source, '/p', doc_id % 97, '/env', doc_id % 4, '/lib/package.json') as path, 10 as size from documents""",
+    "ec_files": """select '.editorconfig' as path, concat('[*]', chr(10), 'indent_style = Space', chr(10), 'end_of_line = lf', chr(10), '[*.{py,rs}]', chr(10), 'charset = latin1', chr(10)) as text from region where r_regionkey = 0
+        union all select distinct concat(source, '/.editorconfig') as path, concat(case when length(source) % 2 = 1 then concat('; top', chr(10), 'root = TRUE', chr(10)) else '' end, '[*.py]', chr(10), 'indent_style = tab', chr(10),
+        '[p1*/**]', chr(10), 'insert_final_newline = true', chr(10)) as text from documents
+        union all select distinct concat(source, '/p', doc_id % 97, '/.editorconfig') as path, concat(case when doc_id % 97 % 5 = 0 then concat('root = true', chr(10)) else '' end, '[*.{js,ts}]', chr(10), 'charset = utf-8', chr(10),
+        '[build/**.py]', chr(10), 'end_of_line = crlf', chr(10), '[f?[0-9]*]', chr(10), 'indent_style = unset', chr(10), 'root = true', chr(10)) as text from documents where doc_id % 97 % 3 = 0""",
     "commit_graph": """select o_orderkey as hash, floor(o_custkey / 20) as cluster, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as p1,
         case when o_orderkey % 3 = 0 then lag(o_orderkey, 3) over (partition by floor(o_custkey / 20) order by o_orderkey) end as p2 from orders""",
     "commit_ranges": """select floor(o_custkey / 20) as range_id, max(case when o_custkey % 3 = 0 then o_orderkey end) as start_hash, max(o_orderkey) as stop_hash,
@@ -69,7 +74,8 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables it names."""
     sql = VIEWS[name]
-    tables = load(spark, sf_dir, *[t for t in ("documents", "conversations", "pages", "orders") if f"from {t}" in sql])
+    tables = load(spark, sf_dir, *[t for t in ("documents", "conversations", "pages", "orders", "region") if f"from {t}" in sql])
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the view itself are no names
     for t in tables:
         sql = sql.replace(f"from {t}", f"from {{{t}}}")
     return spark.sql(sql, **tables)

@@ -57,6 +57,29 @@ def test_sample_has_the_targets(spark):
     assert {(r.doc_id, r.kept) for r in mixing.mix(df.repartition(7), {"source": 0.5, "lang": 1.0, "topic": 1.0}).collect()} == {(r.doc_id, r.kept) for r in rows}
 
 
+def test_given_targets_are_reached(spark):
+    from siltgate.llm.scratch import Scratch
+
+    targets = {"source": {"a": 1, "b": 2, "c": 1, "nowhere": 5}, "lang": {"en": 0.25, None: 0.25, "de": 0.5}}
+    df = spark.createDataFrame(docs(), "doc_id long, text string, lang string, source string, weight string")
+    rows = mixing.mix(df, {"topic": 1.0}, rounds=60, targets=targets, tolerance=1e-9).collect()
+    kept = [r for r in rows if r.kept]
+    assert len(kept) > 200
+    for m, wanted in targets.items():
+        real = {v: w for v, w in wanted.items() if v != "nowhere"}
+        for v, w in real.items():
+            have = sum(r.n_tokens for r in kept if r[m] == v) / sum(r.n_tokens for r in kept)
+            # expected tokens are exact, the sample's are near
+            expected = sum(r.n_tokens * r.probability for r in rows if r[m] == v) / sum(r.n_tokens * r.probability for r in rows)
+            assert abs(expected - w / sum(real.values())) < 1e-6 and abs(have - w / sum(real.values())) < 0.08
+    # a value that isn't named goes
+    only = mixing.mix(df, targets={"source": {"a": 1.0}}).where("kept").select("source").distinct().collect()
+    assert [r.source for r in only] == ["a"]
+    cells = df.selectExpr("source", "lang", "'t' as topic", "length(text) as tokens", "1L as n").groupBy("source", "lang", "topic").agg({"tokens": "sum", "n": "sum"}).toDF("source", "lang", "topic", "tokens", "n")
+    for rounds, most in ((1, 1.0), (60, 1e-9)):
+        assert mixing.error(mixing.rake(cells, Scratch(spark, "t"), {}, rounds, targets, 1e-9)) <= most
+
+
 def test_mix_edges(spark):
     schema = "doc_id long, text string, lang string, source string"
     rows = [(None, "a b", "en", None), (1, None, None, "s"), (2, "", "en", "s"), (3, "a b c", "en", "s"), (3, "a b c", "en", "s")]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PolicyConfig
-from . import changes, editorconfig, files, lint, repo
+from . import catalogue, changes, editorconfig, files, lint, repo
 from .findings import finding, union
 
 
@@ -142,16 +142,8 @@ def failed_guides(found: DataFrame, guides: DataFrame) -> DataFrame:
     return found.select("check").distinct().join(F.broadcast(guides), "check").select(ordinal(F.col("check")).alias("o"), "check", "text")
 
 
-#: English texts by code; ``%{name}`` is filled from the finding's parameters.
-TEMPLATES = {
-    "ai_coauthor": "an assistant is named as co-author: %{trailer}", "invisible_char": "invisible character %{char} %{name}", "ambiguous_char": "%{char} looks like '%{looks_like}'", "bad_byte": "byte 0x%{byte} is not UTF-8",
-    "emoji": "emoji %{char}", "language": "written in %{detected}", "conventional_format": "the subject is not of the form type(scope): text", "conventional_type": "unknown commit type", "conventional_scope": "a scope is required",
-    "subject_too_long": "the subject has %{length} characters", "body_line_too_long": "the line has %{length} characters", "custom_rule": "%{rule}: %{message}", "binary_block": "binary files of this kind are blocked", "binary_lfs": "the file belongs into large-file storage",
-    "not_utf8": "the file is not UTF-8", "charset_bom": "the file starts with a byte-order mark", "end_of_line": "wrong line end", "final_newline": "no newline at the end", "trailing_whitespace": "blanks at the end of the line", "indent_style": "wrong indentation",
-    "lint_yaml": "%{message}", "lint_json": "%{message}", "lint_jsonc": "%{message}", "lint_relaxed_json": "%{message}", "lint_xml": "%{message}", "lint_toml": "%{message}", "cache_dir_staged": "%{dir} is a cache folder", "cache_dir_committed": "the cache folder holds %{files} tracked files",
-    "protected_deleted": "a protected file is deleted", "protected_added": "a file is added under a protected path", "protected_modified": "a protected file is changed", "append_only_deleted": "an append-only file is deleted", "append_only_modified": "existing content of an append-only file is changed",
-    "append_only_order": "the name must come after %{latest}",
-}
+#: English texts by code.
+TEMPLATES = {code: texts[0] for code, texts in catalogue.TEXTS.items()}
 
 
 def interpolate(template: str, values: dict[str, str]) -> str:
@@ -159,12 +151,11 @@ def interpolate(template: str, values: dict[str, str]) -> str:
     return re.sub(r"%\{(\w+)\}", lambda m: str(values.get(m[1], m[0])), template)
 
 
-def message(code: Column, params: Column, catalogue: dict[str, str] | None = None) -> Column:
-    """A finding's text; a code without a template gives ``[code]``."""
-    table = catalogue or TEMPLATES
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
+def message(code: Column, params: Column, texts: dict[str, str] | None = None) -> Column:
+    """A finding's text by one catalogue; a code without a template gives ``[code]``. ``catalogue.translated`` has all languages."""
+    pairs = [F.lit(x) for kv in (texts or TEMPLATES).items() for x in kv]
     text = F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.concat(F.lit("["), code, F.lit("]")))
-    return F.aggregate(F.map_entries(params), text, lambda t, e: F.replace(t, F.concat(F.lit("%{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    return catalogue.filled(text, params)
 
 
 def detect_locale(env: dict[str, str] | None = None) -> str:

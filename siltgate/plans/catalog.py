@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import TYPES, PolicyConfig
 from ..functions import chars, encoding, globs, language
-from ..operators import changes, directives, editorconfig, fixes, lint, messages, repo, report, unicode
+from ..operators import catalogue, changes, directives, editorconfig, fixes, lint, messages, repo, report, unicode
 from ..operators.comments import hash_comments, html_comments, parse_comments
 from ..operators.lines import explode_lines
 from ..sources import commits
@@ -460,6 +460,27 @@ def message_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.check_messages(rows, cfg).withColumn("params", F.to_json("params"))
 
 
+_TEXTS = ", ".join(f"('{loc}', '{code}', '{text.replace(chr(39), chr(39) * 2)}')" for code in ("ai_coauthor", "conventional_format", "conventional_type", "subject_too_long", "body_line_too_long") for loc, text in zip(catalogue.LOCALES, catalogue.TEXTS[code]) if (loc, code) != ("zh", "subject_too_long"))
+
+
+@query(f"""with f as ({_FINDINGS}), t(locale, code, text) as (values {_TEXTS}),
+    l as (select *, split_part('en_US.UTF-8,ko,ja-JP,zh_Hant-TW,fr,zh,de-AT', ',', (path::bigint % 7 + 1)::int) as tag from f),
+    c as (select *, case when tag like 'ko%' then 'ko' when tag like 'ja%' then 'ja' when tag like 'zh%' then 'zh' else 'en' end as loc from l)
+    select path, line, col, tag as locale, replace(replace(coalesce(own.text, en.text, concat('[', c.code, ']')), '%{{trailer}}', coalesce(json_extract_string(params, '$.trailer'), '%{{trailer}}')), '%{{length}}', coalesce(json_extract_string(params, '$.length'), '%{{length}}')) as text
+    from c left join t own on own.locale = c.loc and own.code = c.code left join t en on en.locale = 'en' and en.code = c.code""")
+def translated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message findings, each in its message's locale; some codes and one Chinese text are not in the catalogue."""
+    codes = ["ai_coauthor", "conventional_format", "conventional_type", "subject_too_long", "body_line_too_long"]
+    texts = catalogue.table(spark).where(F.col("code").isin(codes) & ~((F.col("locale") == "zh") & (F.col("code") == "subject_too_long")))
+    cfg = PolicyConfig()
+    m = cfg.commit_message
+    m.language_enabled = m.conventional_enabled = m.subject_limit_enabled = m.body_limit_enabled = m.no_emoji = True
+    rows = view(spark, sf_dir, "msgs").select(F.col("msg_id").cast("string").alias("path"), "text", F.encode("text", "UTF-8").alias("content"))
+    tags = F.array(*[F.lit(x) for x in ("en_US.UTF-8", "ko", "ja-JP", "zh_Hant-TW", "fr", "zh", "de-AT")])
+    found = messages.check_messages(rows, cfg).withColumn("locale", F.element_at(tags, (F.col("path").cast("long") % 7 + 1).cast("int")))
+    return catalogue.translated(found, F.col("locale"), texts).select("path", "line", "col", "locale", "text")
+
+
 @query()
 def fixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "msgs").select(F.col("msg_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))

@@ -7,7 +7,9 @@ into characters.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -113,6 +115,20 @@ def table_key(locale: str) -> str:
     return "zh-hant" if locale.startswith("zh") else "_default"
 
 
+def read_confusables(lines: Iterable[str]) -> dict[int, str]:
+    """Pairs for ``extra`` from the lines of the Unicode Consortium's public ``confusables.txt`` (code ; target ; kind # remark):
+    single characters beyond ASCII whose target is one ASCII character."""
+    out: dict[int, str] = {}
+    for raw in lines:
+        fields = [f.strip() for f in raw.lstrip("\ufeff").partition("#")[0].split(";")]
+        if len(fields) < 2 or not re.fullmatch(r"[0-9A-Fa-f]{4,6}", fields[0]) or not re.fullmatch(r"[0-9A-Fa-f]{4,6}", fields[1]):
+            continue
+        code, target = int(fields[0], 16), int(fields[1], 16)
+        if code > 127 and 32 <= target < 127:
+            out[code] = chr(target)
+    return out
+
+
 def lookalikes(locale: str = "", extra: dict[int, str] | None = None) -> dict[int, str]:
     """All look-alikes in a locale. ``extra`` adds pairs, such as those of a full confusables file."""
     left_out = set(NOT_LOOKALIKE[table_key(locale)])

@@ -68,7 +68,47 @@ def is_binary(content: Column) -> Column:
     return F.coalesce((F.length(content) > 0) & (signed | webp | nul), F.lit(False))
 
 
+#: Legacy charsets by what their texts are made of: all units that are valid, where two-byte units mostly lie, and frequent ones
+#: (public statistics of the languages: particles, common characters, comma and full stop).
+HIGH = r"[\x81-\xFE][\x40-\x7E\x80-\xFE]"
+CHARSETS = {
+    "EUC-KR": (r"[\x00-\x7F]|[\x81-\xFE][\x41-\x5A\x61-\x7A\x81-\xFE]", r"[\xB0-\xC8][\xA1-\xFE]", "이다의는에을가고한하지로도사를어기은리인서자해있"),
+    "EUC-JP": (r"[\x00-\x7F]|[\xA1-\xFE][\xA1-\xFE]|\x8E[\xA1-\xDF]|\x8F[\xA1-\xFE]{2}", r"[\xA4\xA5\xB0-\xF4][\xA1-\xFE]", "のにをはがとでしたてるいすまなれからもこん、。"),
+    "Shift_JIS": (r"[\x00-\x7F\xA0-\xDF]|[\x81-\x9F\xE0-\xFC][\x40-\x7E\x80-\xFC]", r"[\x82\x83\x88-\x97][\x40-\x7E\x80-\xFC]", "のにをはがとでしたてるいすまなれからもこん、。"),
+    "GB18030": (r"[\x00-\x80]|[\x81-\xFE][\x40-\x7E\x80-\xFE]|[\x81-\xFE][0-9][\x81-\xFE][0-9]", r"[\xB0-\xD7][\xA1-\xFE]", "的一是了不在有我他这个中来上大为和国地到，。"),
+    "Big5": (r"[\x00-\x80]|[\x81-\xFE][\x40-\x7E\xA1-\xFE]", r"[\xA4-\xC6][\x40-\x7E\xA1-\xFE]", "的一是了不在有我他這個中來上大為和國地到，。"),
+}
+#: What a frequent unit counts beside one that merely lies where most do, and what a lone letter of ISO-8859-1 counts.
+FREQUENT, LONE = 4, 2
+
+
+def _units(codec: str, letters: str) -> str:
+    """A class of two-byte units, as they stand in the ISO-8859-1 view."""
+    hexed = sorted({c.encode(codec).hex().upper() for c in letters if len(c.encode(codec)) == 2})
+    return "|".join(f"\\x{h[:2]}\\x{h[2:]}" for h in hexed)
+
+
+def guessed_charset(content: Column) -> Column:
+    """The likeliest charset of bytes that are no UTF-8: ISO-8859-1 or one of ``CHARSETS``.
+
+    A charset with an invalid unit is out. Of the rest each has a score: its units that lie where the language's
+    characters do, and its frequent ones more, over all its two-byte units; for ISO-8859-1, which
+    allows everything, letters beyond ASCII that stand alone among ASCII ones, over all bytes beyond ASCII.
+    """
+    view = _bytes(content)
+    high = F.regexp_count(view, F.lit(r"[\x80-\xFF]"))
+    lone = F.regexp_count(view, F.lit(r"(?<![\x80-\xFF])[\xA0-\xFF](?![\x80-\xFF])"))
+    scores = [F.struct((F.lit(float(LONE)) * lone / F.greatest(high, F.lit(1))).alias("score"), F.lit(0).alias("order"), F.lit("ISO-8859-1").alias("name"))]
+    for i, (name, (unit, home, letters)) in enumerate(CHARSETS.items()):
+        pairs = F.regexp_extract_all(view, F.lit(r"[\x81-\x9F\xE0-\xFC][\x40-\x7E\x80-\xFC]" if name == "Shift_JIS" else HIGH), F.lit(0))
+        share = lambda cls, p=pairs: F.size(F.filter(p, lambda x: x.rlike(rf"^(?:{cls})\z"))) / F.greatest(F.size(p), F.lit(1))
+        score = F.when(view.rlike(rf"\A(?:{unit})*+\z"), share(home) + F.lit(float(FREQUENT)) * share(_units(name, letters)))
+        scores.append(F.struct(score.alias("score"), F.lit(-1 - i).alias("order"), F.lit(name).alias("name")))
+    # null scores are the smallest; equal ones go to the first listed
+    return F.array_max(F.array(*scores))["name"]
+
+
 def utf8_report(content: Column) -> Column:
-    """struct(valid, has_bom, detected_charset, confidence): the charset is only known by the mark or validity."""
+    """struct(valid, has_bom, detected_charset, confidence): the charset by the mark, by validity or as ``guessed_charset`` has it (confidence 0)."""
     valid = (F.length(content) == 0) | is_structural_utf8(content)
-    return F.struct(valid.alias("valid"), has_bom(content).alias("has_bom"), F.when(valid, "utf-8").otherwise("unknown").alias("detected_charset"), F.when(valid, 100).otherwise(0).alias("confidence"))
+    return F.struct(valid.alias("valid"), has_bom(content).alias("has_bom"), F.when(valid, "utf-8").otherwise(guessed_charset(content)).alias("detected_charset"), F.when(valid, 100).otherwise(0).alias("confidence"))

@@ -22,7 +22,7 @@ TEXTS = {
     "custom_rule": ("%{rule}: %{message}",) * 4,
     "binary_block": ("binary files of this kind are blocked", "이런 종류의 바이너리 파일은 막혀 있습니다", "この種のバイナリーは禁止されています", "禁止此类二进制文件"),
     "binary_lfs": ("the file belongs into large-file storage", "이 파일은 대용량 저장소에 두어야 합니다", "このファイルは大容量ストレージに置いてください", "该文件应放入大文件存储"),
-    "not_utf8": ("the file is not UTF-8", "파일이 UTF-8이 아닙니다", "ファイルが UTF-8 ではありません", "文件不是 UTF-8"),
+    "not_utf8": ("the file is not UTF-8 (%{charset}?)", "파일이 UTF-8이 아닙니다 (%{charset}?)", "ファイルが UTF-8 ではありません (%{charset}?)", "文件不是 UTF-8 (%{charset}?)"),
     "charset_bom": ("the file starts with a byte-order mark", "파일이 바이트 순서 표시로 시작합니다", "ファイルがバイト順マークで始まります", "文件以字节顺序标记开头"),
     "end_of_line": ("wrong line end", "줄 끝 문자가 다릅니다", "改行コードが違います", "行尾符不正确"),
     "final_newline": ("no newline at the end", "끝에 줄바꿈이 없습니다", "末尾に改行がありません", "末尾没有换行"),

@@ -50,7 +50,7 @@ def encoding_findings(corpus: DataFrame, cfg: PolicyConfig, sections: list[Secti
     if sections:
         rows = definitions(rows, sections).where(F.coalesce(F.col("charset"), F.lit("utf-8")).isin("utf-8", "utf-8-bom"))
     bad = rows.where(~encoding.is_binary(F.col("content")) & (F.length("content") > 0) & ~encoding.is_structural_utf8(F.col("content")))
-    return finding(bad, "encoding", "not_utf8", bad_bytes=encoding.bad_byte_count(F.col("content")))
+    return finding(bad, "encoding", "not_utf8", bad_bytes=encoding.bad_byte_count(F.col("content")), charset=encoding.guessed_charset(F.col("content")))
 
 
 def unicode_findings(corpus: DataFrame, cfg: PolicyConfig) -> DataFrame:

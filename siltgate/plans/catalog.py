@@ -393,6 +393,27 @@ def bad_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", encoding.bad_byte_count(F.encode("text", "ISO-8859-1")).cast("long").alias("bad"))
 
 
+#: Sentences in the bytes of their charsets, put behind the ASCII part of the documents.
+_SENTENCES = {
+    "EUC-KR": "이 파일은 한국어로 작성된 설명을 담고 있습니다.".encode("euc_kr").hex(),
+    "EUC-JP": "このファイルには日本語で書かれた説明が入っています。".encode("euc_jp").hex(),
+    "Shift_JIS": "このファイルには日本語で書かれた説明が入っています。".encode("shift_jis").hex(),
+    "GB18030": "这个文件里有用中文写的说明，在运行之前应该检查一下设置。".encode("gb18030").hex(),
+    "Big5": "這個檔案裡有用中文寫的說明，在執行之前應該檢查一下設定。".encode("big5").hex(),
+    "ISO-8859-1": "Le fichier a été créé après une mise à jour.".encode("latin-1").hex(),
+    "utf-8": "Die Prüfung der Größe".encode().hex(),
+}
+
+
+@query("select doc_id, case doc_id % 7 " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(_SENTENCES)) + " end as charset from documents")
+def charset_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The charset found in every document, written in seven ways."""
+    docs = load(spark, sf_dir, "documents")["documents"]
+    tails = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in _SENTENCES.values()]), (F.col("doc_id") % 7 + 1).cast("int"))
+    content = F.concat(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", ""), "UTF-8"), tails)
+    return docs.select("doc_id", encoding.utf8_report(content)["detected_charset"].alias("charset"))
+
+
 @query("select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as fixed from documents")
 def bad_bytes_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")["documents"]

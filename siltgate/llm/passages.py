@@ -227,9 +227,16 @@ def _agreeing(key: np.ndarray, doc: np.ndarray, open_: np.ndarray, near: np.ndar
         return out
     pieces = max(3, min(PIECES, least // max(1, hole)))
     cuts = [i * least // pieces for i in range(pieces + 1)]
-    held = np.zeros((len(doc), near.shape[1] + 1), np.int16)
-    np.cumsum(near > 0, axis=1, out=held[:, 1:])
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(least, 0x9E3779B97F4A7C15 | 1, np.uint64)]))
+    n, wide = near.shape
+    held = np.zeros((wide + 1, n), np.int16)
+    np.cumsum(near.T > 0, axis=0, out=held[1:])
+    # hashes of all that stands before a place: the difference of two, divided by the base's power, is that of what is between
+    up = np.uint64(0x9E3779B97F4A7C15 | 1)
+    down = np.uint64(pow(int(up), -1, 1 << 64))
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(wide - 1, up)]))
+    before = np.zeros((wide + 1, n), np.uint64)
+    np.cumsum(near.T.astype(np.uint64) * powers[:, None], axis=0, out=before[1:])
+    flat = before.ravel()
 
     def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places (ascending, so in the order of doc) by hash, and for each the place of its group's first and one after its last."""
@@ -247,80 +254,90 @@ def _agreeing(key: np.ndarray, doc: np.ndarray, open_: np.ndarray, near: np.ndar
         some = np.concatenate([[0], np.cumsum(left[at])])
         return (doc[at[lo]] < doc[at[hi - 1]]) & (some[hi] - some[lo] > 0)
 
-    def inside(rows: np.ndarray, a: int, n: int) -> np.ndarray:
-        """Of the rows those that have text at all of the n places from a."""
-        if a < 0 or a + n > near.shape[1]:
-            return rows[:0]
-        return rows[held[rows, a + n] - held[rows, a] == n]
+    def inside(a: int, size: int) -> np.ndarray:
+        """The rows that have text at all of the places from a."""
+        return np.flatnonzero(held[a + size] - held[a] == size) if a >= 0 and a + size <= wide else np.zeros(0, np.int64)
 
-    every = np.arange(len(doc))
+    mixed_key = mix(key.view(np.uint64))
     # most rows share a few words only: a stretch holds whole runs of RUN tokens at fixed places, all but
     # two of which must agree with some other document's
     run = max(1, min(RUN, (least - 2) // 5))
     full = (least - run + 1) // run - (2 if hole else 0)
     if full > 0:
-        shared = np.zeros(len(doc), np.int64)
-        for a in range(1, near.shape[1] - run, run):
+        shared = np.zeros(n, np.int64)
+        for a in range(1, wide - run, run):
             # beyond a wider gap a run stands one place further from the middle
             shifts = [0, *([1] if a > least else [-1] if a + run <= least else [])] if moved else [0]
-            rows = [inside(every, a + d, run) for d in shifts]
-            h = [(near[r, a + d : a + d + run].astype(np.uint64) * powers[:run]).sum(1, dtype=np.uint64) for r, d in zip(rows, shifts)]
+            rows = [inside(a + d, run) for d in shifts]
+            h = [(before[a + d + run][r] - before[a + d][r]) * {0: np.uint64(1), 1: down, -1: up}[d] for r, d in zip(rows, shifts)]
             rows, h = np.concatenate(rows), np.concatenate(h)
             if len(rows) > 1:
-                by = np.argsort(rows, kind="stable")
-                rows, h = rows[by], h[by]
-                order, lo, hi = groups(mix(h) + mix(key[rows].view(np.uint64)))
+                if moved:
+                    by = np.argsort(rows, kind="stable")
+                    rows, h = rows[by], h[by]
+                order, lo, hi = groups(mix(h) + mixed_key[rows])
                 at = rows[order]
-                hit = np.zeros(len(doc), bool)
+                hit = np.zeros(n, bool)
                 hit[at[asked(at, lo, hi)]] = True
                 shared += hit
         keep = np.flatnonzero(shared >= full)
-        if len(keep) < 0.9 * len(doc):
+        # a key whose open rows are all out has nothing to ask
+        keep = keep[np.isin(key[keep], key[keep[left[keep]]])]
+        if len(keep) < 0.9 * n:
             if len(keep) > 1:
                 to = _agreeing(key[keep], doc[keep], open_[keep], near[keep], least, percent, moved)
                 out[keep[to >= 0]] = keep[to[to >= 0]]
             return out
 
-    def sums(rows: np.ndarray, a: int) -> np.ndarray:
-        """Hashes of the first tokens from place a, by how many."""
-        part = np.zeros((len(rows), least + 1), np.uint64)
-        np.cumsum(near[rows, a : a + least].astype(np.uint64) * powers[:least], axis=1, out=part[:, 1:])
-        return part
-
+    # a row as it stands; with what is behind its gap moved; with what is before it moved
+    head_shift, tail_shift = np.array([0, 0, -1]), np.array([0, 1, 0])
+    head_power, tail_power = np.array([1, 1, int(up)], np.uint64), np.array([1, int(down), 1], np.uint64)
     for start in range(1, least + 1):
-        rows = every[np.isin(key, key[left])] if left.any() else every[:0]
-        # a row as it stands; with what is behind its gap moved; with what is before it moved. Where its first part begins, where its last one does
-        forms = [(inside(rows, start, least), start, start)]
+        if not left.any():
+            break
         middle = least - start  # the middle's place in the stretch
-        if moved:
-            forms += [(inside(rows, start, least + 1), start, start + 1), (inside(rows, start - 1, least + 1), start - 1, start)]
-        row = np.concatenate([f[0] for f in forms])
+        forms = [inside(start, least), *([inside(start, least + 1), inside(start - 1, least + 1)] if moved else [])]
+        row = np.concatenate(forms)
         if len(row) < 2:
             continue
-        form = np.repeat(np.arange(len(forms)), [len(f[0]) for f in forms])
-        head, tail = (np.concatenate([sums(f[0], f[k]) for f in forms]) for k in (1, 2))
-        by = np.argsort(row, kind="stable")
-        row, form, head, tail = row[by], form[by], head[by], tail[by]
-        own = mix(key[row].view(np.uint64))
+        form = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+        if moved:
+            by = np.argsort(row, kind="stable")
+            row, form = row[by], form[by]
+        own = mixed_key[row]
+        first_part, last_part = head_shift[form] * n + row, tail_shift[form] * n + row
+
+        def outside(i: np.ndarray, a: int, b: int) -> np.ndarray:
+            """Hashes of a stretch without its places from a to b, alike for all forms."""
+            head = flat[(start + a) * n + first_part[i]] - flat[start * n + first_part[i]]  # noqa: B023
+            tail = flat[(start + least) * n + last_part[i]] - flat[(start + b) * n + last_part[i]]  # noqa: B023
+            return head * head_power[form[i]] + tail * tail_power[form[i]] if moved else head + tail  # noqa: B023
+
         for gap in range(pieces - 1):
             a, b = cuts[gap], cuts[gap + 2]
             # the gap's places; both ends of the stretch agree
             places = range(max(1, a), min(least - 1, b) - hole + 1)
-            use = np.flatnonzero((form == 0) | ((form == 1) & (places[-1] > middle if len(places) else False)) | ((form == 2) & (places[0] + hole <= middle if len(places) else False)))
-            about = tail[use, -1] - tail[use, b] + head[use, a]
-            order, lo, hi = groups(mix(about + np.uint64(gap)) + own[use])
+            if not len(places):
+                continue
+            use = np.arange(len(row))
+            if moved:
+                use = np.flatnonzero((form == 0) | ((form == 1) & (places[-1] > middle)) | ((form == 2) & (places[0] + hole <= middle)))
+            order, lo, hi = groups(mix(outside(use, a, b) + np.uint64(gap)) + own[use])
             some = asked(row[use[order]], lo, hi)
+            if moved:
+                # rows as they stand have met already: a group needs a moved one besides
+                stand = np.concatenate([[0], np.cumsum(form[use[order]] == 0)])
+                some &= (stand[hi] > stand[lo]) & (stand[hi] - stand[lo] < hi - lo)
             if not some.any():
                 continue
-            few = np.sort(order[some])
-            about, few = about[few], use[few]
+            few = use[np.sort(order[some])]
             for g in places:
-                ok = np.flatnonzero((form[few] == 0) | ((form[few] == 1) & (g > middle)) | ((form[few] == 2) & (g + hole <= middle)))
-                x = few[ok]
+                x = few
+                if moved:
+                    x = few[(form[few] == 0) | ((form[few] == 1) & (g > middle)) | ((form[few] == 2) & (g + hole <= middle))]
                 if len(x) < 2:
                     continue
-                h = mix(about[ok] + (tail[x, b] - tail[x, g + hole]) + (head[x, g] - head[x, a])) + own[x]
-                sub, first, _ = groups(h)
+                sub, first, _ = groups(mix(outside(x, g, g + hole)) + own[x])
                 here = row[x[sub]]
                 y = here[first]
                 good = left[here] & (doc[y] < doc[here])

@@ -145,7 +145,10 @@ def parse(text: str) -> dict[str, Any]:
     try:
         import yaml
 
-        out = yaml.safe_load(text)
+        try:
+            out = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(str(e)) from e
     except ImportError:
         out = json.loads(text) if text.strip() else {}
     if out is None:
@@ -333,6 +336,8 @@ def with_includes(doc: dict[str, Any], base_dir: str, directory: str) -> dict[st
         if os.path.isfile(p):
             with open(p, encoding="utf-8") as f:
                 more = parse(f.read())
+            if _get(more, "preset", "path", default=""):
+                raise ValueError(f"{p}: a preset or included file can have no preset of its own")
             more.pop("include", None)
             low = merge(low, more) if low else more
     return merge(low, doc) | {k: v for k, v in doc.items() if k not in REPLACED and k not in ADDED} if low else doc
@@ -360,63 +365,6 @@ def validate(doc: dict[str, Any], directory: str = ".") -> list[str]:
     return out
 
 
-#: Key renames that brought older documents up to date: (section path, old key, new key).
-RENAMES = [
-    (("comment_language",), "language", "required_language"),
-    (("comment_language",), "ignore", "ignore_files"),
-    (("commit_message",), "no_coauthor", "no_ai_coauthor"),
-    (("commit_message",), "ai_coauthor_emails", "coauthor_remove_emails"),
-    (("commit_message",), "no_invisible_chars", "no_unicode_spaces"),
-    (("commit_message", "language_check"), "language", "required_language"),
-]
-
-
-def detect_version(text: str) -> str:
-    """``legacy`` if the document has a key that a rename covers, else ``current``."""
-    doc = parse(text)
-    return "legacy" if any(isinstance(_get(doc, *p), dict) and old in _get(doc, *p) for p, old, _ in RENAMES) else "current"
-
-
-def migrate(text: str) -> tuple[str, list[str]]:
-    """Old keys renamed line by line, so comments and order stay; and what was renamed.
-
-    Where the new key is there already, the old one's lines are removed.
-    """
-    changes = []
-    for path, old, new in RENAMES:
-        text, done = _rename(text, path, old, new)
-        changes += [f"{'.'.join(path)}.{old} -> {new}"] if done else []
-    return text, changes
-
-
-def _rename(text: str, path: tuple[str, ...], old: str, new: str) -> tuple[str, bool]:
-    lines = text.split("\n")
-    stack: list[tuple[int, str]] = []
-    at = peer = None
-    for i, line in enumerate(lines):
-        m = re.match(r"^( *)([A-Za-z_][\w-]*):(?=\s|$)", line)
-        if not m:
-            continue
-        indent, key = len(m[1]), m[2]
-        while stack and stack[-1][0] >= indent:
-            stack.pop()
-        if tuple(k for _, k in stack) == path:
-            at = i if key == old else at
-            peer = i if key == new else peer
-        stack.append((indent, key))
-    if at is None:
-        return text, False
-    if peer is None:
-        lines[at] = re.sub(rf"^( *){re.escape(old)}:", rf"\1{new}:", lines[at])
-    else:
-        indent = len(lines[at]) - len(lines[at].lstrip(" "))
-        end = at + 1
-        while end < len(lines) and lines[end].strip() and len(lines[end]) - len(lines[end].lstrip(" ")) > indent:
-            end += 1
-        del lines[at:end]
-    return "\n".join(lines), True
-
-
 def parse_ttl(text: str) -> int | None:
     """Seconds of ``30s``, ``15m``, ``24h`` or ``7d``; None if malformed."""
     m = re.fullmatch(r"\s*(\d+)([smhd])\s*", text)

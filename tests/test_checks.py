@@ -346,9 +346,6 @@ def test_config():
     cfg = config.build(out)
     assert cfg.comment_language.required_language == "english" and cfg.commit_message.required_language == "korean" and cfg.comment_language.min_length == 5
     assert config.PolicyConfig().commit_message.all_types() == config.TYPES and len(config.MessagePolicy(type_locale="ko").all_types()) == 23
-    old = "comment_language:\n  language: en # keep\n  min_length: 3\ncommit_message:\n  no_coauthor: true\n  no_ai_coauthor: false\n"
-    new, changes_ = config.migrate(old)
-    assert "  required_language: en # keep\n" in new and "no_coauthor" not in new and len(changes_) == 2 and config.migrate(new) == (new, [])
     assert config.parse_ttl("7d") == 604800 and config.parse_ttl("x") is None and config.word_lines("# c\n a \n\nb") == ["a", "b"]
     assert any("malformed" in w for w in config.validate({"exceptions": {"global_ignore": ["a["]}}))
     assert config.parse("") == {} and report.detect_locale({"LANG": "ko_KR.UTF-8"}) == "ko" and report.detect_locale({}) == "en"

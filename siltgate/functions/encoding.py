@@ -64,7 +64,8 @@ def is_binary(content: Column) -> Column:
     for s in SIGNATURES:
         signed = signed | starts_with_bytes(content, s)
     webp = starts_with_bytes(content, "52494646") & (F.substring(content, 9, 4) == F.unhex(F.lit("57454250")))
-    nul = F.position(F.unhex(F.lit("00")), content) > 0
+    # a search in the binary column itself steps by characters and can pass over a byte after a cut-off one
+    nul = F.contains(_bytes(content), F.lit("\x00"))
     return F.coalesce((F.length(content) > 0) & (signed | webp | nul), F.lit(False))
 
 

@@ -89,9 +89,11 @@ def judge_units(units: DataFrame, cfg: PolicyConfig) -> DataFrame:
     """Units in another language than their own, after allowed words are taken out."""
     c = cfg.comment_language
     rows = units.where("kind <> 'String'").withColumn("said", language.strip_allowed_words(F.col("text"), c.allowed_words))
+    # what the four languages ask of a text is found once
+    rows = rows.withColumn("t", language.traits(F.col("said"), c.min_length, c.skip_directives))
     judged = F.lit(None)
-    for lang in ("korean", "japanese", "chinese", "english"):
-        judged = F.when(F.col("lang") == lang, language.required(F.col("said"), lang, c.min_length, c.skip_directives)) if lang == "korean" else judged.when(F.col("lang") == lang, language.required(F.col("said"), lang, c.min_length, c.skip_directives))
+    for lang in language.ORDER:
+        judged = F.when(F.col("lang") == lang, language.judged(F.col("t"), lang)) if lang == language.ORDER[0] else judged.when(F.col("lang") == lang, language.judged(F.col("t"), lang))
     rows = rows.withColumn("j", judged)
     wrong = rows.where(F.col("j.has_content") & ~F.col("j.ok"))
     parts = [finding(wrong, "comment_language", "language", "line", required=F.col("lang"), detected=language.dominant(F.col("said")), text=language.truncate(F.col("text"), 80))]

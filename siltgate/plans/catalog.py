@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import TYPES, PolicyConfig
 from ..functions import chars, encoding, globs, language
-from ..operators import catalogue, changes, directives, editorconfig, fixes, lint, messages, repo, report, unicode
+from ..operators import catalogue, changes, directives, editorconfig, lint, messages, repo, report, unicode
 from ..operators.comments import hash_comments, html_comments, parse_comments
 from ..operators.lines import explode_lines
 from ..sources import commits
@@ -500,10 +500,3 @@ def translated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(*[F.lit(x) for x in ("en_US.UTF-8", "ko", "ja-JP", "zh_Hant-TW", "fr", "zh", "de-AT")])
     found = messages.check_messages(rows, cfg).withColumn("locale", F.element_at(tags, (F.col("path").cast("long") % 7 + 1).cast("int")))
     return catalogue.translated(found, F.col("locale"), texts).select("path", "line", "col", "locale", "text")
-
-
-@query()
-def fixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "msgs").select(F.col("msg_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return fixes.fix_table(rows, fixes.fixed_message(F.col("content"), PolicyConfig())).select("path", "fixed")
-

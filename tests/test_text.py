@@ -164,3 +164,9 @@ def test_traits_give_what_required_gives(spark):
     for lang in ("korean", "japanese", "chinese", "english", "any", "other"):
         got = one(spark, [(t,) for t in texts], "t string", a=language.required(F.col("t"), lang, 5), b=language.judged(language.traits(F.col("t"), 5), lang), c=language.is_foreign(F.col("t"), lang, 5))
         assert all(r["a"] == r["b"] and r["c"] == (r["a"].has_content and not r["a"].ok) for r in got), lang
+
+
+def test_nul_after_a_cut_off_character(spark):
+    rows = [(b"ab\xe9\x00",), (b"\xf0\x00x",), (b"\xc3\x00",), (b"ab\xe9",), (b"",), (b"\x00",)]
+    got = one(spark, [(bytearray(b),) for (b,) in rows], "c binary", b=encoding.is_binary(F.col("c")))
+    assert [r["b"] for r in got] == [True, True, True, False, False, True]

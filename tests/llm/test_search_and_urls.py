@@ -105,3 +105,15 @@ def test_urls_against_brute_force(spark):
         for r in out:
             assert (r.host, r.path, r.rule, r.verdict) == brute(r.url), r.url
     assert urlfilter.judge(df.limit(0), rules).collect() == [] and urlfilter.judge(df, rules.limit(0)).where("verdict <> 'allow'").count() == 0
+
+
+def test_share_follows_the_structure():
+    rng = np.random.default_rng(8)
+    loose = rng.normal(size=(4000, 32))
+    tight = rng.normal(size=(200, 32))[rng.integers(0, 200, 4000)] + 0.05 * rng.normal(size=(4000, 32))
+    shares = []
+    for x in (loose, tight):
+        books = (ann.kmeans(x[:, :16], 64), ann.kmeans(x[:, 16:], 64))
+        shares.append(ann.needed_share(x, books, 16, 10, 0.95))
+    assert 0.1 < shares[0] < 0.7 and shares[1] < 0.1
+    assert ann.needed_share(x[:1], books, 16, 10, 0.95) == 1.0

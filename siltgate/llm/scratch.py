@@ -1,65 +1,13 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and the given tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from ..stored import Scratch, shared_dir
 
-_FALLBACK: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only on a local master where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="siltgate-"))
-    return _FALLBACK[0]
-
-
-class Scratch:
-    """Writes tables as Parquet under the shared folder and reads them back.
-
-    A written table cuts the lineage: losing an executor costs no more than
-    the stage that is running. Tables are dropped with ``drop`` when they are
-    superseded; the rest go when the driver exits.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/siltgate-{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        atexit.register(self._delete, self.root)
-
-    def table(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = getattr(t, "_scratch_path", None)
-            if path:
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have ended
-            pass
+__all__ = ["Scratch", "read", "shared_dir"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..config import PolicyConfig
 from ..functions import chars, globs, language
 from ..operators import changes, editorconfig, files, fixes, lint, repo
+from ..operators.comments import parse_comments
 from ..sources import gitdiff
-from .catalog import _CACHES, _LINES, query
+from .catalog import _CACHES, _LINES, _TECHNICAL, query
 from .views import GRIN, HEART, NBSP, ZWSP, load, view
 
 
@@ -120,3 +121,45 @@ def append_only_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select(path, (n == 0).alias("is_deleted"), (n == 3).alias("is_new"))
     found = changes.append_only(rows, old, new, PolicyConfig(append_only_paths=["**"]))
     return found.select(F.col("path").cast("long").alias("doc_id"), "code")
+
+
+#: Every line of a document is a comment of its source, after a statement.
+_COMMENTS = f"""with {_LINES.format(view="documents")}, p as (select doc_id, path from sources),
+    c as (select path, doc_id, 2 * line + case when doc_id % 8 = 3 then 1 else 0 end as line, trim(line_text) as text from ls join p using (doc_id))"""
+
+
+@query(f"{_COMMENTS} select path, line::bigint as line, text from c where text <> ''")
+def line_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line comments of sources in eight languages."""
+    rows = parse_comments(view(spark, sf_dir, "sources").select("path", "text"))
+    return rows.where("kind = 'Comment' and not is_block and text <> ''").select("path", "line", "text")
+
+
+#: Comments that have content and hold no Korean letter, in files for which no rule asks for English.
+_WRONG = f"""{_COMMENTS}, j as (select *, len(regexp_extract_all(text, '[\\p{{L}}]')) as letters, doc_id % 8 = 4 as english from c)
+    select path, line::bigint as line, case when english then 'english' else 'korean' end as required from j
+    where length(text) >= 5 and letters >= 5 and not regexp_matches(text, '^(<[^>]*>\\s*)+$') and not regexp_matches(lower(text), '^({_TECHNICAL})') and regexp_matches(text, '[A-Za-z가-힣ぁ-ゟ゠-ヿ一-鿿]') and not english"""
+
+
+def _comment_policy() -> PolicyConfig:
+    cfg = PolicyConfig()
+    cfg.comment_language.languages = ["python", "ruby", "hcl", "go", "typescript", "java", "rust", "dockerfile"]
+    cfg.comment_language.file_languages = [("*.ts", "english")]
+    return cfg
+
+
+@query(_WRONG)
+def comments_in_other_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of whole files that aren't Korean; those of one language must be English and are."""
+    found = files.comment_language(view(spark, sf_dir, "sources").select("path", "text"), _comment_policy())
+    return found.select("path", "line", F.col("params")["required"].alias("required"))
+
+
+@query(f"select * from ({_WRONG}) where line % 6 = 0")
+def added_comments_in_other_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a change that adds the lines divisible by six."""
+    rows = view(spark, sf_dir, "sources").select("path", "text")
+    n = F.size(F.split("text", "\n", -1))
+    diff = rows.select("path", F.lit(False).alias("is_deleted"), F.lit(False).alias("is_submodule"), F.lit(False).alias("is_symlink"), F.filter(F.transform(F.sequence(F.lit(1), n), lambda x: x.cast("long")), lambda x: x % 6 == 0).alias("added_lines"))
+    found = changes.comment_language(diff, rows, _comment_policy())
+    return found.select("path", "line", F.col("params")["required"].alias("required"))

@@ -53,6 +53,10 @@ VIEWS = {
         union all select distinct -1 as doc_id, concat(source, '/p', doc_id % 97, case when doc_id % 3 = 0 then '/.hid' else '' end, '/', {_nth(_OUTER, 'doc_id % 97')}) as path, 10 as size from documents
         union all select distinct -2 as doc_id, concat(source, '/p', doc_id % 97, '/env', doc_id % 3, '/pyvenv.cfg') as path, 10 as size from documents where doc_id % 4 = 1
         union all select distinct -3 as doc_id, concat(source, '/p', doc_id % 97, '/env', doc_id % 4, '/lib/package.json') as path, 10 as size from documents""",
+    "sources": """select doc_id, concat('src/', doc_id, split_part('.py,.rb,.tf,.go,.ts,.java,.rs,.dockerfile', ',', cast(doc_id % 8 + 1 as int))) as path,
+        concat(case when doc_id % 8 = 3 then concat('package x', chr(10)) else '' end, case when doc_id % 8 in (0, 1, 2) then 'x = 1' when doc_id % 8 = 7 then 'RUN x' else 'var x = 1;' end, chr(10), case when doc_id % 8 in (0, 1, 2, 7) then '# ' else '// ' end,
+        replace(text, chr(10), concat(chr(10), case when doc_id % 8 in (0, 1, 2) then 'x = 1' when doc_id % 8 = 7 then 'RUN x' else 'var x = 1;' end, chr(10), case when doc_id % 8 in (0, 1, 2, 7) then '# ' else '// ' end))) as text
+        from documents""",
     "ec_files": """select '.editorconfig' as path, concat('[*]', chr(10), 'indent_style = Space', chr(10), 'end_of_line = lf', chr(10), '[*.{py,rs}]', chr(10), 'charset = latin1', chr(10)) as text from region where r_regionkey = 0
         union all select distinct concat(source, '/.editorconfig') as path, concat(case when length(source) % 2 = 1 then concat('; top', chr(10), 'root = TRUE', chr(10)) else '' end, '[*.py]', chr(10), 'indent_style = tab', chr(10),
         '[p1*/**]', chr(10), 'insert_final_newline = true', chr(10)) as text from documents

@@ -83,7 +83,7 @@ def test_against_brute_force(spark):
 
 
 def test_sizes_about_the_borders(spark):
-    for n in (1, 2, 15, 16, 17, 255, 256, 257):
+    for n in (1, 16, 17, 256, 257):
         rows = [(i, "t", "en", "s", i) for i in range(n)]
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         assert sorted(got(df)) == sorted(brute(rows)), n

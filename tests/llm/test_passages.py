@@ -171,3 +171,12 @@ def test_near_passages_whose_halves_came_first(spark, kind):
     got = found_pairs(spark, texts)
     found = sum((d, d - 1) in got for d in fourth)
     assert found >= 0.95 * len(fourth), (kind, found)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(40)
+    p = words(rng, 80)
+    long = words(rng, 120_000)
+    texts = [inside(rng, p), long[:60_000] + p + long[60_000:], inside(rng, p)]
+    got = found_pairs(spark, texts)
+    assert {(1, 0), (2, 0)} <= set(got) and got[(1, 0)].begin == 60_000

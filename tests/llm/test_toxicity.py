@@ -87,3 +87,70 @@ def test_other_languages():
     s = toxicity.Scorer({"zorblat": 5.0}, {})
     plain, quoted, denied = s.clause("du bist ein zorblat"), s.clause("er sagte zorblat"), s.clause("nicht zorblat")
     assert plain > quoted > denied and s.clause("voy a matar ti") > toxicity.BIAS and s.clause("no voy a matar ti") < plain
+
+
+def plain_score(text, words, beginnings):
+    """Clause by clause, the four rewritings one after the other, word by word."""
+    import math
+    import re
+
+    best_of, hits = 0.0, 0
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        symbols, weights = [], []
+        for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*", clause):
+            weight = max([words.get(w, 0.0), *(v for b, v in beginnings.items() if len(w) > len(b) and w.startswith(b))])
+            fixed = next((s for s, ws in (("report", toxicity.REPORTS), ("not", toxicity.NEGATIONS), ("target", toxicity.TARGETS), ("threat", toxicity.THREATS)) if w in ws), "other")
+            symbols.append("insult" if weight > 0 else fixed)
+            weights.append(weight)
+        # reported speech: what follows a reporting verb is quoted
+        quoting, out = False, []
+        for s in symbols:
+            out.append({"insult": "quoted", "threat": "other"}.get(s, s) if quoting else s)
+            quoting = quoting or s == "report"
+        # a negation reaches over three symbols
+        reach, denied = 0, []
+        for s in out:
+            if s == "not":
+                reach = 3
+                denied.append(s)
+                continue
+            denied.append({"insult": "denied", "threat": "other"}.get(s, s) if reach else s)
+            reach = max(0, reach - 1)
+        # a threat counts with a target within two symbols, an insult within four after a target counts more
+        extra = [0.0] * len(denied)
+        threat = target = 0
+        for i, s in enumerate(denied):
+            if s == "threat":
+                threat = 2
+            elif threat:
+                if s == "target":
+                    extra[i] += toxicity.THREAT
+                    threat = 0
+                else:
+                    threat -= 1
+            if s == "target":
+                target = 4
+            elif target:
+                extra[i] += 0.5 if s == "insult" else 0.0
+                target -= 1
+        best, more = 0.0, 0.0
+        for s, w, e in zip(denied, weights, extra):
+            got = w * {"insult": 1.0, "quoted": 0.5, "denied": 0.25}.get(s, 0.0) + e
+            best, more = (got, more + best) if got > best else (best, more + got)
+        total = best + 0.1 * min(more, 10.0)
+        hits += total > toxicity.BIAS
+        best_of = max(best_of, total)
+    return 1 / (1 + math.exp(toxicity.BIAS - best_of - 0.3 * math.log1p(max(0, hits - 1))))
+
+
+def test_scores_against_a_plain_reading(spark):
+    rng = random.Random(12)
+    words, begin = {"zorblat": 6.0, "grobnik": 3.0, "idiot": 4.0}, {"quix": 5.0}
+    pool = ["zorblat", "grobnik", "idiot", "quixly", "quix", "you", "they", "not", "never", "said", "kill", "hurt", "the", "word", "plain", "it's", "Él", "dijo", "nicht", "du", ".", "!", "\n", ",", "zorblats"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 25))) for _ in range(600)] + ["", "x" * 200_000, ("plain words here. " * 20_000) + "you zorblat"]
+    s = toxicity.Scorer(words, begin)
+    for t in texts:
+        assert abs(s.score(t) - plain_score(t, words, begin)) < 1e-12, t[:200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, words, begin).collect()}
+    assert all(abs(got[i] - plain_score(t, words, begin)) < 1e-12 for i, t in enumerate(texts))

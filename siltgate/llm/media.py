@@ -19,14 +19,14 @@ ROW = 64
 PAGE_ROWS = 16_384
 
 
-def pages(files: DataFrame, content: str = "content") -> DataFrame:
+def pages(files: DataFrame, content: str = "content", most: int = tiff.MOST) -> DataFrame:
     """One row per page of the TIFF in ``content``: the other columns, then page
     (int, from 0), width, height, samples (int), bits (int, of a returned sample: 8 at least), pixels (binary,
     big-endian samples in row order; samples of 1, 2 and 4 bits take a byte each) and error (string).
 
     Defined cases: a null, empty or foreign file gives one row with page null and
     the reason in error; a page that can't be read (unknown scheme, blocks outside the file or ending early, more
-    than ``tiff.MOST`` bytes of samples) gives a row with its number and
+    than ``most`` bytes of samples; give more where workers have the memory) gives a row with its number and
     the reason, and the other pages stay; a directory that can't be read ends the file with such a row;
     a file without directories gives none. Columns named as those above are replaced.
     Every row stands for itself, so repeated rows repeat and an empty table gives an
@@ -39,7 +39,7 @@ def pages(files: DataFrame, content: str = "content") -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 data = b.column(content)[i].as_py()
-                for index, p in tiff.pages(data) if data else [(None, ValueError("no content"))]:
+                for index, p in tiff.pages(data, most) if data else [(None, ValueError("no content"))]:
                     if isinstance(p, Exception):
                         whole = index == 0 and str(p) == tiff.FOREIGN
                         row = (None if whole else index, *[None] * 5, f"{type(p).__name__}: {p}"[:200])

@@ -126,3 +126,10 @@ def test_a_broken_page_leaves_the_others(spark):
     assert got[2] == [(0, False, None)] and got[3] == [(None, False, None)]
     assert sorted(got[4], key=str) == [(0, True, 1), (None, False, None)]
     assert {r.height for r in out if r.id == 1 and r.error is None} == {4}
+
+
+def test_size_of_a_page_is_a_parameter(spark):
+    data = media.to_tiff(media.payload(b"x" * 5000))
+    df = spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary")
+    small, large = media.pages(df, most=1000).first(), media.pages(df).first()
+    assert small.pixels is None and "larger than 1000" in small.error and large.error is None and len(large.pixels) == 5056

@@ -74,7 +74,7 @@ def is_binary(content: Column) -> Column:
 HIGH = r"[\x81-\xFE][\x40-\x7E\x80-\xFE]"
 CHARSETS = {
     "EUC-KR": (r"[\x00-\x7F]|[\x81-\xFE][\x41-\x5A\x61-\x7A\x81-\xFE]", r"[\xB0-\xC8][\xA1-\xFE]", "이다의는에을가고한하지로도사를어기은리인서자해있"),
-    "EUC-JP": (r"[\x00-\x7F]|[\xA1-\xFE][\xA1-\xFE]|\x8E[\xA1-\xDF]|\x8F[\xA1-\xFE]{2}", r"[\xA4\xA5\xB0-\xF4][\xA1-\xFE]", "のにをはがとでしたてるいすまなれからもこん、。"),
+    "EUC-JP": (r"[\x00-\x7F]|[\xA1-\xFE][\xA1-\xFE]|\x8E[\xA1-\xDF]|\x8F[\xA1-\xFE]{2}", r"[\xA4\xA5\xB0-\xCF][\xA1-\xFE]", "のにをはがとでしたてるいすまなれからもこん、。"),
     "Shift_JIS": (r"[\x00-\x7F\xA0-\xDF]|[\x81-\x9F\xE0-\xFC][\x40-\x7E\x80-\xFC]", r"[\x82\x83\x88-\x97][\x40-\x7E\x80-\xFC]", "のにをはがとでしたてるいすまなれからもこん、。"),
     "GB18030": (r"[\x00-\x80]|[\x81-\xFE][\x40-\x7E\x80-\xFE]|[\x81-\xFE][0-9][\x81-\xFE][0-9]", r"[\xB0-\xD7][\xA1-\xFE]", "的一是了不在有我他这个中来上大为和国地到，。"),
     "Big5": (r"[\x00-\x80]|[\x81-\xFE][\x40-\x7E\xA1-\xFE]", r"[\xA4-\xC6][\x40-\x7E\xA1-\xFE]", "的一是了不在有我他這個中來上大為和國地到，。"),

@@ -22,6 +22,9 @@ def test_guesses(spark, ascii_part):
 
 
 def test_edges_of_guesses(spark):
+    # letters beyond ASCII in pairs are no Japanese
+    doubled = spark.createDataFrame([(bytearray("le réêai, la créée, en èèch".encode("latin-1")),)], "content binary").select(encoding.guessed_charset(F.col("content"))).first()[0]
+    assert doubled == "ISO-8859-1"
     rows = [(b"\xff",), (b"abc\xe9",), (b"\xe9",), (b"",), ("é".encode(),), (None,), (b"\xef\xbb\xbfabc",)]
     out = spark.createDataFrame([(None if b is None else bytearray(b),) for (b,) in rows], "content binary").select(encoding.utf8_report(F.col("content")).alias("r")).collect()
     assert [r.r.detected_charset for r in out][:5] == ["ISO-8859-1", "ISO-8859-1", "ISO-8859-1", "utf-8", "utf-8"] and out[6].r.has_bom

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ...functions.arrays import sums_before
 from ...functions.language import trimmed
 from ..lines import explode_lines
 from .lexers import EXTENSIONS, LEXERS, extensions_for, language_of
@@ -55,17 +55,12 @@ def html_comments(df: DataFrame, text: str = "html") -> DataFrame:
     pattern = F.lit(r"(?s)<!--(.*?)-->")
     rows = df.where(F.col(text).contains("<!--")).select(*keep, F.split(text, r"(?s)<!--.*?-->", -1).alias("_gaps"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("_c"))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    counts = F.transform("_gaps", newlines), F.transform("_c", newlines)
-    step = F.aggregate(
-        F.arrays_zip(F.slice(counts[0], F.lit(1), F.size("_c")).alias("g"), counts[1].alias("n"), F.col("_c").alias("c")),
-        F.struct(F.lit(1).cast("int").alias("at"), F.array().cast("array<struct<c:string,line:int,end_line:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["n"]).cast("int").alias("at"),
-            F.concat(a["out"], F.array(F.struct(x["c"].alias("c"), (a["at"] + x["g"]).cast("int").alias("line"), (a["at"] + x["g"] + x["n"]).cast("int").alias("end_line")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    out = rows.select(*keep, F.explode(step).alias("x"))
+    counted = F.arrays_zip(F.slice(F.transform("_gaps", newlines), F.lit(1), F.size("_c")).alias("g"), F.transform("_c", newlines).alias("n"), F.col("_c").alias("c"))
+    # what is exploded is made of columns, so that no array is built anew for each use
+    rows = rows.select(*keep, counted.alias("_z"))
+    rows = rows.select(*keep, F.explode(F.arrays_zip(F.col("_z"), sums_before(F.transform("_z", lambda z: z["g"] + z["n"])).alias("before"))).alias("x"))
+    line = F.col("x.before") + F.col("x._z.g") + 1
+    out = rows.select(*keep, F.struct(F.col("x._z.c").alias("c"), line.alias("line"), (line + F.col("x._z.n")).alias("end_line")).alias("x"))
     out = out.select(*keep, _cleaned(F.col("x.c")).alias("text"), F.col("x.line").cast("long").alias("line"), F.col("x.end_line").cast("long").alias("end_line"))
     return out.where("text <> ''")
 
@@ -82,9 +77,3 @@ def dockerfile_comments(df: DataFrame, text: str = "text") -> DataFrame:
     lines = explode_lines(df.where(F.col(text).contains("#")), text)
     body = trimmed(F.regexp_extract("line_text", r"#(.*)$", 1))
     return lines.withColumn("text", body).where("text <> ''").where(~((F.col("line") == 1) & F.col("text").startswith("!"))).drop("line_text")
-
-
-def fence_depth(df: DataFrame, key: str) -> DataFrame:
-    """Markdown lines with ``fenced``: an odd number of fences up to and with the line."""
-    fence = F.trim("line_text").rlike(r"^(```|~~~)").cast("int")
-    return df.withColumn("fenced", F.sum(fence).over(W.partitionBy(key).orderBy("line")) % 2 == 1)

@@ -18,7 +18,7 @@ BLOCK = 8192
 
 def cut(rows: DataFrame, order: str, block: int | None = None) -> DataFrame:
     """``rows`` with the block ``_b`` of each, by an integer column that is unique within a group."""
-    return rows.withColumn("_b", F.floor(F.col(order) / (block or BLOCK)))
+    return rows.withColumn("_b", F.expr(f"`{order}` div {block or BLOCK}"))
 
 
 def here(by: list[str], order: str, inclusive: bool = False) -> WindowSpec:

@@ -91,3 +91,35 @@ def test_one_long_diff_is_read_by_many_tasks(spark):
         assert rows.selectExpr("spark_partition_id() as p").distinct().count() > 1
     finally:
         spark.conf.unset(key)
+
+
+def test_sums_before(spark):
+    from pyspark.sql import functions as F
+
+    from siltgate.functions.arrays import sums_before
+
+    rng = random.Random(9)
+    rows = [([rng.randrange(-3, 9) for _ in range(n)],) for n in (0, 1, 2, 255, 256, 257, 600, 5000)] + [(None,)]
+    out = spark.createDataFrame(rows, "v array<int>").select("v", sums_before(F.col("v")).alias("s"), sums_before(F.col("v"), 3).alias("t")).collect()
+    for r in out:
+        want = [sum(r.v[:i]) for i in range(len(r.v))] if r.v is not None and len(r.v) < 1000 else None
+        if r.v is None:
+            assert not r.s and not r.t
+        else:
+            assert r.s == r.t and (want is None or r.s == want) and len(r.s) == len(r.v)
+
+
+def test_many_comments_of_one_page(spark):
+    import re
+
+    from siltgate.operators.comments import html_comments
+
+    rng = random.Random(10)
+    page = "".join(rng.choice(["text ", "\n", "<!-- a -->", "<!-- b\n * c\n-->", "<!---->", "<p>"]) for _ in range(6000)) + "<!-- open"
+    want = []
+    for m in re.finditer(r"(?s)<!--(.*?)-->", page):
+        text = "\n".join(x for x in (re.sub(r"^\*", "", y.strip()).strip() for y in m[1].split("\n")) if x)
+        if text:
+            want.append((text, page.count("\n", 0, m.start()) + 1, page.count("\n", 0, m.end()) + 1))
+    got = html_comments(spark.createDataFrame([(1, page)], "id int, html string")).collect()
+    assert sorted((r.text, r.line, r.end_line) for r in got) == sorted(want) and len(want) > 1500

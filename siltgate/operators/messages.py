@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PolicyConfig
 from ..functions import chars, encoding, globs, language
+from ..sources import commits
 from .findings import finding, union
 from .lines import explode_lines
 
@@ -197,6 +198,20 @@ def check_messages(messages: DataFrame, cfg: PolicyConfig) -> DataFrame:
     return out.select("f.check", "path", "f.line", "f.col", "f.code", "f.params")
 
 
+def check_push(messages: DataFrame, graph: DataFrame, ranges: DataFrame, cfg: PolicyConfig) -> DataFrame:
+    """The findings of every commit that a push brings: range_id, hash, and a finding's columns with the first seven characters of the hash as path.
+
+    ``messages(hash, content)``, ``graph(hash, parents)``, ``ranges(range_id, start, stop)``. A commit of several ranges is checked once
+    and told for each. Commits without a message have no findings.
+    """
+    told = commits.in_ranges(graph, ranges)
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\n+\z", "")
+    rows = messages.join(told.select("hash").distinct(), "hash", "left_semi").select(F.col("hash").cast("string").alias("path"), "content", text.alias("text"))
+    found = check_messages(rows, cfg).withColumnRenamed("path", "_hash")
+    out = found.join(told, F.col("_hash") == F.col("hash").cast("string"))
+    return out.select("range_id", "hash", "check", F.substring("_hash", 1, 7).alias("path"), "line", "col", "code", "params")
+
+
 def bad_bytes(df: DataFrame, content: str = "content") -> DataFrame:
     """Each byte that strict UTF-8 decoding cannot use: line, col (from 1; such a byte is a column), byte (hexadecimal)."""
     keep = [c for c in df.columns if c != content]

@@ -140,3 +140,16 @@ def test_walk_against_a_plain_one(spark):
         assert {r.params["dir"]: r.path for r in got} == want
         sized = repo.cache_sizes(df.selectExpr("path", "1L as size", "true as tracked")).collect()
         assert {r.cache_dir: r.size for r in sized} == {d: sum(p.startswith(d + "/") for p in paths) for d in found}
+
+
+def test_findings_of_a_push(spark):
+    from siltgate.operators import messages
+
+    parents = {f"{c}" * 40: [f"{p}" * 40 for p in ps] for c, ps in {"a": "", "b": "a", "c": "b", "d": "b", "e": "cd"}.items()}
+    texts = {"a": b"bad", "b": b"feat: fine", "c": b"no prefix\n\n", "d": b"wip: x\xff", "e": b"feat: y"}
+    bodies = spark.createDataFrame([(c * 40, bytearray(t)) for c, t in texts.items() if c != "b"], "hash string, content binary")
+    ranges = spark.createDataFrame([(1, "b" * 40, "e" * 40), (2, "a" * 40, "d" * 40), (3, "e" * 40, "a" * 40)], "range_id int, start string, stop string")
+    cfg = PolicyConfig()
+    cfg.commit_message.conventional_enabled = True
+    got = sorted((r.range_id, r.path, r.code, r.line) for r in messages.check_push(bodies, frame(spark, parents), ranges, cfg).collect())
+    assert got == [(1, "c" * 7, "conventional_format", 1), (1, "d" * 7, "bad_byte", 1), (1, "d" * 7, "conventional_type", 1), (2, "d" * 7, "bad_byte", 1), (2, "d" * 7, "conventional_type", 1)]

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PolicyConfig
+from ..config import TYPES, PolicyConfig
 from ..functions import chars, globs, language
-from ..operators import changes, editorconfig, files, fixes, lint, repo
+from ..operators import changes, editorconfig, files, fixes, lint, messages, repo
 from ..operators.comments import parse_comments
 from ..sources import gitdiff
-from .catalog import _CACHES, _LINES, _TECHNICAL, query
+from .catalog import _CACHES, _LINES, _REACH, _TECHNICAL, _graph, query
 from .views import GRIN, HEART, NBSP, ZWSP, load, view
 
 
@@ -163,3 +163,22 @@ def added_comments_in_other_languages(spark: SparkSession, sf_dir: str) -> DataF
     diff = rows.select("path", F.lit(False).alias("is_deleted"), F.lit(False).alias("is_submodule"), F.lit(False).alias("is_symlink"), F.filter(F.transform(F.sequence(F.lit(1), n), lambda x: x.cast("long")), lambda x: x % 6 == 0).alias("added_lines"))
     found = changes.comment_language(diff, rows, _comment_policy())
     return found.select("path", "line", F.col("params")["required"].alias("required"))
+
+
+@query(f"""{_REACH}, told as (select range_id::bigint as range_id, hash from reach where side = 'stop' except select range_id::bigint, hash from reach where side = 'start'),
+    m as (select doc_id, trim(concat(case doc_id % 3 when 0 then 'feat: ' when 1 then 'wip: ' else '' end, split_part(text, chr(10), 1))) as subject from documents)
+    select range_id, hash, 'conventional' as "check", case when not regexp_matches(subject, '^([^\\s(:!]+)(\\([^)]*\\))?(!)?: .+') then 'conventional_format' else 'conventional_type' end as code from told join m on m.doc_id = told.hash
+    where subject <> '' and lower(regexp_extract(subject, '^([^\\s(:!]+)(\\([^)]*\\))?(!)?: .+', 1)) not in ({", ".join(repr(t) for t in TYPES)}) and not (subject like 'Merge %' or subject like 'Revert %' or subject like 'fixup! %' or subject like 'squash! %')
+    union all select range_id, hash, 'subject_limit', 'subject_too_long' from told join m on m.doc_id = told.hash where length(subject) > 72""")
+def push_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits, with the documents of their numbers as messages."""
+    docs = load(spark, sf_dir, "documents")["documents"]
+    head = F.when(F.col("doc_id") % 3 == 0, "feat: ").when(F.col("doc_id") % 3 == 1, "wip: ").otherwise("")
+    bodies = docs.select(F.col("doc_id").alias("hash"), F.encode(F.concat(head, F.col("text")), "UTF-8").alias("content"))
+    cfg = PolicyConfig()
+    m = cfg.commit_message
+    m.conventional_enabled = m.subject_limit_enabled = True
+    m.no_ai_coauthor = m.no_unicode_spaces = m.no_ambiguous_chars = m.no_bad_runes = False
+    graph, ranges = _graph(spark, sf_dir)
+    pushed = ranges.select(F.col("range_id").cast("long").alias("range_id"), F.col("start_hash").alias("start"), F.col("stop_hash").alias("stop"))
+    return messages.check_push(bodies, graph, pushed, cfg).select("range_id", "hash", "check", "code")

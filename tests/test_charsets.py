@@ -30,6 +30,15 @@ def test_edges_of_guesses(spark):
     assert [r.r.detected_charset for r in out][:5] == ["ISO-8859-1", "ISO-8859-1", "ISO-8859-1", "utf-8", "utf-8"] and out[6].r.has_bom
 
 
+def test_letters_together_in_words_are_latin(spark):
+    latin = ["Çèen e", "Ößen e", "le èêou l De. Ééon.", "er. Öäver ", "le, Ééêle, le, Ééêle", "ÊÇVI", "DÉÉ ÄÄ", "éé", "Ääö ßü"]
+    rows = [("ISO-8859-1", bytearray(t.encode("latin-1"))) for t in latin]
+    # other charsets beside ASCII words
+    rows += [(n, bytearray(t.encode(n))) for n, t in (("EUC-KR", "API의 설명을 담은 URL을 확인"), ("GB18030", "这是API文档, 用pip安装"), ("EUC-JP", "APIの説明とURLを確認"))]
+    out = spark.createDataFrame(rows, "want string, content binary").select("want", encoding.guessed_charset(F.col("content")).alias("got"), F.decode("content", "ISO-8859-1").alias("t")).collect()
+    assert [tuple(r) for r in out if r.want != r.got] == []
+
+
 def test_confusables_file(spark):
     lines = ["﻿# confusables.txt", "05AD ;\t0596 ;\tMA\t# not ASCII", "A4F2 ;\t0049 ;\tMA\t# ( ꓲ → I )", "118B2 ;\t0069 ;\tMA", "1D400 ;  0041 ; MA # x", "0021 ; 01C3 ; MA", "2163 ; 0049 0056 ; MA # two", "", "bad line ; x"]
     extra = chars.read_confusables(lines)

@@ -2,12 +2,13 @@
 
 A graph is a table ``commits(hash, parents)``. Reachability is expanded from
 all ends of all ranges at once, several generations a round, until a round finds nothing new; every
-round is a join on the hash and a written table.
+generation is a join on the hash with the graph where it lies, every round a written table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,45 +19,63 @@ from ..stored import Scratch
 HOPS = 8
 #: Written rounds that are read together before they are written as one table.
 ROUNDS = 12
+#: Commits of a part of the graph, about.
+PART_ROWS = 100_000
 
 
-def edges(commits: DataFrame) -> DataFrame:
-    """(below, above): each commit with each parent that the table holds."""
-    pairs = commits.select(F.col("hash").alias("below"), F.explode("parents").alias("above")).where("above is not null and above <> below").distinct()
-    return pairs.join(commits.select(F.col("hash").alias("above")), "above", "left_semi").select("below", "above")
+def links(commits: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(below, parents), each commit with its parents, dealt out by the hash and kept while rounds read them; the number of parts.
+
+    A join on the hash deals out its other side alone. The caller frees them.
+    """
+    spark = commits.sparkSession
+    parents = F.filter(F.coalesce("parents", F.array()), lambda p: p.isNotNull() & (p != F.col("hash")))
+    rows = scratch.table(commits.where("hash is not null").select(F.col("hash").alias("below"), parents.alias("parents")))
+    # every generation is a stage, so small graphs get few parts
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, rows.count() // PART_ROWS)))
+    return rows.repartition(n, "below").persist(), n
 
 
-def reachable(commits: DataFrame, ends: DataFrame, hops: int = HOPS, scratch: Scratch | None = None) -> DataFrame:
+def reachable(commits: DataFrame, ends: DataFrame, hops: int = HOPS, scratch: Scratch | None = None, near: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(key, hash): the ends and all their ancestors, for ``ends(key, hash)``.
 
+    Only what the ends reach is expanded. A row is open until its parents have been added; only commits that the table holds get closed.
+    ``near`` are the table's ``links``, where the caller has them.
     Defined cases: ends and parents that the table doesn't hold reach nothing, as do nulls; a commit named twice counts once.
     """
     scratch = scratch or Scratch(commits.sparkSession, "commits")
-    near = scratch.table(edges(commits))
-    step = 1
-    while step < hops:
-        # with ancestors up to ``step`` generations, those of twice as many
-        twice = near.join(near.select(F.col("below").alias("above"), F.col("above").alias("far")), "above").select("below", F.col("far").alias("above"))
-        wider = scratch.table(near.unionByName(twice).distinct())
-        scratch.drop(near)
-        near, step = wider, 2 * step
-    held = commits.select("hash").distinct()
-    front = scratch.table(ends.select("key", "hash").where("key is not null").distinct().join(held, "hash", "left_semi").select("key", "hash"))
-    rounds = [front]
-    while True:
-        seen = rounds[0]
-        for r in rounds[1:]:
-            seen = seen.unionByName(r)
-        new = front.join(near.withColumnRenamed("below", "hash"), "hash").select("key", F.col("above").alias("hash")).distinct()
-        front = scratch.table(new.join(seen, ["key", "hash"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        rounds.append(front)
-        if len(rounds) == ROUNDS:
-            # the last round is read alone by the next one
-            whole = scratch.table(seen)
-            scratch.drop(*rounds[:-1])
-            rounds = [whole, front]
+    kept, n = near or links(commits, scratch)
+    front = ends.select("key", "hash", F.lit(True).alias("open")).where("key is not null and hash is not null")
+    once = lambda rows: rows.repartition(n, "hash").groupBy("key", "hash").agg(F.bool_and("open").alias("open"))
+    rounds: list[DataFrame] = []
+    try:
+        while True:
+            rows = once(front)
+            for _ in range(hops):
+                # closed rows travel along, so that none is opened twice in a round
+                met = rows.hint("shuffle_hash").join(kept, (F.col("hash") == F.col("below")) & F.col("open"), "left")
+                own, above = F.array(F.struct("hash", F.lit(False).alias("open"))), F.transform("parents", lambda p: F.struct(p.alias("hash"), F.lit(True).alias("open")))
+                grown = F.when(~F.col("open"), own).when(F.col("below").isNotNull(), F.concat(own, above))
+                rows = once(met.select("key", F.inline(grown)))
+            front = scratch.table(rows.join(_closed(rounds), ["key", "hash"], "left_anti") if rounds else rows)
+            rounds.append(front)
+            front = front.where("open")
+            if front.isEmpty():
+                break
+            if len(rounds) == ROUNDS:
+                # the last round is read by the next one
+                whole = scratch.table(_closed(rounds).withColumn("open", F.lit(False)))
+                scratch.drop(*rounds[:-1])
+                rounds = [whole]
+    finally:
+        if near is None:
+            kept.unpersist()
+    return _closed(rounds)
+
+
+def _closed(rounds: list[DataFrame]) -> DataFrame:
+    """(key, hash) of the rows of ``rounds`` that are closed."""
+    return reduce(DataFrame.unionByName, [r.where("not open").select("key", "hash") for r in rounds])
 
 
 def in_ranges(commits: DataFrame, ranges: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -77,11 +96,15 @@ def merge_bases(commits: DataFrame, pairs: DataFrame, hops: int = HOPS) -> DataF
     merges have several; unrelated ends have none.
     """
     scratch = Scratch(commits.sparkSession, "merge-base")
+    near, n = links(commits, scratch)
     side = lambda c, s: pairs.select(F.struct(F.col("pair_id"), F.lit(s).alias("side")).alias("key"), F.col(c).alias("hash")).where("hash is not null")
-    rows = reachable(commits, side("left", 0).unionByName(side("right", 1)), hops, scratch).select("key.pair_id", "key.side", "hash")
-    common = scratch.table(rows.groupBy("pair_id", "hash").agg(F.count_distinct("side").alias("n")).where("n = 2").drop("n"))
-    above = common.join(edges(commits).withColumnRenamed("below", "hash"), "hash").select("pair_id", F.col("above").alias("hash"))
-    return common.join(above, ["pair_id", "hash"], "left_anti")
+    try:
+        rows = reachable(commits, side("left", 0).unionByName(side("right", 1)), hops, scratch, (near, n)).select("key.pair_id", "key.side", "hash")
+        common = scratch.table(rows.groupBy("pair_id", "hash").agg((F.min("side") < F.max("side")).alias("both")).where("both").drop("both"))
+        above = common.hint("shuffle_hash").join(near, F.col("hash") == F.col("below")).select("pair_id", F.explode("parents").alias("hash"))
+        return scratch.table(common.join(above, ["pair_id", "hash"], "left_anti"))
+    finally:
+        near.unpersist()
 
 
 def merge_base(commits: DataFrame, pairs: DataFrame, hops: int = HOPS) -> DataFrame:

@@ -153,3 +153,17 @@ def test_findings_of_a_push(spark):
     cfg.commit_message.conventional_enabled = True
     got = sorted((r.range_id, r.path, r.code, r.line) for r in messages.check_push(bodies, frame(spark, parents), ranges, cfg).collect())
     assert got == [(1, "c" * 7, "conventional_format", 1), (1, "d" * 7, "bad_byte", 1), (1, "d" * 7, "conventional_type", 1), (2, "d" * 7, "bad_byte", 1), (2, "d" * 7, "conventional_type", 1)]
+
+
+def test_only_what_ends_reach_is_dealt_out(spark):
+    # 20,000 commits in merges of their eight predecessors, two of them asked for: ancestors of all others are not listed
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.col("id").alias("hash"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("id") - i).alias("parents"))
+    ends = spark.createDataFrame([(1, 10), (2, 30), (3, 99_999)], "key int, hash long")
+    scratch = commits.Scratch(spark, "commits")
+    got = commits.reachable(rows, ends, scratch=scratch)
+    assert {(r.key, r.hash) for r in got.collect()} == {(k, h) for k, e in ((1, 10), (2, 30)) for h in range(e + 1)} and got.count() == 42
+    # the links of the graph and the rows of the rounds, no ancestors of ancestors
+    written = [spark.read.parquet(f"{scratch.root}/{i + 1}") for i in range(scratch.n)]
+    assert sum(d.count() for d in written) < 21_000

@@ -70,69 +70,77 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     CLEAR, END = 256, 257
     table = [bytes([i]) for i in range(256)] + [b"", b""]
     out, total, width, acc, bits, last = [], 0, 9, 0, 0, None
-    for byte in data:
-        acc, bits = (acc << 8) | byte, bits + 8
+    n, grows, at, add, put = 258, 511, 0, table.append, out.append
+    while True:
         if bits < width:
-            continue
+            more = data[at : at + 64]
+            at += 64
+            acc, bits = acc << 8 * len(more) | int.from_bytes(more, "big"), bits + 8 * len(more)
+            if bits < width:
+                break
         bits -= width
         code = acc >> bits
         acc &= (1 << bits) - 1
-        if code == END:
-            break
         if code == CLEAR:
             del table[258:]
-            width, last = 9, None
+            n, width, grows, last = 258, 9, 511, None
             continue
+        if code == END:
+            break
         if last is None:
             entry = table[code]
         else:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out.append(entry)
+            if code < n:
+                entry = table[code]
+                add(last + entry[:1])
+            else:
+                entry = last + last[:1]
+                add(entry)
+            n += 1
+            if n == grows and width < 12:
+                width, grows = width + 1, 2 * grows + 1
+        put(entry)
         total += len(entry)
         last = entry
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
         if total >= size:
             break
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    acc = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = (acc << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    table, width, now = {bytes([i]): i for i in range(256)}, 9, b""
-    size = 258
-    put(256, 9)
+    acc, bits, out = 256, 9, bytearray()
+    # a longer entry is the code of all but its last byte, and that byte
+    known: dict[int, int] = {}
+    find = known.get
+    width, size, now = 9, 258, -1
     for byte in data:
-        more = now + bytes([byte])
-        if more in table:
-            now = more
+        if now < 0:
+            now = byte
             continue
-        put(table[now], width)
-        table[more] = size
-        size += 1
-        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-        if size >= 4094:
-            put(256, width)
-            table, width, size = {bytes([i]): i for i in range(256)}, 9, 258
-        now = bytes([byte])
-    if now:
-        put(table[now], width)
+        key = now << 8 | byte
+        code = find(key)
+        if code is not None:
+            now = code
+            continue
+        acc, bits = acc << width | now, bits + width
+        known[key] = size
         size += 1
+        if size in (512, 1024, 2048):
+            width += 1
+        elif size >= 4094:
+            acc, bits = acc << width | 256, bits + width
+            known.clear()
+            width, size = 9, 258
+        if bits >= 512:
+            full, bits = bits >> 3, bits & 7
+            out += (acc >> bits).to_bytes(full, "big")
+            acc &= (1 << bits) - 1
+        now = byte
+    if now >= 0:
+        acc, bits, size = acc << width | now, bits + width, size + 1
         width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    put(257, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    acc, bits = acc << width | 257, bits + width
+    return bytes(out + (acc << -bits % 8).to_bytes(-(-bits // 8), "big"))
 
 
 def encode(pixels: np.ndarray, compression: int = DEFLATE, predictor: int = 1, strip_rows: int = 1024, tile: tuple[int, int] | None = None, order: str = "<", level: int = 1) -> bytes:

@@ -133,3 +133,37 @@ def test_size_of_a_page_is_a_parameter(spark):
     df = spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary")
     small, large = media.pages(df, most=1000).first(), media.pages(df).first()
     assert small.pixels is None and "larger than 1000" in small.error and large.error is None and len(large.pixels) == 5056
+
+
+def test_lzw_over_cleared_tables():
+    # the plain reading of the format: codes of byte strings, each in the width of its place
+    import numpy as np
+
+    from siltgate.llm import tiff
+
+    def plain(data):
+        table, size, codes, now = {bytes([i]): i for i in range(256)}, 258, [(256, 9)], b""
+        width = lambda: 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
+        for i in range(len(data)):
+            more = now + data[i : i + 1]
+            if more in table:
+                now = more
+                continue
+            codes.append((table[now], width()))
+            table[more], size, now = size, size + 1, data[i : i + 1]
+            if size >= 4094:
+                codes.append((256, width()))
+                table, size = {bytes([j]): j for j in range(256)}, 258
+        if now:
+            codes.append((table[now], width()))
+            size += 1
+        codes.append((257, width()))
+        text = "".join(f"{c:0{w}b}" for c, w in codes)
+        text += "0" * (-len(text) % 8)
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 253, 254, 255, 511, 3835, 3836, 3837, 3838, 20_000):
+        for top in (1, 4, 256):
+            data = rng.integers(0, top, n).astype(np.uint8).tobytes()
+            assert tiff.lzw_encode(data) == plain(data) and tiff.lzw_decode(plain(data), n) == data

@@ -56,8 +56,10 @@ def is_tags_only(text: Column) -> Column:
 def has_content(text: Column, least: int, extra: list[str] | None = None) -> Column:
     """Enough letters to judge, and neither tags only nor a technical comment."""
     prefixes = "|".join(re.escape(p.lower()) for p in [*TECHNICAL_PREFIXES, *(extra or [])] if p)
-    technical = F.lower(trimmed(text)).rlike(f"^(?:{prefixes})")
-    return (F.char_length(text) >= least) & ~is_tags_only(text) & ~technical & (F.regexp_count(text, F.lit(r"\p{IsAlphabetic}")) >= least)
+    # what trimming leaves at the end matters only to prefixes that end in white space
+    late = any(p != p.rstrip() for p in extra or [])
+    technical = F.lower(trimmed(text) if late else text).rlike(rf"(?U)\A\s*+(?:{prefixes})")
+    return (F.char_length(text) >= least) & ~(text.contains("<") & is_tags_only(text)) & ~technical & (F.regexp_count(text, F.lit(r"\p{IsAlphabetic}")) >= least)
 
 
 def required(text: Column, language: str, least: int, extra: list[str] | None = None) -> Column:

@@ -143,3 +143,35 @@ def test_given_labels(spark):
     net = s.train(docs, spark.createDataFrame(known + [(None, 1, 2, 1), (0, None, 3, 1), (1, 5, 2, 1)], "doc_id long, start int, stop int, label int"))
     assert net is not None and net.report["findings"] > 100
     assert s.train(docs, spark.createDataFrame([], "doc_id long, start int, stop int, label int")) is None
+
+
+def test_every_finding_is_learned_from(spark):
+    """More findings than any sample took, many plain words in a text among them; copies of a text are one."""
+    rng = random.Random(8)
+    texts = [f"{' '.join(key(rng, 'aeiourtnsl', 14) for _ in range(250))} token={key(rng, HEX, 40)} end" for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20] + [None, ""])], "doc_id long, text string")
+    rows = s.labelled_findings(docs).collect()
+    assert sorted((r.value, r.y) for r in rows) == sorted((t[a:z][: s.INSIDE], y) for t in texts for a, z, y in s._weak(t)) and len(rows) == 60 * 251
+    # a variant of each word, two of each key
+    assert s.train(docs).report["findings"] == sum(r.calibration * (2 + r.y) for r in rows)
+
+
+def test_many_shards(spark):
+    """Shards give a network that finds as well, the same one however the texts lie."""
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(corpus(800, 1, (0, 1, 3)))], "doc_id long, text string")
+    net, again = (s.train(d, shard=1500) for d in (docs, docs.repartition(7, "text")))
+    assert s.labelled_findings(docs).where("not calibration").count() > 3000
+    assert np.array_equal(net.vector(), again.vector()) and np.allclose(net.thresholds, again.thresholds, rtol=1e-6, atol=0)
+    rows = corpus(400, 2)
+    got = {r.doc_id: [(x.kind, x.start, x.stop) for x in r.spans] for r in s.findings(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string"), net).collect()}
+    found = sum(any(k == "network" and a <= p and q <= b and q - p >= 36 for k, p, q in got[i]) for i, (_, x, _) in enumerate(rows) for a, b in x)
+    wrong = sum(k == "network" and not any(p <= a < q for p, q in rows[i][1]) for i, f in got.items() for k, a, _ in f)
+    assert found >= 90 and wrong <= 9, (found, wrong)
+
+
+def test_kth_score(spark):
+    z = np.random.default_rng(2).normal(0, 3, 500).astype(np.float32)
+    z[:5], z[5:9] = 0.0, z[9]
+    scores = spark.createDataFrame([(int(o),) for o in s._ordered(z)], "o long")
+    for k in (0, 3, 250, 499):
+        assert s._kth(scores, k) == np.sort(z)[k]

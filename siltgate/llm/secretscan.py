@@ -47,6 +47,8 @@ SHARD = 16_384
 PASSES, ROUNDS = 5, 2
 #: Share of the rarer label in what a pass reads: rarer findings are read more than once.
 RARE = 8
+#: Findings of each label in a shard that is trained on, about, at least: where there are fewer, several shards read the same ones.
+EACH = 32
 #: Share of the calibration findings of label 1 that each threshold must find.
 RECALL = 0.95
 #: Fewer findings of label 1 than these set no threshold of their own.
@@ -181,7 +183,7 @@ class Network:
         runs = np.lib.stride_tricks.as_strided(room, (room.size // FILTERS - edge, WIDTH * FILTERS), (FILTERS * room.itemsize, room.itemsize))
         order = np.argsort(x, axis=None, kind="stable")[np.count_nonzero(x == 0) :]  # padding says nothing
         code = x.ravel()[order]
-        starts = np.flatnonzero(np.diff(code, prepend=code[0] ^ 1))
+        starts = np.flatnonzero(np.diff(code, prepend=np.uint8(0)))
         row, place = np.divmod(order, x.shape[1])
         conv = np.zeros((_VOCAB, WIDTH, FILTERS), dp.dtype)
         conv[code[starts]] = np.add.reduceat(runs[row * room.shape[1] + place], starts).reshape(-1, WIDTH, FILTERS)[:, ::-1]
@@ -398,8 +400,9 @@ def labelled_findings(docs: DataFrame, known: DataFrame | None = None) -> DataFr
     return texts.mapInArrow(run, _FINDING).distinct()
 
 
-def sharded(rows: DataFrame, n: int) -> DataFrame:
-    """(calibration, shard, x, y, assigned): ``labelled_findings`` and variants of them as windows, in ``n`` shards by their hash."""
+def sharded(rows: DataFrame, n: int, times: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(calibration, shard, x, y, assigned): ``labelled_findings`` and variants of them as windows, in ``n`` shards by their hash;
+    those to fit on in so many shards as ``times`` says for their label."""
 
     def pack(table: pa.Table) -> pa.Table:
         found = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "before", "value", "after", "y"))))
@@ -410,7 +413,9 @@ def sharded(rows: DataFrame, n: int) -> DataFrame:
         flags = (bytes(r[3] for r in mine), bytes(bool(_AFTER_SIGN.search(r[0])) for r in mine))
         return pa.table({"calibration": [calibration], "shard": pa.array([shard], pa.int32()), "x": [x.tobytes()], "y": [flags[0]], "assigned": [flags[1]]})
 
-    dealt = rows.withColumn("shard", F.pmod("h", F.lit(n)).cast("int")).repartition(2 * n, "calibration", "shard")
+    more = F.when(F.col("calibration"), 0).otherwise(F.when(F.col("y") == 1, times[1] - 1).otherwise(times[0] - 1))
+    dealt = rows.withColumn("more", F.explode(F.sequence(F.lit(0), more))).withColumn("shard", F.pmod(F.pmod("h", F.lit(n)) + F.col("more"), F.lit(n)).cast("int")).drop("more")
+    dealt = dealt.repartition(2 * n, "calibration", "shard")
     return dealt.groupBy("calibration", "shard").applyInArrow(pack, "calibration boolean, shard int, x binary, y binary, assigned binary")
 
 
@@ -423,7 +428,9 @@ def train(docs: DataFrame, known: DataFrame | None = None, recall: float = RECAL
         scratch.drop(rows)
         return None
     n = math.ceil((many[False, 0] + many[False, 1]) / shard)
-    shards = scratch.table(sharded(rows, n))
+    # a copy that saw one label alone would spoil the mean
+    times = tuple(min(n, math.ceil(EACH * n / many[False, y])) for y in (0, 1))
+    shards = scratch.table(sharded(rows, n, times))
     scratch.drop(rows)
     net = calibrated(fitted(shards.where("not calibration"), n), shards.where("calibration"), recall)
     scratch.drop(shards)

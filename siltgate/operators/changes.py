@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import PolicyConfig
 from ..functions import globs
 from ..sources.gitdiff import added_lines
-from . import directives
 from .files import comment_units, judge_units
 from .findings import finding, union
 from .lines import explode_lines
@@ -17,10 +16,8 @@ from .lines import explode_lines
 def comment_language(files: DataFrame, contents: DataFrame, cfg: PolicyConfig) -> DataFrame:
     """As the whole-file check, for units with an added line (all units in full mode)."""
     kept = files.where("not is_deleted and not is_submodule and not is_symlink")
-    units = comment_units(contents.join(kept.select("path").distinct(), "path", "left_semi"), cfg)
-    if not cfg.comment_language.full:
-        units = directives.touched(units, added_lines(files))
-    return judge_units(units, cfg)
+    corpus = contents.join(kept.select("path").distinct(), "path", "left_semi")
+    return judge_units(comment_units(corpus, cfg, None if cfg.comment_language.full else added_lines(files)), cfg)
 
 
 def custom_rules(files: DataFrame, contents: DataFrame, cfg: PolicyConfig) -> DataFrame:

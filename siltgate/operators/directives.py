@@ -86,6 +86,32 @@ def states(comments: DataFrame, default_language: str | Column, prefix: str = PR
     return rows.select(*[F.col("_row")[c].alias(c) for c in names if c not in ("skip", "lang")], skip.alias("skip"), F.when(~skip & (said == ""), F.col("_fallback")).otherwise(said).alias("lang"))
 
 
+def outlined(comments: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """``comments`` with no more of their texts than ``states`` and ``outlines`` ask: directives whole, of others one letter, or nothing where there is no text."""
+    said = F.lower(trimmed(F.col("text"))).startswith(prefix)
+    return comments.withColumn("text", F.when(said, F.col("text")).when(F.trim("text") != "", "x").otherwise(""))
+
+
+def _members(stated: DataFrame, check_strings: bool) -> DataFrame:
+    """The rows that count, with the unit_id of each. All windows are by path, so the rows are shuffled once."""
+    kinds = ["Comment", "String"] if check_strings else ["Comment"]
+    order = W.partitionBy("path").orderBy("seq")
+    alone = F.col("is_block") | (F.col("kind") == "String")
+    rows = stated.where(~F.col("skip") & F.col("kind").isin(kinds) & F.col("path").isNotNull()).withColumn("alone", alone)
+    before = lambda c: F.lag(c).over(order)
+    hard = F.coalesce(F.col("alone") | before("alone") | (before("lang") != F.col("lang")), F.lit(True))
+    gap = F.coalesce(F.col("line") > before("end_line") + 1, F.lit(True))
+    rows = rows.withColumns({"hard": hard, "gap": gap}).withColumn("chunk", F.sum((F.col("hard") | F.col("gap")).cast("int")).over(order))
+    # level two: a chunk after a textless one continues it unless its start is hard; only a chunk's first row is hard or has a gap
+    rows = rows.withColumn("has_text", F.bool_or(F.trim("text") != "").over(W.partitionBy("path", "chunk")))
+    starts = F.col("hard") | (F.col("gap") & F.coalesce(before("has_text"), F.lit(False)))
+    return rows.withColumn("starts", starts.cast("int")).withColumn("unit_id", F.sum("starts").over(order).cast("long"))
+
+
+#: What a unit has besides its text.
+_EXTENT = {"line": F.min, "end_line": F.max, "lang": F.first, "kind": F.first}
+
+
 def units(stated: DataFrame, check_strings: bool = False) -> DataFrame:
     """Runs of line comments as one text: path, unit_id, text, line, end_line, lang, kind.
 
@@ -94,34 +120,30 @@ def units(stated: DataFrame, check_strings: bool = False) -> DataFrame:
     gaps don't end it. Skipped rows and imports are left out, as are units
     without text unless they are blocks.
     """
-    kinds = ["Comment", "String"] if check_strings else ["Comment"]
-    order = W.partitionBy("path").orderBy("seq")
-    alone = F.col("is_block") | (F.col("kind") == "String")
-    rows = stated.where(~F.col("skip") & F.col("kind").isin(kinds)).withColumn("alone", alone)
-    before = lambda c: F.lag(c).over(order)
-    hard = F.coalesce(F.col("alone") | before("alone") | (before("lang") != F.col("lang")), F.lit(True))
-    gap = F.coalesce(F.col("line") > before("end_line") + 1, F.lit(True))
-    rows = rows.withColumn("hard", hard).withColumn("chunk", F.sum((F.col("hard") | gap).cast("int")).over(order))
-    # level two: a chunk after a textless one continues it unless its start is hard
-    chunks = rows.groupBy("path", "chunk").agg(F.bool_or("hard").alias("hard"), F.bool_or(F.trim("text") != "").alias("has_text"))
-    steps = W.partitionBy("path").orderBy("chunk")
-    # text seen in the unit so far: since the last hard start
-    chunks = chunks.withColumn("part", F.sum(F.col("hard").cast("int")).over(steps))
-    within = W.partitionBy("path", "part").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = F.col("hard") | F.coalesce(F.last("has_text").over(within), F.lit(False))
-    chunks = chunks.withColumn("unit_id", F.sum(starts.cast("int")).over(steps)).select("path", "chunk", "unit_id")
     texts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
-    out = rows.join(chunks, ["path", "chunk"]).groupBy("path", "unit_id").agg(
-        F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n").alias("text"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.first("lang").alias("lang"), F.first("kind").alias("kind"), F.bool_or("is_block").alias("is_block")
+    out = _members(stated, check_strings).groupBy("path", "unit_id").agg(
+        F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n").alias("text"), *[f(c).alias(c) for c, f in _EXTENT.items()], F.bool_or("is_block").alias("is_block")
+    )
+    return out.where((F.col("text") != "") | F.col("is_block")).drop("is_block")
+
+
+def outlines(stated: DataFrame, check_strings: bool = False) -> DataFrame:
+    """The same units with the numbers of their comments (seqs, in order) in place of the text, which ``unit_texts`` adds."""
+    out = _members(stated, check_strings).groupBy("path", "unit_id").agg(
+        F.sort_array(F.collect_list("seq")).alias("seqs"), *[f(c).alias(c) for c, f in _EXTENT.items()], F.bool_or((F.trim("text") != "") | F.col("is_block")).alias("counts")
     )
-    return out.where((F.col("text") != "") | F.col("is_block")).drop("is_block").withColumn("unit_id", F.col("unit_id").cast("long"))
+    return out.where("counts").drop("counts")
 
 
 def touched(unit_rows: DataFrame, added: DataFrame) -> DataFrame:
-    """Units with an added line: a semi join on path and line.
+    """Units with an added line: those that end no earlier than the first added line from their own first line on.
 
-    A unit's lines are exploded, so the join has an equality on both keys and no row is compared with a whole file.
+    Units and added lines are read from a file's end to its beginning in one pass, so no unit is
+    joined with itself, nor compared with all lines of its file, and its lines are not spread.
     """
-    lines = unit_rows.select("path", "unit_id", F.explode(F.sequence("line", "end_line")).alias("line"))
-    hit = lines.join(added.select("path", "line").distinct(), ["path", "line"]).select("path", "unit_id").distinct()
-    return unit_rows.join(hit, ["path", "unit_id"], "left_semi")
+    names = unit_rows.columns
+    lines = added.where("path is not null").select("path", "line", F.col("line").alias("_added"))
+    both = unit_rows.withColumn("_added", F.lit(None).cast("long")).unionByName(lines, allowMissingColumns=True)
+    upward = W.partitionBy("path").orderBy(F.col("line").desc(), F.col("_added").isNull()).rowsBetween(W.unboundedPreceding, -1)
+    rows = both.withColumn("_next", F.last("_added", ignorenulls=True).over(upward)).where("_added is null")
+    return rows.where((F.col("line") <= F.col("_next")) & (F.col("_next") <= F.col("end_line"))).select(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import IMAGES, PolicyConfig, normalize_policy
 from ..functions import chars, encoding, globs, language
 from . import directives
-from .comments import parse_comments
+from .comments import parse_comments, unit_texts
 from .editorconfig import Section, definitions
 from .findings import finding, union
 from .unicode import emoji_occurrences, invisible_occurrences, lookalike_occurrences
@@ -75,27 +75,30 @@ def comment_scope(corpus: DataFrame, cfg: PolicyConfig) -> DataFrame:
     return rows.withColumn("required", globs.first_match(F.col("path"), rules, c.required_language))
 
 
-def comment_units(corpus: DataFrame, cfg: PolicyConfig) -> DataFrame:
-    """Units of the checked files, with directives applied."""
+def comment_units(corpus: DataFrame, cfg: PolicyConfig, added: DataFrame | None = None) -> DataFrame:
+    """Units of the checked files, with directives applied; with ``added(path, line)`` those that have an added line.
+
+    Which comments make a unit, and which units count, is found without their texts; those are read at the end.
+    """
     scope = comment_scope(corpus, cfg)
-    comments = parse_comments(scope)
+    comments = directives.outlined(parse_comments(scope))
     # the required language depends on the path alone, so no join is needed
     rules = [(p, lang) for p, lang in cfg.comment_language.file_languages if lang]
     default = globs.first_match(F.col("path"), rules, cfg.comment_language.required_language)
-    return directives.units(directives.states(comments, default), cfg.comment_language.check_strings)
+    found = directives.outlines(directives.states(comments, default), cfg.comment_language.check_strings)
+    return unit_texts(scope, found if added is None else directives.touched(found, added))
 
 
 def judge_units(units: DataFrame, cfg: PolicyConfig) -> DataFrame:
     """Units in another language than their own, after allowed words are taken out."""
     c = cfg.comment_language
     rows = units.where("kind <> 'String'").withColumn("said", language.strip_allowed_words(F.col("text"), c.allowed_words))
-    # what the four languages ask of a text is found once
-    rows = rows.withColumn("t", language.traits(F.col("said"), c.min_length, c.skip_directives))
-    judged = F.lit(None)
+    # only the unit's own language is asked, and what a class of characters settles comes first
+    foreign = None
     for lang in language.ORDER:
-        judged = F.when(F.col("lang") == lang, language.judged(F.col("t"), lang)) if lang == language.ORDER[0] else judged.when(F.col("lang") == lang, language.judged(F.col("t"), lang))
-    rows = rows.withColumn("j", judged)
-    wrong = rows.where(F.col("j.has_content") & ~F.col("j.ok"))
+        wrong = language.is_foreign(F.col("said"), lang, c.min_length, c.skip_directives)
+        foreign = F.when(F.col("lang") == lang, wrong) if foreign is None else foreign.when(F.col("lang") == lang, wrong)
+    wrong = rows.where(foreign)
     parts = [finding(wrong, "comment_language", "language", "line", required=F.col("lang"), detected=language.dominant(F.col("said")), text=language.truncate(F.col("text"), 80))]
     if c.no_emoji:
         parts.append(finding(emoji_occurrences(rows.withColumnRenamed("line", "unit_line")), "comment_language", "emoji", F.col("unit_line") + F.col("line") - 1, "col", char=chars.u_plus(F.col("code_point"))))
